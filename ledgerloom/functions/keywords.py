@@ -1,23 +1,18 @@
-"""Ordered keyword classification (first matching category wins)."""
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+"""Ordered keyword classification (first matching category wins), as SQL text."""
 
 from ..rules import RuleSet
-from .text import contains_any
+from .text import bind, contains_any, lit
 
 
-def classify(text: Column, rules: RuleSet) -> Column:
-    """Category of a description as one CASE expression, checked in rule order."""
-    lowered = F.lower(text)
-    chosen = None
-    for category, words in rules.categories:
-        hit = contains_any(lowered, words)
-        chosen = F.when(hit, category) if chosen is None else chosen.when(hit, category)
-    return chosen.otherwise(rules.default)
+def classify(text: str, rules: RuleSet) -> str:
+    """Category of a description: one CASE over the lower-case text, in rule order."""
+    cases = " ".join(
+        f"WHEN {contains_any('words_', words)} THEN {lit(category)}" for category, words in rules.categories
+    )
+    return bind(f"lower({text})", "words_", f"CASE {cases} ELSE {lit(rules.default)} END")
 
 
-def category_rank(category: Column, rules: RuleSet) -> Column:
+def category_rank(category: str, rules: RuleSet) -> str:
     """Position of a category in its rule set."""
-    names = F.array(*[F.lit(name) for name in rules.names()])
-    return F.array_position(names, category).cast("int") - 1
+    names = ", ".join(lit(name) for name in rules.names())
+    return f"CAST(array_position(array({names}), {category}) AS int) - 1"

@@ -1,13 +1,13 @@
-"""Cell-level expressions: blanks, amounts, dates and display text.  All stay in the JVM."""
+"""Cell-level SQL fragments: blanks, amounts, dates and display text.
+
+Each function takes and returns the text of a SQL expression.  All of them stay in the JVM.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..schemas import MONEY
 
 WHITESPACE = " \t\n\r\f\u000b\u00a0"
@@ -29,57 +29,66 @@ _SHAPE = {  # a cheap guard per format, so that a row is parsed once, not once p
 }
 
 
-def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(WHITESPACE))
+def lit(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bind(value: str, name: str, use: str) -> str:
+    """``use`` with ``name`` standing for ``value``, which is computed once per row."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
+
+
+def strip(x: str) -> str:
+    return f"trim(BOTH {lit(WHITESPACE)} FROM {x})"
 
 
-def missing_to_null(c: Column) -> Column:
-    return F.when(~c.isin(MISSING), c)
+def missing_to_null(x: str) -> str:
+    return f"CASE WHEN {x} NOT IN ({', '.join(map(lit, MISSING))}) THEN {x} END"
 
 
-def parse_date(c: Column, formats: Iterable[str] = DAY_FIRST) -> Column:
+def parse_date(x: str, formats: Iterable[str] = DAY_FIRST) -> str:
     """Text to date; the first fitting format wins, anything else is NULL."""
-    text = F.regexp_replace(F.regexp_replace(strip(c), _CLOCK, ""), r"[/. ]+", "-")
+    text = f"regexp_replace(regexp_replace({strip(x)}, {lit(_CLOCK)}, ''), '[/. ]+', '-')"
     tries = []
     for fmt in formats:
         shape = "^" + "-".join(_SHAPE[part] for part in fmt.split("-")) + "$"
-        tries.append(F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)).cast("date")))
-    return F.coalesce(*tries)
+        tries.append(f"CASE WHEN day_ RLIKE {lit(shape)} THEN CAST(try_to_timestamp(day_, {lit(fmt)}) AS DATE) END")
+    return bind(text, "day_", f"coalesce({', '.join(tries)})")
 
 
-def clean_amount(c: Column, money: str = MONEY) -> Column:
+def clean_amount(x: str, money: str = MONEY) -> str:
     """Money text to a number: keep digits, '.' and '-'; anything unreadable is 0."""
-    digits = F.regexp_replace(c, r"[^0-9.\-]", "")
-    return F.coalesce(digits.try_cast(money), F.lit(0).cast(money))
+    digits = f"regexp_replace({x}, {lit('[^0-9.-]')}, '')"
+    return f"coalesce(try_cast({digits} AS {money}), CAST(0 AS {money}))"
 
 
-def to_number(c: Column, money: str = MONEY) -> Column:
+def to_number(x: str, money: str = MONEY) -> str:
     """A plain number or NULL; thousand separators are not accepted."""
-    return strip(c).try_cast(money)
+    return f"try_cast({strip(x)} AS {money})"
 
 
-def contains_any(c: Column, words: Iterable[str]) -> Column:
-    """One regular expression over all words: a single scan of the text."""
-    return c.rlike("|".join(re.escape(w) for w in words))
+def contains_any(x: str, words: Iterable[str]) -> str:
+    """One regular expression over all words."""
+    return f"{x} RLIKE {lit('|'.join(re.escape(w) for w in words))}"
 
 
-def currency(c: Column) -> Column:
-    return F.concat(F.lit("₹"), F.format_number(F.coalesce(c, F.lit(0)), 2))
+def currency(x: str) -> str:
+    return f"concat('₹', format_number(coalesce({x}, 0), 2))"
 
 
-def currency_or_text(c: Column) -> Column:
+def currency_or_text(x: str) -> str:
     """Currency text when the cell is a number, '' when blank, else the cell itself."""
-    number = strip(c).try_cast("double")
+    number = f"try_cast({strip(x)} AS double)"
     return (
-        F.when(c.isNull() | (strip(c) == ""), F.lit(""))
-        .when(number.isNull(), c)
-        .otherwise(F.concat(F.lit("₹"), F.format_number(number, 2)))
+        f"CASE WHEN {x} IS NULL OR {strip(x)} = '' THEN '' WHEN {number} IS NULL THEN {x} "
+        f"ELSE concat('₹', format_number({number}, 2)) END"
     )
 
 
-def percentage(c: Column) -> Column:
-    return F.concat(F.format_string("%.1f", c.cast("double")), F.lit("%"))
+def percentage(x: str) -> str:
+    return f"concat(format_string('%.1f', CAST({x} AS double)), '%')"
 
 
-def shorten(c: Column, width: int = 50) -> Column:
-    return F.when(F.length(c) > width, F.concat(F.substring(c, 1, width), F.lit("..."))).otherwise(c)
+def shorten(x: str, width: int = 50) -> str:
+    return f"CASE WHEN length({x}) > {width} THEN concat(substring({x}, 1, {width}), '...') ELSE {x} END"

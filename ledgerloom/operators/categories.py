@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keywords import category_rank, classify
@@ -11,64 +11,62 @@ from ..schemas import KEY
 from .flows import rollup
 
 
+def _ranked(totals: DataFrame, rules: RuleSet) -> DataFrame:
+    """Add ``rule_order`` and ``position`` by amount; a statement has one row per category here."""
+    return totals.withColumn("rule_order", F.expr(category_rank("category", rules))).withColumn(
+        "position",
+        F.expr(f"row_number() OVER (PARTITION BY {KEY} ORDER BY amount DESC, rule_order)"),
+    )
+
+
 def expense_categories(flow: DataFrame, rules: RuleSet = EXPENSE_RULES) -> DataFrame:
     """Debit total per category, zero totals left out; ``position`` 1 is the largest."""
     totals = (
-        flow.where(F.col("expense_category").isNotNull())
+        flow.where("expense_category IS NOT NULL")
         .groupBy(KEY, F.col("expense_category").alias("category"))
         .agg(F.sum("expense").alias("amount"))
-        .where(F.col("amount") > 0)
+        .where("amount > 0")
     )
-    return _ranked(totals, rules)
-
-
-def _ranked(totals: DataFrame, rules: RuleSet) -> DataFrame:
-    # a statement has at most one row per category here, so the window is small
-    largest = Window.partitionBy(KEY).orderBy(F.desc("amount"), category_rank(F.col("category"), rules))
-    return totals.withColumn("position", F.row_number().over(largest))
+    return _ranked(totals, rules).drop("rule_order")
 
 
 def top_expenses(flow: DataFrame, n: int = 5, rules: RuleSet = EXPENSE_RULES) -> DataFrame:
-    return expense_categories(flow, rules).where(F.col("position") <= n)
+    return expense_categories(flow, rules).where(f"position <= {n}")
 
 
 def report_expense_categories(report: DataFrame, rules: RuleSet = REPORT_EXPENSE_RULES) -> DataFrame:
     """Debit total and share per category of the second report, largest first."""
     totals = (
-        report.where(F.col("dr_cr_indicator") == "DR")
-        .groupBy(KEY, classify(F.col("description"), rules).alias("category"))
+        report.where("dr_cr_indicator = 'DR'")
+        .selectExpr(KEY, f"{classify('description', rules)} AS category", "debit")
+        .groupBy(KEY, "category")
         .agg(F.sum("debit").alias("amount"))
-        .where(F.col("amount") > 0)
+        .where("amount > 0")
     )
-    whole = F.sum("amount").over(Window.partitionBy(KEY))
-    share = F.col("amount").cast("double") / whole.cast("double") * 100
-    return (
-        _ranked(totals, rules)
-        .withColumn("percentage", share)
-        .withColumn("rule_order", category_rank(F.col("category"), rules))
+    whole = f"CAST(sum(amount) OVER (PARTITION BY {KEY}) AS double)"
+    return _ranked(totals, rules).withColumn(
+        "percentage", F.expr(f"CAST(amount AS double) / {whole} * 100")
     )
 
 
 def largest_category(report: DataFrame, rules: RuleSet = REPORT_EXPENSE_RULES) -> DataFrame:
     """The category with the highest total; 'None', 0 and no percentage without expenses."""
-    largest = report_expense_categories(report, rules).where(F.col("position") == 1)
+    largest = report_expense_categories(report, rules).where("position = 1")
     return (
         report.select(KEY)
         .distinct()
         .join(largest.select(KEY, "category", "amount", "percentage"), KEY, "left")
-        .select(
+        .selectExpr(
             KEY,
-            F.coalesce("category", F.lit("None")).alias("category"),
-            F.coalesce("amount", F.lit(0).cast("decimal(28,2)")).alias("amount"),
+            "coalesce(category, 'None') AS category",
+            "coalesce(amount, CAST(0 AS decimal(28,2))) AS amount",
             "percentage",
         )
     )
 
 
 def monthly_income(flow: DataFrame) -> DataFrame:
-    return rollup(flow.where(F.col("month").isNotNull()), "month").select(
-        KEY, "month", F.col("credit").alias("income")
-    )
+    return rollup(flow.where("month IS NOT NULL"), "month").selectExpr(KEY, "month", "credit AS income")
 
 
 def income_summary(flow: DataFrame) -> DataFrame:
@@ -77,10 +75,8 @@ def income_summary(flow: DataFrame) -> DataFrame:
         rollup(flow, "month")
         .groupBy(KEY)
         .agg(
-            F.sum("credit").alias("total_income"),
-            F.avg(F.when(F.col("month").isNotNull(), F.col("credit").cast("double"))).alias(
-                "average_monthly_income"
-            ),
+            F.expr("sum(credit) AS total_income"),
+            F.expr("avg(CASE WHEN month IS NOT NULL THEN CAST(credit AS double) END) AS average_monthly_income"),
         )
     )
 
@@ -88,9 +84,9 @@ def income_summary(flow: DataFrame) -> DataFrame:
 def income_sources(flow: DataFrame, rules: RuleSet = INCOME_RULES) -> DataFrame:
     """Credit total per source, in rule order, zero totals left out."""
     return (
-        flow.where(F.col("income_source").isNotNull())
+        flow.where("income_source IS NOT NULL")
         .groupBy(KEY, F.col("income_source").alias("source"))
         .agg(F.sum("income").alias("amount"))
-        .where(F.col("amount") > 0)
-        .withColumn("rule_order", category_rank(F.col("source"), rules))
+        .where("amount > 0")
+        .withColumn("rule_order", F.expr(category_rank("source", rules)))
     )

@@ -8,12 +8,12 @@ ledger once, rolls it up and works on the much smaller rollup.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keywords import classify
 from ..rules import EXPENSE_RULES, INCOME_RULES, RuleSet
-from ..schemas import KEY, day_order
+from ..schemas import KEY, ZERO, day_order
 
 SUMS = ["rows", "credit_count", "debit_count", "credit", "debit", "expense", "income"]
 GRAIN = ["month", "txn_date", "expense_category", "income_source"]
@@ -23,53 +23,50 @@ def flows(
     ledger: DataFrame, expense_rules: RuleSet = EXPENSE_RULES, income_rules: RuleSet = INCOME_RULES
 ) -> DataFrame:
     """Per ledger row: amounts by direction, categories and the balance with its order."""
-    debit, credit, balance = F.col("debit"), F.col("credit"), F.col("balance")
-    described = F.col("description").isNotNull()
-    is_expense = (F.coalesce("txn_type", F.lit("debit")) == "debit") & (debit > 0) & described
-    is_income = (credit > 0) & described
-    row = F.when(balance.isNotNull(), F.col("row_no"))
-    day = F.when(balance.isNotNull() & F.col("txn_date").isNotNull(), day_order(F.col("txn_date"), F.col("row_no")))
-    no_money = F.lit(0).cast("decimal(18,2)")
-    return ledger.select(
+    is_expense = "(coalesce(txn_type, 'debit') = 'debit' AND debit > 0 AND description IS NOT NULL)"
+    is_income = "(credit > 0 AND description IS NOT NULL)"
+    row = "CASE WHEN balance IS NOT NULL THEN row_no END"
+    day = f"CASE WHEN balance IS NOT NULL AND txn_date IS NOT NULL THEN {day_order()} END"
+    return ledger.selectExpr(
         KEY,
         "month",
         "txn_date",
-        F.when(is_expense, classify(F.col("description"), expense_rules)).alias("expense_category"),
-        F.when(is_income, classify(F.col("description"), income_rules)).alias("income_source"),
-        F.lit(1).cast("bigint").alias("rows"),
-        F.coalesce(F.col("txn_type") == "credit", F.lit(False)).cast("bigint").alias("credit_count"),
-        F.coalesce(F.col("txn_type") == "debit", F.lit(False)).cast("bigint").alias("debit_count"),
-        F.coalesce(credit, no_money).alias("credit"),
-        F.coalesce(debit, no_money).alias("debit"),
-        F.when(is_expense, debit).otherwise(no_money).alias("expense"),
-        F.when(is_income, credit).otherwise(no_money).alias("income"),
-        F.col("txn_date").alias("first_date"),
-        F.col("txn_date").alias("last_date"),
-        row.alias("first_row"),
-        row.alias("last_row"),
-        balance.alias("first_row_balance"),
-        balance.alias("last_row_balance"),
-        day.alias("first_day"),
-        day.alias("last_day"),
-        balance.alias("first_day_balance"),
-        balance.alias("last_day_balance"),
+        f"CASE WHEN {is_expense} THEN {classify('description', expense_rules)} END AS expense_category",
+        f"CASE WHEN {is_income} THEN {classify('description', income_rules)} END AS income_source",
+        "1L AS rows",
+        "CAST(coalesce(txn_type = 'credit', false) AS bigint) AS credit_count",
+        "CAST(coalesce(txn_type = 'debit', false) AS bigint) AS debit_count",
+        f"coalesce(credit, {ZERO}) AS credit",
+        f"coalesce(debit, {ZERO}) AS debit",
+        f"CASE WHEN {is_expense} THEN debit ELSE {ZERO} END AS expense",
+        f"CASE WHEN {is_income} THEN credit ELSE {ZERO} END AS income",
+        "txn_date AS first_date",
+        "txn_date AS last_date",
+        f"{row} AS first_row",
+        f"{row} AS last_row",
+        "balance AS first_row_balance",
+        "balance AS last_row_balance",
+        f"{day} AS first_day",
+        f"{day} AS last_day",
+        "balance AS first_day_balance",
+        "balance AS last_day_balance",
     )
 
 
-def measures() -> list[Column]:
-    """Aggregates that merge measure rows into one."""
-    out = [F.sum(c).alias(c) for c in SUMS]
-    out += [F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")]
-    for order in ("row", "day"):
-        out += [
-            F.min(f"first_{order}").alias(f"first_{order}"),
-            F.max(f"last_{order}").alias(f"last_{order}"),
-            F.min_by(f"first_{order}_balance", f"first_{order}").alias(f"first_{order}_balance"),
-            F.max_by(f"last_{order}_balance", f"last_{order}").alias(f"last_{order}_balance"),
-        ]
-    return out
+MEASURES = [
+    *[f"sum({c}) AS {c}" for c in SUMS],
+    "min(first_date) AS first_date",
+    "max(last_date) AS last_date",
+]
+for order in ("row", "day"):
+    MEASURES += [
+        f"min(first_{order}) AS first_{order}",
+        f"max(last_{order}) AS last_{order}",
+        f"min_by(first_{order}_balance, first_{order}) AS first_{order}_balance",
+        f"max_by(last_{order}_balance, last_{order}) AS last_{order}_balance",
+    ]
 
 
 def rollup(flow: DataFrame, *grain: str) -> DataFrame:
     """Measures per statement and ``grain`` columns."""
-    return flow.groupBy(KEY, *grain).agg(*measures())
+    return flow.groupBy(KEY, *grain).agg(*[F.expr(m) for m in MEASURES])

@@ -6,10 +6,10 @@ All layouts are handled in one plan: headers and position maps are rows of a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import bind, lit, strip
 from ..schemas import KEY, ROW_BITS
 
 # Phrases that score a header row.
@@ -35,7 +35,7 @@ STANDARD_NAMES = {
     "reference_no": "ref no, reference no",
     "branch": "branch name",
 }
-CANONICAL = list(STANDARD_NAMES)
+CANONICAL = ", ".join(lit(name) for name in STANDARD_NAMES)
 
 # Texts that mark a row as no transaction.
 BOILERPLATE = (
@@ -50,41 +50,38 @@ AMOUNT_CELL = r"[\d,]+\.?\d*"
 DATE_SHARE = 0.5
 AMOUNT_SHARE = 0.3
 
+# all cells of a row in lower case; a missing cell counts as ''
+ROW_TEXT = "lower(array_join(cells, ' ', ''))"
 
-def row_text(cells: Column) -> Column:
-    """All cells of a row in lower case, joined by a space; a missing cell counts as ''."""
-    return F.lower(F.array_join(cells, " ", ""))
+IS_TRANSACTION = (
+    f"(size(filter(cells, c -> c IS NOT NULL)) >= 2 AND NOT {ROW_TEXT} RLIKE {lit(BOILERPLATE)})"
+)
 
 
-def header_score(text: Column) -> Column:
-    score = F.lit(0)
-    for phrase in HEADER_PHRASES:
-        score = score + F.contains(text, F.lit(phrase)).cast("int")
-    return score
+def header_rank() -> str:
+    """The number of header phrases in a possible header row (at least 3), 0 for a row that only
+    names a date, an amount or a balance, NULL for any other row."""
+    score = " + ".join(f"CAST(contains(text_, {lit(p)}) AS int)" for p in HEADER_PHRASES)
+    named = " OR ".join(f"contains(text_, {lit(p)})" for p in FALLBACK_PHRASES)
+    ranked = bind(
+        score, "score_", f"CASE WHEN score_ >= {MIN_HEADER_SCORE} THEN score_ WHEN {named} THEN 0 END"
+    )
+    return bind(ROW_TEXT, "text_", ranked)
 
 
-def is_transaction_row(cells: Column) -> Column:
-    filled = F.size(F.filter(cells, lambda c: c.isNotNull()))
-    return ~row_text(cells).rlike("(?s)" + BOILERPLATE) & (filled >= 2)
+def standard_name(name: str) -> str:
+    pairs = [
+        f"{lit(synonym)}, {lit(standard)}"
+        for standard, known in STANDARD_NAMES.items()
+        for synonym in known.split(", ")
+    ]
+    return f"coalesce(element_at(map({', '.join(pairs)}), {name}), {name})"
 
 
-def unique_names(names: Column) -> Column:
+def unique_names(names: str) -> str:
     """Give the 2nd, 3rd, ... occurrence of a name the suffix _1, _2, ..."""
-
-    def suffixed(name: Column, i: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(names, 1, i), lambda other: other == name))
-        return F.when(earlier > 0, F.concat(name, F.lit("_"), earlier.cast("string"))).otherwise(name)
-
-    return F.transform(names, suffixed)
-
-
-def standard_name(name: Column) -> Column:
-    pairs = []
-    for standard, known in STANDARD_NAMES.items():
-        for synonym in known.split(", "):
-            pairs += [F.lit(synonym), F.lit(standard)]
-    cleaned = F.lower(strip(name))
-    return F.coalesce(F.element_at(F.create_map(*pairs), cleaned), cleaned)
+    earlier = f"size(filter(slice({names}, 1, i_), other_ -> other_ = name_))"
+    return f"transform({names}, (name_, i_) -> CASE WHEN {earlier} > 0 THEN concat(name_, '_', {earlier}) ELSE name_ END)"
 
 
 def detect_headers(raw: DataFrame) -> DataFrame:
@@ -93,62 +90,49 @@ def detect_headers(raw: DataFrame) -> DataFrame:
     The row with the highest phrase score (at least 3, first one on ties) wins;
     else the first row naming a date, an amount or a balance; else there is none.
     """
-    text = row_text(F.col("cells"))
-    score = header_score(text)
-    named = F.lit(False)
-    for phrase in FALLBACK_PHRASES:
-        named = named | F.contains(text, F.lit(phrase))
-
-    names = F.col("names") if "names" in raw.columns else F.lit(None).cast("array<string>")
+    names = "names" if "names" in raw.columns else "CAST(NULL AS array<string>)"
     stats = raw.groupBy(KEY).agg(
-        F.max(F.size("cells")).alias("n_cols"),
-        F.max(F.when(is_transaction_row(F.col("cells")), F.col("row_no"))).alias("last_kept_row"),
-        F.max(names).alias("given_names"),
+        F.expr("max(size(cells)) AS n_cols"),
+        F.expr(f"max(CASE WHEN {IS_TRANSACTION} THEN row_no END) AS last_kept_row"),
+        F.expr(f"max({names}) AS given_names"),
     )
     # only rows that could be a header carry their cells into the aggregation
-    rank = F.col("score").cast("bigint") * F.lit(1 << ROW_BITS) - F.col("row_no")
     found = (
-        raw.select(KEY, "row_no", "cells", score.alias("score"), named.alias("named"))
-        .where((F.col("score") >= MIN_HEADER_SCORE) | F.col("named"))
+        raw.selectExpr(KEY, "row_no", "cells", f"{header_rank()} AS score")
+        .where("score IS NOT NULL")
         .groupBy(KEY)
         .agg(
-            F.max_by(
-                F.struct("row_no", "cells"),
-                F.when(F.col("score") >= MIN_HEADER_SCORE, rank),
-            ).alias("best"),
-            F.min_by(F.struct("row_no", "cells"), F.when(F.col("named"), F.col("row_no"))).alias("first"),
+            F.expr(
+                "max_by(struct(row_no, cells), CASE WHEN score > 0 "
+                f"THEN CAST(score AS bigint) * {1 << ROW_BITS} - row_no END) AS best"
+            ),
+            F.expr("min_by(struct(row_no, cells), row_no) AS first"),
         )
-        .select(KEY, F.coalesce("best", "first").alias("found"))
+        .selectExpr(KEY, "coalesce(best, first) AS found")
     )
-    return stats.join(found, KEY, "left").select(
-        KEY,
-        F.col("found.row_no").alias("header_row_no"),
-        F.col("found.cells").alias("header_cells"),
-        "n_cols",
-        "last_kept_row",
-        "given_names",
+    return stats.join(found, KEY, "left").selectExpr(
+        KEY, "found.row_no AS header_row_no", "found.cells AS header_cells", "n_cols", "last_kept_row", "given_names"
     )
 
 
 def name_columns(headers: DataFrame) -> DataFrame:
     """Add ``header`` (unique lower-case names) and ``names`` (standard names), by position."""
-    positions = F.sequence(F.lit(0), F.col("n_cols") - 1)
-    source = F.when(F.col("header_row_no").isNotNull(), F.col("header_cells")).otherwise(
-        F.coalesce("given_names", F.transform(positions, lambda i: i.cast("string")))
-    )
-
-    def name_at(i: Column) -> Column:
-        name = F.lower(strip(F.coalesce(F.get(F.col("_source"), i), F.lit(""))))
-        blank = (name == "") | (name == "nan")
-        return F.when(blank, F.concat(F.lit("col_"), i.cast("string"))).otherwise(name)
-
+    positions = "sequence(0, n_cols - 1)"
+    cell = f"lower({strip('''coalesce(get(source_, i_), '')''')})"
+    named = f"CASE WHEN {cell} IN ('', 'nan') THEN concat('col_', i_) ELSE {cell} END"
     return (
-        headers.where(F.col("n_cols") > 0)
-        .withColumn("_source", source)
-        .withColumn("_plain", F.transform(positions, name_at))
-        .withColumn("header", unique_names(F.col("_plain")))
-        .withColumn("names", F.transform("header", standard_name))
-        .drop("_source", "_plain", "header_cells", "given_names")
+        headers.where("n_cols > 0")
+        .withColumn(
+            "source_",
+            F.expr(
+                "CASE WHEN header_row_no IS NOT NULL THEN header_cells "
+                f"ELSE coalesce(given_names, transform({positions}, i_ -> CAST(i_ AS string))) END"
+            ),
+        )
+        .withColumn("plain_", F.expr(f"transform({positions}, i_ -> {named})"))
+        .withColumn("header", F.expr(unique_names("plain_")))
+        .withColumn("names", F.expr(f"transform(header, n_ -> {standard_name('n_')})"))
+        .drop("source_", "plain_", "header_cells", "given_names")
     )
 
 
@@ -157,48 +141,36 @@ def transaction_rows(raw: DataFrame, layouts: DataFrame, *carry: str) -> DataFra
 
     If no row of a statement survives the boilerplate rules, all its rows stay.
     """
-    start = F.coalesce("header_row_no", F.lit(-1))
-    some_kept = F.coalesce(F.col("last_kept_row") > start, F.lit(False))
-    cells = F.col("cells")
+    start = "coalesce(header_row_no, -1)"
     return (
-        raw.select(KEY, "row_no", "cells")
-        .where(F.exists(cells, lambda c: c.isNotNull()))
+        raw.selectExpr(KEY, "row_no", "cells", f"{IS_TRANSACTION} AS kept_")
         .join(layouts.select(KEY, "header_row_no", "last_kept_row", *carry), KEY)
-        .where((F.col("row_no") > start) & (is_transaction_row(cells) | ~some_kept))
+        .where(
+            f"row_no > {start} AND (kept_ OR "
+            f"(NOT coalesce(last_kept_row > {start}, false) AND exists(cells, c -> c IS NOT NULL)))"
+        )
         .select(KEY, "row_no", "cells", *carry)
     )
 
 
 def profile_columns(raw: DataFrame, named: DataFrame) -> DataFrame:
     """Per statement and column without a standard name: rows, date cells and amount cells."""
-    other = F.filter(
-        F.sequence(F.lit(0), F.size("names") - 1),
-        lambda i: ~F.get(F.col("names"), i).isin(CANONICAL),
-    )
-    open_layouts = named.withColumn("other", other).where(F.size("other") > 0)
-    value = F.coalesce(strip(F.get(F.col("cells"), F.col("col_pos"))), F.lit(""))
-    filled = ~F.lower(value).isin("nan", "none", "")
+    other = f"filter(sequence(0, size(names) - 1), i_ -> get(names, i_) NOT IN ({CANONICAL}))"
+    open_layouts = named.withColumn("other", F.expr(other)).where("size(other) > 0")
     return (
         transaction_rows(raw, open_layouts, "other")
-        .select(KEY, "cells", F.explode("other").alias("col_pos"))
+        .selectExpr(KEY, "cells", "explode(other) AS col_pos")
+        .selectExpr(KEY, "col_pos", f"{strip('''coalesce(get(cells, col_pos), '')''')} AS value")
+        .selectExpr(KEY, "col_pos", "CASE WHEN lower(value) NOT IN ('nan', 'none', '') THEN value END AS value")
         .groupBy(KEY, "col_pos")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(filled & value.rlike(DATE_CELL)).alias("n_date"),
-            F.count_if(filled & value.rlike(AMOUNT_CELL)).alias("n_amount"),
+            F.expr("count(1) AS n"),
+            F.expr(f"count_if(value RLIKE {lit(DATE_CELL)}) AS n_date"),
+            F.expr(f"count_if(value RLIKE {lit(AMOUNT_CELL)}) AS n_amount"),
         )
     )
 
 
-def _amount_role(name: Column) -> Column:
-    return (
-        F.when(name.rlike(r"debit|withdrawal|(^|[^a-z])dr([^a-z]|$)"), "debit")
-        .when(name.rlike(r"credit|deposit|(^|[^a-z])cr([^a-z]|$)"), "credit")
-        .when(F.contains(name, F.lit("balance")), "balance")
-        .when(F.contains(name, F.lit("amount")), "amount")
-    )
-
-
 def map_by_content(named: DataFrame, profile: DataFrame) -> DataFrame:
     """Layouts with ``names`` completed from column content and ``col_map`` name -> position.
 
@@ -206,50 +178,51 @@ def map_by_content(named: DataFrame, profile: DataFrame) -> DataFrame:
     mostly dates becomes ``date``; columns with enough amounts take the role
     their name hints at.  Each role goes to the first fitting column only.
     """
+    dates = f"p.n_date > p.n * {DATE_SHARE}"
+    amounts = f"p.n_amount > p.n * {AMOUNT_SHARE}"
+    role = f"""
+        CASE WHEN {dates} THEN 'date'
+            WHEN NOT ({amounts}) THEN NULL
+            WHEN p.name RLIKE 'debit|withdrawal|(^|[^a-z])dr([^a-z]|$)' THEN 'debit'
+            WHEN p.name RLIKE 'credit|deposit|(^|[^a-z])cr([^a-z]|$)' THEN 'credit'
+            WHEN contains(p.name, 'balance') THEN 'balance'
+            WHEN contains(p.name, 'amount') THEN 'amount' END"""
     profiles = profile.groupBy(KEY).agg(
-        F.array_sort(F.collect_list(F.struct("col_pos", "n", "n_date", "n_amount"))).alias("profile")
-    )
-    names = F.col("names")
-
-    def mostly_dates(p: Column) -> Column:
-        return p["n_date"] > p["n"] * DATE_SHARE
-
-    def role(p: Column) -> Column:
-        amounts = ~mostly_dates(p) & (p["n_amount"] > p["n"] * AMOUNT_SHARE)
-        return F.when(mostly_dates(p), "date").when(amounts, _amount_role(F.get(names, p["col_pos"])))
-
-    candidates = F.transform(
-        F.coalesce("profile", F.array().cast("array<struct<col_pos:int,n:bigint,n_date:bigint,n_amount:bigint>>")),
-        lambda p: F.struct(p["col_pos"].alias("col_pos"), role(p).alias("role")),
+        F.expr("array_sort(collect_list(struct(col_pos, n, n_date, n_amount))) AS profile_")
     )
-    joined = named.join(profiles, KEY, "left").withColumn("_candidates", candidates)
-
-    def first_candidate(target: str) -> Column:
-        fitting = F.filter("_candidates", lambda c: c["role"] == target)
-        return F.when(~F.array_contains(names, target), F.get(fitting, F.lit(0))["col_pos"])
-
+    candidates = f"""
+        transform(
+            transform(profile_, p -> named_struct('col_pos', p.col_pos, 'n', p.n, 'n_date', p.n_date,
+                'n_amount', p.n_amount, 'name', get(names, p.col_pos))),
+            p -> named_struct('col_pos', p.col_pos, 'role', {role}))"""
     roles = ("date", "debit", "credit", "balance", "amount")
-    chosen = F.array(*[first_candidate(r) for r in roles])
-    targets = F.array(*[F.lit(r) for r in roles])
-    mapped = F.transform(
-        names,
-        lambda name, i: F.coalesce(
-            F.get(targets, F.array_position(F.col("_chosen"), i).cast("int") - 1), name
-        ),
+    chosen = ", ".join(
+        f"CASE WHEN NOT array_contains(names, '{r}') THEN get(filter(candidates_, c -> c.role = '{r}'), 0).col_pos END"
+        for r in roles
     )
+    targets = ", ".join(lit(r) for r in roles)
     return (
-        joined.withColumn("_chosen", chosen)
-        .withColumn("names", mapped)
-        .withColumn("col_map", positions_by_name(F.col("names")))
-        .drop("_candidates", "_chosen", "profile")
+        named.join(profiles, KEY, "left")
+        .withColumn("candidates_", F.expr(candidates))
+        .withColumn("chosen_", F.expr(f"array({chosen})"))
+        .withColumn(
+            "names",
+            F.expr(
+                "transform(names, (n_, i_) -> coalesce("
+                f"get(array({targets}), CAST(array_position(chosen_, i_) AS int) - 1), n_))"
+            ),
+        )
+        .withColumn("col_map", F.expr(positions_by_name("names")))
+        .drop("candidates_", "chosen_", "profile_")
     )
 
 
-def positions_by_name(names: Column) -> Column:
+def positions_by_name(names: str) -> str:
     """Map name -> position; of equal names the first one counts."""
-    entries = F.transform(names, lambda name, i: F.struct(name.alias("key"), i.alias("value")))
-    first = F.filter(entries, lambda e: F.array_position(names, e["key"]) == e["value"] + 1)
-    return F.map_from_entries(first)
+    return (
+        f"map_from_entries(filter(transform({names}, (n_, i_) -> struct(n_ AS key, i_ AS value)), "
+        f"e_ -> array_position({names}, e_.key) = e_.value + 1))"
+    )
 
 
 def detect_layouts(raw: DataFrame) -> DataFrame:
@@ -268,17 +241,14 @@ BALANCE_PATTERNS = "balance, closing_balance, running_balance, available_balance
 INDICATOR_PATTERNS = "dr_cr, type, transaction_type, dr_cr_indicator, txn_type"
 
 
-def _first_position(names: Column, patterns: str, skip: str | None = None) -> Column:
+def _first_position(patterns: str, skip: str | None = None) -> str:
     """Position of the first name containing the first pattern that any name contains."""
-
-    def position(pattern: str) -> Column:
-        def fits(name: Column) -> Column:
-            hit = F.contains(name, F.lit(pattern))
-            return hit & ~F.contains(name, F.lit(skip)) if skip else hit
-
-        return F.nullif(F.array_position(F.transform(names, fits), True), F.lit(0).cast("bigint"))
-
-    return (F.coalesce(*[position(p) for p in patterns.split(", ")]) - 1).cast("int")
+    but = f" AND NOT contains(n_, {lit(skip)})" if skip else ""
+    tries = [
+        f"nullif(array_position(transform(lower_, n_ -> contains(n_, {lit(p)}){but}), true), 0L)"
+        for p in patterns.split(", ")
+    ]
+    return f"CAST(coalesce({', '.join(tries)}) - 1 AS int)"
 
 
 def map_by_name(tables: DataFrame) -> DataFrame:
@@ -286,16 +256,17 @@ def map_by_name(tables: DataFrame) -> DataFrame:
 
     Debit and credit columns are looked for only if there is no amount column.
     """
-    names = F.transform("header", lambda h: F.lower(strip(h)))
-    amount = _first_position(names, AMOUNT_PATTERNS)
-    none = amount.isNull()
-    return tables.select(
-        "*",
-        _first_position(names, DATE_PATTERNS).alias("date_pos"),
-        amount.alias("amount_pos"),
-        F.when(none, _first_position(names, DEBIT_PATTERNS, "balance")).alias("debit_pos"),
-        F.when(none, _first_position(names, CREDIT_PATTERNS, "balance")).alias("credit_pos"),
-        _first_position(names, DESCRIPTION_PATTERNS).alias("description_pos"),
-        _first_position(names, BALANCE_PATTERNS).alias("balance_pos"),
-        _first_position(names, INDICATOR_PATTERNS).alias("indicator_pos"),
+    return (
+        tables.withColumn("lower_", F.expr(f"transform(header, h -> lower({strip('h')}))"))
+        .withColumn("amount_pos", F.expr(_first_position(AMOUNT_PATTERNS)))
+        .selectExpr(
+            *tables.columns,
+            f"{_first_position(DATE_PATTERNS)} AS date_pos",
+            "amount_pos",
+            f"CASE WHEN amount_pos IS NULL THEN {_first_position(DEBIT_PATTERNS, 'balance')} END AS debit_pos",
+            f"CASE WHEN amount_pos IS NULL THEN {_first_position(CREDIT_PATTERNS, 'balance')} END AS credit_pos",
+            f"{_first_position(DESCRIPTION_PATTERNS)} AS description_pos",
+            f"{_first_position(BALANCE_PATTERNS)} AS balance_pos",
+            f"{_first_position(INDICATOR_PATTERNS)} AS indicator_pos",
+        )
     )

@@ -11,11 +11,11 @@ and no step gathers more than ``BLOCK`` of them (the last one ``rows/BLOCK**2``)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_amount
-from ..schemas import KEY, MONEY
+from ..functions.text import bind, clean_amount, lit, strip
+from ..schemas import KEY
 
 BLOCK = 4096
 EDGE = 8  # the longest match spans 6 non-blank cells
@@ -49,230 +49,191 @@ _STARTS = {key: pattern[:-2] + ")" for key, pattern in NAME.items()}
 _BY_COLUMN = ACCOUNT | IFSC | PERIOD | _STARTS
 
 
-def _joined(pieces: Column) -> Column:
-    return F.concat(F.array_join(F.transform(pieces, lambda p: p["text"]), SEP), F.lit(SEP))
+def _joined(pieces: str) -> str:
+    return f"concat(array_join(transform({pieces}, p -> p.text), {lit(SEP)}), {lit(SEP)})"
 
 
-def _separators(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(SEP), F.lit("")))
+def _separators(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, {lit(SEP)}, '')))"
 
 
-def _first_piece(pieces: Column, pattern: str) -> Column:
-    """1-based position of the cell where the first match starts, 0 if there is none."""
-    text = _joined(pieces)
-    at = F.regexp_instr(text, F.lit(pattern))
-    return F.when(at > 0, _separators(F.substring(text, F.lit(1), at - 1)) + 1).otherwise(0)
-
-
-def _shorten(pieces: Column, pattern: str) -> Column:
+def _shorten(pieces: str, pattern: str) -> str:
     """The first cells, the cells of the first match and the last cells, with walls between."""
-    wall = F.array(F.struct(F.lit(-1).alias("col"), F.lit(-1).cast("bigint").alias("row"), F.lit(WALL).alias("text")))
-    start = _first_piece(pieces, pattern)
-    length = _separators(F.regexp_extract(_joined(pieces), pattern, 0)) + 1
-    match = F.when(start > 0, F.slice(pieces, F.greatest(start, F.lit(1)), length)).otherwise(F.slice(pieces, 1, 0))
-    cut = F.concat(
-        F.slice(pieces, 1, EDGE), wall, match, wall, F.slice(pieces, -EDGE, EDGE)
-    )
-    return F.when(F.size(pieces) > 4 * EDGE, cut).otherwise(pieces)
+    wall = f"array(named_struct('col', -1, 'row', -1L, 'text', {lit(WALL)}))"
+    start = f"{_separators('substring(t_, 1, at_ - 1)')} + 1"
+    length = f"{_separators(f'regexp_extract(t_, {lit(pattern)}, 0)')} + 1"
+    match = f"CASE WHEN at_ > 0 THEN slice({pieces}, {start}, {length}) ELSE slice({pieces}, 1, 0) END"
+    found = bind(_joined(pieces), "t_", bind(f"regexp_instr(t_, {lit(pattern)})", "at_", match))
+    cut = f"concat(slice({pieces}, 1, {EDGE}), {wall}, {found}, {wall}, slice({pieces}, -{EDGE}, {EDGE}))"
+    return f"CASE WHEN size({pieces}) > {4 * EDGE} THEN {cut} ELSE {pieces} END"
 
 
 def _merge(
     parts: DataFrame, keys: list[str], order: list[str], patterns: dict[str, str], tidy=lambda pieces: pieces
 ) -> DataFrame:
     """Join the parts of each group in order and shorten again."""
-    listed = parts.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*order, *patterns))).alias("parts")
-    )
-    merged = listed.select(*keys, *[F.flatten(F.col("parts")[k]).alias(k) for k in patterns])
-    merged = merged.select(*keys, *[tidy(F.col(k)).alias(k) for k in patterns])
-    return merged.select(*keys, *[_shorten(F.col(k), p).alias(k) for k, p in patterns.items()])
+    fields = ", ".join([*order, *patterns])
+    listed = parts.groupBy(*keys).agg(F.expr(f"array_sort(collect_list(struct({fields}))) AS parts"))
+    merged = listed.selectExpr(*keys, *[f"flatten(parts.{k}) AS {k}" for k in patterns])
+    merged = merged.selectExpr(*keys, *[f"{tidy(k)} AS {k}" for k in patterns])
+    return merged.selectExpr(*keys, *[f"{_shorten(k, p)} AS {k}" for k, p in patterns.items()])
 
 
 def _row_blocks(raw: DataFrame) -> DataFrame:
     """Rows of a statement gathered in blocks of consecutive row numbers."""
-    clean = F.transform(
-        "cells", lambda c: F.translate(F.upper(F.coalesce(c, F.lit(""))), SEP + WALL, "  ")
-    )
+    clean = f"transform(cells, c -> translate(upper(coalesce(c, '')), {lit(SEP + WALL)}, '  '))"
     return (
-        raw.select(
-            KEY, F.expr(f"row_no div {BLOCK}").alias("block"), F.struct("row_no", clean.alias("cells")).alias("r")
-        )
+        raw.selectExpr(KEY, f"row_no div {BLOCK} AS block", "row_no", f"{clean} AS cells")
         .groupBy(KEY, "block")
-        .agg(F.array_sort(F.collect_list("r")).alias("rows"))
+        .agg(F.expr("array_sort(collect_list(struct(row_no, cells))) AS rows"))
     )
 
 
-def _blank(text: Column) -> Column:
-    return text.rlike(r"^\s*$")
+_FILLED = f"p -> p.text RLIKE {lit(r'\S')}"
 
 
 def _column_blocks(blocks: DataFrame) -> DataFrame:
     """One row per block and column, cells in row order."""
-    width = F.array_max(F.transform("rows", lambda r: F.size(r["cells"])))
-    return blocks.where(width > 0).select(
-        KEY, "block", "rows", F.explode(F.sequence(F.lit(0), width - 1)).alias("col")
-    ).select(
-        KEY,
-        "col",
-        "block",
-        F.transform("rows", lambda r: r["row_no"]).alias("row_nos"),
-        F.transform(
-            "rows", lambda r: F.coalesce(F.get(r["cells"], F.col("col")), F.lit(""))
-        ).alias("texts"),
+    return (
+        blocks.withColumn("width", F.expr("array_max(transform(rows, r -> size(r.cells)))"))
+        .where("width > 0")
+        .selectExpr(KEY, "block", "rows", "explode(sequence(0, width - 1)) AS col")
+        .selectExpr(
+            KEY,
+            "col",
+            "block",
+            "transform(rows, r -> r.row_no) AS row_nos",
+            "transform(rows, r -> coalesce(get(r.cells, col), '')) AS texts",
+        )
     )
 
 
 def _search_columns(columns: DataFrame) -> DataFrame:
     """Per statement and pattern: the cells around the first match, column by column."""
-    pieces = F.filter(
-        F.zip_with(
-            "row_nos",
-            "texts",
-            lambda row, text: F.struct(F.col("col").alias("col"), row.alias("row"), text.alias("text")),
-        ),
-        lambda p: ~_blank(p["text"]),
-    )
-    first = columns.withColumn("pieces", pieces).where(F.size("pieces") > 0)
-    parts = first.select(
-        KEY,
-        "col",
-        F.col("block").alias("block"),
-        F.expr(f"block div {BLOCK}").alias("outer"),
-        *[_shorten(F.col("pieces"), p).alias(k) for k, p in _BY_COLUMN.items()],
+    cells = "zip_with(row_nos, texts, (r, t) -> named_struct('col', col, 'row', r, 'text', t))"
+    parts = (
+        columns.selectExpr(KEY, "col", "block", f"filter({cells}, {_FILLED}) AS pieces")
+        .where("size(pieces) > 0")
+        .selectExpr(
+            KEY,
+            "col",
+            "block",
+            f"block div {BLOCK} AS outer_block",
+            *[f"{_shorten('pieces', p)} AS {k}" for k, p in _BY_COLUMN.items()],
+        )
     )
-    parts = _merge(parts, [KEY, "col", "outer"], ["block"], _BY_COLUMN)
-    return _merge(parts, [KEY], ["col", "outer"], _BY_COLUMN)
+    parts = _merge(parts, [KEY, "col", "outer_block"], ["block"], _BY_COLUMN)
+    return _merge(parts, [KEY], ["col", "outer_block"], _BY_COLUMN)
 
 
 def _search_rows(blocks: DataFrame) -> DataFrame:
     """Per statement: the cells around the first opening and closing balance, row by row."""
-    pieces = F.flatten(
-        F.transform(
-            "rows",
-            lambda r: F.transform(
-                r["cells"],
-                lambda c, i: F.struct(i.alias("col"), r["row_no"].alias("row"), c.alias("text")),
-            ),
-        )
+    cells = (
+        "flatten(transform(rows, r -> transform(r.cells, (c, i) -> "
+        "named_struct('col', i, 'row', r.row_no, 'text', c))))"
     )
-    first = blocks.select(
-        KEY, "block", F.filter(pieces, lambda p: ~_blank(p["text"])).alias("pieces")
-    ).select(KEY, "block", _drop_colons(F.col("pieces")).alias("pieces"))
-    parts = first.select(
-        KEY,
-        "block",
-        F.expr(f"block div {BLOCK}").alias("outer"),
-        *[_shorten(F.col("pieces"), p).alias(k) for k, p in BALANCE.items()],
+    parts = (
+        blocks.selectExpr(KEY, "block", f"filter({cells}, {_FILLED}) AS pieces")
+        .selectExpr(KEY, "block", f"{_drop_colons('pieces')} AS pieces")
+        .selectExpr(
+            KEY,
+            "block",
+            f"block div {BLOCK} AS outer_block",
+            *[f"{_shorten('pieces', p)} AS {k}" for k, p in BALANCE.items()],
+        )
     )
-    parts = _merge(parts, [KEY, "outer"], ["block"], BALANCE, _drop_colons)
-    return _merge(parts, [KEY], ["outer"], BALANCE, _drop_colons)
+    parts = _merge(parts, [KEY, "outer_block"], ["block"], BALANCE, _drop_colons)
+    return _merge(parts, [KEY], ["outer_block"], BALANCE, _drop_colons)
 
 
-def _drop_colons(pieces: Column) -> Column:
+def _drop_colons(pieces: str) -> str:
     """Of neighbouring cells that hold only colons keep one: the balance patterns skip them all."""
-    only = r"^[\s:]*$"
-    return F.filter(
-        pieces,
-        lambda p, i: ~(
-            p["text"].rlike(only) & F.coalesce(F.get(pieces, i - 1)["text"].rlike(only), F.lit(False))
-        ),
+    only = lit(r"^[\s:]*$")
+    return (
+        f"filter({pieces}, (p, i) -> NOT (p.text RLIKE {only} "
+        f"AND coalesce(get({pieces}, i - 1).text RLIKE {only}, false)))"
     )
 
 
 def _customer_names(columns: DataFrame, found: DataFrame) -> DataFrame:
     """The text captured by each name pattern, followed from its start as far as it runs."""
-    starts = found.select(
-        KEY,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("pattern"),
-                        F.get(F.col(k), _first_piece(F.col(k), p) - 1).alias("start"),
-                    )
-                    for k, p in _STARTS.items()
-                ]
-            )
-        ).alias("s"),
-    ).select(
-        KEY,
-        "s.pattern",
-        F.col("s.start.col").alias("start_col"),
-        F.col("s.start.row").alias("start_row"),
-    ).where(F.col("start_col").isNotNull())
-
-    def place(col: Column, block: Column) -> Column:
-        return col.cast("bigint") * F.lit(1 << 40) + block
-
-    here = place(F.col("col"), F.col("block"))
-    begin = place(F.col("start_col"), F.expr(f"start_row div {BLOCK}"))
-    skipped = F.array_position("row_nos", F.col("start_row")).cast("int")
-    texts = F.when(here == begin, F.slice("texts", F.greatest(skipped, F.lit(1)), F.size("texts"))).otherwise(
-        F.col("texts")
+
+    def start(key: str, pattern: str) -> str:
+        first = _separators("substring(t_, 1, at_ - 1)")
+        place = f"CASE WHEN at_ > 0 THEN get({key}, {first}) END"
+        return bind(_joined(key), "t_", bind(f"regexp_instr(t_, {lit(pattern)})", "at_", place))
+
+    # text between two places: a column and a block of rows
+    place = f"CAST({{}} AS bigint) * {1 << 40} + {{}}"
+    starts = (
+        found.selectExpr(
+            KEY,
+            "inline(array("
+            + ", ".join(f"named_struct('pattern', '{k}', 'start', {start(k, p)})" for k, p in _STARTS.items())
+            + "))",
+        )
+        .where("start IS NOT NULL")
+        .selectExpr(
+            KEY, "pattern", "start.row AS start_row", place.format("start.col", f"start.row div {BLOCK}") + " AS begin"
+        )
     )
+    # In its first block the run ends after its start; a later block may begin inside the start.
     run = r"NAME\s*+:?+\s*+[A-Z\s]++[^A-Z\s]"
-    # in a first block the run ends after its start; a later block may begin inside the start
-    ends = F.when(
-        here == begin,
-        F.when(F.col("pattern") == "name_1", F.col("text").rlike(r"CUSTOMER\s*" + run)).otherwise(
-            F.col("text").rlike(run)
-        ),
-    ).otherwise(F.regexp_replace("text", r"^\s*(NAME)?\s*:?", "").rlike(r"[^A-Z\s]"))
+    later = f"regexp_replace(text, {lit(r'^\s*(NAME)?\s*:?')}, '') RLIKE {lit(r'[^A-Z\s]')}"
+    ends = f"""
+        CASE WHEN place <> begin THEN {later}
+            WHEN pattern = 'name_1' THEN text RLIKE {lit(r'CUSTOMER\s*' + run)}
+            ELSE text RLIKE {lit(run)} END"""
+    skipped = "greatest(CAST(array_position(row_nos, start_row) AS int), 1)"
     parts = (
-        columns.join(starts, KEY)
-        .where(here >= begin)
-        .withColumn("place", here)
-        .withColumn("text", F.array_join(texts, " "))
-        .withColumn("ends", ends)
-        .select(KEY, "pattern", "place", "text", "ends")
+        columns.withColumn("place", F.expr(place.format("col", "block")))
+        .join(starts, KEY)
+        .where("place >= begin")
+        .withColumn(
+            "text",
+            F.expr(
+                f"array_join(CASE WHEN place = begin THEN slice(texts, {skipped}, size(texts)) ELSE texts END, ' ')"
+            ),
+        )
+        .selectExpr(KEY, "pattern", "place", "text", f"{ends} AS ends")
     )
     last = parts.where("ends").groupBy(KEY, "pattern").agg(F.min("place").alias("last"))
-    runs = (
-        parts.join(last, [KEY, "pattern"], "left")
-        .where(F.col("last").isNull() | (F.col("place") <= F.col("last")))
-        .groupBy(KEY, "pattern")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("parts"))
+    captured = " ".join(
+        f"WHEN pattern = '{k}' THEN regexp_extract(text, {lit(p)}, 1)" for k, p in NAME.items()
     )
-    text = F.concat(F.array_join(F.transform("parts", lambda p: p["text"]), " "), F.lit(" "))
-    name = F.trim(
-        F.when(F.col("pattern") == "name_1", F.regexp_extract(text, NAME["name_1"], 1)).otherwise(
-            F.regexp_extract(text, NAME["name_2"], 1)
-        ),
-        F.lit(" \t\n\r\f\u000b"),
-    )
-    accepted = (F.length("name") > 3) & ~F.col("name").rlike(NOT_A_NAME)
     return (
-        runs.select(KEY, "pattern", name.alias("name"))
-        .where(accepted)
+        parts.join(last, [KEY, "pattern"], "left")
+        .where("last IS NULL OR place <= last")
+        .groupBy(KEY, "pattern")
+        .agg(F.expr("concat(array_join(array_sort(collect_list(struct(place, text))).text, ' '), ' ') AS text"))
+        .selectExpr(KEY, "pattern", f"{strip(f'CASE {captured} END')} AS name")
+        .where(f"length(name) > 3 AND NOT name RLIKE {lit(NOT_A_NAME)}")
         .groupBy(KEY)
-        .agg(F.min(F.struct("pattern", "name")).alias("best"))
-        .select(KEY, F.col("best.name").alias("customer_name"))
+        .agg(F.expr("min(struct(pattern, name)).name AS customer_name"))
     )
 
 
-def _group(pieces: Column, pattern: str, group: int) -> Column:
-    value = F.regexp_extract(_joined(pieces), pattern, group)
-    return F.when(value != "", value)
+def _group(pieces: str, pattern: str, group: int) -> str:
+    return f"nullif(regexp_extract({_joined(pieces)}, {lit(pattern)}, {group}), '')"
 
 
 def account_metadata(raw: DataFrame) -> DataFrame:
     """Account number, IFSC code, period and customer name of every statement."""
     columns = _column_blocks(_row_blocks(raw))
     found = _search_columns(columns)
-    periods = [F.regexp_extract(_joined(F.col(k)), p, 1) != "" for k, p in PERIOD.items()]
 
-    def period(group: int) -> Column:
-        (first, p1), (second, p2) = PERIOD.items()
-        return F.when(periods[0], _group(F.col(first), p1, group)).when(
-            periods[1], _group(F.col(second), p2, group)
+    def period(group: int) -> str:
+        cases = " ".join(
+            f"WHEN {_group(k, p, 1)} IS NOT NULL THEN {_group(k, p, group)}" for k, p in PERIOD.items()
         )
+        return f"CASE {cases} END"
 
-    fields = found.select(
+    fields = found.selectExpr(
         KEY,
-        F.coalesce(*[_group(F.col(k), p, 1) for k, p in ACCOUNT.items()]).alias("account_number"),
-        _group(F.col("ifsc"), IFSC["ifsc"], 1).alias("ifsc_code"),
-        period(1).alias("period_from"),
-        period(2).alias("period_to"),
+        f"coalesce({', '.join(_group(k, p, 1) for k, p in ACCOUNT.items())}) AS account_number",
+        f"{_group('ifsc', IFSC['ifsc'], 1)} AS ifsc_code",
+        f"{period(1)} AS period_from",
+        f"{period(2)} AS period_to",
     )
     ids = raw.select(KEY).distinct()
     return ids.join(fields, KEY, "left").join(_customer_names(columns, found), KEY, "left")
@@ -280,24 +241,21 @@ def account_metadata(raw: DataFrame) -> DataFrame:
 
 def text_balances(raw: DataFrame) -> DataFrame:
     """Opening and closing balance named in the text of a statement, NULL if it names none."""
-    found = _search_rows(_row_blocks(raw))
-    return found.select(
-        KEY,
-        *[
-            F.when(_group(F.col(k), p, 1).isNotNull(), clean_amount(_group(F.col(k), p, 1)))
-            .cast(MONEY)
-            .alias(f"{k}_balance")
-            for k, p in BALANCE.items()
-        ],
+    return (
+        _search_rows(_row_blocks(raw))
+        .selectExpr(KEY, *[f"{_group(k, p, 1)} AS {k}" for k, p in BALANCE.items()])
+        .selectExpr(
+            KEY,
+            *[f"CASE WHEN {k} IS NOT NULL THEN {clean_amount(k)} END AS {k}_balance" for k in BALANCE],
+        )
     )
 
 
 def ledger_balances(ledger: DataFrame) -> DataFrame:
     """First and last balance of a ledger in row order."""
-    balance = F.col("balance")
-    row = F.when(balance.isNotNull(), F.col("row_no"))
+    row = "CASE WHEN balance IS NOT NULL THEN row_no END"
     return ledger.groupBy(KEY).agg(
-        F.min_by("balance", row).alias("first_balance"), F.max_by("balance", row).alias("last_balance")
+        F.expr(f"min_by(balance, {row}) AS first_balance"), F.expr(f"max_by(balance, {row}) AS last_balance")
     )
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import lit
 from ..schemas import KEY
 from .grid import transaction_rows
 
@@ -12,7 +13,7 @@ from .grid import transaction_rows
 ESSENTIAL = ["date", "description", "amount", "debit", "credit"]
 
 # report name -> ledger column
-_TYPED = {
+TYPED = {
     "date": "txn_date",
     "description": "description",
     "amount": "amount",
@@ -28,34 +29,29 @@ _TYPED = {
     "transaction_amount": "transaction_amount",
 }
 PLAIN_COLUMNS = ["date", "description", "debit", "credit", "balance", "type", "month_year", "transaction_amount"]
+_TYPED_NAMES = ", ".join(lit(name) for name in TYPED)
 
 
-def _missing(name: str) -> Column:
-    value = F.col(_TYPED[name])
+def _missing(name: str) -> str:
+    value = TYPED[name]
     if name in ("description", "dr_cr_indicator"):  # '' is a blank cell
-        return value.isNull() | (value == "")
-    return value.isNull()
+        return f"coalesce({value}, '') = ''"
+    return f"{value} IS NULL"
 
 
 def ledger_quality(ledger: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Missing values per typed column, one row per statement and column, in a single pass."""
-    columns = list(_TYPED) if columns is None else columns
+    columns = list(TYPED) if columns is None else columns
     types = dict(ledger.dtypes)
     counted = ledger.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        *[F.count_if(_missing(c)).alias(c) for c in columns],
+        F.expr("count(1) AS total_rows"),
+        *[F.expr(f"count_if({_missing(c)}) AS missing_{c}") for c in columns],
     )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(types[_TYPED[c]]).alias("data_type"),
-                F.col(c).alias("missing_count"),
-            )
-            for c in columns
-        ]
+    cells = ", ".join(
+        f"named_struct('column', {lit(c)}, 'data_type', {lit(types[TYPED[c]])}, 'missing_count', missing_{c})"
+        for c in columns
     )
-    return counted.select(KEY, "total_rows", F.inline(cells))
+    return counted.selectExpr(KEY, "total_rows", f"inline(array({cells}))")
 
 
 def column_quality(
@@ -69,48 +65,57 @@ def column_quality(
     if layouts is None:
         present = ledger_quality(ledger, PLAIN_COLUMNS)
     else:
-        names = F.map_keys("col_map")
-        marked = F.array_contains(names, "dr_cr_indicator") & F.array_contains(names, "amount")
-        both = F.array_contains(names, "debit") & F.array_contains(names, "credit")
-        derived = F.concat(
-            F.when(marked, F.array(F.lit("debit"), F.lit("credit"))).otherwise(F.array().cast("array<string>")),
-            F.when(marked | both, F.array(F.lit("type"))).otherwise(F.array().cast("array<string>")),
-            F.when(F.array_contains(names, "date"), F.array(F.lit("month_year"))).otherwise(
-                F.array().cast("array<string>")
-            ),
-            F.when(marked | both | F.array_contains(names, "amount"), F.array(F.lit("transaction_amount"))).otherwise(
-                F.array().cast("array<string>")
-            ),
+        known = layouts.selectExpr(
+            KEY,
+            "map_keys(col_map) AS cols",
+            "map_contains_key(col_map, 'amount') AS amount",
+            "map_contains_key(col_map, 'amount') AND map_contains_key(col_map, 'dr_cr_indicator') AS marked",
+            "map_contains_key(col_map, 'debit') AND map_contains_key(col_map, 'credit') AS both",
+            "map_contains_key(col_map, 'date') AS dated",
+        )
+        derived = (
+            "flatten(array(cols,"
+            " CASE WHEN marked THEN array('debit', 'credit') ELSE array() END,"
+            " CASE WHEN marked OR both THEN array('type') ELSE array() END,"
+            " CASE WHEN dated THEN array('month_year') ELSE array() END,"
+            " CASE WHEN both OR amount THEN array('transaction_amount') ELSE array() END))"
+        )
+        shown = known.selectExpr(KEY, f"explode(array_distinct({derived})) AS column").where(
+            f"column IN ({_TYPED_NAMES})"
         )
-        shown = layouts.select(
-            KEY, F.explode(F.array_union(names, derived)).alias("column")
-        ).where(F.col("column").isin(list(_TYPED)))
         typed = ledger_quality(ledger).join(shown, [KEY, "column"], "left_semi")
-        others = F.map_filter("col_map", lambda name, _: ~name.isin(list(_TYPED)))
-        carried = layouts.withColumn("others", others).where(F.size("others") > 0)
+        others = f"map_filter(col_map, (n_, p_) -> n_ NOT IN ({_TYPED_NAMES}))"
+        carried = layouts.withColumn("others", F.expr(others)).where("size(others) > 0")
         untyped = (
             transaction_rows(raw, carried, "others")
-            .select(KEY, "cells", F.explode("others").alias("column", "pos"))
+            .selectExpr(KEY, "cells", "explode(others) AS (column, pos)")
             .groupBy(KEY, "column")
             .agg(
-                F.count(F.lit(1)).alias("total_rows"),
-                F.count_if(F.get(F.col("cells"), F.col("pos")).isNull()).alias("missing_count"),
+                F.expr("count(1) AS total_rows"),
+                F.expr("count_if(get(cells, pos) IS NULL) AS missing_count"),
             )
-            .select(KEY, "total_rows", "column", F.lit("string").alias("data_type"), "missing_count")
+            .selectExpr(KEY, "total_rows", "column", "'string' AS data_type", "missing_count")
         )
         present = typed.unionByName(untyped)
-    return present.withColumn(
-        "missing_percentage", F.col("missing_count") / F.col("total_rows") * 100
-    )
+    return present.withColumn("missing_percentage", F.expr("missing_count / total_rows * 100"))
 
 
 def quality_score(columns: DataFrame) -> DataFrame:
     """Rows, columns and score: half for essential columns found, half for mean completeness."""
-    essential = F.count_if(F.col("column").isin(ESSENTIAL))
-    complete = 100 - F.avg("missing_percentage")
-    return columns.groupBy(KEY).agg(
-        F.max("total_rows").alias("total_rows"),
-        F.count(F.lit(1)).alias("column_count"),
-        essential.alias("essential_found"),
-        (essential / len(ESSENTIAL) * 50 + complete / 100 * 50).alias("quality_score"),
+    essential = ", ".join(lit(c) for c in ESSENTIAL)
+    return (
+        columns.groupBy(KEY)
+        .agg(
+            F.expr("max(total_rows) AS total_rows"),
+            F.expr("count(1) AS column_count"),
+            F.expr(f"count_if(column IN ({essential})) AS essential_found"),
+            F.expr("avg(missing_percentage) AS missing"),
+        )
+        .selectExpr(
+            KEY,
+            "total_rows",
+            "column_count",
+            "essential_found",
+            f"essential_found / {len(ESSENTIAL)} * 50 + (100 - missing) / 100 * 50 AS quality_score",
+        )
     )

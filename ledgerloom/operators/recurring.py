@@ -21,7 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
@@ -48,129 +48,147 @@ class Walk:
         if not 0 <= self.tolerance < 1:
             raise ValueError("the tolerance must be at least 0 and below 1")
 
-    def blocks(self, accepted: Column, amount: Column) -> Column:
-        divisor = F.greatest(accepted, F.lit(self.least_divisor)) if self.least_divisor else accepted
-        return F.abs(amount - accepted) / divisor <= F.lit(self.tolerance)
+    def blocks(self, accepted: str, value: str) -> str:
+        """Whether ``accepted`` blocks ``value`` (both in cents), in floating point."""
+        taken, amount = _money(accepted), _money(value)
+        divisor = f"greatest({taken}, {self.least_divisor}D)" if self.least_divisor else taken
+        return f"abs({amount} - {taken}) / {divisor} <= {self.tolerance}D"
 
+    def cell(self, value: str) -> str:
+        """Logarithmic cell so wide that a seed can only block inside its own and the next cells."""
+        width = max(-log(1 - self.tolerance) * 1.01, 1e-9)
+        return f"CAST(floor(ln(CAST({value} AS double)) / {width}D) AS bigint)"
 
-def _money(value: Column) -> Column:
-    return value / F.lit(100.0)
+
+def _money(value: str) -> str:
+    return f"(({value}) / 100.0D)"
 
 
 def _distinct_amounts(payments: DataFrame) -> DataFrame:
     """Figures per distinct positive amount; ``seq`` is the order in which seeds are walked."""
-    likely_seq = F.when(F.col("likely"), F.col("seq"))
     return (
-        payments.where(F.col("value") > 0)
+        payments.where("value > 0")
         .groupBy(KEY, "value")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count("txn_date").alias("n_dates"),
-            F.min("txn_date").alias("first_date"),
-            F.max("txn_date").alias("last_date"),
-            F.min("seq").alias("first_seq"),
-            F.min(likely_seq).alias("likely_seq"),
+            F.expr("count(1) AS n"),
+            F.expr("count(txn_date) AS n_dates"),
+            F.expr("min(txn_date) AS first_date"),
+            F.expr("max(txn_date) AS last_date"),
+            F.expr("min(seq) AS first_seq"),
+            F.expr("min(CASE WHEN likely THEN seq END) AS likely_seq"),
         )
     )
 
 
-def _band(value: Column, tolerance: float) -> tuple[Column, Column]:
-    """Smallest and largest amount in cents within the tolerance of ``value``.
+def _with_band(seeds: DataFrame, tolerance: float) -> DataFrame:
+    """Add the smallest and largest amount in cents within the tolerance of ``value``.
 
     The bounds are those of the floating-point test |b - a| / a <= tolerance: it is
     monotone in b, so trying the cents around the rounded bound is exact.
     """
-    amount = _money(value)
 
-    def inside(b: Column) -> Column:
-        return F.abs(_money(b) - amount) / amount <= F.lit(tolerance)
+    def inside(b: str) -> str:
+        return f"abs({_money(b)} - {_money('value')}) / {_money('value')} <= {tolerance}D"
 
-    low = F.ceil(value * F.lit(1 - tolerance)).cast("bigint")
-    high = F.floor(value * F.lit(1 + tolerance)).cast("bigint")
-    return (
-        F.when(inside(low - 1), low - 1).when(inside(low), low).otherwise(low + 1),
-        F.when(inside(high + 1), high + 1).when(inside(high), high).otherwise(high - 1),
+    return seeds.selectExpr(
+        "*",
+        f"CAST(ceil(value * {1 - tolerance}D) AS bigint) AS low_",
+        f"CAST(floor(value * {1 + tolerance}D) AS bigint) AS high_",
+    ).selectExpr(
+        KEY,
+        "value",
+        "first_seq",
+        "likely_seq",
+        f"CASE WHEN {inside('low_ - 1')} THEN low_ - 1 WHEN {inside('low_')} THEN low_ ELSE low_ + 1 END AS low",
+        f"CASE WHEN {inside('high_ + 1')} THEN high_ + 1 WHEN {inside('high_')} THEN high_ ELSE high_ - 1 END AS high",
     )
 
 
+# Per level, the blocks [left_, right_) cover the band; a block at either end that is not a
+# half of a block one level up is used at this level.
+_COVER = """
+    filter(flatten(transform(
+        transform(
+            sequence(0, CAST(floor(log2(high - low + 1)) AS int)),
+            l -> named_struct('level', l,
+                'left_', shiftright(low + shiftleft(1L, l) - 1, l), 'right_', shiftright(high + 1, l))),
+        r -> array(
+            named_struct('level', r.level, 'block', r.left_,
+                'used', r.left_ % 2 = 1 AND r.left_ < r.right_),
+            named_struct('level', r.level, 'block', r.right_ - 1,
+                'used', r.right_ % 2 = 1 AND r.left_ + r.left_ % 2 < r.right_))
+        )), b -> b.used)
+"""
+
+
 def band_figures(amounts: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame:
     """Add the figures of all amounts within the tolerance to every seed amount."""
     spread = 2 * tolerance / (1 - tolerance)
-    top = F.floor(F.log2((F.col("value") + 2) * F.lit(spread) + 2)).cast("int")
     blocks = (
-        amounts.withColumn("level", F.explode(F.sequence(F.lit(0), top)))
-        .groupBy(KEY, "level", F.expr("shiftright(value, level)").alias("block"))
+        amounts.selectExpr(
+            "*", f"explode(sequence(0, CAST(floor(log2((value + 2) * {spread}D + 2)) AS int))) AS level"
+        )
+        .groupBy(KEY, "level", F.expr("shiftright(value, level) AS block"))
         .agg(
-            F.sum("n").alias("n"),
-            F.sum("n_dates").alias("n_dates"),
-            F.min("first_date").alias("first_date"),
-            F.max("last_date").alias("last_date"),
+            F.expr("sum(n) AS n"),
+            F.expr("sum(n_dates) AS n_dates"),
+            F.expr("min(first_date) AS first_date"),
+            F.expr("max(last_date) AS last_date"),
         )
     )
-    low, high = _band(F.col("value"), tolerance)
-    # Per level, a range [left, right) of blocks leaves over at most one block at
-    # each end that is not half of a block one level up.
-    cover = F.expr(
-        """
-        filter(flatten(transform(
-            sequence(0, cast(floor(log2(high - low + 1)) as int)),
-            l -> array(
-                named_struct('level', l,
-                    'block', shiftright(low + shiftleft(1L, l) - 1, l),
-                    'used', shiftright(low + shiftleft(1L, l) - 1, l) % 2 = 1
-                        and shiftright(low + shiftleft(1L, l) - 1, l) < shiftright(high + 1, l)),
-                named_struct('level', l,
-                    'block', shiftright(high + 1, l) - 1,
-                    'used', shiftright(high + 1, l) % 2 = 1
-                        and shiftright(low + shiftleft(1L, l) - 1, l)
-                            + shiftright(low + shiftleft(1L, l) - 1, l) % 2 < shiftright(high + 1, l))
-            ))), b -> b.used)
-        """
-    )
     needed = (
-        seeds.select(KEY, "value", "first_seq", "likely_seq", low.alias("low"), high.alias("high"))
-        .withColumn("b", F.explode(cover))
-        .select(KEY, "value", "first_seq", "likely_seq", F.col("b.level").alias("level"), F.col("b.block").alias("block"))
+        _with_band(seeds, tolerance)
+        .selectExpr(KEY, "value", "first_seq", "likely_seq", f"explode({_COVER}) AS b")
+        .selectExpr(KEY, "value", "first_seq", "likely_seq", "b.level AS level", "b.block AS block")
     )
     return (
         needed.join(blocks, [KEY, "level", "block"])
         .groupBy(KEY, "value")
         .agg(
-            F.max("first_seq").alias("first_seq"),
-            F.max("likely_seq").alias("likely_seq"),
-            F.sum("n").alias("members"),
-            F.sum("n_dates").alias("n_dates"),
-            F.min("first_date").alias("first_date"),
-            F.max("last_date").alias("last_date"),
+            F.expr("max(first_seq) AS first_seq"),
+            F.expr("max(likely_seq) AS likely_seq"),
+            F.expr("sum(n) AS members"),
+            F.expr("sum(n_dates) AS n_dates"),
+            F.expr("min(first_date) AS first_date"),
+            F.expr("max(last_date) AS last_date"),
         )
     )
 
 
-def _is_monthly(least_dates: int) -> Column:
-    # the mean of consecutive day gaps is the whole span over the number of gaps
-    gap = F.datediff("last_date", "first_date") / F.nullif(F.col("n_dates") - 1, F.lit(0))
-    cadence = gap.between(*MONTHLY_DAYS)
-    return F.coalesce((F.col("n_dates") >= least_dates) & cadence, F.lit(False))
+# the mean of consecutive day gaps is the whole span over the number of gaps
+_CADENCE = (
+    "coalesce(datediff(last_date, first_date) / nullif(n_dates - 1, 0)"
+    f" BETWEEN {MONTHLY_DAYS[0]} AND {MONTHLY_DAYS[1]}, false)"
+)
+
+_SEED = "seq, value, regular, likely, members, first_date, last_date"
+_SEED_TYPE = (
+    "struct<seq:bigint,value:bigint,regular:boolean,likely:boolean,members:bigint,first_date:date,last_date:date>"
+)
 
 
-_SEED = "struct<seq:bigint,value:bigint,regular:boolean,likely:boolean,members:bigint,first_date:date,last_date:date>"
-_SEED_FIELDS = ["seq", "value", "regular", "likely", "members", "first_date", "last_date"]
+def _seeds(figures: DataFrame, members: int, regular: str, first_counts: str) -> DataFrame:
+    """The one seed an amount can have: its first row, or its first row with a loan word."""
+    return (
+        figures.where(f"members >= {members}")
+        .selectExpr("*", f"{regular} AS regular")
+        .selectExpr("*", f"CASE WHEN {first_counts} THEN first_seq ELSE likely_seq END AS seq")
+        .where("seq IS NOT NULL")
+        .selectExpr("*", "coalesce(seq = likely_seq, false) AS likely")
+        .selectExpr(KEY, *_SEED.split(", "))
+    )
 
 
 def _fold(seeds: DataFrame, walk: Walk) -> DataFrame:
     """Walk the seeds of every statement in order and keep those no accepted one blocks."""
-
-    def step(accepted: Column, seed: Column) -> Column:
-        blocked = F.exists(
-            accepted, lambda p: walk.blocks(_money(p["value"]), _money(seed["value"]))
-        )
-        return F.when(blocked, accepted).otherwise(F.concat(accepted, F.array(seed)))
-
+    kept = f"""
+        aggregate(seeds, CAST(array() AS array<{_SEED_TYPE}>),
+            (taken, s) -> CASE WHEN exists(taken, p -> {walk.blocks('p.value', 's.value')}) THEN taken
+                ELSE concat(taken, array(s)) END)"""
     listed = seeds.groupBy(KEY).agg(
-        F.array_sort(F.collect_list(F.struct(*_SEED_FIELDS))).alias("seeds")
+        F.expr(f"CAST(array_sort(collect_list(struct({_SEED}))) AS array<{_SEED_TYPE}>) AS seeds")
     )
-    start = F.array().cast(f"array<{_SEED}>")
-    return listed.select(KEY, F.inline(F.aggregate(F.col("seeds").cast(f"array<{_SEED}>"), start, step)))
+    return listed.selectExpr(KEY, f"inline({kept})")
 
 
 def walk_seeds(seeds: DataFrame, walk: Walk, fold_limit: int = FOLD_LIMIT) -> DataFrame:
@@ -182,7 +200,7 @@ def walk_seeds(seeds: DataFrame, walk: Walk, fold_limit: int = FOLD_LIMIT) -> Da
     seeds = reliable_checkpoint(seeds)
     accepted = None
     while True:
-        sizes = seeds.groupBy(KEY).count().where(F.col("count") > fold_limit).select(KEY)
+        sizes = seeds.groupBy(KEY).count().where(f"count > {fold_limit}").select(KEY)
         if sizes.isEmpty():
             break
         certain = reliable_checkpoint(_certain_seeds(seeds.join(sizes, KEY, "left_semi"), walk))
@@ -192,22 +210,11 @@ def walk_seeds(seeds: DataFrame, walk: Walk, fold_limit: int = FOLD_LIMIT) -> Da
     return folded if accepted is None else folded.unionByName(accepted)
 
 
-def _cell(value: Column, walk: Walk) -> Column:
-    """Logarithmic cell so wide that a seed can only block inside its own and the next cells."""
-    width = max(-log(1 - walk.tolerance) * 1.01, 1e-9)
-    return F.floor(F.log(value.cast("double")) / F.lit(width)).cast("bigint")
-
-
-def _around(df: DataFrame, walk: Walk) -> DataFrame:
-    cell = _cell(F.col("value"), walk)
-    return df.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-
-
 def _certain_seeds(seeds: DataFrame, walk: Walk) -> DataFrame:
     """Seeds that come before every other seed of their own and the neighbouring cells."""
-    firsts = seeds.groupBy(KEY, _cell(F.col("value"), walk).alias("cell")).agg(F.min("seq").alias("seq"))
+    firsts = seeds.groupBy(KEY, F.expr(f"{walk.cell('value')} AS cell")).agg(F.min("seq").alias("seq"))
     rivals = (
-        firsts.withColumn("cell", F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])))
+        firsts.selectExpr(KEY, "explode(array(cell - 1, cell, cell + 1)) AS cell", "seq")
         .groupBy(KEY, "cell")
         .agg(F.min("seq").alias("seq"))
     )
@@ -216,35 +223,35 @@ def _certain_seeds(seeds: DataFrame, walk: Walk) -> DataFrame:
 
 
 def _drop_blocked(seeds: DataFrame, certain: DataFrame, walk: Walk) -> DataFrame:
-    near = _around(certain.select(KEY, "value"), walk).select(
-        KEY, F.col("cell"), F.col("value").alias("accepted")
+    """Seeds that none of the accepted amounts in their own and the next cells blocks."""
+    here = walk.cell("value")
+    near = certain.selectExpr(
+        KEY, f"explode(array({here} - 1, {here}, {here} + 1)) AS cell", "value AS accepted"
     )
-    blocked = F.col("accepted").isNotNull() & walk.blocks(_money(F.col("accepted")), _money(F.col("value")))
-    # at most three accepted amounts meet a seed: one per cell
+    # winners of one round are never neighbours, so a cell sees two of them at most
+    near = near.groupBy(KEY, "cell").agg(F.collect_list("accepted").alias("accepted"))
     return (
-        seeds.withColumn("cell", _cell(F.col("value"), walk))
+        seeds.withColumn("cell", F.expr(here))
         .join(near, [KEY, "cell"], "left")
-        .groupBy(KEY, *_SEED_FIELDS)
-        .agg(F.bool_or(F.coalesce(blocked, F.lit(False))).alias("blocked"))
-        .where(~F.col("blocked"))
-        .drop("blocked")
+        .where(f"NOT coalesce(exists(accepted, p -> {walk.blocks('p', 'value')}), false)")
+        .drop("cell", "accepted")
     )
 
 
-def _payments(rows: DataFrame, amount: Column, seq: Column, words: tuple[str, ...]) -> DataFrame:
-    return rows.select(
+def _payments(rows: DataFrame, amount: str, seq: str, words: tuple[str, ...]) -> DataFrame:
+    return rows.selectExpr(
         KEY,
-        cents(amount).alias("value"),
+        f"{cents(amount)} AS value",
         "txn_date",
-        seq.alias("seq"),
-        contains_any(F.lower("description"), words).alias("likely"),
+        f"{seq} AS seq",
+        f"{contains_any('lower(description)', words)} AS likely",
     )
 
 
 def _with_descriptions(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Fetch the seeds' descriptions last, so that no text travels through the search."""
     texts = rows.select(KEY, "row_no", "description")
-    return found.withColumn("row_no", F.pmod("seq", F.lit(1 << ROW_BITS))).join(texts, [KEY, "row_no"])
+    return found.selectExpr("*", f"pmod(seq, {1 << ROW_BITS}) AS row_no").join(texts, [KEY, "row_no"])
 
 
 def recurring_payments(
@@ -255,32 +262,21 @@ def recurring_payments(
     fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Recurring debits: similar amounts, with a loan word in the seed's text or a monthly cadence."""
+    walk = Walk(amount_tolerance)
     rows = ledger.where(
-        (F.col("txn_type") == "debit")
-        & (F.col("debit") >= min_amount)
-        & F.col("description").isNotNull()
-    )
-    payments = _payments(rows, F.col("debit"), F.col("row_no"), LOAN_WORDS)
-    amounts = _distinct_amounts(payments)
-    seeds = (
-        band_figures(amounts, amounts, amount_tolerance)
-        .where(F.col("members") >= min_occurrences)
-        .withColumn("regular", _is_monthly(2))
-        .withColumn("seq", F.when(F.col("regular"), F.col("first_seq")).otherwise(F.col("likely_seq")))
-        .where(F.col("seq").isNotNull())
-        .withColumn("likely", F.coalesce(F.col("seq") == F.col("likely_seq"), F.lit(False)))
-        .select(KEY, *_SEED_FIELDS)
+        f"txn_type = 'debit' AND CAST(debit AS double) >= {float(min_amount)}D AND description IS NOT NULL"
     )
-    found = walk_seeds(seeds, Walk(amount_tolerance), fold_limit)
-    both = F.col("likely") & F.col("regular")
-    return _with_descriptions(found, rows).select(
+    amounts = _distinct_amounts(_payments(rows, "debit", "row_no", LOAN_WORDS))
+    figures = band_figures(amounts, amounts, amount_tolerance)
+    seeds = _seeds(figures, min_occurrences, f"n_dates >= 2 AND {_CADENCE}", "regular")
+    return _with_descriptions(walk_seeds(seeds, walk, fold_limit), rows).selectExpr(
         KEY,
         "row_no",
-        (F.col("value") / 100).cast("decimal(18,2)").alias("amount"),
+        "CAST(value / 100 AS decimal(18,2)) AS amount",
         "description",
-        F.when(F.col("regular"), "monthly").otherwise("unknown").alias("frequency"),
-        F.col("members").alias("occurrences"),
-        F.when(both, "high").otherwise("medium").alias("confidence"),
+        "CASE WHEN regular THEN 'monthly' ELSE 'unknown' END AS frequency",
+        "members AS occurrences",
+        "CASE WHEN likely AND regular THEN 'high' ELSE 'medium' END AS confidence",
         "first_date",
         "last_date",
     )
@@ -288,33 +284,23 @@ def recurring_payments(
 
 def report_recurring_payments(report: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Recurring debits of the second report: narrower band, and three payments are enough."""
-    rows = report.where(F.col("dr_cr_indicator") == "DR")
-    seq = F.coalesce(day_order(F.col("txn_date"), F.col("row_no")), F.col("row_no"))
-    amounts = _distinct_amounts(_payments(rows, F.col("debit"), seq, REPORT_LOAN_WORDS))
-    large = amounts.where(F.col("value") >= REPORT_MIN_AMOUNT * 100)
-    frequent = F.col("regular") | (F.col("members") >= 3)
-    seeds = (
-        band_figures(amounts, large, REPORT_TOLERANCE)
-        .where(F.col("members") >= 2)
-        .withColumn("regular", _is_monthly(2) & (F.col("members") >= 3))
-        .withColumn("seq", F.when(frequent, F.col("first_seq")).otherwise(F.col("likely_seq")))
-        .where(F.col("seq").isNotNull())
-        .withColumn("likely", F.coalesce(F.col("seq") == F.col("likely_seq"), F.lit(False)))
-        .select(KEY, *_SEED_FIELDS)
-    )
-    found = walk_seeds(seeds, Walk(REPORT_TOLERANCE, least_divisor=1.0), fold_limit)
-    both = F.col("likely") & F.col("regular")
-    amount = (F.col("value") / 100).cast("decimal(18,2)")
-    return _with_descriptions(found, rows).select(
+    rows = report.where("dr_cr_indicator = 'DR'")
+    seq = f"coalesce({day_order()}, row_no)"
+    amounts = _distinct_amounts(_payments(rows, "debit", seq, REPORT_LOAN_WORDS))
+    large = amounts.where(f"value >= {REPORT_MIN_AMOUNT * 100}")
+    figures = band_figures(amounts, large, REPORT_TOLERANCE)
+    seeds = _seeds(figures, 2, f"members >= 3 AND n_dates >= 2 AND {_CADENCE}", "regular OR members >= 3")
+    walk = Walk(REPORT_TOLERANCE, least_divisor=1.0)
+    return _with_descriptions(walk_seeds(seeds, walk, fold_limit), rows).selectExpr(
         KEY,
         "row_no",
-        amount.alias("amount"),
+        "CAST(value / 100 AS decimal(18,2)) AS amount",
         "description",
-        F.col("members").alias("frequency"),
-        F.col("likely").alias("likely_emi"),
-        F.col("regular").alias("regular_pattern"),
-        F.when(both, "High").otherwise("Medium").alias("confidence"),
-        (amount * F.col("members")).cast("decimal(38,2)").alias("total_paid"),
+        "members AS frequency",
+        "likely AS likely_emi",
+        "regular AS regular_pattern",
+        "CASE WHEN likely AND regular THEN 'High' ELSE 'Medium' END AS confidence",
+        "CAST(CAST(value * members AS decimal(38,0)) / 100 AS decimal(38,2)) AS total_paid",
         "first_date",
         "last_date",
     )
@@ -322,9 +308,7 @@ def report_recurring_payments(report: DataFrame, fold_limit: int = FOLD_LIMIT) -
 
 def recurring_totals(recurring: DataFrame) -> DataFrame:
     """Sum of the recurring amounts and their number."""
-    return recurring.groupBy(KEY).agg(
-        F.sum("amount").alias("total_emi"), F.count(F.lit(1)).alias("emi_count")
-    )
+    return recurring.groupBy(KEY).agg(F.expr("sum(amount) AS total_emi"), F.expr("count(1) AS emi_count"))
 
 
 def payment_gaps(payments: DataFrame, time: str = "txn_date", amount: str = "debit") -> DataFrame:
@@ -334,18 +318,22 @@ def payment_gaps(payments: DataFrame, time: str = "txn_date", amount: str = "deb
     Payments are reduced to the first and last one per calendar day before they
     are put in order, so a group orders days, not payments.
     """
-    ts = F.col(time).cast("timestamp_ntz")
     days = (
-        payments.where(F.col(time).isNotNull() & (F.col(amount) > 0))
-        .groupBy(KEY, F.col(amount).alias("amount"), F.to_date(ts).alias("day"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+        payments.where(f"{time} IS NOT NULL AND {amount} > 0")
+        .selectExpr(KEY, f"{amount} AS amount", f"CAST({time} AS timestamp_ntz) AS ts")
+        .groupBy(KEY, "amount", F.expr("CAST(ts AS date) AS day"))
+        .agg(F.expr("count(1) AS n"), F.expr("min(ts) AS first_ts"), F.expr("max(ts) AS last_ts"))
     )
-    seconds = "timestampdiff(DAY, lag(last_ts) over (partition by {k}, amount order by day), first_ts)"
-    gaps = days.withColumn("gap", F.expr(seconds.format(k=KEY)))
-    total = F.coalesce(F.sum("gap"), F.lit(0)).cast("double")  # gaps inside a day are 0
-    mean = total / F.nullif(F.sum("n") - 1, F.lit(0))
-    return gaps.groupBy(KEY, "amount").agg(
-        F.sum("n").alias("payments"),
-        mean.alias("mean_gap"),
-        F.coalesce(mean.between(*MONTHLY_DAYS), F.lit(False)).alias("is_monthly"),
+    before = f"lag(last_ts) OVER (PARTITION BY {KEY}, amount ORDER BY day)"
+    return (
+        days.selectExpr("*", f"timestampdiff(DAY, {before}, first_ts) AS gap")
+        .groupBy(KEY, "amount")
+        .agg(
+            F.expr("sum(n) AS payments"),
+            # gaps inside a day are 0
+            F.expr("CAST(coalesce(sum(gap), 0) AS double) / nullif(sum(n) - 1, 0) AS mean_gap"),
+        )
+        .selectExpr(
+            "*", f"coalesce(mean_gap BETWEEN {MONTHLY_DAYS[0]} AND {MONTHLY_DAYS[1]}, false) AS is_monthly"
+        )
     )

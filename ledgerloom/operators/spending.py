@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import KEY, cents
@@ -10,49 +10,47 @@ from .flows import rollup
 
 
 def monthly_spending(flow: DataFrame) -> DataFrame:
-    return rollup(flow.where(F.col("month").isNotNull()), "month").select(
-        KEY, "month", F.col("debit").alias("amount")
-    )
+    return rollup(flow.where("month IS NOT NULL"), "month").selectExpr(KEY, "month", "debit AS amount")
 
 
 def monthly_spending_stats(flow: DataFrame) -> DataFrame:
     """Mean monthly spending, highest and lowest month (the earliest on ties)."""
     # one small list of calendar months per statement, in month order
-    monthly = monthly_spending(flow).groupBy(KEY).agg(
-        F.avg(F.col("amount").cast("double")).alias("average_monthly_spending"),
-        F.array_sort(F.collect_list(F.struct("month", "amount"))).alias("months"),
+    monthly = (
+        monthly_spending(flow)
+        .groupBy(KEY)
+        .agg(
+            F.expr("avg(CAST(amount AS double)) AS average_monthly_spending"),
+            F.expr("max(amount) AS highest_amount"),
+            F.expr("min(amount) AS lowest_amount"),
+            F.expr("array_sort(collect_list(struct(month, amount))) AS months"),
+        )
     )
-    amounts = F.transform("months", lambda m: m["amount"])
-
-    def extreme(amount, name):
-        first = F.get(F.filter("months", lambda m: m["amount"] == amount), F.lit(0))
-        return [first["month"].alias(f"{name}_month"), amount.alias(f"{name}_amount")]
-
-    return monthly.select(
+    return monthly.selectExpr(
         KEY,
         "average_monthly_spending",
-        *extreme(F.array_max(amounts), "highest"),
-        *extreme(F.array_min(amounts), "lowest"),
+        "get(filter(months, m -> m.amount = highest_amount), 0).month AS highest_month",
+        "highest_amount",
+        "get(filter(months, m -> m.amount = lowest_amount), 0).month AS lowest_month",
+        "lowest_amount",
     )
 
 
 def weekday_spending(flow: DataFrame) -> DataFrame:
     """Debit total per weekday that occurs in the statement."""
     return (
-        rollup(flow.where(F.col("txn_date").isNotNull()), "txn_date")
-        .groupBy(KEY, F.date_format("txn_date", "EEEE").alias("day_of_week"))
+        rollup(flow.where("txn_date IS NOT NULL"), "txn_date")
+        .groupBy(KEY, F.expr("date_format(txn_date, 'EEEE') AS day_of_week"))
         .agg(F.sum("debit").alias("amount"))
     )
 
 
-def _bucket(value):
-    """Order-preserving bucket of an amount in cents: sign, number of digits, leading 4 digits.
-
-    At most 9,000 buckets per number of digits, whatever the statement holds.
-    """
-    digits = F.abs(value).cast("string")
-    head = F.rpad(F.substring(digits, 1, 4), 4, "0").cast("int")
-    return F.signum(value).cast("int") * (F.length(digits) * 10000 + head)
+# Order-preserving bucket of an amount in cents: sign, number of digits, leading 4 digits.
+# There are at most 9,000 buckets per number of digits, whatever the statement holds.
+_BUCKET = (
+    "CAST(signum(value) AS int) * (length(CAST(abs(value) AS string)) * 10000"
+    " + CAST(rpad(substring(CAST(abs(value) AS string), 1, 4), 4, '0') AS int))"
+)
 
 
 def large_transactions(ledger: DataFrame, share: float = 0.9) -> DataFrame:
@@ -63,92 +61,78 @@ def large_transactions(ledger: DataFrame, share: float = 0.9) -> DataFrame:
     two buckets that hold them, so no task ever orders a whole statement.
     """
     counts = (
-        ledger.where(F.col("debit").isNotNull())
-        .groupBy(KEY, cents(F.col("debit")).alias("value"))
+        ledger.where("debit IS NOT NULL")
+        .groupBy(KEY, F.expr(f"{cents('debit')} AS value"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", _bucket(F.col("value")))
-        .withColumn("total", F.col("value").cast("decimal(38,0)") * F.col("n"))
+        .selectExpr(KEY, "value", "n", f"{_BUCKET} AS bucket", "CAST(value AS decimal(38,0)) * n AS total")
     )
-    earlier = Window.partitionBy(KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(KEY)
-    place = F.lit(share) * (F.col("all_n") - 1)
+    earlier = f"OVER (PARTITION BY {KEY} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     histogram = (
         counts.groupBy(KEY, "bucket")
         .agg(F.sum("n").alias("bucket_n"), F.sum("total").alias("bucket_total"))
-        .select(
-            KEY,
-            "bucket",
-            "bucket_n",
-            F.sum("bucket_n").over(everything).alias("all_n"),
-            F.sum("bucket_total").over(everything).alias("all_total"),
-            F.coalesce(F.sum("bucket_n").over(earlier), F.lit(0)).alias("n_before"),
-            F.coalesce(F.sum("bucket_total").over(earlier), F.lit(0)).alias("total_before"),
+        .selectExpr(
+            "*",
+            f"sum(bucket_n) OVER (PARTITION BY {KEY}) AS all_n",
+            f"sum(bucket_total) OVER (PARTITION BY {KEY}) AS all_total",
+            f"coalesce(sum(bucket_n) {earlier}, 0) AS n_before",
+            f"coalesce(sum(bucket_total) {earlier}, 0) AS total_before",
         )
-        .withColumn("low_rank", F.floor(place).cast("bigint"))
-        .withColumn("fraction", place - F.floor(place))
-        .withColumn("high_rank", F.least(F.col("low_rank") + 1, F.col("all_n") - 1))
-        .where(
-            (F.col("n_before") <= F.col("high_rank"))
-            & (F.col("low_rank") < F.col("n_before") + F.col("bucket_n"))
-        )
-    )
-    inside = (
-        Window.partitionBy(KEY, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        .selectExpr("*", f"{float(share)}D * (all_n - 1) AS place")
+        .selectExpr("*", "CAST(floor(place) AS bigint) AS low_rank", "place - floor(place) AS fraction")
+        .selectExpr("*", "least(low_rank + 1, all_n - 1) AS high_rank")
+        .where("n_before <= high_rank AND low_rank < n_before + bucket_n")
+        .drop("place")
     )
-    ranked = (
-        counts.join(histogram, [KEY, "bucket"])
-        .withColumn("rank", F.col("n_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .withColumn("below", F.col("total_before") + F.coalesce(F.sum("total").over(inside), F.lit(0)))
+    inside = f"OVER (PARTITION BY {KEY}, bucket ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    ranked = counts.join(histogram, [KEY, "bucket"]).selectExpr(
+        "*",
+        f"n_before + coalesce(sum(n) {inside}, 0) AS rank",
+        f"total_before + coalesce(sum(total) {inside}, 0) AS below",
     )
 
-    def at(rank: str, column: str):
-        here = (F.col("rank") <= F.col(rank)) & (F.col(rank) < F.col("rank") + F.col("n"))
-        return F.max(F.when(here, F.col(column)))
-
-    found = ranked.groupBy(KEY).agg(
-        F.max("all_n").alias("all_n"),
-        F.max("all_total").alias("all_total"),
-        F.max("fraction").alias("fraction"),
-        *[
-            at(f"{side}_rank", column).alias(f"{side}_{column}")
-            for side in ("low", "high")
-            for column in ("value", "rank", "below")
-        ],
-    )
-    low, high = F.col("low_value") / 100, F.col("high_value") / 100
-    found = found.withColumn("threshold", low + (high - low) * F.col("fraction"))
-    whole = F.col("threshold") <= low
-    return found.select(
-        KEY,
-        "threshold",
-        (F.col("all_n") - F.when(whole, F.col("low_rank")).otherwise(F.col("high_rank"))).alias("count"),
-        (
-            (F.col("all_total") - F.when(whole, F.col("low_below")).otherwise(F.col("high_below"))) / 100
-        ).cast("decimal(38,2)").alias("total_amount"),
+    def at(side: str, column: str):
+        here = f"rank <= {side}_rank AND {side}_rank < rank + n"
+        return F.expr(f"max(CASE WHEN {here} THEN {column} END) AS {side}_{column}")
+
+    return (
+        ranked.groupBy(KEY)
+        .agg(
+            *[F.max(c).alias(c) for c in ("all_n", "all_total", "fraction")],
+            *[at(side, column) for side in ("low", "high") for column in ("value", "rank", "below")],
+        )
+        .selectExpr("*", "low_value / 100.0D + (high_value / 100.0D - low_value / 100.0D) * fraction AS threshold")
+        .selectExpr("*", "threshold <= low_value / 100.0D AS from_low")
+        .selectExpr(
+            KEY,
+            "threshold",
+            "all_n - CASE WHEN from_low THEN low_rank ELSE high_rank END AS count",
+            "CAST((all_total - CASE WHEN from_low THEN low_below ELSE high_below END) / 100 AS decimal(38,2))"
+            " AS total_amount",
+        )
     )
 
 
 def unusual_transactions(ledger: DataFrame, std_multiplier: float = 2.5) -> DataFrame:
     """Debits above mean + ``std_multiplier`` sample deviations; zero debits count too."""
-    debit = F.col("debit").cast("double")
     stats = (
         ledger.groupBy(KEY)
-        .agg(F.avg(debit).alias("mean"), F.stddev_samp(debit).alias("std"))
-        .where(F.col("std").isNotNull())
+        .agg(
+            F.expr("avg(CAST(debit AS double)) AS mean"),
+            F.expr("stddev_samp(CAST(debit AS double)) AS std"),
+        )
+        .where("std IS NOT NULL")
     )
     return (
         ledger.select(KEY, "row_no", "txn_date", "description", "debit")
         .join(stats, KEY)
-        .where(debit > F.col("mean") + F.lit(float(std_multiplier)) * F.col("std"))
-        .select(
+        .where(f"CAST(debit AS double) > mean + {float(std_multiplier)}D * std")
+        .selectExpr(
             KEY,
             "row_no",
-            F.col("debit").alias("amount"),
-            F.when(F.col("std") > 0, (debit - F.col("mean")) / F.col("std"))
-            .otherwise(0.0)
-            .alias("deviation_factor"),
+            "debit AS amount",
+            "CASE WHEN std > 0 THEN (CAST(debit AS double) - mean) / std ELSE 0.0D END AS deviation_factor",
             "description",
-            F.col("txn_date").alias("date"),
+            "txn_date AS date",
         )
     )
 
@@ -159,8 +143,8 @@ def top_unusual(unusual: DataFrame, n: int = 10) -> DataFrame:
     The rank filter is applied before the shuffle too, so a statement sends at
     most ``n`` rows per input partition to the task that ranks it.
     """
-    largest = Window.partitionBy(KEY).orderBy(F.desc("amount"), "row_no")
-    top = unusual.withColumn("position", F.row_number().over(largest)).where(F.col("position") <= n)
+    position = f"row_number() OVER (PARTITION BY {KEY} ORDER BY amount DESC, row_no) AS position"
+    top = unusual.selectExpr("*", position).where(f"position <= {n}")
     return top.join(unusual_counts(unusual), KEY)
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import KEY, day_order
+from ..schemas import KEY, ZERO, day_order
 from .flows import rollup
 
 
-def percent_of(part: Column, whole: Column) -> Column:
+def percent_of(part: str, whole: str) -> str:
     """part / whole * 100, or 0 if the whole is not positive."""
-    ratio = part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0)) * 100
-    return F.when(whole > 0, ratio).otherwise(F.lit(0.0))
+    return f"CASE WHEN {whole} > 0 THEN CAST({part} AS double) / CAST({whole} AS double) * 100 ELSE 0.0D END"
 
 
 def transaction_summary(flow: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
@@ -25,102 +24,90 @@ def transaction_summary(flow: DataFrame, metadata: DataFrame | None = None) -> D
         rollup(flow, "month")
         .groupBy(KEY)
         .agg(
-            F.sum("rows").alias("total_transactions"),
-            F.min("first_date").alias("start_date"),
-            F.max("last_date").alias("end_date"),
-            F.count("month").alias("unique_months"),
-            F.sum("credit_count").alias("credit_count"),
-            F.sum("debit_count").alias("debit_count"),
-            F.sum("credit").alias("total_credit"),
-            F.sum("debit").alias("total_debit"),
-            F.min_by("first_row_balance", "first_row").alias("opening_balance"),
-            F.max_by("last_row_balance", "last_row").alias("closing_balance"),
+            F.expr("sum(rows) AS total_transactions"),
+            F.expr("min(first_date) AS start_date"),
+            F.expr("max(last_date) AS end_date"),
+            F.expr("count(month) AS unique_months"),
+            F.expr("sum(credit_count) AS credit_count"),
+            F.expr("sum(debit_count) AS debit_count"),
+            F.expr("sum(credit) AS total_credit"),
+            F.expr("sum(debit) AS total_debit"),
+            F.expr("min_by(first_row_balance, first_row) AS opening_balance"),
+            F.expr("max_by(last_row_balance, last_row) AS closing_balance"),
         )
     )
     if metadata is not None:
         balances = metadata.select(KEY, "opening_balance", "closing_balance")
         summary = summary.drop("opening_balance", "closing_balance").join(balances, KEY, "left")
     return summary.withColumns(
-        {
-            "opening_balance": F.coalesce("opening_balance", F.lit(0).cast("decimal(18,2)")),
-            "closing_balance": F.coalesce("closing_balance", F.lit(0).cast("decimal(18,2)")),
-        }
+        {c: F.expr(f"coalesce({c}, {ZERO})") for c in ("opening_balance", "closing_balance")}
     )
 
 
 def monthly_summary(flow: DataFrame) -> DataFrame:
     """Counts, totals, net flow and first/last balance by date of every month."""
-    return rollup(flow.where(F.col("month").isNotNull()), "month").select(
+    return rollup(flow.where("month IS NOT NULL"), "month").selectExpr(
         KEY,
         "month",
         "credit_count",
         "debit_count",
-        F.col("credit").alias("total_credit"),
-        F.col("debit").alias("total_debit"),
-        (F.col("credit") - F.col("debit")).alias("net_flow"),
-        F.col("first_day_balance").alias("opening_balance"),
-        F.col("last_day_balance").alias("closing_balance"),
+        "credit AS total_credit",
+        "debit AS total_debit",
+        "credit - debit AS net_flow",
+        "first_day_balance AS opening_balance",
+        "last_day_balance AS closing_balance",
     )
 
 
 def monthly_balance_surplus(flow: DataFrame) -> DataFrame:
     """Income, expenses, surplus and balances per month; a missing balance counts as 0."""
-    zero = F.lit(0).cast("decimal(18,2)")
-    return monthly_summary(flow).select(
+    return monthly_summary(flow).selectExpr(
         KEY,
         "month",
-        F.col("total_credit").alias("income"),
-        F.col("total_debit").alias("expenses"),
-        F.col("net_flow").alias("surplus"),
-        F.coalesce("opening_balance", zero).alias("opening_balance"),
-        F.coalesce("closing_balance", zero).alias("closing_balance"),
+        "total_credit AS income",
+        "total_debit AS expenses",
+        "net_flow AS surplus",
+        f"coalesce(opening_balance, {ZERO}) AS opening_balance",
+        f"coalesce(closing_balance, {ZERO}) AS closing_balance",
     )
 
 
 # ---- the second report, on its own ledger view ----
 
 
-def _is(mark: str) -> Column:
-    return F.col("dr_cr_indicator") == mark
-
-
 def direction_counts(report: DataFrame) -> DataFrame:
     return report.groupBy(KEY).agg(
-        F.count_if(_is("CR")).alias("credit_transactions"),
-        F.count_if(_is("DR")).alias("debit_transactions"),
-        F.count(F.lit(1)).alias("total_transactions"),
+        F.expr("count_if(dr_cr_indicator = 'CR') AS credit_transactions"),
+        F.expr("count_if(dr_cr_indicator = 'DR') AS debit_transactions"),
+        F.expr("count(1) AS total_transactions"),
     )
 
 
 def end_balance(report: DataFrame) -> DataFrame:
     """Last balance by date, or credits minus debits if no row has a balance."""
-    order = F.coalesce(day_order(F.col("txn_date"), F.col("row_no")), F.col("row_no"))
-    known = F.when(F.col("balance").isNotNull(), order)
+    order = f"CASE WHEN balance IS NOT NULL THEN coalesce({day_order()}, row_no) END"
     return report.groupBy(KEY).agg(
-        F.coalesce(
-            F.max_by("balance", known), F.sum("credit_amount") - F.sum("debit")
-        ).alias("eod_balance")
+        F.expr(f"coalesce(max_by(balance, {order}), sum(credit_amount) - sum(debit)) AS eod_balance")
     )
 
 
-def _month_or_total() -> Column:
-    return F.when(F.col("has_date"), F.col("month")).otherwise("Total")
-
-
 def monthly_surplus(report: DataFrame) -> DataFrame:
     """Income, expenses, surplus and savings rate per month (one ``Total`` without dates)."""
-    grouped = report.groupBy(KEY, _month_or_total().alias("month")).agg(
-        F.sum(F.when(_is("CR"), F.col("credit_amount")).otherwise(0)).alias("income"),
-        F.sum(F.when(_is("DR"), F.col("debit")).otherwise(0)).alias("expenses"),
-    )
-    surplus = F.col("income") - F.col("expenses")
-    return grouped.select(
-        KEY,
-        "month",
-        "income",
-        "expenses",
-        surplus.alias("surplus"),
-        percent_of(surplus, F.col("income")).alias("savings_rate"),
+    month = F.expr("CASE WHEN has_date THEN month ELSE 'Total' END AS month")
+    return (
+        report.groupBy(KEY, month)
+        .agg(
+            F.expr("sum(CASE WHEN dr_cr_indicator = 'CR' THEN credit_amount ELSE 0 END) AS income"),
+            F.expr("sum(CASE WHEN dr_cr_indicator = 'DR' THEN debit ELSE 0 END) AS expenses"),
+        )
+        .selectExpr(
+            KEY,
+            "month",
+            "income",
+            "expenses",
+            "income - expenses AS surplus",
+            f"{percent_of('(income - expenses)', 'income')} AS savings_rate",
+        )
     )
 
 
@@ -130,18 +117,20 @@ def monthly_expenses(report: DataFrame) -> DataFrame:
 
 def overall_summary(surplus: DataFrame) -> DataFrame:
     """Totals, savings rate and monthly averages from ``monthly_surplus``."""
-    totals = surplus.groupBy(KEY).agg(
-        F.sum("income").alias("total_income"),
-        F.sum("expenses").alias("total_expenses"),
-        F.count(F.lit(1)).alias("months"),
-    )
-    income, expenses = F.col("total_income"), F.col("total_expenses")
-    return totals.select(
-        KEY,
-        "total_income",
-        "total_expenses",
-        (income - expenses).alias("net_surplus"),
-        percent_of(income - expenses, income).alias("overall_savings_rate"),
-        (income.cast("double") / F.col("months")).alias("average_monthly_income"),
-        (expenses.cast("double") / F.col("months")).alias("average_monthly_expenses"),
+    return (
+        surplus.groupBy(KEY)
+        .agg(
+            F.expr("sum(income) AS total_income"),
+            F.expr("sum(expenses) AS total_expenses"),
+            F.expr("count(1) AS months"),
+        )
+        .selectExpr(
+            KEY,
+            "total_income",
+            "total_expenses",
+            "total_income - total_expenses AS net_surplus",
+            f"{percent_of('(total_income - total_expenses)', 'total_income')} AS overall_savings_rate",
+            "CAST(total_income AS double) / months AS average_monthly_income",
+            "CAST(total_expenses AS double) / months AS average_monthly_expenses",
+        )
     )

@@ -1,142 +1,157 @@
-"""Typed ledgers: dates, money, debit/credit direction."""
+"""Typed ledgers: dates, money, debit/credit direction.
+
+The small rules are SQL fragments over column names or expressions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DAY_FIRST, clean_amount, parse_date, strip, to_number
-from ..schemas import KEY, LEDGER_COLUMNS, MONEY
+from ..schemas import KEY, MONEY, ZERO
 from .grid import map_by_name, transaction_rows
 
 
-def zero() -> Column:
-    return F.lit(0).cast(MONEY)
-
-
-def split_by_indicator(amount: Column, indicator: Column) -> tuple[Column, Column]:
+def split_by_indicator(amount: str, indicator: str) -> tuple[str, str]:
     """(debit, credit) of an amount with a DR/CR mark; any other mark gives neither."""
-    mark = F.upper(strip(indicator))
-    debit = F.when(mark.isin("DR", "DEBIT"), amount).otherwise(zero())
-    credit = F.when(mark.isin("CR", "CREDIT"), amount).otherwise(zero())
-    return debit, credit
+    mark = f"upper({strip(indicator)})"
+    return (
+        f"CASE WHEN {mark} IN ('DR', 'DEBIT') THEN {amount} ELSE {ZERO} END",
+        f"CASE WHEN {mark} IN ('CR', 'CREDIT') THEN {amount} ELSE {ZERO} END",
+    )
 
 
-def transaction_type(debit: Column, credit: Column) -> Column:
-    return F.when(debit > 0, "debit").when(credit > 0, "credit").otherwise("unknown")
+def transaction_type(debit: str, credit: str) -> str:
+    return f"CASE WHEN {debit} > 0 THEN 'debit' WHEN {credit} > 0 THEN 'credit' ELSE 'unknown' END"
 
 
 def finish_ledger(df: DataFrame) -> DataFrame:
     """Add month, type and unified amount to a frame with the basic ledger columns."""
-    columns = df.columns
-
-    def has(name: str, kind: str) -> Column:
-        return F.col(name) if name in columns else F.lit(None).cast(kind)
-
-    debit, credit, amount = has("debit", MONEY), has("credit", MONEY), has("amount", MONEY)
-    both = debit.isNotNull() & credit.isNotNull()
-    full = df.select(
-        F.col(KEY),
-        F.col("row_no"),
-        has("txn_date", "date").alias("txn_date"),
-        F.date_format(has("txn_date", "date"), "yyyy-MM").alias("month"),
-        has("description", "string").alias("description"),
-        debit.alias("debit"),
-        credit.alias("credit"),
-        amount.alias("amount"),
-        has("balance", MONEY).alias("balance"),
-        has("dr_cr_indicator", "string").alias("dr_cr_indicator"),
-        F.when(both, transaction_type(debit, credit)).alias("txn_type"),
-        F.when(both, (debit + credit).cast(MONEY)).otherwise(amount).alias("transaction_amount"),
-        has("cheque_no", "string").alias("cheque_no"),
-        has("reference_no", "string").alias("reference_no"),
-        has("branch", "string").alias("branch"),
+
+    def own(name: str, kind: str) -> str:
+        return name if name in df.columns else f"CAST(NULL AS {kind}) AS {name}"
+
+    both = "debit IS NOT NULL AND credit IS NOT NULL"
+    return df.selectExpr(
+        KEY,
+        "row_no",
+        own("txn_date", "date"),
+        own("description", "string"),
+        *[own(name, MONEY) for name in ("debit", "credit", "amount", "balance")],
+        *[own(name, "string") for name in ("dr_cr_indicator", "cheque_no", "reference_no", "branch")],
+    ).selectExpr(
+        KEY,
+        "row_no",
+        "txn_date",
+        "date_format(txn_date, 'yyyy-MM') AS month",
+        "description",
+        "debit",
+        "credit",
+        "amount",
+        "balance",
+        "dr_cr_indicator",
+        f"CASE WHEN {both} THEN {transaction_type('debit', 'credit')} END AS txn_type",
+        f"CASE WHEN {both} THEN CAST(debit + credit AS {MONEY}) ELSE amount END AS transaction_amount",
+        "cheque_no",
+        "reference_no",
+        "branch",
     )
-    return full.select(*LEDGER_COLUMNS)
 
 
 def build_ledger(
     raw: DataFrame, layouts: DataFrame, date_formats: Iterable[str] = DAY_FIRST
 ) -> DataFrame:
     """Project the transaction rows of every layout onto the one typed ledger."""
-    rows = transaction_rows(raw, layouts, "col_map")
 
-    def present(name: str) -> Column:
-        return F.element_at("col_map", F.lit(name)).isNotNull()
+    def position(name: str) -> str:
+        return f"element_at(col_map, '{name}')"
 
-    def cell(name: str) -> Column:
-        return F.get(F.col("cells"), F.element_at("col_map", F.lit(name)))
+    def cell(name: str) -> str:
+        return f"get(cells, {position(name)})"
 
-    def money(name: str) -> Column:
-        return F.when(present(name), clean_amount(cell(name)))
+    def text(name: str) -> str:
+        return f"CASE WHEN {position(name)} IS NOT NULL THEN coalesce({cell(name)}, '') END AS {name}"
 
-    marked = present("dr_cr_indicator") & present("amount")
-    by_mark = split_by_indicator(F.col("amount"), F.col("dr_cr_indicator"))
-    typed = rows.select(
+    def money(name: str) -> str:
+        return f"CASE WHEN {position(name)} IS NOT NULL THEN {clean_amount(cell(name))} END AS {name}"
+
+    typed = transaction_rows(raw, layouts, "col_map").selectExpr(
         KEY,
         "row_no",
-        parse_date(cell("date"), date_formats).alias("txn_date"),
-        F.when(present("description"), F.coalesce(cell("description"), F.lit(""))).alias("description"),
-        money("debit").alias("own_debit"),
-        money("credit").alias("own_credit"),
-        money("amount").alias("amount"),
-        money("balance").alias("balance"),
-        F.when(present("dr_cr_indicator"), F.coalesce(cell("dr_cr_indicator"), F.lit(""))).alias(
-            "dr_cr_indicator"
-        ),
-        cell("cheque_no").alias("cheque_no"),
-        cell("reference_no").alias("reference_no"),
-        cell("branch").alias("branch"),
-        marked.alias("marked"),
+        f"{parse_date(cell('date'), date_formats)} AS txn_date",
+        text("description"),
+        *[money(name) for name in ("debit", "credit", "amount", "balance")],
+        text("dr_cr_indicator"),
+        *[f"{cell(name)} AS {name}" for name in ("cheque_no", "reference_no", "branch")],
     )
+    marked = "amount IS NOT NULL AND dr_cr_indicator IS NOT NULL"
+    debit, credit = split_by_indicator("amount", "dr_cr_indicator")
     return finish_ledger(
-        typed.withColumn("debit", F.when(F.col("marked"), by_mark[0]).otherwise(F.col("own_debit")))
-        .withColumn("credit", F.when(F.col("marked"), by_mark[1]).otherwise(F.col("own_credit")))
+        typed.withColumns(
+            {
+                "debit": F.expr(f"CASE WHEN {marked} THEN {debit} ELSE debit END"),
+                "credit": F.expr(f"CASE WHEN {marked} THEN {credit} ELSE credit END"),
+            }
+        )
     )
 
 
-def split_by_prefix(amount: Column, indicator: Column) -> tuple[Column, Column, Column]:
+def split_by_prefix(amount: str, indicator: str) -> tuple[str, str, str]:
     """(debit, credit, DR/CR) by the first letter of the mark; an unknown mark is CR with 0."""
-    mark = F.upper(indicator)
-    is_debit, is_credit = mark.startswith("D"), mark.startswith("C")
+    debit, credit = f"startswith(upper({indicator}), 'D')", f"startswith(upper({indicator}), 'C')"
     return (
-        F.when(is_debit, F.abs(amount)).otherwise(zero()),
-        F.when(is_credit, F.abs(amount)).otherwise(zero()),
-        F.when(is_debit, "DR").otherwise("CR"),
+        f"CASE WHEN {debit} THEN abs({amount}) ELSE {ZERO} END",
+        f"CASE WHEN {credit} THEN abs({amount}) ELSE {ZERO} END",
+        f"CASE WHEN {debit} THEN 'DR' ELSE 'CR' END",
     )
 
 
-def split_by_sign(amount: Column) -> tuple[Column, Column, Column]:
+def split_by_sign(amount: str) -> tuple[str, str, str]:
     return (
-        F.when(amount < 0, F.abs(amount)).otherwise(zero()),
-        F.when(amount > 0, amount).otherwise(zero()),
-        F.when(amount < 0, "DR").otherwise("CR"),
+        f"CASE WHEN {amount} < 0 THEN abs({amount}) ELSE {ZERO} END",
+        f"CASE WHEN {amount} > 0 THEN {amount} ELSE {ZERO} END",
+        f"CASE WHEN {amount} < 0 THEN 'DR' ELSE 'CR' END",
     )
 
 
-def merge_columns(debit: Column, credit: Column) -> tuple[Column, Column]:
+def merge_columns(debit: str, credit: str) -> tuple[str, str]:
     """(amount, DR/CR) of separate debit and credit columns."""
     return (
-        F.when(debit > 0, (-debit).cast(MONEY)).otherwise(credit),
-        F.when(debit > 0, "DR").otherwise("CR"),
+        f"CASE WHEN {debit} > 0 THEN CAST(-{debit} AS {MONEY}) ELSE {credit} END",
+        f"CASE WHEN {debit} > 0 THEN 'DR' ELSE 'CR' END",
     )
 
 
-def _report_columns(df: DataFrame) -> DataFrame:
-    """Rows without a date go away, unless the statement has no date column at all."""
-    return df.where(F.col("txn_date").isNotNull() | ~F.col("has_date")).select(
+def _directed(df: DataFrame) -> DataFrame:
+    """The second report's columns from ``single``/``mark`` or ``own_debit``/``own_credit``.
+
+    A single amount is split by its mark, without a mark by its sign; else separate
+    columns are merged; else there is no money and the row counts as DR with 0.
+    Rows without a date go away, unless the statement has no date column at all.
+    """
+    marked, signed = split_by_prefix("single", "mark"), split_by_sign("single")
+    merged = merge_columns("own_debit", "own_credit")
+
+    def choose(by_mark: str, by_sign: str, by_columns: str, default: str) -> str:
+        return (
+            f"CASE WHEN single IS NOT NULL AND mark IS NOT NULL THEN {by_mark} "
+            f"WHEN single IS NOT NULL THEN {by_sign} WHEN own_debit IS NOT NULL THEN {by_columns} ELSE {default} END"
+        )
+
+    return df.where("txn_date IS NOT NULL OR NOT has_date").selectExpr(
         KEY,
         "row_no",
         "txn_date",
-        F.date_format("txn_date", "yyyy-MM").alias("month"),
+        "date_format(txn_date, 'yyyy-MM') AS month",
         "description",
-        F.col("amount").cast(MONEY).alias("amount"),
-        F.col("debit").cast(MONEY).alias("debit"),
-        F.col("credit_amount").cast(MONEY).alias("credit_amount"),
-        "dr_cr_indicator",
-        F.col("balance").cast(MONEY).alias("balance"),
+        f"CAST(coalesce(single, {merged[0]}, 0) AS {MONEY}) AS amount",
+        f"CAST({choose(marked[0], signed[0], 'own_debit', ZERO)} AS {MONEY}) AS debit",
+        f"CAST({choose(marked[1], signed[1], 'own_credit', ZERO)} AS {MONEY}) AS credit_amount",
+        choose(marked[2], signed[2], merged[1], "'DR'") + " AS dr_cr_indicator",
+        f"CAST(balance AS {MONEY}) AS balance",
         "has_date",
     )
 
@@ -149,30 +164,18 @@ def report_ledger(ledger: DataFrame, layouts: DataFrame | None = None) -> DataFr
     if layouts is None:
         rows = ledger.withColumn("has_date", F.lit(True))
     else:
-        dated = layouts.select(KEY, F.map_contains_key("col_map", "date").alias("has_date"))
+        dated = layouts.selectExpr(KEY, "map_contains_key(col_map, 'date') AS has_date")
         rows = ledger.join(dated, KEY)
-    amount = F.coalesce("amount", "transaction_amount")
-    mark = F.coalesce("dr_cr_indicator", "txn_type")
-    marked = split_by_prefix(amount, mark)
-    signed = split_by_sign(amount)
-    own = [F.coalesce(F.col("debit"), zero()), F.coalesce(F.col("credit"), zero())]
-    merged = merge_columns(*own)
-
-    def choose(by_mark: Column, by_sign: Column, by_columns: Column) -> Column:
-        return (
-            F.when(amount.isNull(), by_columns).when(mark.isNotNull(), by_mark).otherwise(by_sign)
-        )
-
-    return _report_columns(
-        rows.select(
+    return _directed(
+        rows.selectExpr(
             KEY,
             "row_no",
             "txn_date",
-            F.coalesce("description", F.lit("")).alias("description"),
-            F.coalesce(amount, merged[0]).alias("amount"),
-            choose(marked[0], signed[0], own[0]).alias("debit"),
-            choose(marked[1], signed[1], own[1]).alias("credit_amount"),
-            choose(marked[2], signed[2], merged[1]).alias("dr_cr_indicator"),
+            "coalesce(description, '') AS description",
+            "coalesce(amount, transaction_amount) AS single",
+            "coalesce(dr_cr_indicator, txn_type) AS mark",
+            f"coalesce(debit, {ZERO}) AS own_debit",
+            f"coalesce(credit, {ZERO}) AS own_credit",
             "balance",
             "has_date",
         )
@@ -185,23 +188,19 @@ def profile_table(rows: DataFrame) -> DataFrame:
     ``profile`` holds, by position: the largest absolute number, whether every
     filled cell is a number, and the first filled cell.
     """
-    value = F.col("value")
-    number = to_number(value, "double")
+    number = to_number("value", "double")
     return (
-        rows.select(KEY, "row_no", F.posexplode("cells").alias("col_pos", "value"))
-        .where(value.isNotNull() & (strip(value) != ""))
+        rows.selectExpr(KEY, "row_no", "posexplode(cells) AS (col_pos, value)")
+        .where(f"value IS NOT NULL AND {strip('value')} <> ''")
+        .selectExpr(KEY, "row_no", "col_pos", "value", f"{number} AS number")
         .groupBy(KEY, "col_pos")
         .agg(
-            F.max(F.abs(number)).alias("max_abs"),
-            F.bool_and(number.isNotNull()).alias("numeric"),
-            F.min_by("value", "row_no").alias("first_value"),
+            F.expr("max(abs(number)) AS max_abs"),
+            F.expr("bool_and(number IS NOT NULL) AS numeric"),
+            F.expr("min_by(value, row_no) AS first_value"),
         )
         .groupBy(KEY)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("col_pos", "max_abs", "numeric", "first_value"))
-            ).alias("profile")
-        )
+        .agg(F.expr("array_sort(collect_list(struct(col_pos, max_abs, numeric, first_value))) AS profile"))
     )
 
 
@@ -214,90 +213,50 @@ def report_ledger_from_table(
     ``tables`` is ``(statement_id, header)``.  Columns are found by name; a
     missing date, amount or description column is guessed from the content.
     """
-    profile = F.coalesce(
-        "profile",
-        F.array().cast(
-            "array<struct<col_pos:int,max_abs:double,numeric:boolean,first_value:string>>"
-        ),
-    )
-    text_columns = F.filter(profile, lambda p: ~p["numeric"])
 
-    def first(candidates: Column) -> Column:
-        return F.get(candidates, F.lit(0))["col_pos"]
+    def first(condition: str) -> str:
+        return f"get(filter(profile, p -> {condition}), 0).col_pos"
 
-    guessed_date = first(
-        F.filter(text_columns, lambda p: parse_date(p["first_value"], date_formats).isNotNull())
-    )
-    guessed_amount = first(F.filter(profile, lambda p: p["max_abs"] > 100))
-    plain_text = F.filter(
-        text_columns,
-        lambda p: ~F.get(F.col("header"), p["col_pos"]).rlike("(?i)date|^(amount|debit)$"),
-    )
-    split = F.col("debit_pos").isNotNull() & F.col("credit_pos").isNotNull()
+    split = "debit_pos IS NOT NULL AND credit_pos IS NOT NULL"
+    plain = "get(header, p.col_pos) RLIKE '(?i)date|^(amount|debit)$'"
     layouts = (
         map_by_name(tables)
         .join(profile_table(rows), KEY, "left")
-        .select(
+        .selectExpr(
             KEY,
-            F.coalesce("date_pos", guessed_date).alias("date_pos"),
-            F.coalesce("amount_pos", F.when(~split, guessed_amount)).alias("amount_pos"),
-            F.when(F.col("amount_pos").isNotNull(), F.col("indicator_pos")).alias("indicator_pos"),
-            F.when(split, F.col("debit_pos")).alias("debit_pos"),
-            F.when(split, F.col("credit_pos")).alias("credit_pos"),
-            F.coalesce("description_pos", first(plain_text)).alias("description_pos"),
-            first(text_columns).alias("any_text_pos"),
+            f"coalesce(date_pos, {first('NOT p.numeric AND ' + parse_date('p.first_value', date_formats) + ' IS NOT NULL')}) AS date_pos",
+            f"coalesce(amount_pos, CASE WHEN NOT ({split}) THEN {first('p.max_abs > 100')} END) AS amount_pos",
+            "CASE WHEN amount_pos IS NOT NULL THEN indicator_pos END AS indicator_pos",
+            f"CASE WHEN {split} THEN debit_pos END AS debit_pos",
+            f"CASE WHEN {split} THEN credit_pos END AS credit_pos",
+            f"coalesce(description_pos, {first(f'NOT p.numeric AND NOT {plain}')}) AS description_pos",
+            f"{first('NOT p.numeric')} AS any_text_pos",
             "balance_pos",
         )
     )
 
-    def cell(position: str) -> Column:
-        return F.get(F.col("cells"), F.col(position))
+    def cell(position: str) -> str:
+        return f"get(cells, {position})"
 
-    def number(position: str) -> Column:
-        return F.coalesce(to_number(cell(position)), zero())
+    def number(position: str) -> str:
+        return f"CASE WHEN {position} IS NOT NULL THEN coalesce({to_number(cell(position))}, {ZERO}) END"
 
-    typed = rows.join(layouts, KEY).select(
+    typed = rows.join(layouts, KEY).selectExpr(
         KEY,
         "row_no",
-        parse_date(cell("date_pos"), date_formats).alias("txn_date"),
-        F.col("date_pos").isNotNull().alias("has_date"),
-        F.when(F.col("description_pos").isNotNull(), F.coalesce(cell("description_pos"), F.lit(""))).alias(
-            "own_text"
-        ),
-        F.coalesce(cell("any_text_pos"), F.lit("")).alias("any_text"),
-        to_number(cell("balance_pos")).alias("balance"),
-        F.when(F.col("amount_pos").isNotNull(), number("amount_pos")).alias("single"),
-        F.when(F.col("indicator_pos").isNotNull(), F.coalesce(cell("indicator_pos"), F.lit(""))).alias("mark"),
-        F.when(F.col("debit_pos").isNotNull(), number("debit_pos")).alias("own_debit"),
-        F.when(F.col("credit_pos").isNotNull(), number("credit_pos")).alias("own_credit"),
+        f"{parse_date(cell('date_pos'), date_formats)} AS txn_date",
+        "date_pos IS NOT NULL AS has_date",
+        f"CASE WHEN description_pos IS NOT NULL THEN coalesce({cell('description_pos')}, '') END AS description",
+        f"coalesce({cell('any_text_pos')}, '') AS any_text",
+        f"{to_number(cell('balance_pos'))} AS balance",
+        f"{number('amount_pos')} AS single",
+        f"CASE WHEN indicator_pos IS NOT NULL THEN coalesce({cell('indicator_pos')}, '') END AS mark",
+        f"{number('debit_pos')} AS own_debit",
+        f"{number('credit_pos')} AS own_credit",
+        "description_pos IS NULL AND amount_pos IS NULL AND debit_pos IS NULL AS any_text_counts",
     )
-    single, mark = F.col("single"), F.col("mark")
-    own_debit, own_credit = F.col("own_debit"), F.col("own_credit")
-    marked, signed = split_by_prefix(single, mark), split_by_sign(single)
-    merged = merge_columns(own_debit, own_credit)
-
-    def choose(by_mark: Column, by_sign: Column, by_columns: Column, default: Column) -> Column:
-        return (
-            F.when(single.isNotNull() & mark.isNotNull(), by_mark)
-            .when(single.isNotNull(), by_sign)
-            .when(own_debit.isNotNull(), by_columns)
-            .otherwise(default)
-        )
-
-    label = choose(marked[2], signed[2], merged[1], F.lit("DR"))
-    has_money = single.isNotNull() | own_debit.isNotNull()
-    return _report_columns(
-        typed.select(
-            KEY,
-            "row_no",
-            "txn_date",
-            "has_date",
-            # without a text column the report falls back to its own DR/CR column
-            F.coalesce("own_text", F.when(has_money, label), "any_text").alias("description"),
-            "balance",
-            F.coalesce(single, merged[0], zero()).alias("amount"),
-            choose(marked[0], signed[0], own_debit, zero()).alias("debit"),
-            choose(marked[1], signed[1], own_credit, zero()).alias("credit_amount"),
-            label.alias("dr_cr_indicator"),
-        )
+    directed = _directed(
+        typed.withColumn("description", F.expr("CASE WHEN any_text_counts THEN any_text ELSE description END"))
     )
+    # a table with money but no text column is described by its own DR/CR column
+    return directed.withColumn("description", F.coalesce("description", "dr_cr_indicator"))

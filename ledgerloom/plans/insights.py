@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import categories, quality, recurring, spending, summary
@@ -19,34 +19,31 @@ def financial_metrics(totals: DataFrame, income: DataFrame, emis: DataFrame) ->
 
     The instalment ratio is NULL without a positive mean monthly income.
     """
-    income_total, expenses = F.col("total_credit"), F.col("total_debit")
-    mean = F.col("average_monthly_income")
+    ratio = "coalesce(CAST(total_emi AS double), 0D) / average_monthly_income * 100"
     return (
         totals.select(KEY, "total_credit", "total_debit")
         .join(income.select(KEY, "average_monthly_income"), KEY, "left")
         .join(emis.select(KEY, "total_emi"), KEY, "left")
-        .select(
+        .selectExpr(
             KEY,
-            (income_total - expenses).alias("net_cashflow"),
-            percent_of(expenses, income_total).alias("expense_ratio"),
-            percent_of(income_total - expenses, income_total).alias("savings_rate"),
-            F.when(
-                mean > 0, F.coalesce(F.col("total_emi").cast("double"), F.lit(0.0)) / F.nullif(mean, F.lit(0.0)) * 100
-            ).alias("emi_to_income_ratio"),
+            "total_credit - total_debit AS net_cashflow",
+            f"{percent_of('total_debit', 'total_credit')} AS expense_ratio",
+            f"{percent_of('(total_credit - total_debit)', 'total_credit')} AS savings_rate",
+            f"CASE WHEN average_monthly_income > 0 THEN {ratio} END AS emi_to_income_ratio",
         )
     )
 
 
-def _listed(df: DataFrame, name: str, order: list[str | Column], fields: list[str]) -> DataFrame:
-    """The rows of a section as one array per statement.
+def _listed(df: DataFrame, name: str, order: str, fields: list[str]) -> DataFrame:
+    """The rows of a section as one array per statement, sorted by the ``order`` expressions.
 
     Only sections with few rows per statement come here: months, weekdays,
     categories, accepted recurring amounts and top lists.
     """
-    keys = [c if isinstance(c, Column) else F.col(c) for c in order]
-    ordered = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.struct(*fields).alias("item"))
-    items = F.transform(F.array_sort(F.collect_list(ordered)), lambda x: x["item"])
-    return df.groupBy(KEY).agg(items.alias(name))
+    item = f"struct({', '.join(fields)})"
+    return df.groupBy(KEY).agg(
+        F.expr(f"array_sort(collect_list(struct({order}, {item} AS item))).item AS {name}")
+    )
 
 
 def _section(df: DataFrame, name: str) -> DataFrame:
@@ -82,70 +79,57 @@ def comprehensive_insights(ledger: DataFrame, metadata: DataFrame | None = None)
     wide = _side_by_side(
         _section(totals, "transaction_summary"),
         _section(financial_metrics(totals, income, emi_totals), "financial_metrics"),
-        _listed(monthly, "monthly_summary", ["month"], month_fields),
-        _listed(surplus, "monthly_surplus", ["month"], surplus_fields),
-        _listed(expenses, "expense_categories", ["position"], ["category", "amount"]),
-        _listed(spending.monthly_spending(flow), "monthly_spending", ["month"], ["month", "amount"]),
+        _listed(monthly, "monthly_summary", "month", month_fields),
+        _listed(surplus, "monthly_surplus", "month", surplus_fields),
+        _listed(expenses, "expense_categories", "position", ["category", "amount"]),
+        _listed(spending.monthly_spending(flow), "monthly_spending", "month", ["month", "amount"]),
         _section(spending.monthly_spending_stats(flow), "monthly_spending_stats"),
-        _listed(spending.weekday_spending(flow), "day_of_week_spending", ["day_of_week"], ["day_of_week", "amount"]),
+        _listed(
+            spending.weekday_spending(flow), "day_of_week_spending", "day_of_week", ["day_of_week", "amount"]
+        ),
         _section(spending.large_transactions(ledger), "large_transactions"),
         income,
-        _listed(categories.monthly_income(flow), "monthly_income", ["month"], ["month", "income"]),
-        _listed(categories.income_sources(flow), "income_sources", ["rule_order"], ["source", "amount"]),
-        _listed(emis, "emis", [-F.col("amount"), "row_no"], emi_fields),
+        _listed(categories.monthly_income(flow), "monthly_income", "month", ["month", "income"]),
+        _listed(categories.income_sources(flow), "income_sources", "rule_order", ["source", "amount"]),
+        _listed(emis, "emis", "-amount AS less, row_no", emi_fields),
         emi_totals,
         _listed(
             spending.top_unusual(unusual),
             "unusual_transactions",
-            ["position"],
+            "position",
             ["amount", "deviation_factor", "description", "date"],
         ),
         spending.unusual_counts(unusual),
     )
-    account = F.lit(None).cast(
-        "struct<account_number:string,ifsc_code:string,period_from:string,period_to:string,customer_name:string>"
-    )
-    opening, closing = F.col("transaction_summary.opening_balance"), F.col("transaction_summary.closing_balance")
-    if metadata is not None:
+    fields = ["account_number", "ifsc_code", "period_from", "period_to", "customer_name"]
+    if metadata is None:
+        kind = ", ".join(f"{f}: string" for f in fields)
+        account = f"CAST(NULL AS struct<{kind}>)"
+        opening, closing = "transaction_summary.opening_balance", "transaction_summary.closing_balance"
+    else:
+        account, opening, closing = "account_", "opening_", "closing_"
         wide = wide.join(
-            metadata.select(
+            metadata.selectExpr(
                 KEY,
-                F.struct("account_number", "ifsc_code", "period_from", "period_to", "customer_name").alias("account"),
-                F.col("opening_balance").alias("_opening"),
-                F.col("closing_balance").alias("_closing"),
+                f"struct({', '.join(fields)}) AS account_",
+                "opening_balance AS opening_",
+                "closing_balance AS closing_",
             ),
             KEY,
             "left",
         )
-        account, opening, closing = F.col("account"), F.col("_opening"), F.col("_closing")
-    zero = F.lit(0).cast("bigint")
-    return wide.select(
+    return wide.selectExpr(
         KEY,
-        F.struct(
-            account.alias("account_info"), opening.alias("opening_balance"), closing.alias("closing_balance")
-        ).alias("account_summary"),
+        f"named_struct('account_info', {account}, 'opening_balance', {opening}, 'closing_balance', {closing})"
+        " AS account_summary",
         "transaction_summary",
         "financial_metrics",
-        F.struct("monthly_summary", "monthly_surplus").alias("monthly_analysis"),
-        F.struct(
-            "expense_categories",
-            F.slice("expense_categories", 1, 5).alias("top_expenses"),
-            "monthly_spending",
-            "monthly_spending_stats",
-            "day_of_week_spending",
-            "large_transactions",
-        ).alias("spending_analysis"),
-        F.struct("total_income", "average_monthly_income", "monthly_income", "income_sources").alias(
-            "income_analysis"
-        ),
-        F.struct(
-            "emis",
-            F.coalesce("total_emi", F.lit(0).cast("decimal(28,2)")).alias("total_emi"),
-            F.coalesce("emi_count", zero).alias("emi_count"),
-        ).alias("emi_analysis"),
-        F.struct("unusual_transactions", F.coalesce("unusual_count", zero).alias("unusual_count")).alias(
-            "alerts"
-        ),
+        "struct(monthly_summary, monthly_surplus) AS monthly_analysis",
+        "struct(expense_categories, slice(expense_categories, 1, 5) AS top_expenses, monthly_spending,"
+        " monthly_spending_stats, day_of_week_spending, large_transactions) AS spending_analysis",
+        "struct(total_income, average_monthly_income, monthly_income, income_sources) AS income_analysis",
+        "struct(emis, coalesce(total_emi, 0) AS total_emi, coalesce(emi_count, 0) AS emi_count) AS emi_analysis",
+        "struct(unusual_transactions, coalesce(unusual_count, 0) AS unusual_count) AS alerts",
     )
 
 
@@ -153,7 +137,7 @@ def analyze(statements: Statements) -> DataFrame:
     """Insights and data quality of processed statements."""
     columns = quality.column_quality(statements.ledger, statements.raw, statements.layouts)
     details = _listed(
-        columns, "columns", ["column"], ["column", "data_type", "missing_count", "missing_percentage"]
+        columns, "columns", "column", ["column", "data_type", "missing_count", "missing_percentage"]
     )
     checked = _section(quality.quality_score(columns).join(details, KEY), "data_quality")
     insights = comprehensive_insights(statements.ledger, statements.metadata)
@@ -169,11 +153,11 @@ def comprehensive_report(report: DataFrame) -> DataFrame:
     return _side_by_side(
         _section(summary.direction_counts(report), "transaction_counts"),
         summary.end_balance(report),
-        _listed(surplus, "monthly_expenses", ["month"], ["month", "expenses"]),
-        _listed(shares, "expense_categories", ["rule_order"], ["category", "amount"]),
+        _listed(surplus, "monthly_expenses", "month", ["month", "expenses"]),
+        _listed(shares, "expense_categories", "rule_order", ["category", "amount"]),
         _section(categories.largest_category(report), "most_expense_category"),
-        _listed(surplus, "monthly_surplus", ["month"], [c for c in surplus.columns if c != KEY]),
-        _listed(emis, "emi_analysis", [-F.col("amount"), "row_no"], emi_fields),
+        _listed(surplus, "monthly_surplus", "month", [c for c in surplus.columns if c != KEY]),
+        _listed(emis, "emi_analysis", "-amount AS less, row_no", emi_fields),
         _section(summary.overall_summary(surplus), "summary"),
     )
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import currency, currency_or_text, percentage, shorten
+from ..functions.text import currency, currency_or_text, lit, percentage, shorten
 from ..operators import summary
 from ..operators.categories import report_expense_categories
 from ..schemas import KEY
@@ -27,136 +27,90 @@ NO_RECURRING = "No recurring EMI patterns detected."
 def report_lines(report: DataFrame) -> DataFrame:
     """``(statement_id, section, line_no, text)`` from the rows of ``comprehensive_report``."""
 
-    def each(items: str, text) -> Column:
-        none = F.array().cast("array<string>")
-        return F.coalesce(F.transform(items, text), none)
+    def lines(section: int, *texts: str) -> str:
+        return f"array({', '.join([lit(SECTIONS[section]), *texts])})"
 
-    def with_title(section: int, *texts: Column) -> Column:
-        return F.concat(F.array(F.lit(SECTIONS[section])), *texts)
+    def each(items: str, text: str) -> str:
+        return f"coalesce(transform({items}, x -> {text}), array())"
 
-    counts, total = "transaction_counts", "summary"
-    expenses = F.aggregate(
-        F.coalesce(F.col("expense_categories.amount"), F.array().cast("array<decimal(28,2)>")),
-        F.lit(0).cast("double"),
-        lambda acc, x: acc + x.cast("double"),
+    def titled(section: int, items: str) -> str:
+        return f"concat({lines(section)}, {items})"
+
+    def labelled(label: str, value: str) -> str:
+        return f"concat({lit(label)}, {value})"
+
+    category = (
+        "concat(rpad(x.category, 25, ' '), ': ₹', " + _right("format_number(x.amount, 2)", 10) + ", ' (', "
+        + _right(percentage("CAST(x.amount AS double) / expenses * 100"), 6) + ", ')')"
     )
-    largest_first = F.array_sort(
-        F.transform(
-            "expense_categories",
-            lambda c, i: F.struct((-c["amount"]).alias("order"), i.alias("i"), c["category"].alias("category"), c["amount"].alias("amount")),
-        )
+    month = (
+        f"concat_ws(' | ', x.month, {currency('x.income')}, {currency('x.expenses')}, {currency('x.surplus')}, "
+        f"{percentage('x.savings_rate')})"
+    )
+    recurring = (
+        f"concat_ws(' | ', {currency('x.amount')}, {shorten('x.description')}, concat(x.frequency, ' times'), "
+        f"x.confidence, {currency('x.total_paid')})"
     )
+    recurring_total = labelled("Total Monthly EMI/Recurring: ", currency("recurring"))
     sections = [
-        with_title(
+        lines(
             0,
-            F.array(
-                F.concat(F.lit("Credit Transactions: "), F.col(f"{counts}.credit_transactions")),
-                F.concat(F.lit("Debit Transactions:  "), F.col(f"{counts}.debit_transactions")),
-                F.concat(F.lit("Total Transactions:  "), F.col(f"{counts}.total_transactions")),
-            ),
+            labelled("Credit Transactions: ", "transaction_counts.credit_transactions"),
+            labelled("Debit Transactions:  ", "transaction_counts.debit_transactions"),
+            labelled("Total Transactions:  ", "transaction_counts.total_transactions"),
         ),
-        F.array(F.concat(F.lit(SECTIONS[1] + ": "), currency(F.col("eod_balance")))),
-        with_title(2, each("monthly_expenses", lambda m: F.concat(m["month"], F.lit(": "), currency(m["expenses"])))),
-        with_title(
-            3,
-            F.coalesce(
-                F.transform(
-                    largest_first,
-                    lambda c: F.concat(
-                        F.rpad(c["category"], 25, " "),
-                        F.lit(": ₹"),
-                        _right(F.format_number(c["amount"], 2), 10),
-                        F.lit(" ("),
-                        _right(percentage(c["amount"].cast("double") / F.nullif(expenses, F.lit(0.0)) * 100), 6),
-                        F.lit(")"),
-                    ),
-                ),
-                F.array().cast("array<string>"),
-            ),
-        ),
-        with_title(
+        f"array({labelled(SECTIONS[1] + ': ', currency('eod_balance'))})",
+        titled(2, each("monthly_expenses", f"concat(x.month, ': ', {currency('x.expenses')})")),
+        titled(3, each("largest_first", category)),
+        lines(
             4,
-            F.array(
-                F.concat(F.lit("Category: "), F.col("most_expense_category.category")),
-                F.concat(F.lit("Amount: "), currency(F.col("most_expense_category.amount"))),
-                F.concat(
-                    F.lit("Percentage: "),
-                    F.coalesce(percentage(F.col("most_expense_category.percentage")), F.lit("n/a")),
-                    F.lit(" of total expenses"),
-                ),
-            ),
-        ),
-        with_title(
-            5,
-            each(
-                "monthly_surplus",
-                lambda m: F.concat_ws(
-                    " | ",
-                    m["month"],
-                    currency(m["income"]),
-                    currency(m["expenses"]),
-                    currency(m["surplus"]),
-                    percentage(m["savings_rate"]),
-                ),
-            ),
+            labelled("Category: ", "most_expense_category.category"),
+            labelled("Amount: ", currency("most_expense_category.amount")),
+            "concat('Percentage: ', coalesce("
+            f"{percentage('most_expense_category.percentage')}, 'n/a'), ' of total expenses')",
         ),
-        with_title(
+        titled(5, each("monthly_surplus", month)),
+        titled(
             6,
-            F.when(
-                F.size(F.coalesce("emi_analysis", F.array().cast(report.schema["emi_analysis"].dataType))) > 0,
-                F.concat(
-                    F.transform(
-                        "emi_analysis",
-                        lambda e: F.concat_ws(
-                            " | ",
-                            currency(e["amount"]),
-                            shorten(e["description"]),
-                            F.concat(e["frequency"], F.lit(" times")),
-                            e["confidence"],
-                            currency(e["total_paid"]),
-                        ),
-                    ),
-                    F.array(
-                        F.concat(
-                            F.lit("Total Monthly EMI/Recurring: "),
-                            currency(
-                                F.aggregate(
-                                    "emi_analysis",
-                                    F.lit(0).cast("decimal(38,2)"),
-                                    lambda acc, e: (acc + e["amount"]).cast("decimal(38,2)"),
-                                )
-                            ),
-                        )
-                    ),
-                ),
-            ).otherwise(F.array(F.lit(NO_RECURRING))),
+            f"CASE WHEN size(emi_analysis) > 0 THEN concat({each('emi_analysis', recurring)}, array({recurring_total}))"
+            f" ELSE array({lit(NO_RECURRING)}) END",
         ),
-        with_title(
+        lines(
             7,
-            F.array(
-                F.concat(F.lit("Total Income:           "), currency(F.col(f"{total}.total_income"))),
-                F.concat(F.lit("Total Expenses:         "), currency(F.col(f"{total}.total_expenses"))),
-                F.concat(F.lit("Net Surplus:            "), currency(F.col(f"{total}.net_surplus"))),
-                F.concat(F.lit("Overall Savings Rate:   "), percentage(F.col(f"{total}.overall_savings_rate"))),
-                F.concat(F.lit("Avg Monthly Income:     "), currency(F.col(f"{total}.average_monthly_income"))),
-                F.concat(F.lit("Avg Monthly Expenses:   "), currency(F.col(f"{total}.average_monthly_expenses"))),
-            ),
+            labelled("Total Income:           ", currency("summary.total_income")),
+            labelled("Total Expenses:         ", currency("summary.total_expenses")),
+            labelled("Net Surplus:            ", currency("summary.net_surplus")),
+            labelled("Overall Savings Rate:   ", percentage("summary.overall_savings_rate")),
+            labelled("Avg Monthly Income:     ", currency("summary.average_monthly_income")),
+            labelled("Avg Monthly Expenses:   ", currency("summary.average_monthly_expenses")),
         ),
     ]
-
-    def numbered(section: int) -> Column:
-        return F.transform(
-            sections[section],
-            lambda t, i: F.struct(F.lit(section).alias("section"), i.alias("line_no"), t.alias("text")),
+    numbered = ", ".join(
+        f"transform({texts}, (t, i) -> named_struct('section', {s}, 'line_no', i, 'text', t))"
+        for s, texts in enumerate(sections)
+    )
+    largest_first = (
+        "transform(array_sort(transform(expense_categories, (c, i) -> named_struct("
+        "'less', -c.amount, 'i', i, 'category', c.category, 'amount', c.amount))), "
+        "c -> named_struct('category', c.category, 'amount', c.amount))"
+    )
+    return (
+        report.withColumns(
+            {
+                "largest_first": F.expr(largest_first),
+                "expenses": F.expr("aggregate(expense_categories, 0D, (a, c) -> a + CAST(c.amount AS double))"),
+                "recurring": F.expr(
+                    "aggregate(emi_analysis, CAST(0 AS decimal(38,2)), (a, e) -> CAST(a + e.amount AS decimal(38,2)))"
+                ),
+            }
         )
-
-    every = F.flatten(F.array(*[numbered(s) for s in range(len(sections))]))
-    return report.select(KEY, F.inline(every))
+        .selectExpr(KEY, f"inline(flatten(array({numbered})))")
+    )
 
 
-def _right(text: Column, width: int) -> Column:
+def _right(text: str, width: int) -> str:
     """Right-aligned in ``width`` characters; longer text stays whole."""
-    return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(text), F.lit(0))), text)
+    return f"concat(repeat(' ', greatest({width} - length({text}), 0)), {text})"
 
 
 # ---- tables behind the charts and the transaction view ----
@@ -181,4 +135,4 @@ def category_shares(report: DataFrame) -> DataFrame:
 def display_ledger(ledger: DataFrame) -> DataFrame:
     """The ledger as shown to a reader: money columns as currency text."""
     money = ["amount", "debit", "credit", "balance"]
-    return ledger.withColumns({c: currency_or_text(F.col(c).cast("string")) for c in money})
+    return ledger.withColumns({c: F.expr(currency_or_text(f"CAST({c} AS string)")) for c in money})

@@ -6,9 +6,6 @@ statement (unique, below 2**41).  In a ledger, NULL in ``description``,
 such column"; a blank cell is '' or 0.
 """
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 KEY = "statement_id"
 MONEY = "decimal(18,2)"
 ROW_BITS = 41
@@ -22,25 +19,21 @@ LEDGER = f"""
     cheque_no string, reference_no string, branch string
 """
 
-LEDGER_COLUMNS = [
-    "statement_id", "row_no", "txn_date", "month", "description", "debit", "credit", "amount",
-    "balance", "dr_cr_indicator", "txn_type", "transaction_amount", "cheque_no", "reference_no",
-    "branch",
-]
+ZERO = f"CAST(0 AS {MONEY})"
 
 
-def day_order(day: Column, row_no: Column) -> Column:
+def day_order(day: str = "txn_date", row_no: str = "row_no") -> str:
     """(day, row_no) packed into one bigint.
 
     ``min_by``/``max_by`` over a bigint stay in hash aggregation; a struct key
     would force a sort of every input row.
     """
-    fits = row_no < F.lit(1 << ROW_BITS)
-    packed = F.unix_date(day).cast("bigint") * F.lit(1 << ROW_BITS) + row_no
-    return F.when(fits, packed).otherwise(
-        F.raise_error(F.lit("row_no must be below 2**41")).cast("bigint")
+    packed = f"CAST(unix_date({day}) AS bigint) * {1 << ROW_BITS} + {row_no}"
+    return (
+        f"CASE WHEN {row_no} < {1 << ROW_BITS} THEN {packed} "
+        "ELSE CAST(raise_error('row_no must be below 2**41') AS bigint) END"
     )
 
 
-def cents(money: Column) -> Column:
-    return (money * 100).cast("bigint")
+def cents(money: str) -> str:
+    return f"CAST({money} * 100 AS bigint)"

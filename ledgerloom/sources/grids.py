@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import missing_to_null
@@ -23,26 +23,17 @@ def _scan(spark: SparkSession, path: str | list[str], header: bool, multiline: b
         .option("escape", '"')
         .csv(path)
     )
-    cells = F.array(*[missing_to_null(F.col(n)) for n in names[:-1]])
-    too_wide = F.col(names[-1]).isNotNull()
+    cells = ", ".join(missing_to_null(n) for n in names[:-1])
     # Lines of a file keep their order: a file is cut into splits by byte offset, a
     # full split is a task of its own, and no split has more lines than bytes.
-    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = frame.select(
-        F.col("_metadata.file_path").alias(KEY),
-        (F.col("_metadata.file_block_start") + line).alias("row_no"),
-        F.when(
-            too_wide, F.raise_error(F.lit(f"a line has more than {max_columns} cells")).cast("array<string>")
-        )
-        .otherwise(cells)
-        .alias("cells"),
-    )
-    return rows.withColumn("cells", _without_trailing_nulls(F.col("cells")))
-
-
-def _without_trailing_nulls(cells: Column) -> Column:
-    used = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))
-    return F.slice(cells, 1, used)
+    line = f"monotonically_increasing_id() & {(1 << 33) - 1}L"
+    too_wide = f"raise_error('a line has more than {max_columns} cells')"
+    used = "array_max(transform(cells, (c, i) -> CASE WHEN c IS NOT NULL THEN i + 1 ELSE 0 END))"
+    return frame.selectExpr(
+        f"_metadata.file_path AS {KEY}",
+        f"_metadata.file_block_start + ({line}) AS row_no",
+        f"CASE WHEN {names[-1]} IS NOT NULL THEN CAST({too_wide} AS array<string>) ELSE array({cells}) END AS cells",
+    ).selectExpr(KEY, "row_no", f"slice(cells, 1, {used}) AS cells")
 
 
 def read_grids(
@@ -106,23 +97,24 @@ def number_page_rows(pages: DataFrame) -> DataFrame:
     the pages before it, taken in three levels so that no window ever covers more
     than ``PAGE_GROUP`` pages or page groups.
     """
-    counts = pages.groupBy(KEY, "page_no").agg((F.max("page_row") + 1).alias("n"))
-    group, section = F.expr(f"page_no div {PAGE_GROUP}"), F.expr(f"page_no div {PAGE_GROUP**2}")
-    level = counts.withColumn("grp", group).withColumn("section", section)
+    counts = pages.groupBy(KEY, "page_no").agg(F.expr("max(page_row) + 1 AS n"))
+    level = counts.selectExpr(
+        "*", f"page_no div {PAGE_GROUP} AS grp", f"page_no div {PAGE_GROUP**2} AS section"
+    )
     groups = level.groupBy(KEY, "section", "grp").agg(F.sum("n").alias("n"))
     sections = groups.groupBy(KEY, "section").agg(F.sum("n").alias("n"))
 
-    def before(keys: list[str], order: str) -> Column:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("n").over(w), F.lit(0))
+    def before(frame: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+        running = (
+            f"coalesce(sum(n) OVER (PARTITION BY {', '.join(keys)} ORDER BY {order} "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {name}"
+        )
+        return frame.selectExpr("*", running).drop("n")
 
     offsets = (
-        level.withColumn("in_group", before([KEY, "section", "grp"], "page_no"))
-        .drop("n")
-        .join(groups.withColumn("in_section", before([KEY, "section"], "grp")).drop("n"), [KEY, "section", "grp"])
-        .join(sections.withColumn("start", before([KEY], "section")).drop("n"), [KEY, "section"])
-        .select(KEY, "page_no", (F.col("start") + F.col("in_section") + F.col("in_group")).alias("offset"))
-    )
-    return pages.join(offsets, [KEY, "page_no"]).select(
-        KEY, (F.col("offset") + F.col("page_row")).alias("row_no"), "cells"
+        before(level, [KEY, "section", "grp"], "page_no", "in_group")
+        .join(before(groups, [KEY, "section"], "grp", "in_section"), [KEY, "section", "grp"])
+        .join(before(sections, [KEY], "section", "start"), [KEY, "section"])
+        .selectExpr(KEY, "page_no", "start + in_section + in_group AS first_row")
     )
+    return pages.join(offsets, [KEY, "page_no"]).selectExpr(KEY, "first_row + page_row AS row_no", "cells")

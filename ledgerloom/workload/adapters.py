@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import lit
 from ..operators.typing import finish_ledger
 from ..schemas import KEY, MONEY
 
@@ -23,179 +24,148 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _order_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as account entries; cents are whole numbers, so no rounding rule matters."""
-    order = F.col("o_orderkey")
-    paid = F.expr("(cast(round(o_totalprice * 100) as bigint) + 50) div 100")
-    used = F.when(order % 101 == 0, 0).otherwise(paid)
-    texts = F.array(*[F.lit(d) for d in DESCRIPTIONS])
-    return table(spark, folder, "orders").select(
-        F.expr(f"cast(o_custkey div {STATEMENT_CUSTOMERS} as string)").alias(KEY),
-        order.alias("row_no"),
-        F.when(order % 97 != 0, F.col("o_orderdate").cast("date")).alias("txn_date"),
-        F.get(texts, (order % 20).cast("int")).alias("description"),
-        F.when(F.col("o_orderstatus").isin("F", "P"), used).otherwise(0).alias("debit_cents"),
-        F.when(F.col("o_orderstatus") == "O", used).otherwise(0).alias("credit_cents"),
-        F.when(order % 13 != 0, (order * 7919) % 1000000).alias("balance_cents"),
-    )
+def _money(cents: str) -> str:
+    return f"CAST(CAST({cents} AS decimal(20,0)) / 100 AS {MONEY})"
 
 
-def _money(cents: Column) -> Column:
-    return (cents.cast("decimal(20,0)") / 100).cast(MONEY)
+def order_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as account entries; cents are whole numbers, so no rounding rule matters."""
+    texts = ", ".join(lit(d) for d in DESCRIPTIONS)
+    return (
+        table(spark, folder, "orders")
+        .selectExpr(
+            "*",
+            "CASE WHEN o_orderkey % 101 = 0 THEN 0 "
+            "ELSE (CAST(round(o_totalprice * 100) AS bigint) + 50) div 100 END AS used",
+        )
+        .selectExpr(
+            f"CAST(o_custkey div {STATEMENT_CUSTOMERS} AS string) AS {KEY}",
+            "o_orderkey AS row_no",
+            "CASE WHEN o_orderkey % 97 <> 0 THEN CAST(o_orderdate AS date) END AS txn_date",
+            f"get(array({texts}), CAST(o_orderkey % 20 AS int)) AS description",
+            f"{_money('''CASE WHEN o_orderstatus IN ('F', 'P') THEN used ELSE 0 END''')} AS debit",
+            f"{_money('''CASE WHEN o_orderstatus = 'O' THEN used ELSE 0 END''')} AS credit",
+            f"{_money('CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderkey * 7919) % 1000000 END')} AS balance",
+        )
+    )
 
 
 def order_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """A typed ledger: one statement per 150 customers, one row per order."""
-    entries = _order_columns(spark, folder)
-    return finish_ledger(
-        entries.select(
-            KEY,
-            "row_no",
-            "txn_date",
-            "description",
-            *[_money(F.col(f"{c}_cents")).alias(c) for c in ("debit", "credit", "balance")],
-        )
-    )
+    return finish_ledger(order_entries(spark, folder))
 
 
 def event_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """A ledger of skewed amounts: one statement per user, one row per event."""
-    value = _money(F.round(F.col("value") * 100).cast("bigint"))
-    buys = F.col("event_type") == "purchase"
-    nothing = F.lit(0).cast(MONEY)
+    value = _money("CAST(round(value * 100) AS bigint)")
+    nothing = _money("0")
     return finish_ledger(
-        table(spark, folder, "events").select(
-            F.col("user_id").cast("string").alias(KEY),
-            F.col("event_id").alias("row_no"),
-            F.col("ts").cast("date").alias("txn_date"),
-            F.col("event_type").alias("description"),
-            F.when(buys, nothing).otherwise(value).alias("debit"),
-            F.when(buys, value).otherwise(nothing).alias("credit"),
+        table(spark, folder, "events").selectExpr(
+            f"CAST(user_id AS string) AS {KEY}",
+            "event_id AS row_no",
+            "CAST(ts AS date) AS txn_date",
+            "event_type AS description",
+            f"CASE WHEN event_type = 'purchase' THEN {nothing} ELSE {value} END AS debit",
+            f"CASE WHEN event_type = 'purchase' THEN {value} ELSE {nothing} END AS credit",
         )
     )
 
 
 def event_payments(spark: SparkSession, folder: str) -> DataFrame:
     """Event payments with their time of day, in whole currency units."""
-    return table(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias(KEY),
-        F.col("ts"),
-        F.floor("value").cast(MONEY).alias("debit"),
+    return table(spark, folder, "events").selectExpr(
+        f"CAST(user_id AS string) AS {KEY}", "ts", f"CAST(floor(value) AS {MONEY}) AS debit"
     )
 
 
 # ---- raw grids: the order ledger written out as the cells of three statement layouts ----
 
 
-def _layout() -> Column:
-    return F.col(KEY).cast("bigint") % 3
-
-
-def _text(cents: Column, suffix: str = "") -> Column:
-    return F.concat(F.format_number(_money(cents), 2), F.lit(suffix))
+def _cells(*cells: str) -> str:
+    return f"array({', '.join(cells)})"
 
 
-def _cells(*cells: Column | str | None) -> Column:
-    return F.array(*[F.lit(c).cast("string") if not isinstance(c, Column) else c for c in cells])
-
-
-def _by_layout(*choices: Column) -> Column:
-    return F.when(_layout() == 0, choices[0]).when(_layout() == 1, choices[1]).otherwise(choices[2])
+def _by_layout(*choices: str) -> str:
+    return (
+        f"CASE CAST({KEY} AS bigint) % 3 WHEN 0 THEN {choices[0]} WHEN 1 THEN {choices[1]} ELSE {choices[2]} END"
+    )
 
 
-def grid_entries(spark: SparkSession, folder: str) -> DataFrame:
+def _grid_entries(entries: DataFrame) -> DataFrame:
     """The transaction rows of every statement as text cells."""
-    debit, credit, balance = F.col("debit_cents"), F.col("credit_cents"), F.col("balance_cents")
-    spent, earned = F.when(debit > 0, _text(debit)), F.when(credit > 0, _text(credit, " Cr"))
-    day = _by_layout(
-        F.date_format("txn_date", "dd-MM-yyyy"),
-        F.date_format("txn_date", "dd/MM/yyyy"),
-        F.date_format("txn_date", "yyyy-MM-dd"),
-    )
-    return _order_columns(spark, folder).select(
+    spent = "CASE WHEN debit > 0 THEN format_number(debit, 2) END"
+    earned = "CASE WHEN credit > 0 THEN concat(format_number(credit, 2), ' Cr') END"
+    either = "CASE WHEN debit + credit > 0 THEN format_number(debit + credit, 2) END"
+    mark = "CASE WHEN debit > 0 THEN 'DR' WHEN credit > 0 THEN 'CR' END"
+    left = "format_number(balance, 2)"
+    return entries.selectExpr(
         KEY,
-        (F.col("row_no") + FIRST_ROW).alias("row_no"),
+        f"row_no + {FIRST_ROW} AS row_no",
         _by_layout(
-            _cells(day, F.col("description"), spent, earned, _text(balance)),
-            _cells(
-                day,
-                F.col("description"),
-                F.when(debit + credit > 0, _text(debit + credit)),
-                F.when(debit > 0, "DR").when(credit > 0, "CR"),
-                _text(balance),
-            ),
-            _cells(F.col("description"), day, earned, spent, _text(balance, " Dr")),
-        ).alias("cells"),
+            _cells("date_format(txn_date, 'dd-MM-yyyy')", "description", spent, earned, left),
+            _cells("date_format(txn_date, 'dd/MM/yyyy')", "description", either, mark, left),
+            _cells("description", "date_format(txn_date, 'yyyy-MM-dd')", earned, spent, f"concat({left}, ' Dr')"),
+        )
+        + " AS cells",
     )
 
 
-def holder_name(statement: Column) -> Column:
-    return F.concat(F.lit("HOLDER "), F.translate(statement, "0123456789", "ABCDEFGHIJ"))
+def _grid_frame(entries: DataFrame) -> DataFrame:
+    """Account lines, header row and footers of every statement."""
+    header = _by_layout(
+        _cells("'Tran Date'", "'Particulars'", "'Debit'", "'Credit'", "'Balance'"),
+        _cells("'Value Date'", "'Narration'", "'Amount(INR)'", "'DR/CR'", "'Balance(INR)'"),
+        _cells("'Description'", "'Booked On'", "'Deposit Money'", "'Withdrawal Money'", "'Running Balance Amount'"),
+    )
+    holder = f"concat('Customer Name : HOLDER ', translate({KEY}, '0123456789', 'ABCDEFGHIJ'), '.')"
+    account = f"concat('Account No : ', lpad({KEY}, 12, '7'))"
+    bank = f"concat('IFSC Code : ABCD', lpad({KEY}, 7, '0'))"
+    period = "concat('Statement From : ', first_day, ' To : ', last_day)"
+    lines = {
+        0: _cells(holder, "NULL", "NULL", "NULL", "NULL"),
+        1: _cells(account, bank, "NULL", "NULL", "NULL"),
+        2: _cells(period, "NULL", "NULL", "NULL", "NULL"),
+        3: header,
+        4: _cells("'OPENING BALANCE'", "NULL", "NULL", "NULL", f"concat({KEY}, ',000.50')"),
+        LAST_ROW: _cells("'TRANSACTION TOTAL'", "NULL", "'1.00'", "'2.00'", "NULL"),
+        LAST_ROW + 1: _cells("'This is a system generated statement'", "NULL", "NULL", "NULL", "NULL"),
+    }
+    rows = ", ".join(f"named_struct('row_no', {no}L, 'cells', {cells})" for no, cells in lines.items())
+    return (
+        entries.groupBy(KEY)
+        .agg(
+            F.expr("date_format(min(txn_date), 'dd-MM-yyyy') AS first_day"),
+            F.expr("date_format(max(txn_date), 'dd-MM-yyyy') AS last_day"),
+        )
+        .selectExpr(KEY, f"inline(array({rows}))")
+    )
 
 
 def order_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Raw cells of whole statements: account lines, header row, transactions and footers."""
-    entries = grid_entries(spark, folder)
-    period = _order_columns(spark, folder).groupBy(KEY).agg(
-        F.date_format(F.min("txn_date"), "dd-MM-yyyy").alias("first"),
-        F.date_format(F.max("txn_date"), "dd-MM-yyyy").alias("last"),
-    )
-    key = F.col(KEY)
-    header = _by_layout(
-        _cells("Tran Date", "Particulars", "Debit", "Credit", "Balance"),
-        _cells("Value Date", "Narration", "Amount(INR)", "DR/CR", "Balance(INR)"),
-        _cells("Description", "Booked On", "Deposit Money", "Withdrawal Money", "Running Balance Amount"),
-    )
-    frame = F.array(
-        F.struct(F.lit(0).alias("no"), _cells(F.concat(F.lit("Customer Name : "), holder_name(key), F.lit(".")), None, None, None, None).alias("cells")),
-        F.struct(
-            F.lit(1).alias("no"),
-            _cells(
-                F.concat(F.lit("Account No : "), F.lpad(key, 12, "7")),
-                F.concat(F.lit("IFSC Code : ABCD"), F.lpad(key, 7, "0")),
-                None,
-                None,
-                None,
-            ).alias("cells"),
-        ),
-        F.struct(
-            F.lit(2).alias("no"),
-            _cells(F.concat(F.lit("Statement From : "), "first", F.lit(" To : "), "last"), None, None, None, None).alias("cells"),
-        ),
-        F.struct(F.lit(3).alias("no"), header.alias("cells")),
-        F.struct(
-            F.lit(4).alias("no"),
-            _cells("OPENING BALANCE", None, None, None, F.concat(key, F.lit(",000.50"))).alias("cells"),
-        ),
-        F.struct(F.lit(LAST_ROW).alias("no"), _cells("TRANSACTION TOTAL", None, "1.00", "2.00", None).alias("cells")),
-        F.struct(
-            F.lit(LAST_ROW + 1).alias("no"),
-            _cells("This is a system generated statement", None, None, None, None).alias("cells"),
-        ),
-    )
-    lines = period.select(KEY, F.inline(F.transform(frame, lambda f: F.struct(f["no"].cast("bigint").alias("row_no"), f["cells"].alias("cells")))))
-    return entries.unionByName(lines)
+    entries = order_entries(spark, folder)
+    return _grid_entries(entries).unionByName(_grid_frame(entries))
 
 
 def order_pages(spark: SparkSession, folder: str) -> list[DataFrame]:
     """The order ledger as page tables of 40 rows; every third page lacks the last column."""
-    row = F.col("row_no")
-    base = _order_columns(spark, folder).select(
+    base = order_entries(spark, folder).selectExpr(
         KEY,
-        F.expr("row_no div 40").alias("page_no"),
-        (row % 40).alias("page_row"),
-        F.col("description").alias("c0"),
-        _text(F.col("debit_cents")).alias("c1"),
+        "row_no div 40 AS page_no",
+        "row_no % 40 AS page_row",
+        "description AS c0",
+        "format_number(debit, 2) AS c1",
     )
-    short = F.col("page_no") % 3 == 0
-    return [base.where(~short), base.where(short).drop("c1")]
+    return [base.where("page_no % 3 <> 0"), base.where("page_no % 3 = 0").drop("c1")]
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents as grids: one row per line of text."""
-    return table(spark, folder, "documents").select(
-        F.col("doc_id").cast("string").alias(KEY), F.posexplode(F.split("text", "\n")).alias("row_no", "line")
-    ).select(KEY, F.col("row_no").cast("bigint").alias("row_no"), F.array("line").alias("cells"))
+    return (
+        table(spark, folder, "documents")
+        .selectExpr(f"CAST(doc_id AS string) AS {KEY}", "posexplode(split(text, '\\n')) AS (row_no, line)")
+        .selectExpr(KEY, "CAST(row_no AS bigint) AS row_no", "array(line) AS cells")
+    )
 
 
 # ---- ready-made tables for the second report, four layouts ----
@@ -210,22 +180,22 @@ TABLE_HEADERS = [
 
 def order_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Rows and headers of ready-made tables: marked, split, signed and unnamed amounts."""
-    debit, credit = _money(F.col("debit_cents")), _money(F.col("credit_cents"))
-    day = F.date_format("txn_date", "yyyy-MM-dd")
-    balance = _money(F.col("balance_cents")).cast("string")
-    text = F.col("description")
-    kind = F.col(KEY).cast("bigint") % 4
-    mark = F.when(debit > 0, "Debit").when(credit > 0, "Credit")
-    signed = (credit - debit).cast("string")
-    no = F.concat(F.lit("N"), F.col("row_no"))
-    cells = (
-        F.when(kind == 0, _cells(day, text, (debit + credit).cast("string"), mark, balance))
-        .when(kind == 1, _cells(day, text, debit.cast("string"), credit.cast("string"), balance))
-        .when(kind == 2, _cells(day, text, signed, no, balance))
-        .otherwise(_cells(day, text, signed, no, balance))
+    day, text = "date_format(txn_date, 'yyyy-MM-dd')", "description"
+    debit, credit, left = (f"CAST({c} AS string)" for c in ("debit", "credit", "balance"))
+    either, signed = "CAST(debit + credit AS string)", "CAST(credit - debit AS string)"
+    mark = "CASE WHEN debit > 0 THEN 'Debit' WHEN credit > 0 THEN 'Credit' END"
+    number = "concat('N', row_no)"
+    kind = f"CAST({KEY} AS bigint) % 4"
+    entries = order_entries(spark, folder)
+    rows = entries.selectExpr(
+        KEY,
+        "row_no",
+        f"CASE {kind} WHEN 0 THEN {_cells(day, text, either, mark, left)} "
+        f"WHEN 1 THEN {_cells(day, text, debit, credit, left)} "
+        f"ELSE {_cells(day, text, signed, number, left)} END AS cells",
+    )
+    headers = ", ".join(_cells(*map(lit, h)) for h in TABLE_HEADERS)
+    tables = (
+        entries.select(KEY).distinct().selectExpr(KEY, f"get(array({headers}), CAST({kind} AS int)) AS header")
     )
-    entries = _order_columns(spark, folder)
-    rows = entries.select(KEY, "row_no", cells.alias("cells"))
-    headers = F.array(*[_cells(*h) for h in TABLE_HEADERS])
-    tables = entries.select(KEY).distinct().select(KEY, F.get(headers, kind.cast("int")).alias("header"))
     return rows, tables

@@ -396,7 +396,7 @@ def _text_report() -> str:
     lines += [
         f"SELECT statement_id, 2, {by_month}, month || ': ' || {_CURRENCY % 'expenses'} FROM surplus",
         f"SELECT statement_id, 3, position, rpad(category, 25, ' ') || ': ₹' || lpad({_GROUPED % 'amount'}, "
-        f"greatest(10, length({_GROUPED % 'amount'})), ' ') || ' (' || lpad(printf('%.1f', percentage) || '%', 6, ' ') || ')' FROM rcats",
+        f"CAST(greatest(10, length({_GROUPED % 'amount'})) AS INTEGER), ' ') || ' (' || lpad(printf('%.1f', percentage) || '%', 6, ' ') || ')' FROM rcats",
         f"SELECT statement_id, 5, {by_month}, month || ' | ' || {_CURRENCY % 'income'} || ' | ' || {_CURRENCY % 'expenses'}"
         f" || ' | ' || {_CURRENCY % 'surplus'} || ' | ' || printf('%.1f', savings_rate) || '%' FROM surplus",
         "SELECT statement_id, 6, row_number() OVER (PARTITION BY statement_id ORDER BY amount DESC, row_no), "

@@ -28,13 +28,13 @@ def plain(df: DataFrame) -> DataFrame:
     """Decimals and doubles rounded to what is compared."""
     out = []
     for name, kind in df.dtypes:
-        c = F.col(name)
         if kind.startswith("decimal"):
-            c = F.round(c.cast("double"), 2)
+            out.append(f"round(CAST({name} AS double), 2) AS {name}")
         elif kind == "double":
-            c = F.round(c, 6)
-        out.append(c.alias(name))
-    return df.select(*out)
+            out.append(f"round({name}, 6) AS {name}")
+        else:
+            out.append(name)
+    return df.selectExpr(*out)
 
 
 def query(build: Query) -> Query:
@@ -73,7 +73,9 @@ def report_ledger(spark, folder):
 @query
 def display_ledger(spark, folder):
     shown = report.display_ledger(adapters.order_ledger(spark, folder))
-    return shown.select(KEY, "row_no", "debit", "credit", "balance", "amount", text.shorten(F.col("description"), 12).alias("short_text"))
+    return shown.selectExpr(
+        KEY, "row_no", "debit", "credit", "balance", "amount", f"{text.shorten('description', 12)} AS short_text"
+    )
 
 
 # ---- summaries ----
@@ -237,7 +239,7 @@ def header_rows(spark, folder):
 @query
 def layout_names(spark, folder):
     layouts = grid.detect_layouts(adapters.order_grid(spark, folder))
-    return layouts.select(KEY, F.array_join("header", "|").alias("header"), F.array_join("names", "|").alias("names"))
+    return layouts.selectExpr(KEY, "array_join(header, '|') AS header", "array_join(names, '|') AS names")
 
 
 @query
@@ -250,7 +252,7 @@ def column_profile(spark, folder):
 def transaction_rows(spark, folder):
     raw = adapters.order_grid(spark, folder)
     named = grid.name_columns(grid.detect_headers(raw))
-    return grid.transaction_rows(raw, named).select(KEY, "row_no", F.array_join("cells", "|", "").alias("line"))
+    return grid.transaction_rows(raw, named).selectExpr(KEY, "row_no", "array_join(cells, '|', '') AS line")
 
 
 @query
@@ -280,67 +282,71 @@ def frame_layouts(spark, folder):
     raw = from_frame(
         orders, key, "o_orderkey", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
     )
-    return grid.detect_layouts(raw).select(KEY, "header_row_no", F.array_join("names", "|").alias("names"))
+    return grid.detect_layouts(raw).selectExpr(KEY, "header_row_no", "array_join(names, '|') AS names")
 
 
 @query
 def page_rows(spark, folder):
     pages = concat_pages(adapters.order_pages(spark, folder))
-    stacked = pages.select(KEY, "page_no", "page_row", F.array("c0", "c1").alias("cells"))
-    return number_page_rows(stacked).select(KEY, "row_no", F.array_join("cells", "|", "").alias("line"))
+    stacked = pages.selectExpr(KEY, "page_no", "page_row", "array(c0, c1) AS cells")
+    return number_page_rows(stacked).selectExpr(KEY, "row_no", "array_join(cells, '|', '') AS line")
 
 
 @query
 def clean_amounts(spark, folder):
-    items = adapters.table(spark, folder, "lineitem")
-    grouped = F.format_number(F.col("l_extendedprice").cast(MONEY), 2)
-    cell = F.concat(F.lit("INR "), grouped, F.when(F.col("l_returnflag") == "R", " Dr").otherwise(" Cr"))
-    return items.select(
+    grouped = f"format_number(CAST(l_extendedprice AS {MONEY}), 2)"
+    cell = f"concat('INR ', {grouped}, CASE WHEN l_returnflag = 'R' THEN ' Dr' ELSE ' Cr' END)"
+    return adapters.table(spark, folder, "lineitem").selectExpr(
         "l_orderkey",
         "l_linenumber",
-        text.clean_amount(cell).alias("cleaned"),
-        F.coalesce(text.to_number(grouped), F.lit(0).cast(MONEY)).alias("coerced"),
+        f"{text.clean_amount(cell)} AS cleaned",
+        f"coalesce({text.to_number(grouped)}, 0) AS coerced",
     )
 
 
 @query
 def parsed_dates(spark, folder):
-    items = adapters.table(spark, folder, "lineitem")
-    day = F.col("l_shipdate").cast("date")
-    form = F.col("l_orderkey") % 6
-    cell = (
-        F.when(form == 0, F.date_format(day, "dd/MM/yyyy"))
-        .when(form == 1, F.date_format(day, "d-M-yyyy"))
-        .when(form == 2, F.date_format(day, "yyyy-MM-dd"))
-        .when(form == 3, F.date_format(day, "dd-MMM-yyyy"))
-        .when(form == 4, F.concat(F.date_format(day, "dd.MM.yyyy"), F.lit(" 10:30:00")))
-        .otherwise(F.date_format(day, "MM/dd/yyyy"))
+    formats = ["dd/MM/yyyy", "d-M-yyyy", "yyyy-MM-dd", "dd-MMM-yyyy", "dd.MM.yyyy 10:30:00", "MM/dd/yyyy"]
+    shown = " ".join(
+        f"WHEN {i} THEN date_format(l_shipdate, {text.lit(f.replace('10:30:00', 'HH:mm:ss'))})"
+        for i, f in enumerate(formats)
+    )
+    cell = f"CASE l_orderkey % {len(formats)} {shown} END"
+    return adapters.table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", f"{text.parse_date(cell)} AS parsed"
     )
-    return items.select("l_orderkey", "l_linenumber", text.parse_date(cell).alias("parsed"))
 
 
 @query
 def amount_splits(spark, folder):
-    orders = adapters.table(spark, folder, "orders")
-    amount = (F.col("o_totalprice") - 100000).cast(MONEY)
-    mark = F.when(F.col("o_orderstatus") == "F", " dr").when(F.col("o_orderstatus") == "O", "Credit").otherwise("?")
-    exact = typing.split_by_indicator(amount, mark)
-    prefix = typing.split_by_prefix(amount, F.trim(mark))
-    sign = typing.split_by_sign(amount)
-    merged = typing.merge_columns(sign[0], sign[1])
-    return orders.select(
-        "o_orderkey",
-        exact[0].alias("mark_debit"),
-        exact[1].alias("mark_credit"),
-        typing.transaction_type(*exact).alias("mark_type"),
-        prefix[0].alias("prefix_debit"),
-        prefix[1].alias("prefix_credit"),
-        prefix[2].alias("prefix_label"),
-        sign[0].alias("sign_debit"),
-        sign[1].alias("sign_credit"),
-        sign[2].alias("sign_label"),
-        merged[0].alias("merged_amount"),
-        merged[1].alias("merged_label"),
+    mark_debit, mark_credit = typing.split_by_indicator("amount", "mark")
+    prefix_debit, prefix_credit, prefix_label = typing.split_by_prefix("amount", "trim(mark)")
+    sign_debit, sign_credit, sign_label = typing.split_by_sign("amount")
+    merged_amount, merged_label = typing.merge_columns("sign_debit", "sign_credit")
+    return (
+        adapters.table(spark, folder, "orders")
+        .selectExpr(
+            "o_orderkey",
+            f"CAST(o_totalprice - 100000 AS {MONEY}) AS amount",
+            "CASE o_orderstatus WHEN 'F' THEN ' dr' WHEN 'O' THEN 'Credit' ELSE '?' END AS mark",
+        )
+        .selectExpr(
+            "o_orderkey",
+            f"{mark_debit} AS mark_debit",
+            f"{mark_credit} AS mark_credit",
+            f"{prefix_debit} AS prefix_debit",
+            f"{prefix_credit} AS prefix_credit",
+            f"{prefix_label} AS prefix_label",
+            f"{sign_debit} AS sign_debit",
+            f"{sign_credit} AS sign_credit",
+            f"{sign_label} AS sign_label",
+        )
+        .selectExpr(
+            "*",
+            f"{typing.transaction_type('mark_debit', 'mark_credit')} AS mark_type",
+            f"{merged_amount} AS merged_amount",
+            f"{merged_label} AS merged_label",
+        )
     )
 
 
@@ -381,19 +387,19 @@ def grid_quality(spark, folder):
 @query
 def insights_overview(spark, folder):
     wide = insights.comprehensive_insights(adapters.order_ledger(spark, folder))
-    return wide.select(
+    return wide.selectExpr(
         KEY,
         "transaction_summary.total_transactions",
         "transaction_summary.opening_balance",
         "financial_metrics.net_cashflow",
         "financial_metrics.savings_rate",
         "financial_metrics.emi_to_income_ratio",
-        F.size("monthly_analysis.monthly_summary").alias("months"),
-        F.array_join(F.col("spending_analysis.top_expenses.category"), "|").alias("top_expenses"),
-        F.col("spending_analysis.monthly_spending_stats.highest_month").alias("highest_month"),
-        F.col("spending_analysis.large_transactions.count").alias("large_count"),
-        F.size("spending_analysis.day_of_week_spending").alias("weekdays"),
-        F.array_join(F.col("income_analysis.income_sources.source"), "|").alias("income_sources"),
+        "size(monthly_analysis.monthly_summary) AS months",
+        "array_join(spending_analysis.top_expenses.category, '|') AS top_expenses",
+        "spending_analysis.monthly_spending_stats.highest_month",
+        "spending_analysis.large_transactions.count AS large_count",
+        "size(spending_analysis.day_of_week_spending) AS weekdays",
+        "array_join(income_analysis.income_sources.source, '|') AS income_sources",
         "emi_analysis.total_emi",
         "emi_analysis.emi_count",
         "alerts.unusual_count",
@@ -419,14 +425,14 @@ def analysis_overview(spark, folder):
 @query
 def report_overview(spark, folder):
     wide = insights.comprehensive_report(_report(spark, folder))
-    return wide.select(
+    return wide.selectExpr(
         KEY,
         "transaction_counts.credit_transactions",
         "eod_balance",
-        F.size("monthly_expenses").alias("months"),
-        F.array_join(F.col("expense_categories.category"), "|").alias("categories"),
+        "size(monthly_expenses) AS months",
+        "array_join(expense_categories.category, '|') AS categories",
         "most_expense_category.category",
-        F.size("emi_analysis").alias("emi_count"),
+        "size(emi_analysis) AS emi_count",
         "summary.net_surplus",
         "summary.overall_savings_rate",
     )
