@@ -22,7 +22,7 @@ def _ranked(totals: DataFrame, rules: RuleSet) -> DataFrame:
 def expense_categories(flow: DataFrame, rules: RuleSet = EXPENSE_RULES) -> DataFrame:
     """Debit total per category, zero totals left out; ``position`` 1 is the largest."""
     totals = (
-        flow.where("expense_category IS NOT NULL")
+        flow.where("expense > 0")
         .groupBy(KEY, F.col("expense_category").alias("category"))
         .agg(F.sum("expense").alias("amount"))
         .where("amount > 0")
@@ -51,11 +51,16 @@ def report_expense_categories(report: DataFrame, rules: RuleSet = REPORT_EXPENSE
 
 def largest_category(report: DataFrame, rules: RuleSet = REPORT_EXPENSE_RULES) -> DataFrame:
     """The category with the highest total; 'None', 0 and no percentage without expenses."""
-    largest = report_expense_categories(report, rules).where("position = 1")
+    return largest_of(report, report_expense_categories(report, rules))
+
+
+def largest_of(report: DataFrame, shares: DataFrame) -> DataFrame:
+    """``largest_category`` from the categories already computed."""
+    largest = shares.where("position = 1").select(KEY, "category", "amount", "percentage")
     return (
         report.select(KEY)
         .distinct()
-        .join(largest.select(KEY, "category", "amount", "percentage"), KEY, "left")
+        .join(largest, KEY, "left")
         .selectExpr(
             KEY,
             "coalesce(category, 'None') AS category",
@@ -84,7 +89,7 @@ def income_summary(flow: DataFrame) -> DataFrame:
 def income_sources(flow: DataFrame, rules: RuleSet = INCOME_RULES) -> DataFrame:
     """Credit total per source, in rule order, zero totals left out."""
     return (
-        flow.where("income_source IS NOT NULL")
+        flow.where("income > 0")
         .groupBy(KEY, F.col("income_source").alias("source"))
         .agg(F.sum("income").alias("amount"))
         .where("amount > 0")

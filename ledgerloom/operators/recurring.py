@@ -24,7 +24,7 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any
+from ..functions.text import bind, contains_any
 from ..rules import LOAN_WORDS, REPORT_LOAN_WORDS
 from ..schemas import KEY, ROW_BITS, cents, day_order
 from ..session import reliable_checkpoint
@@ -65,8 +65,11 @@ def _money(value: str) -> str:
 
 
 def _distinct_amounts(payments: DataFrame) -> DataFrame:
-    """Figures per distinct positive amount; ``seq`` is the order in which seeds are walked."""
-    return (
+    """Figures per distinct positive amount; ``seq`` is the order in which seeds are walked.
+
+    Seeds and bands both read them, so they are written to the checkpoint folder.
+    """
+    return reliable_checkpoint(
         payments.where("value > 0")
         .groupBy(KEY, "value")
         .agg(
@@ -142,7 +145,8 @@ def band_figures(amounts: DataFrame, seeds: DataFrame, tolerance: float) -> Data
         .selectExpr(KEY, "value", "first_seq", "likely_seq", "b.level AS level", "b.block AS block")
     )
     return (
-        needed.join(blocks, [KEY, "level", "block"])
+        # blocks grow with the data and their size is not known beforehand: never broadcast them
+        needed.join(blocks.hint("merge"), [KEY, "level", "block"])
         .groupBy(KEY, "value")
         .agg(
             F.expr("max(first_seq) AS first_seq"),
@@ -244,7 +248,7 @@ def _payments(rows: DataFrame, amount: str, seq: str, words: tuple[str, ...]) ->
         f"{cents(amount)} AS value",
         "txn_date",
         f"{seq} AS seq",
-        f"{contains_any('lower(description)', words)} AS likely",
+        f"{bind('lower(description)', 'text_', contains_any('text_', words))} AS likely",
     )
 
 

@@ -70,7 +70,7 @@ def comprehensive_insights(ledger: DataFrame, metadata: DataFrame | None = None)
     income = categories.income_summary(flow)
     emis = recurring.recurring_payments(ledger)
     emis = reliable_checkpoint(emis)  # small: accepted amounts only
-    unusual = spending.unusual_transactions(ledger)
+    unusual = reliable_checkpoint(spending.unusual_transactions(ledger))
     emi_totals = recurring.recurring_totals(emis)
     month_fields = [c for c in monthly.columns if c != KEY]
     surplus_fields = [c for c in surplus.columns if c != KEY]
@@ -147,15 +147,15 @@ def analyze(statements: Statements) -> DataFrame:
 def comprehensive_report(report: DataFrame) -> DataFrame:
     """All analyses of the second report, one row per statement."""
     surplus = reliable_checkpoint(summary.monthly_surplus(report))
-    shares = categories.report_expense_categories(report)
-    emis = recurring.report_recurring_payments(report)
+    shares = reliable_checkpoint(categories.report_expense_categories(report))
+    emis = reliable_checkpoint(recurring.report_recurring_payments(report))
     emi_fields = [c for c in emis.columns if c not in (KEY, "row_no")]
     return _side_by_side(
         _section(summary.direction_counts(report), "transaction_counts"),
         summary.end_balance(report),
         _listed(surplus, "monthly_expenses", "month", ["month", "expenses"]),
         _listed(shares, "expense_categories", "rule_order", ["category", "amount"]),
-        _section(categories.largest_category(report), "most_expense_category"),
+        _section(categories.largest_of(report, shares), "most_expense_category"),
         _listed(surplus, "monthly_surplus", "month", [c for c in surplus.columns if c != KEY]),
         _listed(emis, "emi_analysis", "-amount AS less, row_no", emi_fields),
         _section(summary.overall_summary(surplus), "summary"),

@@ -55,6 +55,10 @@ def _report(spark, folder):
     return typing.report_ledger(adapters.order_ledger(spark, folder))
 
 
+def _stored_report(spark, folder):
+    return typing.report_ledger(adapters.stored_ledger(spark, folder))
+
+
 # ---- ledger ----
 
 
@@ -174,7 +178,7 @@ def weekday_spending(spark, folder):
 
 @query
 def large_transactions(spark, folder):
-    return spending.large_transactions(adapters.order_ledger(spark, folder))
+    return spending.large_transactions(adapters.stored_ledger(spark, folder))
 
 
 @query
@@ -193,7 +197,7 @@ def top_unusual_transactions(spark, folder):
 
 @query
 def recurring_payments(spark, folder):
-    return recurring.recurring_payments(adapters.order_ledger(spark, folder))
+    return recurring.recurring_payments(adapters.stored_ledger(spark, folder))
 
 
 @query
@@ -204,12 +208,12 @@ def recurring_payments_events(spark, folder):
 
 @query
 def report_recurring_payments(spark, folder):
-    return recurring.report_recurring_payments(_report(spark, folder))
+    return recurring.report_recurring_payments(_stored_report(spark, folder))
 
 
 @query
 def recurring_totals(spark, folder):
-    return recurring.recurring_totals(recurring.recurring_payments(adapters.order_ledger(spark, folder)))
+    return recurring.recurring_totals(recurring.recurring_payments(adapters.stored_ledger(spark, folder)))
 
 
 @query
@@ -219,7 +223,7 @@ def payment_gaps(spark, folder):
 
 @query
 def financial_metrics(spark, folder):
-    ledger = adapters.order_ledger(spark, folder)
+    ledger = adapters.stored_ledger(spark, folder)
     flow = flows(ledger)
     return insights.financial_metrics(
         summary.transaction_summary(flow),
@@ -296,7 +300,7 @@ def page_rows(spark, folder):
 def clean_amounts(spark, folder):
     grouped = f"format_number(CAST(l_extendedprice AS {MONEY}), 2)"
     cell = f"concat('INR ', {grouped}, CASE WHEN l_returnflag = 'R' THEN ' Dr' ELSE ' Cr' END)"
-    return adapters.table(spark, folder, "lineitem").selectExpr(
+    return adapters.spread(adapters.table(spark, folder, "lineitem"), "l_orderkey").selectExpr(
         "l_orderkey",
         "l_linenumber",
         f"{text.clean_amount(cell)} AS cleaned",
@@ -312,7 +316,7 @@ def parsed_dates(spark, folder):
         for i, f in enumerate(formats)
     )
     cell = f"CASE l_orderkey % {len(formats)} {shown} END"
-    return adapters.table(spark, folder, "lineitem").selectExpr(
+    return adapters.spread(adapters.table(spark, folder, "lineitem"), "l_orderkey").selectExpr(
         "l_orderkey", "l_linenumber", f"{text.parse_date(cell)} AS parsed"
     )
 
@@ -386,7 +390,7 @@ def grid_quality(spark, folder):
 
 @query
 def insights_overview(spark, folder):
-    wide = insights.comprehensive_insights(adapters.order_ledger(spark, folder))
+    wide = insights.comprehensive_insights(adapters.stored_ledger(spark, folder))
     return wide.selectExpr(
         KEY,
         "transaction_summary.total_transactions",
@@ -424,7 +428,7 @@ def analysis_overview(spark, folder):
 
 @query
 def report_overview(spark, folder):
-    wide = insights.comprehensive_report(_report(spark, folder))
+    wide = insights.comprehensive_report(_stored_report(spark, folder))
     return wide.selectExpr(
         KEY,
         "transaction_counts.credit_transactions",
@@ -440,7 +444,7 @@ def report_overview(spark, folder):
 
 @query
 def text_report(spark, folder):
-    return report.report_lines(insights.comprehensive_report(_report(spark, folder)))
+    return report.report_lines(insights.comprehensive_report(_stored_report(spark, folder)))
 
 
 @query
