@@ -86,7 +86,7 @@ def currency_or_text(x: str) -> str:
 
 
 def percentage(x: str) -> str:
-    return f"concat(format_string('%.1f', CAST({x} AS double)), '%')"
+    return f"CASE WHEN {x} IS NOT NULL THEN concat(format_string('%.1f', CAST({x} AS double)), '%') END"
 
 
 def shorten(x: str, width: int = 50) -> str:
