@@ -90,12 +90,15 @@ def detect_headers(raw: DataFrame) -> DataFrame:
     The row with the highest phrase score (at least 3, first one on ties) wins;
     else the first row naming a date, an amount or a balance; else there is none.
     """
-    names = "names" if "names" in raw.columns else "CAST(NULL AS array<string>)"
     stats = raw.groupBy(KEY).agg(
         F.expr("max(size(cells)) AS n_cols"),
         F.expr(f"max(CASE WHEN {IS_TRANSACTION} THEN row_no END) AS last_kept_row"),
-        F.expr(f"max({names}) AS given_names"),
     )
+    if "names" in raw.columns:
+        given = raw.selectExpr(KEY, "names AS given_names").distinct()
+        stats = stats.join(given, KEY)
+    else:
+        stats = stats.withColumn("given_names", F.expr("CAST(NULL AS array<string>)"))
     # only rows that could be a header carry their cells into the aggregation
     found = (
         raw.selectExpr(KEY, "row_no", "cells", f"{header_rank()} AS score")

@@ -30,6 +30,7 @@ from ..schemas import KEY, ROW_BITS, cents, day_order
 from ..session import reliable_checkpoint
 
 FOLD_LIMIT = 20_000
+BROADCAST_ROWS = 100_000  # rows of a few numbers: some megabytes
 
 # A monthly cadence in days, and the limits of the second report.
 MONTHLY_DAYS = (25, 35)
@@ -107,21 +108,32 @@ def _with_band(seeds: DataFrame, tolerance: float) -> DataFrame:
     )
 
 
-# Per level, the blocks [left_, right_) cover the band; a block at either end that is not a
-# half of a block one level up is used at this level.
-_COVER = """
-    filter(flatten(transform(
-        transform(
-            sequence(0, CAST(floor(log2(high - low + 1)) AS int)),
-            l -> named_struct('level', l,
-                'left_', shiftright(low + shiftleft(1L, l) - 1, l), 'right_', shiftright(high + 1, l))),
-        r -> array(
-            named_struct('level', r.level, 'block', r.left_,
-                'used', r.left_ % 2 = 1 AND r.left_ < r.right_),
-            named_struct('level', r.level, 'block', r.right_ - 1,
-                'used', r.right_ % 2 = 1 AND r.left_ + r.left_ % 2 < r.right_))
-        )), b -> b.used)
-"""
+def _cover(seeds: DataFrame) -> DataFrame:
+    """The dyadic blocks that make up the band of every seed.
+
+    On each level the blocks [left, right) lie in the band; one at either end that is
+    not half of a block one level up is used on this level.
+    """
+    keep = [KEY, "value", "first_seq", "likely_seq"]
+    return (
+        seeds.selectExpr(
+            *keep, "low", "high", "explode(sequence(0, CAST(floor(log2(high - low + 1)) AS int))) AS level"
+        )
+        .selectExpr(
+            *keep,
+            "level",
+            "shiftright(low + shiftleft(1L, level) - 1, level) AS left_",
+            "shiftright(high + 1, level) AS right_",
+        )
+        .where("left_ < right_")
+        .selectExpr(
+            *keep,
+            "level",
+            "explode(array(CASE WHEN left_ % 2 = 1 THEN left_ END,"
+            " CASE WHEN right_ % 2 = 1 AND left_ + left_ % 2 < right_ THEN right_ - 1 END)) AS block",
+        )
+        .where("block IS NOT NULL")
+    )
 
 
 def band_figures(amounts: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame:
@@ -139,11 +151,7 @@ def band_figures(amounts: DataFrame, seeds: DataFrame, tolerance: float) -> Data
             F.expr("max(last_date) AS last_date"),
         )
     )
-    needed = (
-        _with_band(seeds, tolerance)
-        .selectExpr(KEY, "value", "first_seq", "likely_seq", f"explode({_COVER}) AS b")
-        .selectExpr(KEY, "value", "first_seq", "likely_seq", "b.level AS level", "b.block AS block")
-    )
+    needed = _cover(_with_band(seeds, tolerance))
     return (
         # blocks grow with the data and their size is not known beforehand: never broadcast them
         needed.join(blocks.hint("merge"), [KEY, "level", "block"])
@@ -255,6 +263,9 @@ def _payments(rows: DataFrame, amount: str, seq: str, words: tuple[str, ...]) ->
 def _with_descriptions(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Fetch the seeds' descriptions last, so that no text travels through the search."""
     texts = rows.select(KEY, "row_no", "description")
+    found = reliable_checkpoint(found)
+    if found.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        found = F.broadcast(found)
     return found.selectExpr("*", f"pmod(seq, {1 << ROW_BITS}) AS row_no").join(texts, [KEY, "row_no"])
 
 

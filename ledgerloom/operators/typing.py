@@ -219,9 +219,14 @@ def report_ledger_from_table(
 
     split = "debit_pos IS NOT NULL AND credit_pos IS NOT NULL"
     plain = "get(header, p.col_pos) RLIKE '(?i)date|^(amount|debit)$'"
+    named = map_by_name(tables)
+    # only tables whose column names leave something open are read twice
+    unclear = named.where(
+        f"date_pos IS NULL OR description_pos IS NULL OR (amount_pos IS NULL AND NOT ({split}))"
+    )
+    profile = profile_table(rows.join(unclear.select(KEY), KEY, "left_semi"))
     layouts = (
-        map_by_name(tables)
-        .join(profile_table(rows), KEY, "left")
+        named.join(profile, KEY, "left")
         .selectExpr(
             KEY,
             f"coalesce(date_pos, {first('NOT p.numeric AND ' + parse_date('p.first_value', date_formats) + ' IS NOT NULL')}) AS date_pos",

@@ -379,10 +379,8 @@ def column_quality(spark, folder):
 
 @query
 def grid_quality(spark, folder):
-    raw = adapters.order_grid(spark, folder)
-    layouts = grid.detect_layouts(raw)
-    ledger = typing.build_ledger(raw, layouts)
-    return quality.quality_score(quality.column_quality(ledger, raw, layouts))
+    done = process.process(adapters.order_grid(spark, folder), materialize=True)
+    return quality.quality_score(quality.column_quality(done.ledger, done.raw, done.layouts))
 
 
 # ---- reports and chart tables ----
