@@ -132,27 +132,32 @@ def _directed(df: DataFrame) -> DataFrame:
     columns are merged; else there is no money and the row counts as DR with 0.
     Rows without a date go away, unless the statement has no date column at all.
     """
-    marked, signed = split_by_prefix("single", "mark"), split_by_sign("single")
-    merged = merge_columns("own_debit", "own_credit")
-
-    def choose(by_mark: str, by_sign: str, by_columns: str, default: str) -> str:
-        return (
-            f"CASE WHEN single IS NOT NULL AND mark IS NOT NULL THEN {by_mark} "
-            f"WHEN single IS NOT NULL THEN {by_sign} WHEN own_debit IS NOT NULL THEN {by_columns} ELSE {default} END"
+    # the first letter of the mark, or what stands for it: D, C or neither
+    side = (
+        "CASE WHEN single IS NULL THEN 'own columns' WHEN mark IS NOT NULL THEN upper(left(mark, 1))"
+        " WHEN single < 0 THEN 'D' WHEN single > 0 THEN 'C' ELSE '' END"
+    )
+    return (
+        df.where("txn_date IS NOT NULL OR NOT has_date")
+        .selectExpr(
+            KEY, "row_no", "txn_date", "description", "single", "own_debit", "own_credit", "balance", "has_date",
+            f"{side} AS side",
+        )
+        .selectExpr(
+            KEY,
+            "row_no",
+            "txn_date",
+            "date_format(txn_date, 'yyyy-MM') AS month",
+            "description",
+            f"CAST(coalesce(single, {merge_columns('own_debit', 'own_credit')[0]}, 0) AS {MONEY}) AS amount",
+            f"CAST(CASE side WHEN 'D' THEN abs(single) WHEN 'own columns' THEN coalesce(own_debit, 0) ELSE 0 END AS {MONEY}) AS debit",
+            f"CAST(CASE side WHEN 'C' THEN abs(single) WHEN 'own columns' THEN coalesce(own_credit, 0) ELSE 0 END AS {MONEY})"
+            " AS credit_amount",
+            "CASE WHEN side = 'D' OR (side = 'own columns' AND coalesce(own_debit > 0, true)) THEN 'DR' ELSE 'CR' END"
+            " AS dr_cr_indicator",
+            f"CAST(balance AS {MONEY}) AS balance",
+            "has_date",
         )
-
-    return df.where("txn_date IS NOT NULL OR NOT has_date").selectExpr(
-        KEY,
-        "row_no",
-        "txn_date",
-        "date_format(txn_date, 'yyyy-MM') AS month",
-        "description",
-        f"CAST(coalesce(single, {merged[0]}, 0) AS {MONEY}) AS amount",
-        f"CAST({choose(marked[0], signed[0], 'own_debit', ZERO)} AS {MONEY}) AS debit",
-        f"CAST({choose(marked[1], signed[1], 'own_credit', ZERO)} AS {MONEY}) AS credit_amount",
-        choose(marked[2], signed[2], merged[1], "'DR'") + " AS dr_cr_indicator",
-        f"CAST(balance AS {MONEY}) AS balance",
-        "has_date",
     )
 
 

@@ -32,7 +32,7 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _money(cents: str) -> str:
-    return f"CAST(CAST({cents} AS decimal(20,0)) / 100 AS {MONEY})"
+    return f"CAST(CAST({cents} AS decimal(17,0)) * 0.01BD AS {MONEY})"
 
 
 def order_entries(spark: SparkSession, folder: str) -> DataFrame:

@@ -140,12 +140,12 @@ def top_expenses(spark, folder):
 
 @query
 def report_expense_categories(spark, folder):
-    return categories.report_expense_categories(_report(spark, folder)).drop("rule_order")
+    return categories.report_expense_categories(_stored_report(spark, folder)).drop("rule_order")
 
 
 @query
 def largest_category(spark, folder):
-    return categories.largest_category(_report(spark, folder))
+    return categories.largest_category(_stored_report(spark, folder))
 
 
 @query
@@ -457,4 +457,4 @@ def chart_income_versus_expenses(spark, folder):
 
 @query
 def chart_category_shares(spark, folder):
-    return report.category_shares(_report(spark, folder))
+    return report.category_shares(_stored_report(spark, folder))

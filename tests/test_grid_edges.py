@@ -251,6 +251,7 @@ def test_ready_made_tables(spark):
             ("guess", ["When", "Who", "What"]),
             ("none", ["a", "b"]),
             ("numbers", ["txn_date", "amount"]),
+            ("marks", ["date", "details", "amount", "type"]),
         ],
         "statement_id string, header array<string>",
     )
@@ -263,6 +264,10 @@ def test_ready_made_tables(spark):
             ("guess", 2, ["06/01/2024", None, "90"]),
             ("none", 1, ["x", "y"]),
             ("numbers", 1, ["2024-01-05", "-3"]),
+            ("marks", 1, ["2024-01-05", "A", "5", "Sent"]),
+            ("marks", 2, ["2024-01-05", "B", "-5", "dr"]),
+            ("marks", 3, ["2024-01-05", "C", "-5", "Credit"]),
+            ("marks", 4, ["2024-01-05", "D", "5", ""]),
         ],
         "statement_id string, row_no bigint, cells array<string>",
     )
@@ -278,5 +283,9 @@ def test_ready_made_tables(spark):
         ("guess", 1): ("05/01/2024", -150, 150, 0, "DR"),  # first text column whose name lacks 'date'
         ("guess", 2): ("06/01/2024", 90, 0, 90, "CR"),
         ("none", 1): ("x", 0, 0, 0, "DR"),
+        ("marks", 1): ("A", 5, 0, 0, "CR"),  # an unknown mark counts as credit without an amount
+        ("marks", 2): ("B", -5, 5, 0, "DR"),
+        ("marks", 3): ("C", -5, 0, 5, "CR"),
+        ("marks", 4): ("D", 5, 0, 0, "CR"),
         ("numbers", 1): ("DR", -3, 3, 0, "DR"),  # without a text column the mark describes the row
     }

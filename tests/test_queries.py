@@ -1,4 +1,4 @@
-"""Registered queries against their SQL on the smallest tables, and the shape of their plans."""
+"""Registered queries against their SQL on small tables, and the shape of their plans."""
 
 from pathlib import Path
 
@@ -7,7 +7,7 @@ from compare import check, connect
 
 import __spark_entry__ as entry
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
 
 
