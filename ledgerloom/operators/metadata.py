@@ -57,26 +57,47 @@ def _separators(text: str) -> str:
     return f"(length({text}) - length(replace({text}, {lit(SEP)}, '')))"
 
 
-def _shorten(pieces: str, pattern: str) -> str:
-    """The first cells, the cells of the first match and the last cells, with walls between."""
-    wall = f"array(named_struct('col', -1, 'row', -1L, 'text', {lit(WALL)}))"
-    start = f"{_separators('substring(t_, 1, at_ - 1)')} + 1"
-    length = f"{_separators(f'regexp_extract(t_, {lit(pattern)}, 0)')} + 1"
-    match = f"CASE WHEN at_ > 0 THEN slice({pieces}, {start}, {length}) ELSE slice({pieces}, 1, 0) END"
-    found = bind(_joined(pieces), "t_", bind(f"regexp_instr(t_, {lit(pattern)})", "at_", match))
-    cut = f"concat(slice({pieces}, 1, {EDGE}), {wall}, {found}, {wall}, slice({pieces}, -{EDGE}, {EDGE}))"
-    return f"CASE WHEN size({pieces}) > {4 * EDGE} THEN {cut} ELSE {pieces} END"
+def _shorten(pieces: str, patterns: dict[str, str]) -> str:
+    """Keep the first cells, the last cells and the cells of each pattern's first match.
+
+    A wall takes the place of the cells left out between them.  What is kept are runs
+    of the real text in their order, so each pattern's first match stays the first.
+    """
+    before = _separators("substring(t_, 1, at_ - 1)")
+    matches = [
+        bind(
+            f"regexp_instr(t_, {lit(p)})",
+            "at_",
+            f"CASE WHEN at_ > 0 THEN named_struct('a', {before}, 'b', "
+            f"{before} + {_separators(f'regexp_extract(t_, {lit(p)}, 0)')}) END",
+        )
+        for p in patterns.values()
+    ]
+    ends = [
+        f"named_struct('a', 0, 'b', {EDGE - 1})",
+        f"named_struct('a', size({pieces}) - {EDGE}, 'b', size({pieces}) - 1)",
+    ]
+    wall = f"named_struct('col', -1, 'row', -1L, 'text', {lit(WALL)})"
+    cut = (
+        f"transform({pieces}, (p, i) -> CASE WHEN exists(spans_, v -> v.a <= i AND i <= v.b) THEN p ELSE {wall} END)"
+    )
+    squeezed = "filter(cut_, (p, i) -> NOT (p.col = -1 AND coalesce(get(cut_, i - 1).col = -1, false)))"
+    kept = bind(f"array({', '.join(ends + matches)})", "spans_", bind(cut, "cut_", squeezed))
+    return f"CASE WHEN size({pieces}) > {4 * EDGE} THEN {bind(_joined(pieces), 't_', kept)} ELSE {pieces} END"
 
 
 def _merge(
     parts: DataFrame, keys: list[str], order: list[str], patterns: dict[str, str], tidy=lambda pieces: pieces
 ) -> DataFrame:
     """Join the parts of each group in order and shorten again."""
-    fields = ", ".join([*order, *patterns])
-    listed = parts.groupBy(*keys).agg(F.expr(f"array_sort(collect_list(struct({fields}))) AS parts"))
-    merged = listed.selectExpr(*keys, *[f"flatten(parts.{k}) AS {k}" for k in patterns])
-    merged = merged.selectExpr(*keys, *[f"{tidy(k)} AS {k}" for k in patterns])
-    return merged.selectExpr(*keys, *[f"{_shorten(k, p)} AS {k}" for k, p in patterns.items()])
+    fields = ", ".join([*order, "pieces"])
+    return (
+        parts.groupBy(*keys)
+        .agg(F.expr(f"array_sort(collect_list(struct({fields}))) AS parts"))
+        .selectExpr(*keys, "flatten(parts.pieces) AS pieces")
+        .selectExpr(*keys, f"{tidy('pieces')} AS pieces")
+        .selectExpr(*keys, f"{_shorten('pieces', patterns)} AS pieces")
+    )
 
 
 def _row_blocks(raw: DataFrame) -> DataFrame:
@@ -109,21 +130,17 @@ def _column_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def _search_columns(columns: DataFrame) -> DataFrame:
-    """Per statement and pattern: the cells around the first match, column by column."""
+    """Per statement: the cells around the first match of each pattern, column by column."""
     cells = "zip_with(row_nos, texts, (r, t) -> named_struct('col', col, 'row', r, 'text', t))"
     parts = (
         columns.selectExpr(KEY, "col", "block", f"filter({cells}, {_FILLED}) AS pieces")
         .where("size(pieces) > 0")
         .selectExpr(
-            KEY,
-            "col",
-            "block",
-            f"block div {BLOCK} AS outer_block",
-            *[f"{_shorten('pieces', p)} AS {k}" for k, p in _BY_COLUMN.items()],
+            KEY, "col", "block", f"block div {BLOCK} AS outer_block", f"{_shorten('pieces', _BY_COLUMN)} AS pieces"
         )
     )
     parts = _merge(parts, [KEY, "col", "outer_block"], ["block"], _BY_COLUMN)
-    return _merge(parts, [KEY], ["col", "outer_block"], _BY_COLUMN)
+    return _with_text(_merge(parts, [KEY], ["col", "outer_block"], _BY_COLUMN))
 
 
 def _search_rows(blocks: DataFrame) -> DataFrame:
@@ -135,15 +152,14 @@ def _search_rows(blocks: DataFrame) -> DataFrame:
     parts = (
         blocks.selectExpr(KEY, "block", f"filter({cells}, {_FILLED}) AS pieces")
         .selectExpr(KEY, "block", f"{_drop_colons('pieces')} AS pieces")
-        .selectExpr(
-            KEY,
-            "block",
-            f"block div {BLOCK} AS outer_block",
-            *[f"{_shorten('pieces', p)} AS {k}" for k, p in BALANCE.items()],
-        )
+        .selectExpr(KEY, "block", f"block div {BLOCK} AS outer_block", f"{_shorten('pieces', BALANCE)} AS pieces")
     )
     parts = _merge(parts, [KEY, "outer_block"], ["block"], BALANCE, _drop_colons)
-    return _merge(parts, [KEY], ["outer_block"], BALANCE, _drop_colons)
+    return _with_text(_merge(parts, [KEY], ["outer_block"], BALANCE, _drop_colons))
+
+
+def _with_text(found: DataFrame) -> DataFrame:
+    return found.withColumn("found_text", F.expr(_joined("pieces")))
 
 
 def _drop_colons(pieces: str) -> str:
@@ -158,10 +174,10 @@ def _drop_colons(pieces: str) -> str:
 def _customer_names(columns: DataFrame, found: DataFrame) -> DataFrame:
     """The text captured by each name pattern, followed from its start as far as it runs."""
 
-    def start(key: str, pattern: str) -> str:
-        first = _separators("substring(t_, 1, at_ - 1)")
-        place = f"CASE WHEN at_ > 0 THEN get({key}, {first}) END"
-        return bind(_joined(key), "t_", bind(f"regexp_instr(t_, {lit(pattern)})", "at_", place))
+    def start(pattern: str) -> str:
+        first = _separators("substring(found_text, 1, at_ - 1)")
+        place = f"CASE WHEN at_ > 0 THEN get(pieces, {first}) END"
+        return bind(f"regexp_instr(found_text, {lit(pattern)})", "at_", place)
 
     # text between two places: a column and a block of rows
     place = f"CAST({{}} AS bigint) * {1 << 40} + {{}}"
@@ -169,7 +185,7 @@ def _customer_names(columns: DataFrame, found: DataFrame) -> DataFrame:
         found.selectExpr(
             KEY,
             "inline(array("
-            + ", ".join(f"named_struct('pattern', '{k}', 'start', {start(k, p)})" for k, p in _STARTS.items())
+            + ", ".join(f"named_struct('pattern', '{k}', 'start', {start(p)})" for k, p in _STARTS.items())
             + "))",
         )
         .where("start IS NOT NULL")
@@ -213,8 +229,8 @@ def _customer_names(columns: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _group(pieces: str, pattern: str, group: int) -> str:
-    return f"nullif(regexp_extract({_joined(pieces)}, {lit(pattern)}, {group}), '')"
+def _group(pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract(found_text, {lit(pattern)}, {group}), '')"
 
 
 def account_metadata(raw: DataFrame) -> DataFrame:
@@ -223,15 +239,13 @@ def account_metadata(raw: DataFrame) -> DataFrame:
     found = _search_columns(columns)
 
     def period(group: int) -> str:
-        cases = " ".join(
-            f"WHEN {_group(k, p, 1)} IS NOT NULL THEN {_group(k, p, group)}" for k, p in PERIOD.items()
-        )
+        cases = " ".join(f"WHEN {_group(p)} IS NOT NULL THEN {_group(p, group)}" for p in PERIOD.values())
         return f"CASE {cases} END"
 
     fields = found.selectExpr(
         KEY,
-        f"coalesce({', '.join(_group(k, p, 1) for k, p in ACCOUNT.items())}) AS account_number",
-        f"{_group('ifsc', IFSC['ifsc'], 1)} AS ifsc_code",
+        f"coalesce({', '.join(map(_group, ACCOUNT.values()))}) AS account_number",
+        f"{_group(IFSC['ifsc'])} AS ifsc_code",
         f"{period(1)} AS period_from",
         f"{period(2)} AS period_to",
     )
@@ -243,7 +257,7 @@ def text_balances(raw: DataFrame) -> DataFrame:
     """Opening and closing balance named in the text of a statement, NULL if it names none."""
     return (
         _search_rows(_row_blocks(raw))
-        .selectExpr(KEY, *[f"{_group(k, p, 1)} AS {k}" for k, p in BALANCE.items()])
+        .selectExpr(KEY, *[f"{_group(p)} AS {k}" for k, p in BALANCE.items()])
         .selectExpr(
             KEY,
             *[f"CASE WHEN {k} IS NOT NULL THEN {clean_amount(k)} END AS {k}_balance" for k in BALANCE],
