@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bind, clean_amount, lit, strip
 from ..schemas import KEY
+from ..session import reliable_checkpoint
 
 BLOCK = 4096
 EDGE = 8  # the longest match spans 6 non-blank cells
@@ -46,7 +47,8 @@ BALANCE = {
 
 # a name runs on for any number of cells; one character is enough to find where it starts
 _STARTS = {key: pattern[:-2] + ")" for key, pattern in NAME.items()}
-_BY_COLUMN = ACCOUNT | IFSC | PERIOD | _STARTS
+_BY_COLUMN = ACCOUNT | IFSC | PERIOD | NAME
+NAME_CELLS = 64  # cells of a name kept in the search; longer ones are followed in the grid
 
 
 def _joined(pieces: str) -> str:
@@ -64,15 +66,15 @@ def _shorten(pieces: str, patterns: dict[str, str]) -> str:
     of the real text in their order, so each pattern's first match stays the first.
     """
     before = _separators("substring(t_, 1, at_ - 1)")
-    matches = [
-        bind(
-            f"regexp_instr(t_, {lit(p)})",
-            "at_",
-            f"CASE WHEN at_ > 0 THEN named_struct('a', {before}, 'b', "
-            f"{before} + {_separators(f'regexp_extract(t_, {lit(p)}, 0)')}) END",
-        )
-        for p in patterns.values()
-    ]
+
+    def match(key: str, pattern: str) -> str:
+        length = _separators(f"regexp_extract(t_, {lit(pattern)}, 0)")
+        if key in NAME:
+            length = f"least({length}, {NAME_CELLS})"
+        span = f"CASE WHEN at_ > 0 THEN named_struct('a', {before}, 'b', {before} + {length}) END"
+        return bind(f"regexp_instr(t_, {lit(pattern)})", "at_", span)
+
+    matches = [match(k, p) for k, p in patterns.items()]
     ends = [
         f"named_struct('a', 0, 'b', {EDGE - 1})",
         f"named_struct('a', size({pieces}) - {EDGE}, 'b', size({pieces}) - 1)",
@@ -131,13 +133,21 @@ def _column_blocks(blocks: DataFrame) -> DataFrame:
 
 def _search_columns(columns: DataFrame) -> DataFrame:
     """Per statement: the cells around the first match of each pattern, column by column."""
-    cells = "zip_with(row_nos, texts, (r, t) -> named_struct('col', col, 'row', r, 'text', t))"
-    parts = (
-        columns.selectExpr(KEY, "col", "block", f"filter({cells}, {_FILLED}) AS pieces")
-        .where("size(pieces) > 0")
-        .selectExpr(
-            KEY, "col", "block", f"block div {BLOCK} AS outer_block", f"{_shorten('pieces', _BY_COLUMN)} AS pieces"
-        )
+    # Blank cells are no pieces, but the piece after them keeps their blanks.  The arrays are
+    # bound to names: the optimizer would otherwise compute them anew for every piece.
+    before = "coalesce(get(filled_, j - 1), -1)"
+    blanks = (
+        f"CASE WHEN x - {before} > 1 "
+        f"THEN concat(array_join(slice(texts_, {before} + 2, x - {before} - 1), ' '), ' ') ELSE '' END"
+    )
+    pieces = (
+        "transform(filled_, (x, j) -> named_struct('col', col, 'row', get(rows_, x), "
+        f"'text', concat({blanks}, get(texts_, x))))"
+    )
+    filled = f"filter(sequence(0, size(texts_) - 1), i -> get(texts_, i) RLIKE {lit(r'\S')})"
+    pieces = bind("texts", "texts_", bind("row_nos", "rows_", bind(filled, "filled_", pieces)))
+    parts = columns.selectExpr(KEY, "col", "block", f"{pieces} AS pieces").selectExpr(
+        KEY, "col", "block", f"block div {BLOCK} AS outer_block", f"{_shorten('pieces', _BY_COLUMN)} AS pieces"
     )
     parts = _merge(parts, [KEY, "col", "outer_block"], ["block"], _BY_COLUMN)
     return _with_text(_merge(parts, [KEY], ["col", "outer_block"], _BY_COLUMN))
@@ -171,6 +181,38 @@ def _drop_colons(pieces: str) -> str:
     )
 
 
+def _found_names(found: DataFrame) -> DataFrame:
+    """The accepted name of every statement as far as the search kept it.
+
+    ``open`` marks statements whose name may go on where the search left cells out or
+    runs over the end of a block.
+    """
+
+    def capture(pattern: str) -> str:
+        first = _separators("substring(found_text, 1, at_ - 1)")
+        last = f"{first} + {_separators(f'regexp_replace(run_, {lit(r'\s+$')}, {lit('')})')}"
+        same_block = (
+            f"get(pieces, {first}).col = get(pieces, {last}).col"
+            f" AND get(pieces, {first}).row div {BLOCK} = get(pieces, {last}).row div {BLOCK}"
+        )
+        ends = f"substring(found_text, at_ + length(run_), 1) <> {lit(WALL)}"
+        name = strip(f"translate(regexp_extract(found_text, {lit(pattern)}, 1), {lit(SEP)}, ' ')")
+        captured = (
+            f"CASE WHEN at_ > 0 THEN named_struct('name', {name}, 'whole', coalesce({ends} AND {same_block}, false)) END"
+        )
+        run = f"regexp_extract(found_text, {lit(pattern)}, 0)"
+        return bind(f"regexp_instr(found_text, {lit(pattern)})", "at_", bind(run, "run_", captured))
+
+    accepted = "length({n}.name) > 3 AND NOT {n}.name RLIKE " + lit(NOT_A_NAME)
+    one, two = accepted.format(n="name_1"), accepted.format(n="name_2")
+    return found.selectExpr(KEY, *[f"{capture(p)} AS {k}" for k, p in NAME.items()]).selectExpr(
+        KEY,
+        f"CASE WHEN {one} THEN name_1.name WHEN {two} THEN name_2.name END AS customer_name",
+        "coalesce(NOT name_1.whole, false) OR "
+        f"(NOT coalesce({one}, false) AND coalesce(NOT name_2.whole, false)) AS open",
+    )
+
+
 def _customer_names(columns: DataFrame, found: DataFrame) -> DataFrame:
     """The text captured by each name pattern, followed from its start as far as it runs."""
 
@@ -236,7 +278,12 @@ def _group(pattern: str, group: int = 1) -> str:
 def account_metadata(raw: DataFrame) -> DataFrame:
     """Account number, IFSC code, period and customer name of every statement."""
     columns = _column_blocks(_row_blocks(raw))
-    found = _search_columns(columns)
+    found = reliable_checkpoint(_search_columns(columns))
+    names = _found_names(found)
+    if not names.where("open").isEmpty():
+        still_open = found.join(names.where("open").select(KEY), KEY, "left_semi")
+        followed = _customer_names(columns, still_open)
+        names = names.where("NOT open").select(KEY, "customer_name").unionByName(followed)
 
     def period(group: int) -> str:
         cases = " ".join(f"WHEN {_group(p)} IS NOT NULL THEN {_group(p, group)}" for p in PERIOD.values())
@@ -250,7 +297,7 @@ def account_metadata(raw: DataFrame) -> DataFrame:
         f"{period(2)} AS period_to",
     )
     ids = raw.select(KEY).distinct()
-    return ids.join(fields, KEY, "left").join(_customer_names(columns, found), KEY, "left")
+    return ids.join(fields, KEY, "left").join(names.select(KEY, "customer_name"), KEY, "left")
 
 
 def text_balances(raw: DataFrame) -> DataFrame:

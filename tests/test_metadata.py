@@ -59,11 +59,12 @@ WORDS = [
 ]
 
 
-@pytest.mark.parametrize("block, edge", [(4096, 8), (4, 8), (3, 2)])
-def test_random_grids(spark, monkeypatch, block, edge):
-    # tiny blocks put most matches across block borders; a short edge still has to hold a match
+@pytest.mark.parametrize("block, edge, name_cells", [(4096, 8, 64), (4, 8, 2), (3, 6, 64), (30, 6, 1)])
+def test_random_grids(spark, monkeypatch, block, edge, name_cells):
+    # tiny blocks put most matches across block borders; an edge has to hold a match
     monkeypatch.setattr(m, "BLOCK", block)
-    monkeypatch.setattr(m, "EDGE", max(edge, 6))
+    monkeypatch.setattr(m, "EDGE", edge)
+    monkeypatch.setattr(m, "NAME_CELLS", name_cells)
     rng = random.Random(block)
     grids = {
         f"s{i}": [[rng.choice(WORDS) for _ in range(rng.randint(1, 4))] for _ in range(rng.choice([1, 5, 40, 90]))]
