@@ -211,4 +211,4 @@ def order_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     tables = (
         entries.select(KEY).distinct().selectExpr(KEY, f"get(array({headers}), CAST({kind} AS int)) AS header")
     )
-    return rows, tables
+    return reliable_checkpoint(rows), tables
