@@ -13,8 +13,9 @@ def write_ledger(ledger: DataFrame, path: str, fmt: str = "parquet", mode: str =
     if fmt == "csv":
         ledger.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     else:
-        # rows of a month spread over several files by statement, so no month is one task
-        ledger.repartition("month", KEY).write.mode(mode).partitionBy("month").format(fmt).save(path)
+        # a month is spread over files by statement and, for a huge statement, by row range
+        rows = ledger.repartition("month", KEY, F.expr("row_no div 1000000"))
+        rows.write.mode(mode).partitionBy("month").format(fmt).save(path)
 
 
 def write_grid(raw: DataFrame, path: str, mode: str = "errorifexists") -> None:
