@@ -1,8 +1,9 @@
-"""Session settings and reliable checkpoints."""
+"""Session settings and results kept on shared storage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,21 +34,34 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, removed when the session's JVM ends.
+
+    Only a local session without that setting gets a machine-local folder; a
+    cluster without it is refused, since executors could not see each other's files.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    jvm = context._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{base}/{context.applicationId}-{uuid.uuid4().hex}")
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return system.makeQualified(path).toString()
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's checkpoint folder and cut its lineage.
+    """Write ``df`` once as columns to shared storage and read it from there.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only a local
-    session without that setting gets a folder of its own.
+    Cuts the lineage like ``checkpoint()``, but later scans prune columns and push
+    filters down.  Lost executors lose nothing.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = shared_folder(spark) + "/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
