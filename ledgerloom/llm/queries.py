@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_files
+from . import simhash, token_files
 from .common import table
 from .tokenize import Encoder, hub_encoder
 
@@ -30,5 +31,17 @@ def op3_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_output(table(spark, folder, "documents"), byte_bpe, END_ID)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_output": op3_token_output}
+#: Words in a shingle and bits that may differ.
+SIMHASH_WORDS, SIMHASH_BITS = 4, 4
+
+
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"), SIMHASH_WORDS, SIMHASH_BITS)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_output": op3_token_output,
+    "op9_simhash": op9_simhash,
+}
 ORACLE: dict[str, str] = {}
