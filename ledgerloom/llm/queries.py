@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, token_files
+from . import secrets, simhash, token_files
 from .common import table
 from .tokenize import Encoder, hub_encoder
 
@@ -27,6 +27,10 @@ def byte_bpe() -> Encoder:
 END_ID = 2
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(table(spark, folder, "documents"))
+
+
 def op3_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_output(table(spark, folder, "documents"), byte_bpe, END_ID)
 
@@ -41,6 +45,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op3_token_output": op3_token_output,
     "op9_simhash": op9_simhash,
 }
