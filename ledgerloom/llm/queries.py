@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, simhash, token_files
+from . import language_id, secrets, simhash, token_files
 from .common import table
 from .tokenize import Encoder, hub_encoder
 
@@ -35,6 +35,13 @@ def op3_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_output(table(spark, folder, "documents"), byte_bpe, END_ID)
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.learn(docs, ~language_id.held_out())
+    found = language_id.identify(docs, model, "doc_id")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 #: Words in a shingle and bits that may differ.
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
@@ -47,6 +54,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_token_output": op3_token_output,
+    "op4_language": op4_language,
     "op9_simhash": op9_simhash,
 }
 ORACLE: dict[str, str] = {}
