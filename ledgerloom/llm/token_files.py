@@ -31,9 +31,9 @@ from .tokenize import Encoder
 
 MAGIC = 0x31304C5242454C54
 #: Ids in a file, at least; a file ends with the batch that reaches them.
-FILE_IDS = 8_000_000
+FILE_IDS = 4_000_000
 #: Texts encoded at once, by bytes.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 
 # lengths of the four ranks that a control byte describes, and their sum
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1

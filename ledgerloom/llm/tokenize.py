@@ -20,7 +20,7 @@ UNSAFE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 #: Distinct pieces that go through the tokenizer in one text.
 JOINED = 500
 #: Distinct pieces a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 class Encoder:
