@@ -2,7 +2,8 @@
 
 A suffix automaton of labelled text per language answers how long the text at a position goes on matching
 somewhere in the sample.  Greedy parsing cuts a text into longest matches; each costs the logarithm of the
-sample's length, so the phrases of different languages compare.  Texts are parsed whole, in pieces of
+sample's length, so the phrases of different languages compare.  Only letters count: each run of other
+characters is one gap.  Texts are parsed whole, in pieces of
 ``PIECE`` code points that numpy walks side by side through the automata of all languages.
 
 The sample is bounded: at most ``SAMPLE_DOCS`` documents of a language (the smallest hash in each of as
@@ -31,14 +32,15 @@ OWN, SHARED = 96, 15
 #: Code points walked at a time.
 WALK = 1 << 22
 
-UNKNOWN = "und"
+UNKNOWN, GAP = "und", 1
 LETTER = regex.compile(r"\p{L}")
+GAPS = regex.compile(r"[^\p{L}\p{M}\0]+")
 
 
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
-    classes: np.ndarray  # of each code point; 0 ends a sample and matches nothing
+    classes: np.ndarray  # of each code point; 0 ends a sample and matches nothing, GAP is no letter
     steps: np.ndarray  # next state by (language, state, class), 0: none; state 0 is the start
     cost: np.ndarray  # bits of a phrase in each language
 
@@ -91,22 +93,25 @@ def fit(samples: dict[str, list[str]]) -> Model:
     langs = sorted(samples, key=lambda x: x.encode())
     joined = {}
     for lang in langs:
-        text = "\0".join(dict.fromkeys(x.lower()[:DOC_CHARS] for x in sorted(samples[lang])))
+        text = "\0".join(dict.fromkeys(GAPS.sub(" ", x.replace("\0", " ").lower()[:DOC_CHARS]) for x in sorted(samples[lang])))
         joined[lang] = text[:LANG_CHARS]
     seen = Counter("".join(joined.values()))
-    del seen["\0"]
-    own = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:OWN]]
-    classes = (1 + len(own) + np.arange(0x110000) % SHARED).astype(np.uint8)
+    own = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if c not in "\0 "][:OWN]
+    classes = (2 + len(own) + np.arange(0x110000) % SHARED).astype(np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for found in GAPS.finditer(every):
+        a, b = ord(found[0][0]), ord(found[0][-1])
+        classes[a : b + 1] = GAP
+    classes[0] = GAP
     for k, c in enumerate(own):
         for form in (c, c.upper()):
             if len(form) == 1:
-                classes[ord(form)] = k + 1
-    classes[0] = 0
-    size = 1 + len(own) + SHARED
+                classes[ord(form)] = k + 2
+    size = 2 + len(own) + SHARED
     built = []
     for lang in langs:
         raw = np.frombuffer(joined[lang].encode("utf-32-le", "surrogatepass"), np.uint32)
-        built.append(automaton(classes[raw].tolist()))
+        built.append(automaton(np.where(raw, classes[raw], 0).tolist()))
     steps = np.zeros((len(langs), max(map(len, built), default=1), size), dtype=np.uint32)
     for k, states in enumerate(built):
         for s, out in enumerate(states):
@@ -159,7 +164,12 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
         part = known[at:end]
         raw = "".join([texts[k] for k in part]).encode("utf-32-le", "surrogatepass")
         codes = model.classes[np.frombuffer(raw, np.uint32)]
-        bits = phrases(model, codes, np.array([len(texts[k]) for k in part], dtype=np.int64)) * model.cost[:, None]
+        ends = np.cumsum(np.array([len(texts[k]) for k in part], dtype=np.int64))
+        kept = np.ones(len(codes), dtype=bool)
+        kept[1:] = (codes[1:] != GAP) | (codes[:-1] != GAP)
+        kept[ends[:-1]] = True  # a text does not depend on its neighbour
+        sizes = np.diff(np.cumsum(kept)[ends - 1], prepend=0)
+        bits = phrases(model, codes[kept], sizes) * model.cost[:, None]
         best = bits.argmin(axis=0)
         share = 1 / np.exp2(-(bits - bits.min(axis=0))).sum(axis=0)
         for k, b, s in zip(part, best.tolist(), share.tolist()):
