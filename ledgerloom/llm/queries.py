@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, secrets, simhash, token_files
+from . import language_id, quality, secrets, simhash, token_files
 from .common import table
 from .tokenize import Encoder, hub_encoder
 
@@ -42,6 +42,11 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.drop("n_lines")
+
+
 #: Words in a shingle and bits that may differ.
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_token_output": op3_token_output,
     "op4_language": op4_language,
+    "op5_quality": op5_quality,
     "op9_simhash": op9_simhash,
 }
 ORACLE: dict[str, str] = {}
