@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, secrets, simhash, token_files
+from . import decontaminate, language_id, quality, secrets, simhash, sql, token_files
 from .common import table
 from .tokenize import Encoder, hub_encoder
 
@@ -47,6 +47,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("n_lines")
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 #: Words in a shingle and bits that may differ.
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
+    "op6_decontaminate": op6_decontaminate,
     "op9_simhash": op9_simhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_decontaminate": sql.DECONTAMINATE}
