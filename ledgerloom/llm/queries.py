@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality, secrets, simhash, sql, token_files
+from . import decontaminate, language_id, mixing, quality, secrets, simhash, sql, token_files
 from .common import table
 from .tokenize import Encoder, hub_encoder
 
@@ -51,6 +51,10 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, folder, "documents"))
+
+
 #: Words in a shingle and bits that may differ.
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
 }
-ORACLE: dict[str, str] = {"op6_decontaminate": sql.DECONTAMINATE}
+ORACLE: dict[str, str] = {"op6_decontaminate": sql.DECONTAMINATE, "op8_mixing": sql.MIXING}

@@ -21,3 +21,26 @@ found AS (
 SELECT doc_id, item_id, items, n AS n_shingles, n_found, n_found / n AS containment
 FROM found WHERE n_found >= 0.8 * n
 """
+
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    CAST('0x' || substr(md5('mix-1 ' || coalesce(doc_id::VARCHAR, 'text ' || text, 'none')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+  FROM documents),
+totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [5, 2, 1][(place % 3 + 1)::INT] AS weight FROM totals),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ()) - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE
+    / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
+rates AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0::DOUBLE END AS rate FROM targets)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken
+FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
+"""
