@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, quality, secrets, simhash, sql, token_files
-from .common import table
+from . import decontaminate, kneser_ney, language_id, mixing, quality, secrets, simhash, sql, token_files
+from .common import id_remainder, table
 from .tokenize import Encoder, hub_encoder
 
 
@@ -64,6 +64,14 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = id_remainder() == 1
+    model = kneser_ney.train(docs.where(~held_out))
+    scored = kneser_ney.score_texts(docs, model, "doc_id")
+    return scored.withColumn("held_out", held_out).withColumn("perplexity", kneser_ney.perplexity(F.col("score"), F.col("n_tokens")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_token_output": op3_token_output,
@@ -72,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
+    "op10_language_model": op10_language_model,
 }
 ORACLE: dict[str, str] = {"op6_decontaminate": sql.DECONTAMINATE, "op8_mixing": sql.MIXING}
