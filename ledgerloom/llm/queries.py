@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, language_id, mixing, quality, secrets, simhash, sql, token_files
+from . import decontaminate, kneser_ney, language_id, mixing, paragraphs, quality, secrets, simhash, sql, token_files
 from .common import id_remainder, table
 from .tokenize import Encoder, hub_encoder
 
@@ -51,6 +51,10 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(table(spark, folder, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
+    "op7_paragraphs": op7_paragraphs,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_language_model": op10_language_model,
