@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, language_id, mixing, paragraphs, quality, secrets, simhash, sql, token_files
+from . import decontaminate, kneser_ney, language_id, mixing, paragraphs, quality, secrets, separator_scan, simhash, sql, token_files
 from .common import id_remainder, table
-from .tokenize import Encoder, hub_encoder
+from .tokenize import Encoder, hub_encoder, rank_encoder
 
 
 def vocabulary(name: str) -> str:
@@ -23,10 +23,22 @@ def byte_bpe() -> Encoder:
     return hub_encoder(vocabulary("byte_bpe_50k.json"))
 
 
+def byte_bpe_multi() -> Encoder:
+    import public_tokenizers
+
+    return rank_encoder(vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+#: No text has this id of the rank vocabulary: it closes documents in flat files.
+CLOSING_ID = 50256
 #: Appended to every document of the binary output.
 END_ID = 2
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return separator_scan.count_tokens(table(spark, folder, "documents"), byte_bpe_multi, CLOSING_ID)
+
+
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(table(spark, folder, "documents"))
 
@@ -77,6 +89,7 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_secrets": op2_secrets,
     "op3_token_output": op3_token_output,
     "op4_language": op4_language,
