@@ -9,6 +9,7 @@ from collections.abc import Iterable
 
 from ..schemas import MONEY
 
+_NUMBER = r"^-?(\d+\.?\d*|\.\d+)$"
 WHITESPACE = " \t\n\r\f\u000b\u00a0"
 
 # Texts a CSV reader takes as a missing cell.
@@ -57,9 +58,10 @@ def parse_date(x: str, formats: Iterable[str] = DAY_FIRST) -> str:
 
 
 def clean_amount(x: str, money: str = MONEY) -> str:
-    """Money text to a number: keep digits, '.' and '-'; anything unreadable is 0."""
+    """Money text to a number: keep digits, '.' and '-'; anything unreadable is 0, a number too long is an error."""
     digits = f"regexp_replace({x}, {lit('[^0-9.-]')}, '')"
-    return f"coalesce(try_cast({digits} AS {money}), CAST(0 AS {money}))"
+    too_long = f"CASE WHEN {digits} RLIKE {lit(_NUMBER)} THEN CAST(raise_error('an amount exceeds {money}') AS {money}) END"
+    return f"coalesce(try_cast({digits} AS {money}), {too_long}, CAST(0 AS {money}))"
 
 
 def to_number(x: str, money: str = MONEY) -> str:

@@ -90,31 +90,33 @@ def detect_headers(raw: DataFrame) -> DataFrame:
     The row with the highest phrase score (at least 3, first one on ties) wins;
     else the first row naming a date, an amount or a balance; else there is none.
     """
-    stats = raw.groupBy(KEY).agg(
-        F.expr("max(size(cells)) AS n_cols"),
-        F.expr(f"max(CASE WHEN {IS_TRANSACTION} THEN row_no END) AS last_kept_row"),
+    limit = 1 << ROW_BITS
+    best = (
+        f"CASE WHEN rank_ > 0 AND row_no >= {limit} THEN CAST(raise_error('row_no must be below 2**{ROW_BITS}') AS bigint)"
+        f" WHEN rank_ > 0 THEN CAST(rank_ AS bigint) * {limit} - row_no END"
+    )
+    # numbers only, so that one hash aggregation does
+    stats = (
+        raw.selectExpr(KEY, "row_no", "cells", f"{header_rank()} AS rank_")
+        .groupBy(KEY)
+        .agg(
+            F.expr("max(size(cells)) AS n_cols"),
+            F.expr(f"max(CASE WHEN {IS_TRANSACTION} THEN row_no END) AS last_kept_row"),
+            F.expr(f"max({best}) AS best_"),
+            F.expr("min(CASE WHEN rank_ IS NOT NULL THEN row_no END) AS first_"),
+        )
+        .withColumn("header_row_no", F.expr(f"coalesce(pmod(-best_, {limit}L), first_)"))
+        .drop("best_", "first_")
     )
     if "names" in raw.columns:
         given = raw.selectExpr(KEY, "names AS given_names").distinct()
         stats = stats.join(given, KEY)
     else:
         stats = stats.withColumn("given_names", F.expr("CAST(NULL AS array<string>)"))
-    # only rows that could be a header carry their cells into the aggregation
-    found = (
-        raw.selectExpr(KEY, "row_no", "cells", f"{header_rank()} AS score")
-        .where("score IS NOT NULL")
-        .groupBy(KEY)
-        .agg(
-            F.expr(
-                "max_by(struct(row_no, cells), CASE WHEN score > 0 "
-                f"THEN CAST(score AS bigint) * {1 << ROW_BITS} - row_no END) AS best"
-            ),
-            F.expr("min_by(struct(row_no, cells), row_no) AS first"),
-        )
-        .selectExpr(KEY, "coalesce(best, first) AS found")
-    )
-    return stats.join(found, KEY, "left").selectExpr(
-        KEY, "found.row_no AS header_row_no", "found.cells AS header_cells", "n_cols", "last_kept_row", "given_names"
+    # then the cells of the one row found, among the few that could be it
+    cells = raw.where(f"{header_rank()} IS NOT NULL").selectExpr(KEY, "row_no AS header_row_no", "cells AS header_cells")
+    return stats.join(cells, [KEY, "header_row_no"], "left").select(
+        KEY, "header_row_no", "header_cells", "n_cols", "last_kept_row", "given_names"
     )
 
 

@@ -275,9 +275,9 @@ def _group(pattern: str, group: int = 1) -> str:
     return f"nullif(regexp_extract(found_text, {lit(pattern)}, {group}), '')"
 
 
-def account_metadata(raw: DataFrame) -> DataFrame:
+def account_metadata(raw: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Account number, IFSC code, period and customer name of every statement."""
-    columns = _column_blocks(_row_blocks(raw))
+    columns = _column_blocks(_row_blocks(raw) if blocks is None else blocks)
     found = reliable_checkpoint(_search_columns(columns))
     names = _found_names(found)
     if not names.where("open").isEmpty():
@@ -300,10 +300,10 @@ def account_metadata(raw: DataFrame) -> DataFrame:
     return ids.join(fields, KEY, "left").join(names.select(KEY, "customer_name"), KEY, "left")
 
 
-def text_balances(raw: DataFrame) -> DataFrame:
+def text_balances(raw: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Opening and closing balance named in the text of a statement, NULL if it names none."""
     return (
-        _search_rows(_row_blocks(raw))
+        _search_rows(_row_blocks(raw) if blocks is None else blocks)
         .selectExpr(KEY, *[f"{_group(p)} AS {k}" for k, p in BALANCE.items()])
         .selectExpr(
             KEY,
@@ -321,10 +321,14 @@ def ledger_balances(ledger: DataFrame) -> DataFrame:
 
 
 def statement_metadata(raw: DataFrame, ledger: DataFrame) -> DataFrame:
-    """One row per statement: account fields and balances (text first, else the ledger's)."""
+    """One row per statement: account fields and balances (text first, else the ledger's).
+
+    The cells are gathered into blocks once, for both searches.
+    """
+    blocks = reliable_checkpoint(_row_blocks(raw))
     return (
-        account_metadata(raw)
-        .join(text_balances(raw), KEY, "left")
+        account_metadata(raw, blocks)
+        .join(text_balances(raw, blocks), KEY, "left")
         .join(ledger_balances(ledger), KEY, "left")
         .withColumn("opening_balance", F.coalesce("opening_balance", "first_balance"))
         .withColumn("closing_balance", F.coalesce("closing_balance", "last_balance"))

@@ -260,13 +260,16 @@ def _payments(rows: DataFrame, amount: str, seq: str, words: tuple[str, ...]) ->
     )
 
 
-def _with_descriptions(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """Fetch the seeds' descriptions last, so that no text travels through the search."""
+def _with_descriptions(found: DataFrame, rows: DataFrame, row_no: str) -> DataFrame:
+    """Fetch the seeds' descriptions last, so that no text travels through the search.
+
+    ``row_no`` gets a seed's row number back from its place in the walk.
+    """
     texts = rows.select(KEY, "row_no", "description")
     found = reliable_checkpoint(found)
     if found.count() <= BROADCAST_ROWS:  # else both sides are shuffled
         found = F.broadcast(found)
-    return found.selectExpr("*", f"pmod(seq, {1 << ROW_BITS}) AS row_no").join(texts, [KEY, "row_no"])
+    return found.selectExpr("*", f"{row_no} AS row_no").join(texts, [KEY, "row_no"])
 
 
 def recurring_payments(
@@ -284,10 +287,10 @@ def recurring_payments(
     amounts = _distinct_amounts(_payments(rows, "debit", "row_no", LOAN_WORDS))
     figures = band_figures(amounts, amounts, amount_tolerance)
     seeds = _seeds(figures, min_occurrences, f"n_dates >= 2 AND {_CADENCE}", "regular")
-    return _with_descriptions(walk_seeds(seeds, walk, fold_limit), rows).selectExpr(
+    return _with_descriptions(walk_seeds(seeds, walk, fold_limit), rows, "seq").selectExpr(
         KEY,
         "row_no",
-        "CAST(value / 100 AS decimal(18,2)) AS amount",
+        "CAST(CAST(value AS decimal(28,0)) / 100 AS decimal(28,2)) AS amount",
         "description",
         "CASE WHEN regular THEN 'monthly' ELSE 'unknown' END AS frequency",
         "members AS occurrences",
@@ -306,10 +309,11 @@ def report_recurring_payments(report: DataFrame, fold_limit: int = FOLD_LIMIT) -
     figures = band_figures(amounts, large, REPORT_TOLERANCE)
     seeds = _seeds(figures, 2, f"members >= 3 AND n_dates >= 2 AND {_CADENCE}", "regular OR members >= 3")
     walk = Walk(REPORT_TOLERANCE, least_divisor=1.0)
-    return _with_descriptions(walk_seeds(seeds, walk, fold_limit), rows).selectExpr(
+    row_no = f"pmod(seq, {1 << ROW_BITS})"  # day_order refuses row numbers beyond
+    return _with_descriptions(walk_seeds(seeds, walk, fold_limit), rows, row_no).selectExpr(
         KEY,
         "row_no",
-        "CAST(value / 100 AS decimal(18,2)) AS amount",
+        "CAST(CAST(value AS decimal(28,0)) / 100 AS decimal(28,2)) AS amount",
         "description",
         "members AS frequency",
         "likely AS likely_emi",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from ..schemas import KEY, cents
 from .flows import rollup
 
@@ -144,6 +145,7 @@ def top_unusual(unusual: DataFrame, n: int = 10) -> DataFrame:
     most ``n`` rows per input partition to the task that ranks it.
     """
     position = f"row_number() OVER (PARTITION BY {KEY} ORDER BY amount DESC, row_no) AS position"
+    unusual = reliable_checkpoint(unusual)  # few rows, ranked and counted
     top = unusual.selectExpr("*", position).where(f"position <= {n}")
     return top.join(unusual_counts(unusual), KEY)
 

@@ -194,16 +194,23 @@ def profile_table(rows: DataFrame) -> DataFrame:
     filled cell is a number, and the first filled cell.
     """
     number = to_number("value", "double")
-    return (
+    figures = (
         rows.selectExpr(KEY, "row_no", "posexplode(cells) AS (col_pos, value)")
         .where(f"value IS NOT NULL AND {strip('value')} <> ''")
-        .selectExpr(KEY, "row_no", "col_pos", "value", f"{number} AS number")
+        .selectExpr(KEY, "row_no", "col_pos", f"{number} AS number")
         .groupBy(KEY, "col_pos")
         .agg(
             F.expr("max(abs(number)) AS max_abs"),
             F.expr("bool_and(number IS NOT NULL) AS numeric"),
-            F.expr("min_by(value, row_no) AS first_value"),
+            F.expr("min(row_no) AS row_no"),
         )
+    )
+    # the first filled cell is read from its row afterwards, so no text is aggregated
+    firsts = figures.groupBy(KEY, "row_no").agg(F.expr("collect_list(struct(col_pos, max_abs, numeric)) AS columns"))
+    return (
+        rows.join(firsts, [KEY, "row_no"])
+        .selectExpr(KEY, "cells", "inline(columns)")
+        .selectExpr(KEY, "col_pos", "max_abs", "numeric", "get(cells, col_pos) AS first_value")
         .groupBy(KEY)
         .agg(F.expr("array_sort(collect_list(struct(col_pos, max_abs, numeric, first_value))) AS profile"))
     )

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -14,11 +15,19 @@ from ..operators.typing import build_ledger
 from ..session import reliable_checkpoint
 
 
-class Statements(NamedTuple):
+@dataclass
+class Statements:
+    """Parts of processed statements; metadata is searched when first asked for, and once."""
+
     raw: DataFrame
     layouts: DataFrame
     ledger: DataFrame
-    metadata: DataFrame
+    materialize: bool = False
+
+    @cached_property
+    def metadata(self) -> DataFrame:
+        found = statement_metadata(self.raw, self.ledger)
+        return reliable_checkpoint(found) if self.materialize else found
 
 
 def process(
@@ -26,7 +35,7 @@ def process(
 ) -> Statements:
     """Layouts, ledger and metadata of all statements in ``raw``.
 
-    With ``materialize`` layouts and ledger are written to the checkpoint folder,
+    With ``materialize`` layouts, ledger and metadata are written to the checkpoint folder,
     so that the many summaries of a report do not repeat the parsing.
     """
     layouts = detect_layouts(raw)
@@ -35,4 +44,4 @@ def process(
     ledger = build_ledger(raw, layouts, date_formats)
     if materialize:
         ledger = reliable_checkpoint(ledger)
-    return Statements(raw, layouts, ledger, statement_metadata(raw, ledger))
+    return Statements(raw, layouts, ledger, materialize)

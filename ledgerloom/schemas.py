@@ -7,7 +7,7 @@ such column"; a blank cell is '' or 0.
 """
 
 KEY = "statement_id"
-MONEY = "decimal(18,2)"
+MONEY = "decimal(28,2)"
 ROW_BITS = 41
 
 RAW_CELLS = "statement_id string, row_no bigint, cells array<string>"

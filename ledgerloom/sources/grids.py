@@ -8,59 +8,82 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import missing_to_null
+from ..functions.text import lit, missing_to_null
 from ..schemas import KEY, LEDGER
 
 PAGE_GROUP = 4096
 
 
-def _scan(spark: SparkSession, path: str | list[str], header: bool, multiline: bool, max_columns: int) -> DataFrame:
-    names = [f"c{i}" for i in range(max_columns + 1)]
-    frame = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
+#: Texts that part nothing: a line is read whole and cut into cells by an expression.
+NO_SEPARATOR, INNER_BREAK = "\u0001\u0002\u0003", "\u0001\u0002"
+#: A cell behind its comma: quoted up to the quote that closes it, or plain.
+CELL = r',("[^"]*+(?:""[^"]*+)*+"(?=,|$)|[^,]*+)'
+
+
+def _cells(line: str) -> str:
+    """All cells of a CSV line, however many; missing ones are NULL."""
+    plain = "CASE WHEN c RLIKE '(?s)^\".*\"$' AND length(c) > 1 THEN replace(substring(c, 2, length(c) - 2), '\"\"', '\"') ELSE c END"
+    found = f"transform(regexp_extract_all(concat(',', {line}), {lit(CELL)}, 1), c -> {plain})"
+    return f"transform({found}, c -> {missing_to_null('c')})"
+
+
+def _scan(spark: SparkSession, path: str | list[str], header: bool) -> DataFrame:
+    # Lines of a file keep their order: a file is cut into splits by byte offset, a
+    # full split is a task of its own, and no split has more lines than bytes.
+    line_no = f"monotonically_increasing_id() & {(1 << 33) - 1}L"
+    return (
+        spark.read.schema("line string")
         .option("header", header)
-        .option("multiLine", multiline)
-        .option("escape", '"')
+        .option("sep", NO_SEPARATOR)
+        .option("quote", "")
         .csv(path)
+        .selectExpr(
+            f"_metadata.file_path AS {KEY}",
+            f"_metadata.file_block_start + ({line_no}) AS row_no",
+            "_metadata.file_block_start AS block_start",
+            f"{_cells('line')} AS cells",
+        )
     )
-    cells = ", ".join(missing_to_null(n) for n in names[:-1])
-    # Lines of a file keep their order: a file is cut into splits by byte offset, a
-    # full split is a task of its own, and no split has more lines than bytes.
-    line = f"monotonically_increasing_id() & {(1 << 33) - 1}L"
-    too_wide = f"raise_error('a line has more than {max_columns} cells')"
-    used = "array_max(transform(cells, (c, i) -> CASE WHEN c IS NOT NULL THEN i + 1 ELSE 0 END))"
-    return frame.selectExpr(
-        f"_metadata.file_path AS {KEY}",
-        f"_metadata.file_block_start + ({line}) AS row_no",
-        f"CASE WHEN {names[-1]} IS NOT NULL THEN CAST({too_wide} AS array<string>) ELSE array({cells}) END AS cells",
-    ).selectExpr(KEY, "row_no", f"slice(cells, 1, {used}) AS cells")
-
-
-def read_grids(
-    spark: SparkSession, path: str | list[str], multiline: bool = False, max_columns: int = 64
-) -> DataFrame:
-    """Extracted statements as raw cells, one CSV file per statement.
+
+
+def _scan_whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files whose quoted cells may contain line breaks: every second piece between quotes is quoted."""
+    inner = f"replace(replace(p, '\r\n', {lit(INNER_BREAK)}), '\n', {lit(INNER_BREAK)})"
+    kept = f"transform(split(value, '\"'), (p, i) -> CASE WHEN i % 2 = 1 THEN {inner} ELSE p END)"
+    lines = f"split(array_join({kept}, '\"'), '\\r?\\n')"
+    return (
+        spark.read.text(path, wholetext=True)
+        .selectExpr(f"_metadata.file_path AS {KEY}", f"posexplode({lines}) AS (row_no, line)")
+        .where("trim(line) <> ''")
+        .selectExpr(
+            KEY,
+            "CAST(row_no AS bigint) AS row_no",
+            f"transform({_cells('line')}, c -> replace(c, {lit(INNER_BREAK)}, '\n')) AS cells",
+        )
+    )
+
+
+def read_grids(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
+    """Extracted statements as raw cells, one CSV file per statement; lines may have any number of cells.
 
     The first line of a file (``0,1,2,...``) carries no data.  ``multiline`` is
     for files whose quoted cells contain line breaks; such a file is read by one
     task, others are split.
     """
-    return _scan(spark, path, True, multiline, max_columns)
+    if multiline:
+        return _scan_whole(spark, path).where("row_no > 0")
+    return _scan(spark, path, True).drop("block_start")
 
 
-def read_tables(
-    spark: SparkSession, path: str | list[str], multiline: bool = False, max_columns: int = 64
-) -> tuple[DataFrame, DataFrame]:
+def read_tables(spark: SparkSession, path: str | list[str], multiline: bool = False) -> tuple[DataFrame, DataFrame]:
     """Ready-made tables of any columns: their rows and ``(statement_id, header)``."""
-    lines = _scan(spark, path, False, multiline, max_columns)
-    first = lines.groupBy(KEY).agg(F.min("row_no").alias("row_no"))
-    tables = lines.join(first, [KEY, "row_no"]).select(KEY, F.col("cells").alias("header"))
-    rows = (
-        lines.join(first.withColumnRenamed("row_no", "header_row"), KEY)
-        .where(F.col("row_no") > F.col("header_row"))
-        .drop("header_row")
-    )
-    return rows, tables
+    if multiline:
+        lines = _scan_whole(spark, path)
+        return lines.where("row_no > 0"), lines.where("row_no = 0").selectExpr(KEY, "cells AS header")
+    # the reader itself leaves out first lines; they stand in the first split of a file
+    first = _scan(spark, path, False).where("block_start = 0")
+    tables = first.groupBy(KEY).agg(F.expr("min_by(cells, row_no) AS header"))
+    return _scan(spark, path, True).drop("block_start"), tables
 
 
 def read_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -25,12 +25,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Use all cores for a table that comes in fewer splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
-
-
 def _money(cents: str) -> str:
     return f"CAST(CAST({cents} AS decimal(17,0)) * 0.01BD AS {MONEY})"
 
@@ -151,13 +145,13 @@ def _grid_frame(entries: DataFrame) -> DataFrame:
 def order_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Raw cells of whole statements: account lines, header row, transactions and footers."""
     entries = order_entries(spark, folder)
-    rows = _grid_entries(spread(entries, "row_no")).unionByName(_grid_frame(entries))
+    rows = _grid_entries(entries).unionByName(_grid_frame(entries))
     return reliable_checkpoint(rows)
 
 
 def stored_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The order ledger on shared storage, for analyses that read it more than once."""
-    return reliable_checkpoint(finish_ledger(spread(order_entries(spark, folder), "row_no")))
+    return reliable_checkpoint(finish_ledger(order_entries(spark, folder)))
 
 
 def order_pages(spark: SparkSession, folder: str) -> list[DataFrame]:
@@ -175,7 +169,7 @@ def order_pages(spark: SparkSession, folder: str) -> list[DataFrame]:
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents as grids: one row per line of text."""
     return (
-        spread(table(spark, folder, "documents"), "doc_id")
+        table(spark, folder, "documents")
         .selectExpr(f"CAST(doc_id AS string) AS {KEY}", "posexplode(split(text, '\\n')) AS (row_no, line)")
         .selectExpr(KEY, "CAST(row_no AS bigint) AS row_no", "array(line) AS cells")
     )
@@ -199,7 +193,7 @@ def order_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     mark = "CASE WHEN debit > 0 THEN 'Debit' WHEN credit > 0 THEN 'Credit' END"
     number = "concat('N', row_no)"
     kind = f"CAST({KEY} AS bigint) % 4"
-    entries = spread(order_entries(spark, folder), "row_no")
+    entries = order_entries(spark, folder)
     rows = entries.selectExpr(
         KEY,
         "row_no",
@@ -211,4 +205,4 @@ def order_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     tables = (
         entries.select(KEY).distinct().selectExpr(KEY, f"get(array({headers}), CAST({kind} AS int)) AS header")
     )
-    return reliable_checkpoint(rows), tables
+    return rows, tables

@@ -140,7 +140,7 @@ def top_expenses(spark, folder):
 
 @query
 def report_expense_categories(spark, folder):
-    return categories.report_expense_categories(_stored_report(spark, folder)).drop("rule_order")
+    return categories.report_expense_categories(_report(spark, folder)).drop("rule_order")
 
 
 @query
@@ -300,7 +300,7 @@ def page_rows(spark, folder):
 def clean_amounts(spark, folder):
     grouped = f"format_number(CAST(l_extendedprice AS {MONEY}), 2)"
     cell = f"concat('INR ', {grouped}, CASE WHEN l_returnflag = 'R' THEN ' Dr' ELSE ' Cr' END)"
-    return adapters.spread(adapters.table(spark, folder, "lineitem"), "l_orderkey").selectExpr(
+    return adapters.table(spark, folder, "lineitem").selectExpr(
         "l_orderkey",
         "l_linenumber",
         f"{text.clean_amount(cell)} AS cleaned",
@@ -316,7 +316,7 @@ def parsed_dates(spark, folder):
         for i, f in enumerate(formats)
     )
     cell = f"CASE l_orderkey % {len(formats)} {shown} END"
-    return adapters.spread(adapters.table(spark, folder, "lineitem"), "l_orderkey").selectExpr(
+    return adapters.table(spark, folder, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", f"{text.parse_date(cell)} AS parsed"
     )
 
@@ -366,7 +366,7 @@ def table_mapping(spark, folder):
 @query
 def table_ledger(spark, folder):
     rows, tables = adapters.order_tables(spark, folder)
-    return typing.report_ledger_from_table(rows, tables).drop("has_date")
+    return typing.report_ledger_from_table(session.reliable_checkpoint(rows), tables).drop("has_date")
 
 
 # ---- quality ----
@@ -457,4 +457,4 @@ def chart_income_versus_expenses(spark, folder):
 
 @query
 def chart_category_shares(spark, folder):
-    return report.category_shares(_stored_report(spark, folder))
+    return report.category_shares(_report(spark, folder))

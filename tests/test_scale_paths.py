@@ -5,6 +5,7 @@ import statistics
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import make_ledger, plain
 
 import ledgerloom as ll
@@ -126,16 +127,39 @@ def test_pages_of_different_width(spark):
 def test_read_extracted_files(spark, tmp_path):
     (tmp_path / "one.csv").write_text('0,1,2\nTran Date,Debit,"Credit"\n01-01-2024,"1,000.00",\n,,\n02-01-2024,NaN,5\n')
     (tmp_path / "two.csv").write_text("0,1\nDate Amount,Balance\n01-01-2024,\"a \"\"b\"\"\"\n")
-    raw = ll.read_grids(spark, str(tmp_path), max_columns=8)
+    raw = ll.read_grids(spark, str(tmp_path))
     got = {}
     for r in raw.orderBy("row_no").collect():
         got.setdefault(r["statement_id"][-7:], []).append(r["cells"])
     assert got["one.csv"] == [
-        ["Tran Date", "Debit", "Credit"], ["01-01-2024", "1,000.00"], [], ["02-01-2024", None, "5"],
+        ["Tran Date", "Debit", "Credit"], ["01-01-2024", "1,000.00", None], [None, None, None], ["02-01-2024", None, "5"],
     ]
     assert got["two.csv"] == [["Date Amount", "Balance"], ["01-01-2024", 'a "b"']]
-    with pytest.raises(Exception, match="more than 2 cells"):
-        ll.read_grids(spark, str(tmp_path), max_columns=2).collect()
+
+
+def test_lines_of_any_width(spark, tmp_path):
+    wide = [f"c{i}" for i in range(300)]
+    gap = ["a"] * 63 + ["", "", "x"] + [""] * 4
+    text = "0,1\n" + ",".join(wide) + "\n" + ",".join(gap) + '\n"q,""1""",,"open\nlast\n'
+    (tmp_path / "w.csv").write_text(text)
+    rows = [r["cells"] for r in ll.read_grids(spark, str(tmp_path)).orderBy("row_no").collect()]
+    assert rows == [wide, ["a"] * 63 + [None, None, "x"] + [None] * 4, ['q,"1"', None, '"open'], ["last"]]
+
+
+def test_long_amounts_are_kept(spark):
+    from ledgerloom.functions.text import clean_amount
+
+    cells = ["12345678901234567.00", "-99,999,999,999,999,999.5 Cr", "1.2.3", "x", "", None]
+    df = spark.createDataFrame([(c,) for c in cells], "c string").selectExpr(f"{clean_amount('c')} AS v")
+    assert [str(r.v) for r in df.collect()] == ["12345678901234567.00", "-99999999999999999.50", "0.00", "0.00", "0.00", "0.00"]
+    with pytest.raises(Exception, match="exceeds"):
+        spark.createDataFrame([("9" * 40,)], "c string").selectExpr(f"{clean_amount('c')} AS v").collect()
+
+
+def test_recurring_with_large_row_numbers(spark, golden):
+    moved = golden.withColumn("row_no", F.expr(f"row_no + {1 << 41}"))
+    want, got = (plain(ll.recurring_payments(x), "row_no") for x in (golden, moved))
+    assert [{**r, "row_no": r["row_no"] + (1 << 41)} for r in want] == got and got
 
 
 def test_line_order_of_split_files(spark, tmp_path):
