@@ -19,13 +19,15 @@ MISSING = [
 ]
 
 # Day first, then ISO.  Separators are folded to '-' before parsing.
-DAY_FIRST = ("d-M-yyyy", "d-M-yy", "yyyy-M-d", "d-MMM-yyyy", "d-MMM-yy", "d-MMMM-yyyy")
+DAY_FIRST = (
+    "d-M-yyyy", "d-M-yy", "yyyy-M-d", "d-MMM-yyyy", "d-MMM-yy", "d-MMMM-yyyy", "MMM-d-yyyy", "MMMM-d-yyyy", "yyyyMMdd",
+)
 MONTH_FIRST = ("M-d-yyyy", "M-d-yy", "yyyy-M-d")
 
 _CLOCK = r"[ T]\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?( ?[AaPp][Mm])?$"
 _SHAPE = {  # a cheap guard per format, so that a row is parsed once, not once per format
     "yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"[A-Za-z]{4,}", "MMM": r"[A-Za-z]{3}",
-    "M": r"\d{1,2}", "d": r"\d{1,2}",
+    "M": r"\d{1,2}", "d": r"\d{1,2}", "yyyyMMdd": r"\d{8}",
 }
 
 
@@ -49,7 +51,7 @@ def missing_to_null(x: str) -> str:
 
 def parse_date(x: str, formats: Iterable[str] = DAY_FIRST) -> str:
     """Text to date; the first fitting format wins, anything else is NULL."""
-    text = f"regexp_replace(regexp_replace({strip(x)}, {lit(_CLOCK)}, ''), '[/. ]+', '-')"
+    text = f"regexp_replace(regexp_replace({strip(x)}, {lit(_CLOCK)}, ''), '[/., ]+', '-')"
     tries = []
     for fmt in formats:
         shape = "^" + "-".join(_SHAPE[part] for part in fmt.split("-")) + "$"

@@ -191,13 +191,23 @@ def _seeds(figures: DataFrame, members: int, regular: str, first_counts: str) ->
     )
 
 
+def _islands(seeds: DataFrame, walk: Walk) -> DataFrame:
+    """Number the runs of neighbouring cells of a statement: seeds of different runs cannot block each other."""
+    cells = seeds.selectExpr(KEY, f"{walk.cell('value')} AS cell").distinct()
+    apart = f"CAST(coalesce(cell - lag(cell) OVER (PARTITION BY {KEY} ORDER BY cell) > 1, true) AS int)"
+    numbered = cells.selectExpr("*", f"{apart} AS starts").selectExpr(
+        KEY, "cell", f"sum(starts) OVER (PARTITION BY {KEY} ORDER BY cell ROWS UNBOUNDED PRECEDING) AS island"
+    )
+    return seeds.withColumn("cell", F.expr(walk.cell("value"))).join(numbered, [KEY, "cell"]).drop("cell")
+
+
 def _fold(seeds: DataFrame, walk: Walk) -> DataFrame:
-    """Walk the seeds of every statement in order and keep those no accepted one blocks."""
+    """Walk the seeds of every island in order and keep those no accepted one blocks."""
     kept = f"""
         aggregate(seeds, CAST(array() AS array<{_SEED_TYPE}>),
             (taken, s) -> CASE WHEN exists(taken, p -> {walk.blocks('p.value', 's.value')}) THEN taken
                 ELSE concat(taken, array(s)) END)"""
-    listed = seeds.groupBy(KEY).agg(
+    listed = seeds.groupBy(KEY, "island").agg(
         F.expr(f"CAST(array_sort(collect_list(struct({_SEED}))) AS array<{_SEED_TYPE}>) AS seeds")
     )
     return listed.selectExpr(KEY, f"inline({kept})")
@@ -206,16 +216,17 @@ def _fold(seeds: DataFrame, walk: Walk) -> DataFrame:
 def walk_seeds(seeds: DataFrame, walk: Walk, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """The accepted seeds of the ordered walk.
 
-    Accepted amounts lie apart by the tolerance, so a statement has few hundred of
-    them at most; only the undecided ones can be many, and rounds shrink those.
+    Each island of neighbouring amounts is folded by itself.  Accepted amounts lie
+    apart by the tolerance; only the undecided ones of an island can be many, and
+    rounds shrink those.
     """
-    seeds = reliable_checkpoint(seeds)
+    seeds = reliable_checkpoint(_islands(seeds, walk))
     accepted = None
     while True:
-        sizes = seeds.groupBy(KEY).count().where(f"count > {fold_limit}").select(KEY)
+        sizes = seeds.groupBy(KEY, "island").count().where(f"count > {fold_limit}").select(KEY, "island")
         if sizes.isEmpty():
             break
-        certain = reliable_checkpoint(_certain_seeds(seeds.join(sizes, KEY, "left_semi"), walk))
+        certain = reliable_checkpoint(_certain_seeds(seeds.join(sizes, [KEY, "island"], "left_semi"), walk).drop("island"))
         seeds = reliable_checkpoint(_drop_blocked(seeds, certain, walk))
         accepted = certain if accepted is None else accepted.unionByName(certain)
     folded = _fold(seeds, walk)

@@ -10,9 +10,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DAY_FIRST, clean_amount, parse_date, strip, to_number
+from ..functions.text import DAY_FIRST, MONTH_FIRST, clean_amount, lit, parse_date, strip, to_number
 from ..schemas import KEY, MONEY, ZERO
-from .grid import map_by_name, transaction_rows
+from .grid import CANONICAL, map_by_name, transaction_rows
 
 
 def split_by_indicator(amount: str, indicator: str) -> tuple[str, str]:
@@ -42,6 +42,7 @@ def finish_ledger(df: DataFrame) -> DataFrame:
         own("description", "string"),
         *[own(name, MONEY) for name in ("debit", "credit", "amount", "balance")],
         *[own(name, "string") for name in ("dr_cr_indicator", "cheque_no", "reference_no", "branch")],
+        own("extra", "map<string,string>"),
     ).selectExpr(
         KEY,
         "row_no",
@@ -58,13 +59,35 @@ def finish_ledger(df: DataFrame) -> DataFrame:
         "cheque_no",
         "reference_no",
         "branch",
+        "extra",
     )
 
 
 def build_ledger(
     raw: DataFrame, layouts: DataFrame, date_formats: Iterable[str] = DAY_FIRST
 ) -> DataFrame:
-    """Project the transaction rows of every layout onto the one typed ledger."""
+    """Project the transaction rows of every layout onto the one typed ledger.
+
+    ``layouts`` may have a column ``date_formats array<string>``: where it is not NULL, its formats
+    (of ``DAY_FIRST``, ``MONTH_FIRST`` or ``date_formats``) are tried in its order, others are not.
+    """
+    known = tuple(dict.fromkeys([*date_formats, *DAY_FIRST, *MONTH_FIRST]))
+    own_formats = "date_formats" in layouts.columns
+
+    def date(value: str) -> str:
+        if not own_formats:
+            return parse_date(value, date_formats)
+        tried = f"transform(date_formats, f_ -> CASE f_ {' '.join(f'WHEN {lit(f)} THEN {parse_date(value, [f])}' for f in known)} END)"
+        first = f"get(filter({tried}, d_ -> d_ IS NOT NULL), 0)"
+        return f"CASE WHEN date_formats IS NULL THEN {parse_date(value, date_formats)} ELSE {first} END"
+
+    # columns without a standard name, and second ones of a name
+    unmapped = (
+        f"filter(sequence(0, size(names) - 1), i_ -> get(names, i_) NOT IN ({CANONICAL})"
+        " OR array_position(names, get(names, i_)) <> i_ + 1)"
+    )
+    label = "CASE WHEN array_position(header, get(header, i_)) = i_ + 1 THEN get(header, i_) ELSE concat(get(header, i_), '#', i_) END"
+    extra = f"map_from_entries(transform({unmapped}, i_ -> struct({label} AS key, get(cells, i_) AS value)))"
 
     def position(name: str) -> str:
         return f"element_at(col_map, '{name}')"
@@ -78,10 +101,12 @@ def build_ledger(
     def money(name: str) -> str:
         return f"CASE WHEN {position(name)} IS NOT NULL THEN {clean_amount(cell(name))} END AS {name}"
 
-    typed = transaction_rows(raw, layouts, "col_map").selectExpr(
+    carried = ["col_map", "header", "names", *(["date_formats"] if own_formats else [])]
+    typed = transaction_rows(raw, layouts, *carried).selectExpr(
         KEY,
         "row_no",
-        f"{parse_date(cell('date'), date_formats)} AS txn_date",
+        f"{date(cell('date'))} AS txn_date",
+        f"{extra} AS extra",
         text("description"),
         *[money(name) for name in ("debit", "credit", "amount", "balance")],
         text("dr_cr_indicator"),

@@ -3,7 +3,8 @@
 A frame is keyed by ``statement_id``; ``row_no`` is the line order inside one
 statement (unique, below 2**41).  In a ledger, NULL in ``description``,
 ``debit``, ``credit``, ``amount`` or ``dr_cr_indicator`` means "the layout has no
-such column"; a blank cell is '' or 0.
+such column"; a blank cell is '' or 0.  ``extra`` holds the cells of all other
+columns of the layout by their header name.
 """
 
 KEY = "statement_id"
@@ -16,7 +17,7 @@ LEDGER = f"""
     statement_id string, row_no bigint, txn_date date, month string, description string,
     debit {MONEY}, credit {MONEY}, amount {MONEY}, balance {MONEY}, dr_cr_indicator string,
     txn_type string, transaction_amount {MONEY},
-    cheque_no string, reference_no string, branch string
+    cheque_no string, reference_no string, branch string, extra map<string,string>
 """
 
 ZERO = f"CAST(0 AS {MONEY})"

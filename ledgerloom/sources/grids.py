@@ -88,9 +88,11 @@ def read_tables(spark: SparkSession, path: str | list[str], multiline: bool = Fa
 
 def read_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A processed ledger written by ``write_ledger``."""
-    reader = spark.read.schema(LEDGER)
     if fmt == "csv":
-        return reader.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+        plain = LEDGER.replace("extra map<string,string>", "extra string")
+        rows = spark.read.schema(plain).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+        return rows.withColumn("extra", F.from_json("extra", "map<string,string>"))
+    reader = spark.read.schema(LEDGER)
     return reader.format(fmt).load(path)
 
 

@@ -11,6 +11,8 @@ from ..schemas import KEY
 def write_ledger(ledger: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """The processed ledger: parquet by month, or CSV with a header."""
     if fmt == "csv":
+        if "extra" in ledger.columns:
+            ledger = ledger.withColumn("extra", F.to_json("extra"))
         ledger.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     else:
         # a month is spread over files by statement and, for a huge statement, by row range

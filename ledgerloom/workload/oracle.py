@@ -450,6 +450,9 @@ _QUERIES: dict[str, str] = {
         FROM l""",
     "transaction_summary": f"""SELECT * REPLACE ({_money('total_credit')} AS total_credit, {_money('total_debit')} AS total_debit,
         {_money('opening_balance')} AS opening_balance, {_money('closing_balance')} AS closing_balance) FROM totals""",
+    "exported_workbook": f"""SELECT statement_id, month, credit_count, debit_count, {_money('total_credit')} AS total_credit,
+        {_money('total_debit')} AS total_debit, {_money('total_credit - total_debit')} AS net_flow,
+        {_money('opening_balance')} AS opening_balance, {_money('closing_balance')} AS closing_balance FROM months""",
     "monthly_summary": f"""SELECT statement_id, month, credit_count, debit_count, {_money('total_credit')} AS total_credit,
         {_money('total_debit')} AS total_debit, {_money('total_credit - total_debit')} AS net_flow,
         {_money('opening_balance')} AS opening_balance, {_money('closing_balance')} AS closing_balance FROM months""",
@@ -521,6 +524,9 @@ _QUERIES: dict[str, str] = {
                 WHEN 3 THEN debit > 0 ELSE balance IS NOT NULL END) AS n_amount
         FROM g, (SELECT unnest([1, 2, 3, 4]) AS pos) WHERE layout = 2 AND filled >= 2 GROUP BY statement_id, pos""",
     "transaction_rows": "SELECT statement_id, row_no, line FROM glines",
+    "exported_grid": "SELECT statement_id, row_no, line FROM glines",
+    "exported_ledger": f"""SELECT statement_id, row_no, txn_date, description, {_money('debit')} AS debit,
+        {_money('credit')} AS credit, 'T' || (row_no % 7) AS teller, 1 AS n_extra FROM l""",
     "grid_ledger": f"""SELECT statement_id, row_no, txn_date, month, description, {_money('debit')} AS debit,
         {_money('credit')} AS credit, {_money('amount')} AS amount, {_money('balance')} AS balance, dr_cr_indicator,
         txn_type, {_money('transaction_amount')} AS transaction_amount FROM gl""",

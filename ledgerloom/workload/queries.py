@@ -17,7 +17,8 @@ from ..operators import categories, grid, metadata, quality, recurring, spending
 from ..operators.flows import flows
 from ..plans import insights, process, report
 from ..schemas import KEY, MONEY
-from ..sources.grids import concat_pages, from_frame, number_page_rows
+from ..sources.grids import concat_pages, from_frame, number_page_rows, read_ledger
+from ..sources.sinks import write_grid, write_ledger, write_workbook
 from . import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,6 +370,41 @@ def table_ledger(spark, folder):
     return typing.report_ledger_from_table(session.reliable_checkpoint(rows), tables).drop("has_date")
 
 
+# ---- written and read back ----
+
+
+@query
+def exported_ledger(spark, folder):
+    """A layout with a column of no standard name, through the ledger's file."""
+    shown = adapters.order_entries(spark, folder).selectExpr(
+        KEY, "row_no", "date_format(txn_date, 'dd/MM/yyyy') AS `Tran Date`", "description AS `Particulars`",
+        "debit AS `Debit`", "credit AS `Credit`", "concat('T', row_no % 7) AS `Teller`",
+    )
+    raw = from_frame(shown, KEY, "row_no")
+    path = session.shared_folder(spark) + "/ledger"
+    write_ledger(typing.build_ledger(raw, grid.detect_layouts(raw)), path)
+    return read_ledger(spark, path).selectExpr(
+        KEY, "row_no", "txn_date", "description", "debit", "credit", "element_at(extra, 'teller') AS teller", "size(extra) AS n_extra"
+    )
+
+
+@query
+def exported_grid(spark, folder):
+    path = session.shared_folder(spark) + "/grid"
+    write_grid(adapters.order_grid(spark, folder), path)
+    raw = spark.read.parquet(path)
+    named = grid.name_columns(grid.detect_headers(raw))
+    return grid.transaction_rows(raw, named).selectExpr(KEY, "row_no", "array_join(cells, '|', '') AS line")
+
+
+@query
+def exported_workbook(spark, folder):
+    ledger, path = adapters.order_ledger(spark, folder), session.shared_folder(spark) + "/book"
+    flow = flows(ledger)
+    write_workbook(ledger, summary.transaction_summary(flow), summary.monthly_summary(flow), path)
+    return spark.read.parquet(f"{path}/monthly_summary")
+
+
 # ---- quality ----
 
 
