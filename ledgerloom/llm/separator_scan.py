@@ -121,5 +121,5 @@ def count_tokens(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int) -
     files = reliable_checkpoint(named.join(sizes, "file").select("path", "length"))
     counted = scan(files, end_id)
     return order.join(counted, ["path", "ordinal"]).select(
-        "doc_id", F.element_at(F.split("path", "/"), -1).alias("file"), "ordinal", "start", "n_tokens", "closed"
+        "doc_id", F.regexp_extract("path", r"tokens-\d+", 0).alias("file"), "ordinal", "start", "n_tokens", "closed"
     )
