@@ -59,15 +59,16 @@ def _side_by_side(base: DataFrame, *parts: DataFrame) -> DataFrame:
 def comprehensive_insights(ledger: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """All analyses of the first report, one row per statement.
 
-    The ledger is rolled up once to (day, category, source); every summary reads
-    that rollup, which is written to the checkpoint folder.
+    The ledger is rolled up once to (day, category, source) and from there to months;
+    every summary reads one of the two rollups, written to the checkpoint folder.
     """
     flow = reliable_checkpoint(rollup(flows(ledger), *GRAIN))
-    totals = summary.transaction_summary(flow, metadata)
-    monthly = summary.monthly_summary(flow)
-    surplus = summary.monthly_balance_surplus(flow)
+    months = reliable_checkpoint(rollup(flow, "month"))  # small: all figures by month read it
+    totals = summary.transaction_summary(months, metadata)
+    monthly = summary.monthly_summary(months)
+    surplus = summary.monthly_balance_surplus(months)
     expenses = categories.expense_categories(flow)
-    income = categories.income_summary(flow)
+    income = categories.income_summary(months)
     emis = recurring.recurring_payments(ledger)
     emis = reliable_checkpoint(emis)  # small: accepted amounts only
     unusual = reliable_checkpoint(spending.unusual_transactions(ledger))
@@ -82,14 +83,14 @@ def comprehensive_insights(ledger: DataFrame, metadata: DataFrame | None = None)
         _listed(monthly, "monthly_summary", "month", month_fields),
         _listed(surplus, "monthly_surplus", "month", surplus_fields),
         _listed(expenses, "expense_categories", "position", ["category", "amount"]),
-        _listed(spending.monthly_spending(flow), "monthly_spending", "month", ["month", "amount"]),
-        _section(spending.monthly_spending_stats(flow), "monthly_spending_stats"),
+        _listed(spending.monthly_spending(months), "monthly_spending", "month", ["month", "amount"]),
+        _section(spending.monthly_spending_stats(months), "monthly_spending_stats"),
         _listed(
             spending.weekday_spending(flow), "day_of_week_spending", "day_of_week", ["day_of_week", "amount"]
         ),
         _section(spending.large_transactions(ledger), "large_transactions"),
         income,
-        _listed(categories.monthly_income(flow), "monthly_income", "month", ["month", "income"]),
+        _listed(categories.monthly_income(months), "monthly_income", "month", ["month", "income"]),
         _listed(categories.income_sources(flow), "income_sources", "rule_order", ["source", "amount"]),
         _listed(emis, "emis", "-amount AS less, row_no", emi_fields),
         emi_totals,

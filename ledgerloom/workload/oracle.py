@@ -42,6 +42,10 @@ def _money(x: str) -> str:
     return f"round(CAST({x} AS DOUBLE), 2)"
 
 
+def _cents(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DOUBLE) * 100) AS BIGINT)"
+
+
 def _percent(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} > 0 THEN CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE) * 100 ELSE 0.0 END"
 
@@ -575,6 +579,33 @@ _QUERIES: dict[str, str] = {
             FROM l GROUP BY statement_id)
         UNPIVOT (missing_count FOR "column" IN ("date", description, debit, credit, balance, "type", month_year, transaction_amount))""",
     "grid_quality": "SELECT * REPLACE (round(quality_score, 6) AS quality_score) FROM gquality",
+    "insights_sections": f"""
+        SELECT t.statement_id, m.months, m.surplus, c.categories, w.weekdays, i.sources, e.emis
+        FROM totals t
+        LEFT JOIN (SELECT statement_id, string_agg(concat_ws(' ', month, credit_count, debit_count, {_cents('total_credit')},
+                {_cents('total_debit')}, {_cents('opening_balance')}, {_cents('closing_balance')}), '|' ORDER BY month) AS months,
+            string_agg(concat_ws(' ', month, {_cents('(total_credit - total_debit)')}), '|' ORDER BY month) AS surplus
+            FROM months GROUP BY statement_id) m USING (statement_id)
+        LEFT JOIN (SELECT statement_id, string_agg(concat_ws(' ', category, {_cents('amount')}), '|' ORDER BY position) AS categories
+            FROM cats GROUP BY statement_id) c USING (statement_id)
+        LEFT JOIN (SELECT statement_id, string_agg(concat_ws(' ', d, {_cents('amount')}), '|' ORDER BY d) AS weekdays
+            FROM (SELECT statement_id, dayname(txn_date) AS d, sum(debit) AS amount FROM l WHERE txn_date IS NOT NULL GROUP BY ALL)
+            GROUP BY statement_id) w USING (statement_id)
+        LEFT JOIN (SELECT statement_id, string_agg(concat_ws(' ', source, {_cents('amount')}), '|' ORDER BY rule_order) AS sources
+            FROM sources GROUP BY statement_id) i USING (statement_id)
+        LEFT JOIN (SELECT statement_id, string_agg(concat_ws(' ', {_cents('amount')}, frequency, occurrences, first_date, last_date), '|'
+                ORDER BY amount DESC, row_no) AS emis
+            FROM emi_out GROUP BY statement_id) e USING (statement_id)""",
+    "report_sections": f"""
+        SELECT b.statement_id, n.months, c.categories, e.emis
+        FROM report_base b
+        LEFT JOIN (SELECT statement_id, string_agg(concat_ws(' ', month, {_cents('income')}, {_cents('expenses')}), '|' ORDER BY month) AS months
+            FROM surplus GROUP BY statement_id) n USING (statement_id)
+        LEFT JOIN (SELECT statement_id, string_agg(concat_ws(' ', category, {_cents('amount')}), '|' ORDER BY rule_order) AS categories
+            FROM rcats GROUP BY statement_id) c USING (statement_id)
+        LEFT JOIN (SELECT statement_id, string_agg(concat_ws(' ', {_cents('amount')}, frequency, confidence, {_cents('total_paid')}), '|'
+                ORDER BY amount DESC, row_no) AS emis
+            FROM rep_out GROUP BY statement_id) e USING (statement_id)""",
     "insights_overview": f"""
         SELECT t.statement_id, t.total_transactions, {_money('t.opening_balance')} AS opening_balance,
             {_money('m.net_cashflow')} AS net_cashflow, round(m.savings_rate, 6) AS savings_rate,

@@ -444,6 +444,46 @@ def insights_overview(spark, folder):
     )
 
 
+def _cents(x: str) -> str:
+    return f"CAST({x} * 100 AS bigint)"
+
+
+def _lines(items: str, *fields: str) -> str:
+    """The items of a section as text, in their order."""
+    return f"array_join(transform({items}, x -> concat_ws(' ', {', '.join(fields)})), '|')"
+
+
+@query
+def insights_sections(spark, folder):
+    """What the sections of the first report hold, in order."""
+    wide = insights.comprehensive_insights(adapters.stored_ledger(spark, folder))
+    months = _lines(
+        "monthly_analysis.monthly_summary", "x.month", "x.credit_count", "x.debit_count", _cents("x.total_credit"), _cents("x.total_debit"),
+        _cents("x.opening_balance"), _cents("x.closing_balance"),
+    )
+    return wide.selectExpr(
+        KEY,
+        f"{months} AS months",
+        f"{_lines('monthly_analysis.monthly_surplus', 'x.month', _cents('x.surplus'))} AS surplus",
+        f"{_lines('spending_analysis.expense_categories', 'x.category', _cents('x.amount'))} AS categories",
+        f"{_lines('spending_analysis.day_of_week_spending', 'x.day_of_week', _cents('x.amount'))} AS weekdays",
+        f"{_lines('income_analysis.income_sources', 'x.source', _cents('x.amount'))} AS sources",
+        f"{_lines('emi_analysis.emis', _cents('x.amount'), 'x.frequency', 'x.occurrences', 'x.first_date', 'x.last_date')} AS emis",
+    )
+
+
+@query
+def report_sections(spark, folder):
+    """What the sections of the second report hold, in order."""
+    wide = insights.comprehensive_report(_stored_report(spark, folder))
+    return wide.selectExpr(
+        KEY,
+        f"{_lines('monthly_surplus', 'x.month', _cents('x.income'), _cents('x.expenses'))} AS months",
+        f"{_lines('expense_categories', 'x.category', _cents('x.amount'))} AS categories",
+        f"{_lines('emi_analysis', _cents('x.amount'), 'x.frequency', 'x.confidence', _cents('x.total_paid'))} AS emis",
+    )
+
+
 @query
 def analysis_overview(spark, folder):
     done = process.process(adapters.order_grid(spark, folder), materialize=True)
