@@ -149,6 +149,27 @@ def order_grid(spark: SparkSession, folder: str) -> DataFrame:
     return reliable_checkpoint(rows)
 
 
+def odd_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Grids whose header repeats a name, is found by one word only, or is missing."""
+    entries = order_entries(spark, folder)
+    rows = entries.selectExpr(
+        KEY,
+        f"row_no + {FIRST_ROW} AS row_no",
+        _cells("date_format(txn_date, 'dd-MM-yyyy')", "description", "CAST(debit AS string)", "CAST(credit AS string)", "CAST(balance AS string)"),
+    ).toDF(KEY, "row_no", "cells")
+    repeated = {0: _cells("'Some Bank'", *["NULL"] * 4), 2: _cells("'Tran Date'", "'Particulars'", "'Debit'", "'Debit'", "'Balance'")}
+    one_word = {0: _cells("'Hello'", *["NULL"] * 4), 1: _cells("'Booked Date'", "'What'", "'Sum'", "NULL", "' '")}
+    lists = [
+        "array(" + ", ".join(f"named_struct('row_no', {no}L, 'cells', {cells})" for no, cells in lines.items()) + ")"
+        for lines in (repeated, one_word)
+    ]
+    kind = "array<struct<row_no:bigint,cells:array<string>>>"
+    heads = entries.select(KEY).distinct().selectExpr(
+        KEY, f"inline({_by_layout(*(f'CAST({x} AS {kind})' for x in lists), f'CAST(array() AS {kind})')})"
+    )
+    return rows.unionByName(heads)
+
+
 def stored_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The order ledger on shared storage, for analyses that read it more than once."""
     return reliable_checkpoint(finish_ledger(order_entries(spark, folder)))

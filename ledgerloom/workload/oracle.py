@@ -514,6 +514,13 @@ _QUERIES: dict[str, str] = {
         round(expense_ratio, 6) AS expense_ratio, round(savings_rate, 6) AS savings_rate,
         round(emi_to_income_ratio, 6) AS emi_to_income_ratio FROM metrics""",
     "header_rows": "SELECT statement_id, CAST(3 AS BIGINT) AS header_row_no, 5 AS n_cols FROM ids",
+    "odd_headers": """SELECT statement_id,
+        CAST(CASE CAST(statement_id AS BIGINT) % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 END AS BIGINT) AS header_row_no,
+        CASE CAST(statement_id AS BIGINT) % 3 WHEN 0 THEN 'tran date|particulars|debit|debit_1|balance'
+            WHEN 1 THEN 'booked date|what|sum|col_3|col_4' ELSE '0|1|2|3|4' END AS header FROM ids""",
+    "undated_expenses": f"""SELECT statement_id, CASE WHEN CAST(statement_id AS BIGINT) % 2 = 1 THEN 'Total' ELSE month END AS month,
+        {_money("sum(CASE WHEN txn_type = 'debit' THEN debit ELSE 0 END)")} AS expenses
+        FROM l WHERE CAST(statement_id AS BIGINT) % 2 = 1 OR txn_date IS NOT NULL GROUP BY ALL""",
     "layout_names": """SELECT statement_id, CASE CAST(statement_id AS BIGINT) % 3
             WHEN 0 THEN 'tran date|particulars|debit|credit|balance'
             WHEN 1 THEN 'value date|narration|amount(inr)|dr/cr|balance(inr)'

@@ -116,6 +116,16 @@ def monthly_expenses(spark, folder):
     return summary.monthly_expenses(_report(spark, folder))
 
 
+@query
+def undated_expenses(spark, folder):
+    """Every second statement has no date column: its expenses are one total."""
+    odd = f"CAST({KEY} AS bigint) % 2 = 1"
+    ledger = adapters.order_ledger(spark, folder)
+    ledger = ledger.withColumns({"txn_date": F.expr(f"CASE WHEN NOT {odd} THEN txn_date END"), "month": F.expr(f"CASE WHEN NOT {odd} THEN month END")})
+    layouts = ledger.select(KEY).distinct().withColumn("col_map", F.expr(f"CASE WHEN {odd} THEN map('debit', 1) ELSE map('date', 0) END"))
+    return summary.monthly_expenses(typing.report_ledger(ledger, layouts))
+
+
 @query
 def monthly_surplus(spark, folder):
     return summary.monthly_surplus(_report(spark, folder))
@@ -241,6 +251,13 @@ def header_rows(spark, folder):
     return grid.detect_headers(adapters.order_grid(spark, folder)).select(KEY, "header_row_no", "n_cols")
 
 
+@query
+def odd_headers(spark, folder):
+    """Repeated names, a header found by one word, and no header at all."""
+    named = grid.name_columns(grid.detect_headers(adapters.odd_grid(spark, folder)))
+    return named.selectExpr(KEY, "header_row_no", "array_join(header, '|') AS header")
+
+
 @query
 def layout_names(spark, folder):
     layouts = grid.detect_layouts(adapters.order_grid(spark, folder))
