@@ -38,7 +38,7 @@ def report_expense_categories(report: DataFrame, rules: RuleSet = REPORT_EXPENSE
     """Debit total and share per category of the second report, largest first."""
     totals = (
         report.where("dr_cr_indicator = 'DR'")
-        .selectExpr(KEY, f"{classify('description', rules)} AS category", "debit")
+        .selectExpr(KEY, "category" if "category" in report.columns else f"{classify('description', rules)} AS category", "debit")
         .groupBy(KEY, "category")
         .agg(F.sum("debit").alias("amount"))
         .where("amount > 0")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keywords import classify
+from ..rules import REPORT_EXPENSE_RULES, RuleSet
 from ..schemas import KEY, ZERO, day_order
 from .flows import rollup
 
@@ -75,17 +77,37 @@ def monthly_balance_surplus(flow: DataFrame) -> DataFrame:
 # ---- the second report, on its own ledger view ----
 
 
+_BALANCE_ORDER = f"CASE WHEN balance IS NOT NULL THEN coalesce({day_order()}, row_no) END"
+
+
+def report_rollup(report: DataFrame, rules: RuleSet = REPORT_EXPENSE_RULES) -> DataFrame:
+    """The second report's ledger added up by month, direction and category.
+
+    The figures below take it in place of the rows; ``rows`` and ``last_place`` stand
+    for the rows that a line adds up and the place of its last balance.
+    """
+    category = f"CASE WHEN dr_cr_indicator = 'DR' THEN {classify('description', rules)} END AS category"
+    return report.groupBy(KEY, "has_date", "month", "dr_cr_indicator", F.expr(category)).agg(
+        F.expr("count(1) AS rows"),
+        F.expr("sum(debit) AS debit"),
+        F.expr("sum(credit_amount) AS credit_amount"),
+        F.expr(f"max({_BALANCE_ORDER}) AS last_place"),
+        F.expr(f"max_by(balance, {_BALANCE_ORDER}) AS balance"),
+    )
+
+
 def direction_counts(report: DataFrame) -> DataFrame:
+    rows = "rows" if "rows" in report.columns else "1L"
     return report.groupBy(KEY).agg(
-        F.expr("count_if(dr_cr_indicator = 'CR') AS credit_transactions"),
-        F.expr("count_if(dr_cr_indicator = 'DR') AS debit_transactions"),
-        F.expr("count(1) AS total_transactions"),
+        F.expr(f"sum(CASE WHEN dr_cr_indicator = 'CR' THEN {rows} ELSE 0 END) AS credit_transactions"),
+        F.expr(f"sum(CASE WHEN dr_cr_indicator = 'DR' THEN {rows} ELSE 0 END) AS debit_transactions"),
+        F.expr(f"sum({rows}) AS total_transactions"),
     )
 
 
 def end_balance(report: DataFrame) -> DataFrame:
     """Last balance by date, or credits minus debits if no row has a balance."""
-    order = f"CASE WHEN balance IS NOT NULL THEN coalesce({day_order()}, row_no) END"
+    order = "last_place" if "last_place" in report.columns else _BALANCE_ORDER
     return report.groupBy(KEY).agg(
         F.expr(f"coalesce(max_by(balance, {order}), sum(credit_amount) - sum(debit)) AS eod_balance")
     )

@@ -147,16 +147,17 @@ def analyze(statements: Statements) -> DataFrame:
 
 def comprehensive_report(report: DataFrame) -> DataFrame:
     """All analyses of the second report, one row per statement."""
-    surplus = reliable_checkpoint(summary.monthly_surplus(report))
-    shares = reliable_checkpoint(categories.report_expense_categories(report))
+    brief = reliable_checkpoint(summary.report_rollup(report))  # one pass over the rows for all but the payments
+    surplus = reliable_checkpoint(summary.monthly_surplus(brief))
+    shares = reliable_checkpoint(categories.report_expense_categories(brief))
     emis = reliable_checkpoint(recurring.report_recurring_payments(report))
     emi_fields = [c for c in emis.columns if c not in (KEY, "row_no")]
     return _side_by_side(
-        _section(summary.direction_counts(report), "transaction_counts"),
-        summary.end_balance(report),
+        _section(summary.direction_counts(brief), "transaction_counts"),
+        summary.end_balance(brief),
         _listed(surplus, "monthly_expenses", "month", ["month", "expenses"]),
         _listed(shares, "expense_categories", "rule_order", ["category", "amount"]),
-        _section(categories.largest_of(report, shares), "most_expense_category"),
+        _section(categories.largest_of(brief, shares), "most_expense_category"),
         _listed(surplus, "monthly_surplus", "month", [c for c in surplus.columns if c != KEY]),
         _listed(emis, "emi_analysis", "-amount AS less, row_no", emi_fields),
         _section(summary.overall_summary(surplus), "summary"),
