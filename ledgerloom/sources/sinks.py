@@ -31,13 +31,21 @@ def write_workbook(ledger: DataFrame, summary: DataFrame, monthly: DataFrame, pa
         frame.write.mode(mode).parquet(f"{path}/{name}")
 
 
-def write_report(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The text report, one folder of text per statement."""
+def write_report(lines: DataFrame, path: str, mode: str = "errorifexists", buckets: int | None = None) -> None:
+    """The text report: one folder of text per statement, or ``buckets`` folders for many statements.
+
+    In a bucket the lines of a statement stand together, each behind the statement's id and a tab.
+    """
+    if buckets is None:
+        rows, by, text = lines.repartition(KEY), KEY, F.col("text")
+    else:
+        by = "bucket"
+        rows = lines.withColumn(by, F.pmod(F.xxhash64(KEY), F.lit(buckets))).repartition(buckets, by)
+        text = F.concat(F.col(KEY), F.lit("\t"), F.col("text"))
     (
-        lines.repartition(KEY)
-        .sortWithinPartitions(KEY, "section", "line_no")
-        .select(KEY, F.col("text").alias("value"))
+        rows.sortWithinPartitions(*dict.fromkeys([by, KEY, "section", "line_no"]))
+        .select(by, text.alias("value"))
         .write.mode(mode)
-        .partitionBy(KEY)
+        .partitionBy(by)
         .text(path)
     )

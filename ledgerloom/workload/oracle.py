@@ -641,6 +641,7 @@ _QUERIES: dict[str, str] = {
             FROM rcats GROUP BY statement_id) c USING (statement_id)
         LEFT JOIN (SELECT statement_id, CAST(count(*) AS INTEGER) AS emi_count FROM rep_out GROUP BY statement_id) e USING (statement_id)""",
     "text_report": _text_report(),
+    "exported_report": f"SELECT statement_id, text FROM ({_text_report()})",
     "chart_monthly_table": f"""SELECT statement_id, month, {_money('total_credit')} AS income,
         {_money('total_debit')} AS expenses, {_money('total_credit - total_debit')} AS net,
         coalesce({_money('opening_balance')}, 0) AS opening_balance,

@@ -18,7 +18,7 @@ from ..operators.flows import flows
 from ..plans import insights, process, report
 from ..schemas import KEY, MONEY
 from ..sources.grids import concat_pages, from_frame, number_page_rows, read_ledger
-from ..sources.sinks import write_grid, write_ledger, write_workbook
+from ..sources.sinks import write_grid, write_ledger, write_report, write_workbook
 from . import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,6 +422,14 @@ def exported_workbook(spark, folder):
     return spark.read.parquet(f"{path}/monthly_summary")
 
 
+@query
+def exported_report(spark, folder):
+    """The text report through its files: lines by statement, in their order within a file."""
+    path = session.shared_folder(spark) + "/text"
+    write_report(report.report_lines(insights.comprehensive_report(_stored_report(spark, folder))), path, buckets=8)
+    return spark.read.text(path).selectExpr(f"split(value, '\t', 2)[0] AS {KEY}", "split(value, '\t', 2)[1] AS text")
+
+
 # ---- quality ----
 
 

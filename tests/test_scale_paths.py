@@ -271,3 +271,15 @@ def test_one_statement_among_many(spark, golden):
         lambda l: ll.top_unusual(ll.unusual_transactions(l, 1)),
     ):
         assert sorted(map(str, operator(both).where("statement_id = 'g1'").collect())) == sorted(map(str, operator(golden).collect()))
+
+
+def test_report_in_buckets(spark, golden, tmp_path):
+    one = ll.report_lines(ll.comprehensive_report(ll.report_ledger(golden)))
+    lines = one.unionByName(one.withColumn("statement_id", F.lit("g2")))
+    ll.write_report(lines, str(tmp_path / "text"), buckets=3)
+    files = list((tmp_path / "text").glob("bucket=*/*.txt"))
+    assert 1 <= len(files) <= 2
+    read = [line.split("\t", 1) for f in files for line in f.read_text().splitlines()]
+    want = [r["text"] for r in one.orderBy("section", "line_no").collect()]
+    for statement in ("g1", "g2"):
+        assert [text for s, text in read if s == statement] == want
