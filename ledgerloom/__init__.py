@@ -1,6 +1,7 @@
 """Bank-statement analytics on Spark: raw table cells to ledgers, summaries and reports."""
 
 from .operators.categories import (
+    classify_by_table,
     expense_categories,
     income_sources,
     income_summary,

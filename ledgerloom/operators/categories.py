@@ -70,6 +70,28 @@ def largest_of(report: DataFrame, shares: DataFrame) -> DataFrame:
     )
 
 
+def classify_by_table(rows: DataFrame, rules: DataFrame, default: str, text: str = "description") -> DataFrame:
+    """Add ``category`` by a rule table ``(priority, category, keywords)`` of any size.
+
+    The rule of lowest priority with a keyword inside the lower-case text wins, ``default`` where none has.
+    Texts and keywords meet on the keyword's first letters, so neither side is collected or paired in full;
+    each distinct text is classified once.
+    """
+    words = rules.selectExpr("priority", "category", "explode(keywords) AS word").selectExpr("*", "substring(word, 1, 3) AS gram")
+    texts = rows.select(F.lower(text).alias("text_")).where("text_ IS NOT NULL").distinct()
+    grams = ", ".join(f"regexp_extract_all(text_, '(?s)(?=(.{{{n}}}))', 1)" for n in (1, 2, 3))
+    found = (
+        texts.selectExpr("text_", f"explode(array_distinct(flatten(array(array(''), {grams})))) AS gram")
+        .join(words, "gram")
+        .where("contains(text_, word)")
+        .groupBy("text_")
+        .agg(F.min(F.struct("priority", "category")).alias("rule_"))
+        .selectExpr("text_", "rule_.category AS category")
+    )
+    named = rows.join(found, F.lower(rows[text]) == found["text_"], "left").drop("text_")
+    return named.withColumn("category", F.coalesce("category", F.lit(default)))
+
+
 def monthly_income(flow: DataFrame) -> DataFrame:
     return rollup(flow.where("month IS NOT NULL"), "month").selectExpr(KEY, "month", "credit AS income")
 

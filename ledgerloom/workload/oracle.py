@@ -482,6 +482,7 @@ _QUERIES: dict[str, str] = {
         round(percentage, 6) AS percentage FROM rcats""",
     "largest_category": f"""SELECT statement_id, category, {_money('amount')} AS amount,
         round(percentage, 6) AS percentage FROM biggest""",
+    "categories_by_table": f"SELECT statement_id, category, {_money('amount')} AS amount FROM cats",
     "income_summary": f"""SELECT statement_id, {_money('total_income')} AS total_income,
         round(average_monthly_income, 6) AS average_monthly_income FROM income""",
     "monthly_income": f"SELECT statement_id, month, {_money('total_credit')} AS income FROM months",

@@ -16,6 +16,7 @@ from ..functions import text
 from ..operators import categories, grid, metadata, quality, recurring, spending, summary, typing
 from ..operators.flows import flows
 from ..plans import insights, process, report
+from ..rules import EXPENSE_RULES
 from ..schemas import KEY, MONEY
 from ..sources.grids import concat_pages, from_frame, number_page_rows, read_ledger
 from ..sources.sinks import write_grid, write_ledger, write_report, write_workbook
@@ -159,6 +160,14 @@ def largest_category(spark, folder):
     return categories.largest_category(_stored_report(spark, folder))
 
 
+@query
+def categories_by_table(spark, folder):
+    """The first report's rules as a table, applied by joins."""
+    spent = adapters.order_ledger(spark, folder).where("txn_type = 'debit' AND debit > 0")
+    named = categories.classify_by_table(spent, EXPENSE_RULES.to_frame(spark), EXPENSE_RULES.default)
+    return named.groupBy(KEY, "category").agg(F.sum("debit").alias("amount"))
+
+
 @query
 def income_summary(spark, folder):
     return categories.income_summary(_flow(spark, folder))

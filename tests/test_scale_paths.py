@@ -102,6 +102,17 @@ def test_custom_rules(spark, golden):
     assert got == {"It's early": 2150, "Rest": 30500}
 
 
+def test_rule_table_by_joins(spark):
+    rules = spark.createDataFrame(
+        [(i, f"c{i}", [f"key{i}", "z" * (i % 3 + 1)] if i > 11_990 else [f"key{i}x"]) for i in range(12_000)] + [(-1, "all caps", ["%_(", "ab"])],
+        "priority int, category string, keywords array<string>",
+    )
+    texts = ["KEY11995 here", "nothing", "a zz b", None, "", "xAB", "50%_(", "key7 key7x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, description string")
+    got = {r.i: r.category for r in ll.classify_by_table(rows, rules, "Rest").collect()}
+    assert got == {0: "c11995", 1: "Rest", 2: "c11991", 3: "Rest", 4: "Rest", 5: "all caps", 6: "all caps", 7: "c7"}
+
+
 def test_page_numbers(spark, monkeypatch):
     from ledgerloom.sources import grids
 
