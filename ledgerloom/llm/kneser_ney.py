@@ -35,7 +35,7 @@ ORDER = 2
 #: Bytes of training text to a part.
 PART_BYTES = 12 << 20
 #: Texts hashed at a time.
-TEXTS = 1000
+TEXTS = 500
 END, START = xxhash.xxh64_intdigest(b"\n end"), xxhash.xxh64_intdigest(b"\n start")  # no word has white space
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -170,7 +170,7 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", part_bytes: i
                 flat, sizes = tokens(texts[a : a + TEXTS])
                 held.append(windows(flat, sizes, order))
                 n += len(flat)
-                if n > 3_000_000:
+                if n > 2_000_000:
                     yield from flush()
                     held, n = [], 0
         if n:
