@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -79,5 +79,34 @@ def each_row_a_task(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4)
 
 
-def cut(table_: pa.Table, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    yield from table_.to_batches(max_chunksize=rows)
+def stream_runs(batches: Iterator[pa.RecordBatch], keys: list[str], emit: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by ``keys``; ``emit`` gets tables of whole runs with the number of each row's run."""
+    held: list[pa.Table] = []
+
+    def out() -> pa.RecordBatch:
+        table = pa.concat_tables(held).combine_chunks()
+        changed = np.zeros(len(table), dtype=bool)
+        for k in keys:
+            values = table[k].to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        return emit(table, np.cumsum(changed))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        last = [table[k][-1].as_py() for k in keys]
+        same = np.ones(len(table), dtype=bool)
+        for k, value in zip(keys, last):
+            same &= table[k].to_numpy() == value
+        cut = len(table) - int(same.sum())
+        if cut:
+            held.append(table.slice(0, cut))
+            yield out()
+            held = []
+        elif held and [held[-1][k][-1].as_py() for k in keys] != last:
+            yield out()
+            held = []
+        held.append(table.slice(cut))
+    if held:
+        yield out()

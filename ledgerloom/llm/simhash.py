@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
-from .common import bytes_list, ready, text_bytes
+from .common import bytes_list, ready, stream_runs, text_bytes
 from .components import components
 
 SEED = 42
@@ -255,35 +255,13 @@ def link_runs(run: np.ndarray, fps: np.ndarray, probe: np.ndarray, distance: int
 
 
 def _verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and blocks; the last run of a batch waits for the next batch."""
-
-    def links(table: pa.Table) -> pa.RecordBatch:
-        keys = [table[c].to_numpy() for c in ("bucket", "lo", "hi")]
-        changed = np.zeros(len(table), dtype=bool)
-        for k in keys:
-            changed[1:] |= k[1:] != k[:-1]
-        a, b = link_runs(np.cumsum(changed), table["fp"].to_numpy().view(np.uint64), table["probe"].to_numpy(), distance)
+    """Rows come sorted by bucket and blocks."""
+
+    def emit(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        a, b = link_runs(run, table["fp"].to_numpy().view(np.uint64), table["probe"].to_numpy(), distance)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        last = [table[c][-1].as_py() for c in ("bucket", "lo", "hi")]
-        same = np.ones(len(table), dtype=bool)
-        for c, value in zip(("bucket", "lo", "hi"), last):
-            same &= table[c].to_numpy() == value
-        cut = len(table) - int(same.sum())
-        if cut:
-            yield links(pa.concat_tables([*held, table.slice(0, cut)]).combine_chunks())
-            held = []
-        elif held and [held[-1][c][-1].as_py() for c in ("bucket", "lo", "hi")] != last:
-            yield links(pa.concat_tables(held).combine_chunks())
-            held = []
-        held.append(table.slice(cut))
-    if held:
-        yield links(pa.concat_tables(held).combine_chunks())
+    return stream_runs(batches, ["bucket", "lo", "hi"], emit)
 
 
 def links(prints: DataFrame, distance: int) -> DataFrame:
