@@ -2,9 +2,11 @@
 
 Sources in code point order (null last) weigh 5, 2, 1 and so on again.  They share the corpus by weight; no
 target exceeds ``MOST`` times its source, the excess goes to the others by weight until none is above.  A
-document is taken floor(rate) times, and once more if its draw, made of a hash of seed and id, falls below
-the fraction.  Draws do not depend on the partitioning, so reruns agree; rows with equal ids draw alike,
-a null id draws by its text.  Null and empty texts have size 0 and are taken like the others of their source.
+document is taken floor(rate) times, and once more if its draw falls below the fraction.  A draw is a hash of
+seed and id, turned by one of ``TURNS`` equal steps: every turn gives each document the same chance, and a
+source uses the turn whose words come nearest to its target, which matters where a few very long documents
+make up much of a source.  Draws do not depend on the partitioning, so reruns agree; rows with equal ids draw
+alike, a null id draws by its text.  Null and empty texts have size 0 and are taken like the others of their source.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from ..session import reliable_checkpoint
 from .common import WORD
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-1"
+BITS, TURNS = 52, 32
 
 
 def size(text: str = "text") -> Column:
@@ -23,10 +26,10 @@ def size(text: str = "text") -> Column:
 
 
 def draw(seed: str = SEED) -> Column:
-    """52 bits of a hash as a fraction of 1."""
+    """52 bits of a hash."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text")), F.lit("none"))
     digits = F.substring(F.md5(F.concat(F.lit(seed + " "), name).cast("binary")), 1, 13)
-    return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
+    return F.conv(digits, 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -47,9 +50,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levelled.select("source", "source_size", target.alias("target"))
 
 
-def _copies() -> Column:
+def _copies(turn: Column) -> Column:
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    return (F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")).cast("long")
+    turned = (F.col("draw") + turn * (1 << BITS) / F.lit(TURNS)).cast("long") % (1 << BITS)
+    once_more = turned / F.lit(float(1 << BITS)) < rate - F.floor(rate)
+    return (F.floor(rate) + once_more.cast("long")).cast("long")
 
 
 def _met(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -57,19 +62,29 @@ def _met(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return docs.join(named, docs["source"].eqNullSafe(named["source__of"]), "left").drop("source__of")
 
 
+def source_plan(sized: DataFrame) -> DataFrame:
+    """``source, source_size, target, turn`` of every source of ``(source, size, draw)``."""
+    targets = reliable_checkpoint(source_targets(sized))
+    takes = [F.sum(F.col("size") * _copies(F.lit(k))).alias(f"take{k}") for k in range(TURNS)]
+    tried = _met(sized, targets).groupBy("source", "source_size", "target").agg(*takes)
+    far = F.array_min(F.array(*[F.struct(F.abs(F.col(f"take{k}") - F.col("target")), F.lit(k).alias("turn")) for k in range(TURNS)]))
+    return tried.select("source", "source_size", "target", far["turn"].alias("turn"))
+
+
 def plan_mix(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document."""
     sized = reliable_checkpoint(docs.select("doc_id", "source", size().alias("size"), draw().alias("draw")))
-    targets = reliable_checkpoint(source_targets(sized))
-    return _met(sized, targets).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken")
+    plan = reliable_checkpoint(source_plan(sized))
+    return _met(sized, plan).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("turn"))).alias("taken")
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, the columns unchanged."""
-    targets = reliable_checkpoint(source_targets(docs.select("source", size().alias("size"))))
+    sized = reliable_checkpoint(docs.select("source", size().alias("size"), draw().alias("draw")))
+    plan = reliable_checkpoint(source_plan(sized))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select(F.struct(*columns).alias("row"), "doc_id", "text", "source").withColumn("draw", draw())
-    taken = _met(own.drop("doc_id", "text"), targets).withColumn("copies", _copies())
+    own = docs.select(F.struct(*columns).alias("row"), "source", draw().alias("draw"))
+    taken = _met(own, plan).withColumn("copies", _copies(F.col("turn")))
     return taken.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select("row.*")

@@ -25,7 +25,7 @@ FROM found WHERE n_found >= 0.8 * n
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    CAST('0x' || substr(md5('mix-1 ' || coalesce(doc_id::VARCHAR, 'text ' || text, 'none')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+    CAST('0x' || substr(md5('mix-1 ' || coalesce(doc_id::VARCHAR, 'text ' || text, 'none')), 1, 13) AS BIGINT) AS draw
   FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
@@ -40,7 +40,16 @@ levels AS (
 targets AS (
   SELECT source, source_size, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
 rates AS (
-  SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0::DOUBLE END AS rate FROM targets)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken
-FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
+  SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0::DOUBLE END AS rate FROM targets),
+met AS (
+  SELECT s.doc_id, s.source, s.size, s.draw, r.source_size, r.target, floor(r.rate) AS whole, r.rate - floor(r.rate) AS part
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source),
+tried AS (
+  SELECT source, turn, abs(sum(size * (whole + ((draw + turn * 140737488355328) % 4503599627370496 / 4503599627370496.0::DOUBLE < part)::INT)) - any_value(target)) AS far
+  FROM met, range(32) t(turn) GROUP BY source, turn),
+best AS (
+  SELECT source, arg_min(turn, (far, turn)) AS turn FROM tried GROUP BY source)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + ((draw + turn * 140737488355328) % 4503599627370496 / 4503599627370496.0::DOUBLE < part)::INT))::BIGINT AS taken
+FROM met m JOIN best b ON m.source IS NOT DISTINCT FROM b.source
 """
