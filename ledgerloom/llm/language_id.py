@@ -30,7 +30,9 @@ PIECE = 512
 #: Letters of the samples with a class of their own, most frequent first; others share classes.
 OWN, SHARED = 96, 15
 #: Code points walked at a time.
-WALK = 1 << 22
+WALK = 1 << 21
+#: Texts turned into strings at a time.
+TEXTS = 1000
 
 UNKNOWN, GAP = "und", 1
 LETTER = regex.compile(r"\p{L}")
@@ -205,11 +207,13 @@ def identify(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score = predict(shared.value, batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score)],
-                names=[*batch.schema.names[: len(keep)], "lang_pred", "score"],
-            )
+            for a in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(a, TEXTS)
+                langs, score = predict(shared.value, part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score)],
+                    names=[*part.schema.names[: len(keep)], "lang_pred", "score"],
+                )
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("text__whole"))
     return chosen.mapInArrow(run, chosen.drop("text__whole").schema.add("lang_pred", "string").add("score", "double"))
