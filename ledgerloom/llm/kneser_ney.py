@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import reliable_checkpoint, shared_folder
 from .common import bytes_list, ready, text_bytes, write_bytes
 
-ORDER = 2
+ORDER = 3
 #: Bytes of training text to a part.
 PART_BYTES = 12 << 20
 #: Texts hashed at a time.
