@@ -67,6 +67,10 @@ def op7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
 
 
+def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, folder, "documents"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(table(spark, folder, "documents"))
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_paragraphs": op7_paragraphs,
+    "op7_passages": op7_passages,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_language_model": op10_language_model,
