@@ -1,12 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
 A rule rejects a document when a measure of its text exceeds the rule's cutoff.  Cutoffs are chosen per
-stratum (language) from a fixed grid, by the labelled documents that are good (``quality`` 1): a cutoff is
-certified when the exact (Clopper-Pearson) upper bound on the share of good documents it rejects stays
-below ``risk / rules``.  All tests of all strata, rules and grid points share the error ``doubt`` by
-Bonferroni's correction, so with confidence ``1 - doubt`` no stratum loses more than ``risk`` of its good
-documents to the rules together.  Of the certified cutoffs the one that rejects most labelled bad documents
-is used, the mildest one if several do, none if it rejects no bad one.
+stratum (language) from a fixed grid, by exact (Clopper-Pearson) upper bounds on the share of the good labelled
+documents (``quality`` 1) that are rejected.  With confidence ``1 - doubt`` no stratum loses more than ``risk`` of its
+good documents to the rules together.  ``doubt`` is shared by the strata, and in a stratum by two searches:
+
+* together: every set of rules is tightened step by step, the rules in turn, and what the set rejects as a whole is
+  bounded by ``risk``.  A set's steps are nested and fixed by the bad labels alone, so they are tested in sequence up
+  to the first failure without a correction; only the sets share the doubt.
+* apart: every rule is tightened alone and bounded by ``risk / rules``.
+
+Steps that reject no further labelled bad document are left out.  The certified cutoffs that reject most labelled bad
+documents are used, the fewest and mildest if several do, none if they reject no bad one.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 from math import exp, lgamma, log
 
 import numpy as np
@@ -28,6 +34,8 @@ from .common import bytes_list, ready, text_bytes
 RISK, DOUBT = 0.02, 0.05
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
+BASE = f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words"
+Counts = Counter[tuple[int, ...]]
 
 
 @dataclass(frozen=True)
@@ -135,37 +143,61 @@ def upper_bound(k: int, n: int, doubt: float) -> float:
     return high
 
 
+def _certified(good: Counts, bad: Counts, risk: float, doubt: float) -> dict[str, float]:
+    """The cutoffs of one stratum; documents are counted by the number of each rule's cutoffs they exceed."""
+    n, rules = sum(good.values()), range(len(RULES))
+
+    def hits(counts: Counts, depth: tuple[int, ...]) -> int:
+        # depth d of a rule is its d-th mildest cutoff
+        least = [len(RULES[r].grid) - depth[r] + 1 for r in rules]
+        return sum(c for levels, c in counts.items() if any(depth[r] and levels[r] >= least[r] for r in rules))
+
+    def walk(members: tuple[int, ...], risk: float, doubt: float) -> tuple[int, ...]:
+        depth = passed = (0,) * len(RULES)
+        for d in range(1, max(len(RULES[r].grid) for r in members) + 1):
+            for r in members:
+                tighter = (*depth[:r], d, *depth[r + 1 :])
+                if d <= len(RULES[r].grid) and hits(bad, tighter) > hits(bad, depth):
+                    if upper_bound(hits(good, tighter), n, doubt) > risk:
+                        return passed
+                    depth = passed = tighter
+        return passed
+
+    if not n:
+        return {}
+    sets = [m for k in range(1, len(RULES) + 1) for m in combinations(rules, k)]
+    found = [walk(m, risk, doubt / 2 / len(sets)) for m in sets]
+    alone = [walk((r,), risk / len(RULES), doubt / 2 / len(RULES)) for r in rules]
+    found.append(tuple(alone[r][r] for r in rules))
+    best = max(found, key=lambda d: (hits(bad, d), -sum(x > 0 for x in d), -sum(d)))
+    return {RULES[r].name: sorted(RULES[r].grid)[-best[r]] for r in rules if best[r]}
+
+
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT) -> dict[tuple, float]:
     """Certified cutoffs ``{(stratum, rule): cutoff}`` from all labelled documents.
 
     Labels without id or quality are ignored; a document with several labels counts once with each
-    different one.  A stratum without enough good labels certifies nothing.
+    different one.  Bad documents that the base rules reject count for nothing.  A stratum without enough
+    good labels certifies nothing.
     """
-    known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").distinct()
-    points = [(r, c) for r in RULES for c in r.grid]
-    counted = [
-        F.count_if(F.expr(f"({r.measure}) > {c!r}D") & (F.col("quality") == q)).alias(f"{name}{k}")
-        for k, (r, c) in enumerate(points)
-        for name, q in (("good", 1), ("bad", 0))
-    ]
+    known = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)").distinct()
+    levels = [reduce(lambda a, b: a + b, [F.expr(f"({r.measure}) > {c!r}D").cast("int") for c in r.grid]).alias(r.name) for r in RULES]
     rows = (
         measured.join(known, "doc_id")
-        .groupBy("stratum")
-        .agg(F.count_if(F.col("quality") == 1).alias("good"), *counted)
+        .select("stratum", "quality", F.expr(BASE).alias("base"), *levels)
+        .groupBy("stratum", "quality", "base", *[r.name for r in RULES])
+        .count()
         .collect()
     )
-    each = doubt / max(1, len(rows) * len(points))
-    chosen = {}
+    strata: dict[str | None, tuple[Counts, Counts]] = {}
     for row in rows:
-        for rule in RULES:
-            best = (0, 0.0)
-            for k, (r, c) in enumerate(points):
-                if r == rule and row["good"] and row[f"bad{k}"]:
-                    if upper_bound(row[f"good{k}"], row["good"], each) <= risk / len(RULES):
-                        best = max(best, (row[f"bad{k}"], c))
-            if best[0]:
-                chosen[row["stratum"], rule.name] = best[1]
-    return chosen
+        good, bad = strata.setdefault(row["stratum"], (Counter(), Counter()))
+        key = tuple(row[r.name] for r in RULES)
+        if row["quality"] == 1:
+            good[key] += row["count"]
+        elif not row["base"]:
+            bad[key] += row["count"]
+    return {(s, name): c for s, (good, bad) in strata.items() for name, c in _certified(good, bad, risk, doubt / len(strata)).items()}
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -182,7 +214,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = "of string, " + ", ".join(f"cut_{r.name} double" for r in RULES)
     cuts = docs.sparkSession.createDataFrame(table, schema)
     met = measured.join(cuts, measured["stratum"].eqNullSafe(cuts["of"]), "left")
-    base = F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words")
+    base = F.expr(BASE)
     rejects = [F.coalesce(F.expr(f"({r.measure}) > cut_{r.name}"), F.lit(False)) for r in RULES]
     return met.select(
         "doc_id",

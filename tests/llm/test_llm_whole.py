@@ -7,8 +7,9 @@ import pytest
 from llm_data import lower, no_docs, odd_docs
 from test_llm_mix_score import direct_model, tokens
 from test_llm_near import direct_repeats
+from test_llm_quality import stratum
 
-from ledgerloom.llm import kneser_ney, paragraphs, queries
+from ledgerloom.llm import kneser_ney, paragraphs, quality, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -74,3 +75,8 @@ def test_passages_match_brute_force(spark):
     got = queries.op7_passages(spark, FOLDER).collect()
     want = direct_passages(rows)
     assert want and covered(rows, [r for r in got if not r.whole_line]) == want
+
+
+def test_five_hundred_good_labels_certify(spark):
+    assert quality.choose_cutoffs(*stratum(spark, 500, 50, 60)) == {("x", "symbols"): 0.5}
+    assert quality.choose_cutoffs(*stratum(spark, 500, 50, 60, value_good=60)) == {}
