@@ -1,10 +1,11 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact containment.
+"""Benchmark decontamination: exact containment of items in documents by a join of shingles.
 
 A test item is found in a document that holds at least ``CONTAINED`` of the item's distinct five-word
 shingles.  Items are partitioned by their number of shingles into classes of doubling size.  An item's
 sketch is its bottom-k MinHash: the ``k`` smallest hashes of its shingles, ``k`` set by the class so that a
-document that lacks all of them lacks more shingles than containment allows: the search misses nothing.  A document that holds a sketch shingle is a candidate for the item; candidates are verified by counting
-the item's shingles, word by word, among the document's.  A sketch of the document would not do: a short
+document that lacks all of them lacks more shingles than containment allows.  The sketch does not search, though: all
+shingles of all items, not the sketches alone, are joined with those of the documents, and the item's shingles found
+are counted, word by word.  That a sketch shingle is among them is asked afterwards and removes no row.  A sketch of the document would not do: a short
 item is a thousandth of a long document, and its share of the document's smallest hashes is about as small.
 
 Words are runs of letters and digits, lower-cased; a text with fewer than five words is one shingle.
