@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, language_id, mixing, paragraphs, quality, secrets, separator_scan, simhash, sql, token_files
+from . import collocations, decontaminate, fill_middle, kneser_ney, language_id, mixing, paragraphs, quality, secrets, separator_scan, simhash, sql, token_files, word_bpe
 from .common import id_remainder, table
 from .tokenize import Encoder, hub_encoder, rank_encoder
 
@@ -92,6 +92,30 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("held_out", held_out).withColumn("perplexity", kneser_ney.perplexity(F.col("score"), F.col("n_tokens")))
 
 
+def _sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    restored = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256(F.col("output")).alias("output_sha256"), _sha256(restored).alias("restored_sha256"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def word_bpe_49k() -> word_bpe.WordBpe:
+    return word_bpe.word_bpe(vocabulary("word_bpe_49k.json"))
+
+
+def op13_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    found = word_bpe.decode_ids(word_bpe.encode_texts(table(spark, folder, "documents"), word_bpe_49k), word_bpe_49k)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha256(listed).alias("ids_sha256"), _sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_secrets": op2_secrets,
@@ -104,5 +128,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_language_model": op10_language_model,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_collocations": op12_collocations,
+    "op13_word_bpe": op13_word_bpe,
+}
+ORACLE: dict[str, str] = {
+    "op6_decontaminate": sql.DECONTAMINATE,
+    "op8_mixing": sql.MIXING,
+    "op11_fill_middle": sql.FILL_MIDDLE,
+    "op12_collocations": sql.COLLOCATIONS,
 }
-ORACLE: dict[str, str] = {"op6_decontaminate": sql.DECONTAMINATE, "op8_mixing": sql.MIXING}
