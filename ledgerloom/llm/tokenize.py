@@ -105,16 +105,22 @@ def _byte_characters() -> dict[str, int]:
 
 @cache
 def hub_encoder(path: str) -> Encoder:
-    """An encoder from a byte-level tokenizer file in JSON; special tokens in texts are ordinary text."""
+    """An encoder from a byte-level tokenizer file in JSON; strings of added tokens in a text give their ids.
+
+    No added token holds a space, so cutting at spaces cuts none.
+    """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer, spec = Tokenizer.from_file(path), json.load(open(path, encoding="utf-8"))
     bytes_of = _byte_characters()
-    vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-    sizes = np.zeros(max(vocabulary.values()) + 2, dtype=np.int64)
+    vocabulary, added = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        raise ValueError("added tokens that reach over spaces are not supported")
+    sizes = np.zeros(max([*vocabulary.values(), *added.values()]) + 1, dtype=np.int64)
     for token, i in vocabulary.items():
         sizes[i] = len(token) if all(c in bytes_of for c in token) else 0
+    for token, i in added.items():
+        sizes[i] = len(token.encode())
     return Encoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], sizes)
 
 

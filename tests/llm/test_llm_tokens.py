@@ -11,7 +11,7 @@ from ledgerloom.session import shared_folder
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 TEXTS = [
-    "", None, "a", " a", "a  b", "a \n b", "x\n\ny  ", "don't  'll '", "  ", "\tq r", "a b c", "<|endoftext|> hi", "é 中文 字 a",
+    "", None, "a", " a", "a  b", "a \n b", "x\n\ny  ", "don't  'll '", "  ", "\tq r", "a b c", "<|endoftext|> hi", "hello <|endoftext|> world", "a<|endoftext|>b <|endoftext|>", "a  <|endoftext|>", "<|endoftext|>  b", "é 中文 字 a",
     "tab\t b", "end ", " ", "\x1c x \x85 y", "a " * 50, "a  b", "   x", "word " * 2000 + "z",
 ]
 
@@ -20,7 +20,6 @@ def test_pieces_give_the_ids_of_whole_texts():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     encoder = queries.byte_bpe()
     for _ in range(2):  # the second time from memory
         ids, counts = encoder.batch(pa.array(TEXTS))
@@ -49,7 +48,6 @@ def expected(rows, end):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     start, out = 0, []
     for doc_id, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
         ids = whole.encode(text or "", add_special_tokens=False).ids + [end]
@@ -64,6 +62,12 @@ def test_files_hold_all_documents_in_order(spark, monkeypatch):
     assert token_files.token_output(no_docs(spark), queries.byte_bpe, 2).collect() == []
 
 
+def test_added_tokens_in_texts_keep_their_ids(spark):
+    rows = [(k, x) for k, x in enumerate(TEXTS)]
+    got = token_files.token_output(spark.createDataFrame(rows, "doc_id long, text string"), queries.byte_bpe, 2)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == expected(rows, 2)
+
+
 def test_ids_come_back(spark):
     files = token_files.write_token_files(odd_docs(spark), shared_folder(spark), queries.byte_bpe, 2)
     rows = token_files.read_token_files(files, with_ids=True).where("doc_id = 1").collect()
@@ -95,9 +99,14 @@ def test_scan_refuses_broken_file(spark, tmp_path):
 
 
 def test_count_tokens(spark):
-    encoder = queries.byte_bpe_multi()
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    encoding = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = separator_scan.count_tokens(odd_docs(spark), queries.byte_bpe_multi, queries.CLOSING_ID).collect()
-    size = lambda text: len(encoder.batch(pa.array([text], pa.string()))[0])
+    size = lambda text: len(encoding.encode_ordinary(text or ""))
     assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(((r[0], size(r[1])) for r in ODD), key=str)
     assert all(r.closed for r in got)
     assert separator_scan.count_tokens(no_docs(spark), queries.byte_bpe_multi, queries.CLOSING_ID).count() == 0
