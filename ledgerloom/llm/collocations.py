@@ -1,9 +1,11 @@
 """Phrase collocation mining: count streams in prefix and in suffix order, merge-joined in lockstep.
 
 Counting.  A text is lower-cased (A-Z), cut into pieces at punctuation and line ends and into words at spaces and tabs.
-A task numbers the words of a block of texts and counts their n-grams by sorting arrays of numbers; Spark adds
-the counts of all tasks up by language and phrase.  Phrases below ``least`` leave at once: a part of a phrase stands
-wherever the phrase stands, so no phrase that counts needs a part that does not.
+A task numbers the words of a block of texts in their order and counts the n-grams by sorting arrays of numbers.
+The sorted phrases go through the shuffle as blocks, one for each language, order and part of the phrases' hashes; the
+number of parts grows with the text, so a part stays small, and a frequent phrase is one entry of a block.  The task of a
+part adds its blocks up.  Phrases below ``least`` leave there: a part of a phrase stands wherever the phrase stands, so no
+phrase that counts needs a part that does not.
 
 Streams.  The counts of an order are joined with those of one word less twice: sorted by what lies before their last word
 (prefix order: left counts) and by what lies behind their first word (suffix order: right counts).  Both are sort-merge
@@ -22,15 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
 from .common import ready
+from .kneser_ney import chain
 
 LONGEST, LEAST, INSIDE, BEST = 3, 10, 50, 2000
 #: Words counted at once in a task, and bytes of a text cut into words at once (then on to the end of the piece).
-WORDS, BYTES = 2_000_000, 4 << 20
+WORDS, BYTES = 1_000_000, 4 << 20
+#: Bytes of text to a part of the phrases' hashes.
+PART_BYTES = 12 << 20
 #: Parts in which a language's phrases are ranked before the last ranking.
 SALTS = 256
 UNKNOWN = "und"
@@ -49,46 +55,92 @@ def words_and_stops(text: bytes) -> Iterator[list[bytes]]:
         at = end + 1
 
 
-def gram_counts(words: pa.Array, longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """Order, phrases and counts of the n-grams of words with full stops between pieces."""
+def gram_counts(words: pa.Array, longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """Order, phrases in the order of their words, counts and hashes of the n-grams of words with full stops between pieces."""
     coded = words.dictionary_encode()
-    names, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    by = pc.array_sort_indices(coded.dictionary).to_numpy()
+    names, place = coded.dictionary.take(pa.array(by)), np.empty(len(by), dtype=np.int64)
+    place[by] = np.arange(len(by))
+    codes = place[coded.indices.to_numpy()]
+    hash_of = np.array([xxhash.xxh64_intdigest(w) for w in names.to_pylist()], dtype=np.uint64)
     stop = pc.index_in(pa.array([b"."], words.type), names)[0].as_py()
     stops = codes == (-1 if stop is None else stop)
     wide = len(names)
     at = np.flatnonzero(~stops)
-    numbers, first = codes[at], names
+    numbers = codes[at]
     for order in range(1, longest + 1):
         if order > 1:
             # the grams of one word less that another word follows; a stop closes the array
-            at, shorter = at[~stops[at + order - 1]], inverse[~stops[at + order - 1]]
-            numbers = shorter * wide + codes[at + order - 1]
+            going = ~stops[at + order - 1]
+            at, numbers = at[going], inverse[going] * wide + codes[at[going] + order - 1]
         distinct, inverse, counts = np.unique(numbers, return_inverse=True, return_counts=True)
         if not len(distinct):
             return
+        last = pa.array(distinct % wide)
         if order == 1:
-            first = names.take(pa.array(distinct))
+            phrases, hashes = names.take(last), hash_of[distinct]
         else:
-            first = pc.binary_join_element_wise(first.take(pa.array(distinct // wide)), names.take(pa.array(distinct % wide)), pa.scalar(b" ", words.type))
-        yield order, first, counts
-
-
-def count_grams(docs: DataFrame, longest: int = LONGEST, lang: str = "lang", text: str = "text") -> DataFrame:
-    """``lang, size`` (words), ``phrase, f`` of all n-grams up to ``longest`` words; the empty phrase counts all words."""
-    ready(docs.sparkSession)
+            phrases = pc.binary_join_element_wise(phrases.take(pa.array(distinct // wide)), names.take(last), pa.scalar(b" ", words.type))
+            hashes = chain(np.stack([hashes[distinct // wide], hash_of[distinct % wide]], axis=1))
+        yield order, phrases, counts, hashes
+
+
+BLOCK = "lang string, size int, part long, lengths binary, letters binary, counts binary"
+GRAMS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+def _blocks(name: str, order: int, phrases: pa.Array, counts: np.ndarray, hashes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part of the hashes: lengths, bytes and counts of its phrases, which keep their order."""
+    part = (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    phrases, counts, part = phrases.take(pa.array(by)), counts[by].astype("<i8"), part[by]
+    offsets = np.frombuffer(phrases.buffers()[1], "<i8", len(phrases) + 1, phrases.offset * 8)
+    lengths, letters = np.diff(offsets).astype("<u4"), memoryview(phrases.buffers()[2] or b"")
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(part)]))
+    columns = [
+        pa.array([name] * len(spans), pa.string()),
+        pa.array([order] * len(spans), pa.int32()),
+        pa.array(part[starts]),
+        pa.array([lengths[a:b].tobytes() for a, b in spans], pa.binary()),
+        pa.array([bytes(letters[offsets[a] : offsets[b]]) for a, b in spans], pa.binary()),
+        pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "part", "lengths", "letters", "counts"])
+
+
+def _add_up(key: tuple, table: pa.Table, least: int) -> pa.Table:
+    """The phrases of a part met ``least`` times in all blocks; the empty phrase stays."""
+    joined = lambda c: b"".join(table[c].to_pylist())
+    offsets = np.append(0, np.cumsum(np.frombuffer(joined("lengths"), "<u4").astype("<i8")))
+    phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined("letters"))])
+    coded = phrases.dictionary_encode()
+    # whole numbers below 2^53 are exact in floating point
+    f = np.bincount(coded.indices.to_numpy(), weights=np.frombuffer(joined("counts"), "<i8"), minlength=len(coded.dictionary)).astype(np.int64)
+    name, size = key[0].as_py(), key[1].as_py()
+    at = np.flatnonzero(f >= (least if size else 0))
+    columns = [pa.array([name] * len(at), pa.string()), pa.array([size] * len(at), pa.int32()), coded.dictionary.take(pa.array(at)).cast(pa.large_string()).cast(pa.string()), pa.array(f[at])]
+    return pa.Table.from_arrays(columns, schema=GRAMS)
+
+
+def count_grams(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, lang: str = "lang", text: str = "text") -> DataFrame:
+    """``lang, size`` (words), ``phrase, f`` of the n-grams up to ``longest`` words met ``least`` times; the empty phrase counts all words."""
+    spark = docs.sparkSession
+    ready(spark)
+    chosen = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    parts = max(4, -(-(chosen.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[list[bytes]]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for name, lists in held.items():
-                words = pa.array([w for ws in lists for w in ws], pa.large_binary())
-                total = 0
-                for order, phrases, counts in gram_counts(words, longest):
+            for name in list(held):
+                words, total = pa.array([w for ws in held.pop(name) for w in ws], pa.large_binary()), 0
+                for order, phrases, counts, hashes in gram_counts(words, longest):
                     total = total or int(counts.sum())
-                    yield _rows(name, order, phrases, counts)
-                yield _rows(name, 0, pa.array([b""], pa.large_binary()), np.array([total]))
+                    yield _blocks(name, order, phrases, counts, hashes, parts)
+                yield _blocks(name, 0, pa.array([b""], pa.large_binary()), np.array([total]), np.zeros(1, dtype=np.uint64), parts)
 
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -97,19 +149,11 @@ def count_grams(docs: DataFrame, longest: int = LONGEST, lang: str = "lang", tex
                     size += len(words)
                     if size >= WORDS:
                         yield from flush()
-                        held, size = {}, 0
+                        size = 0
         yield from flush()
 
-    chosen = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    blocks = chosen.mapInArrow(run, "lang string, size int, phrase binary, f long")
-    summed = blocks.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    return summed.withColumn("phrase", F.col("phrase").cast("string"))
-
-
-def _rows(name: str, order: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    n = len(counts)
-    columns = [pa.array([name] * n, pa.string()), pa.array(np.full(n, order, dtype=np.int32)), phrases.cast(pa.binary()), pa.array(counts, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "f"])
+    blocks = chosen.mapInArrow(run, BLOCK)
+    return blocks.groupBy("lang", "size", "part").applyInArrow(lambda key, table: _add_up(key, table, least), "lang string, size int, phrase string, f long")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -143,7 +187,7 @@ def collocations(
     go if a phrase of one word more around them is met at ``inside`` percent of their number or more.
     (A longer phrase around that one is met no more often, so it need not be asked.)
     """
-    counted = reliable_checkpoint(count_grams(docs, longest, lang, text).where((F.col("f") >= least) | (F.col("size") == 0)))
+    counted = reliable_checkpoint(count_grams(docs, longest, least, lang, text))
     streams = enrich(counted.where("size > 0"), longest)
     found = None
     for order in range(2, longest + 1):
