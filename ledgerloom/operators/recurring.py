@@ -10,10 +10,13 @@ look like an instalment.  In Spark:
    dyadic blocks: every amount adds to one block per level, every band is a
    handful of blocks.  That costs ``amounts * log(band)`` rows; pairs of amounts
    are never formed.
-3. The walk itself is a fold over the qualifying amounts of a statement.  A
-   statement with more than ``FOLD_LIMIT`` of them is reduced first, in rounds:
-   a seed that comes before all its possible rivals is accepted for certain, and
-   all seeds it blocks go away.
+3. The walk itself is a fold over the qualifying amounts of a statement.  The
+   statements with more than ``FOLD_LIMIT`` of them are walked in parallel: a
+   seed that comes before all its rivals is accepted for certain; every seed knows
+   which one above and below is accepted if it is itself; and from the certain ones
+   these pointers are followed by doubling, so a chain of any length takes as many
+   rounds as its length has bits.  What no chain reaches lies between two chains and is
+   decided in a few more turns.
 """
 
 from __future__ import annotations
@@ -46,8 +49,8 @@ class Walk:
     least_divisor: float = 0.0
 
     def __post_init__(self) -> None:
-        if not 0 <= self.tolerance < 1:
-            raise ValueError("the tolerance must be at least 0 and below 1")
+        if self.tolerance and not 1e-6 <= self.tolerance < 1:
+            raise ValueError("the tolerance must be 0, or at least 0.000001 and below 1")
 
     def blocks(self, accepted: str, value: str) -> str:
         """Whether ``accepted`` blocks ``value`` (both in cents), in floating point."""
@@ -55,10 +58,18 @@ class Walk:
         divisor = f"greatest({taken}, {self.least_divisor}D)" if self.least_divisor else taken
         return f"abs({amount} - {taken}) / {divisor} <= {self.tolerance}D"
 
+    @property
+    def _width(self) -> float:
+        return log(1 + self.tolerance) * 0.999
+
     def cell(self, value: str) -> str:
-        """Logarithmic cell so wide that a seed can only block inside its own and the next cells."""
-        width = max(-log(1 - self.tolerance) * 1.01, 1e-9)
-        return f"CAST(floor(ln(CAST({value} AS double)) / {width}D) AS bigint)"
+        """Logarithmic cell so narrow that any two amounts in it block each other."""
+        return f"CAST(floor(ln(CAST({value} AS double)) / {self._width}D) AS bigint)"
+
+    @property
+    def reach(self) -> int:
+        """How many cells away an amount can be blocked: a larger one blocks further down than a smaller one up."""
+        return int(-log(1 - self.tolerance) / self._width) + 1
 
 
 def _money(value: str) -> str:
@@ -84,8 +95,8 @@ def _distinct_amounts(payments: DataFrame) -> DataFrame:
     )
 
 
-def _with_band(seeds: DataFrame, tolerance: float) -> DataFrame:
-    """Add the smallest and largest amount in cents within the tolerance of ``value``.
+def _with_band(seeds: DataFrame, tolerance: float, keep: list[str]) -> DataFrame:
+    """Add to ``keep`` the smallest and largest amount in cents within the tolerance of ``value``.
 
     The bounds are those of the floating-point test |b - a| / a <= tolerance: it is
     monotone in b, so trying the cents around the rounded bound is exact.
@@ -101,8 +112,7 @@ def _with_band(seeds: DataFrame, tolerance: float) -> DataFrame:
     ).selectExpr(
         KEY,
         "value",
-        "first_seq",
-        "likely_seq",
+        *keep,
         f"CASE WHEN {inside('low_ - 1')} THEN low_ - 1 WHEN {inside('low_')} THEN low_ ELSE low_ + 1 END AS low",
         f"CASE WHEN {inside('high_ + 1')} THEN high_ + 1 WHEN {inside('high_')} THEN high_ ELSE high_ - 1 END AS high",
     )
@@ -151,7 +161,7 @@ def band_figures(amounts: DataFrame, seeds: DataFrame, tolerance: float) -> Data
             F.expr("max(last_date) AS last_date"),
         )
     )
-    needed = _cover(_with_band(seeds, tolerance))
+    needed = _cover(_with_band(seeds, tolerance, ["first_seq", "likely_seq"]))
     return (
         # blocks grow with the data and their size is not known beforehand: never broadcast them
         needed.join(blocks.hint("merge"), [KEY, "level", "block"])
@@ -191,23 +201,13 @@ def _seeds(figures: DataFrame, members: int, regular: str, first_counts: str) ->
     )
 
 
-def _islands(seeds: DataFrame, walk: Walk) -> DataFrame:
-    """Number the runs of neighbouring cells of a statement: seeds of different runs cannot block each other."""
-    cells = seeds.selectExpr(KEY, f"{walk.cell('value')} AS cell").distinct()
-    apart = f"CAST(coalesce(cell - lag(cell) OVER (PARTITION BY {KEY} ORDER BY cell) > 1, true) AS int)"
-    numbered = cells.selectExpr("*", f"{apart} AS starts").selectExpr(
-        KEY, "cell", f"sum(starts) OVER (PARTITION BY {KEY} ORDER BY cell ROWS UNBOUNDED PRECEDING) AS island"
-    )
-    return seeds.withColumn("cell", F.expr(walk.cell("value"))).join(numbered, [KEY, "cell"]).drop("cell")
-
-
 def _fold(seeds: DataFrame, walk: Walk) -> DataFrame:
-    """Walk the seeds of every island in order and keep those no accepted one blocks."""
+    """Walk the seeds of every statement in order and keep those no accepted one blocks."""
     kept = f"""
         aggregate(seeds, CAST(array() AS array<{_SEED_TYPE}>),
             (taken, s) -> CASE WHEN exists(taken, p -> {walk.blocks('p.value', 's.value')}) THEN taken
                 ELSE concat(taken, array(s)) END)"""
-    listed = seeds.groupBy(KEY, "island").agg(
+    listed = seeds.groupBy(KEY).agg(
         F.expr(f"CAST(array_sort(collect_list(struct({_SEED}))) AS array<{_SEED_TYPE}>) AS seeds")
     )
     return listed.selectExpr(KEY, f"inline({kept})")
@@ -216,48 +216,119 @@ def _fold(seeds: DataFrame, walk: Walk) -> DataFrame:
 def walk_seeds(seeds: DataFrame, walk: Walk, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """The accepted seeds of the ordered walk.
 
-    Each island of neighbouring amounts is folded by itself.  Accepted amounts lie
-    apart by the tolerance; only the undecided ones of an island can be many, and
-    rounds shrink those.
+    A statement with ``fold_limit`` seeds at most is folded as an array; those with more
+    are decided side by side, in rounds that follow whole chains of seeds.
+    """
+    if not walk.tolerance:  # amounts are distinct
+        return seeds
+    seeds = reliable_checkpoint(seeds)
+    large = seeds.groupBy(KEY).count().where(f"count > {fold_limit}").select(KEY)
+    if large.isEmpty():
+        return _fold(seeds, walk)
+    undecided = seeds.join(large, KEY, "left_semi").selectExpr(KEY, f"{walk.cell('value')} AS cell", "value", "seq")
+    undecided, accepted = reliable_checkpoint(undecided), None
+    while not undecided.isEmpty():
+        found = _decided(undecided, walk)
+        undecided = reliable_checkpoint(_drop_blocked(undecided, found, walk))
+        accepted = found if accepted is None else accepted.unionByName(found)
+    walked = seeds.join(accepted.select(KEY, "seq"), [KEY, "seq"], "left_semi").select(*seeds.columns)
+    return _fold(seeds.join(large, KEY, "left_anti"), walk).unionByName(walked)
+
+
+def _decided(undecided: DataFrame, walk: Walk) -> DataFrame:
+    """Seeds accepted for certain: those ahead of all their rivals, and all that these lead to."""
+    cells = reliable_checkpoint(_around(undecided, walk.reach))
+    rivals = [f"{side}[{d}]" for side in ("above", "below") for d in range(walk.reach)]
+    ahead = " AND ".join(f"coalesce(seq < {r}, true)" for r in rivals)
+    roots = reliable_checkpoint(cells.where(ahead).select(KEY, "seq"))
+    marks = roots
+    for pointers in _pointers(undecided, cells, walk):
+        pointers = reliable_checkpoint(pointers)
+        # only seeds that something leads to, or that are accepted already, are on a chain
+        starts = pointers.selectExpr(KEY, "next AS seq").unionByName(roots).distinct()
+        jumps = reliable_checkpoint(pointers.join(starts, [KEY, "seq"], "left_semi"))
+        found = roots
+        while not jumps.isEmpty():
+            found, jumps = _double(found, jumps)
+        marks = marks.unionByName(found)
+    return reliable_checkpoint(undecided.join(marks.distinct(), [KEY, "seq"], "left_semi"))
+
+
+def _double(marks: DataFrame, jumps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mark what one jump reaches, and make every jump twice as long."""
+    reached = marks.join(jumps, [KEY, "seq"]).selectExpr(KEY, "next AS seq")
+    second = jumps.selectExpr(KEY, "seq AS next", "next AS last")
+    longer = jumps.join(second, [KEY, "next"]).selectExpr(KEY, "seq", "last AS next")
+    return reliable_checkpoint(marks.unionByName(reached).distinct()), reliable_checkpoint(longer)
+
+
+def _around(undecided: DataFrame, reach: int) -> DataFrame:
+    """The first seed of every cell, and those of the cells above and below, by distance.
+
+    The cells of a statement are few: their number is that of tolerances between the
+    smallest and the largest amount.
     """
-    seeds = reliable_checkpoint(_islands(seeds, walk))
-    accepted = None
-    while True:
-        sizes = seeds.groupBy(KEY, "island").count().where(f"count > {fold_limit}").select(KEY, "island")
-        if sizes.isEmpty():
-            break
-        certain = reliable_checkpoint(_certain_seeds(seeds.join(sizes, [KEY, "island"], "left_semi"), walk).drop("island"))
-        seeds = reliable_checkpoint(_drop_blocked(seeds, certain, walk))
-        accepted = certain if accepted is None else accepted.unionByName(certain)
-    folded = _fold(seeds, walk)
-    return folded if accepted is None else folded.unionByName(accepted)
-
-
-def _certain_seeds(seeds: DataFrame, walk: Walk) -> DataFrame:
-    """Seeds that come before every other seed of their own and the neighbouring cells."""
-    firsts = seeds.groupBy(KEY, F.expr(f"{walk.cell('value')} AS cell")).agg(F.min("seq").alias("seq"))
-    rivals = (
-        firsts.selectExpr(KEY, "explode(array(cell - 1, cell, cell + 1)) AS cell", "seq")
-        .groupBy(KEY, "cell")
-        .agg(F.min("seq").alias("seq"))
-    )
-    winners = firsts.join(rivals, [KEY, "cell", "seq"], "left_semi").select(KEY, "seq")
-    return seeds.join(winners, [KEY, "seq"], "left_semi")
 
+    def first(distance: int, side: str) -> str:
+        return f"min(seq) OVER (PARTITION BY {KEY} ORDER BY cell RANGE BETWEEN {distance} {side} AND {distance} {side})"
 
-def _drop_blocked(seeds: DataFrame, certain: DataFrame, walk: Walk) -> DataFrame:
-    """Seeds that none of the accepted amounts in their own and the next cells blocks."""
-    here = walk.cell("value")
-    near = certain.selectExpr(
-        KEY, f"explode(array({here} - 1, {here}, {here} + 1)) AS cell", "value AS accepted"
-    )
-    # winners of one round are never neighbours, so a cell sees two of them at most
-    near = near.groupBy(KEY, "cell").agg(F.collect_list("accepted").alias("accepted"))
+    def sides(side: str) -> str:
+        return f"array({', '.join(first(d, side) for d in range(1, 2 * reach + 2))})"
+
+    firsts = undecided.groupBy(KEY, "cell").agg(F.min("seq").alias("seq"))
+    return firsts.selectExpr("*", f"{sides('FOLLOWING')} AS above", f"{sides('PRECEDING')} AS below")
+
+
+def _pointers(undecided: DataFrame, cells: DataFrame, walk: Walk) -> list[DataFrame]:
+    """Per seed the next one above, and the next one below, that is accepted if the seed is: ``seq, next``.
+
+    Given that ``p`` is accepted, look at the seeds on one side of it that it does not
+    block.  The first of them within ``reach + 1`` cells is accepted too if it
+    comes before all others in its own reach; nothing on the other side of ``p``
+    reaches it.  Downwards ``p`` has to come before all seeds below it as well, since it
+    does not stop those that come earlier and lie just inside its tolerance.
+    """
+    k = walk.reach
+    ahead = f"min(seq) OVER (PARTITION BY {KEY}, cell ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    banded = _with_band(undecided.selectExpr("*", f"{ahead} AS before"), walk.tolerance, ["cell", "seq", "before"])
+    out = []
+    for side, cut, order, sign in (("above", "high + 1", "DESC", "+"), ("below", "low - 1", "ASC", "-")):
+        asked = banded.where(f"{cut} > 0").selectExpr(
+            KEY, f"{walk.cell(cut)} AS cell", f"{cut} AS value", "CAST(NULL AS bigint) AS own", "seq", "cell AS home", "before"
+        )
+        there = undecided.selectExpr(
+            KEY, "cell", "value", "seq AS own", "CAST(NULL AS bigint) AS seq", "CAST(NULL AS bigint) AS home", "CAST(NULL AS bigint) AS before"
+        )
+        # the first seed of the cell beyond the cut; a seed at the cut itself counts
+        beyond = f"min(own) OVER (PARTITION BY {KEY}, cell ORDER BY value {order}, own NULLS LAST ROWS UNBOUNDED PRECEDING)"
+        cuts = there.unionByName(asked).selectExpr("*", f"{beyond} AS cut").where("own IS NULL").drop("own", "value")
+        cuts = cuts.withColumnRenamed("cell", "at").join(cells.selectExpr(KEY, "cell AS home", side), [KEY, "home"])
+        nearer, here = ("home + d < at", "home + d = at") if sign == "+" else ("home - d > at", "home - d = at")
+        firsts = (
+            f"filter(transform(sequence(1, {k + 1}), d -> named_struct('seq', CASE WHEN {nearer} THEN NULL"
+            f" WHEN {here} THEN cut ELSE {side}[d - 1] END, 'd', d)), x -> x.seq IS NOT NULL)"
+        )
+        earlier = f"exists(sequence({k + 2}, {2 * k + 1}), d -> d <= m.d + {k} AND coalesce({side}[d - 1] < m.seq, false))"
+        ruled = "true" if sign == "+" else f"coalesce(seq < before, true) AND forall(sequence(1, {k}), d -> coalesce(seq < below[d - 1], true))"
+        out.append(cuts.where(ruled).selectExpr("*", f"array_min({firsts}) AS m").where(f"m IS NOT NULL AND NOT {earlier}").selectExpr(KEY, "seq", "m.seq AS next"))
+    return out
+
+
+def _drop_blocked(undecided: DataFrame, accepted: DataFrame, walk: Walk) -> DataFrame:
+    """Seeds that are not accepted and that no accepted one rules out.
+
+    An accepted amount rules out what comes later within its tolerance, and whatever
+    would have ruled it out itself.
+    """
+    steps = f"sequence({-walk.reach}, {walk.reach})"
+    near = accepted.selectExpr(KEY, f"explode(transform({steps}, d -> cell + d)) AS cell", "struct(value, seq) AS p")
+    # a cell has one accepted seed at most
+    near = near.groupBy(KEY, "cell").agg(F.collect_list("p").alias("accepted"))
+    out = f"{walk.blocks('p.value', 'value')} AND (p.seq <= seq OR {walk.blocks('value', 'p.value')})"
     return (
-        seeds.withColumn("cell", F.expr(here))
-        .join(near, [KEY, "cell"], "left")
-        .where(f"NOT coalesce(exists(accepted, p -> {walk.blocks('p', 'value')}), false)")
-        .drop("cell", "accepted")
+        undecided.join(near, [KEY, "cell"], "left")
+        .where(f"NOT coalesce(exists(accepted, p -> {out}), false)")
+        .drop("accepted")
     )
 
 

@@ -80,7 +80,7 @@ def ledger(spark, statements):
     return ll.finish_ledger(spark.createDataFrame(data, schema)).cache()
 
 
-@pytest.mark.parametrize("fold_limit", [rec.FOLD_LIMIT, 0, 3])
+@pytest.mark.parametrize("fold_limit", [rec.FOLD_LIMIT, 0, 9])
 @pytest.mark.parametrize("tolerance, least, min_amount", [(0.1, 3, 1000), (0.05, 2, 800)])
 def test_first_report(ledger, statements, fold_limit, tolerance, least, min_amount):
     found = ll.recurring_payments(ledger, min_amount, least, tolerance, fold_limit)
@@ -107,14 +107,55 @@ def test_second_report(ledger, statements, fold_limit):
         assert sorted(got.get(k, [])) == report_walk(rows), k
 
 
-def test_rising_amounts_need_many_rounds(spark):
-    """Every amount is blocked or freed by the one before it."""
-    rows = [(i, "2024-01-01", "LOAN", round(1000 * 1.03**i, 2), 0, None) for i in range(60)]
-    ledger = make_ledger(spark, rows)
-    plain = ll.recurring_payments(ledger, 1000, 1, 0.1).select("row_no").collect()
-    rounds = ll.recurring_payments(ledger, 1000, 1, 0.1, fold_limit=0).select("row_no").collect()
-    want = walk([(r[0], date(2024, 1, 1), r[2], r[3]) for r in rows], 1000, 1, 0.1)
-    assert sorted(r[0] for r in plain) == sorted(r[0] for r in rounds) == [w[0] for w in want]
+def accepted_by_hand(values, tolerance):
+    """The walk over amounts in cents, in the given order."""
+    taken = []
+    for v in values:
+        if not any(abs(v / 100.0 - p / 100.0) / (p / 100.0) <= tolerance for p in taken):
+            taken.append(v)
+    return sorted(taken)
+
+
+def seeds_of(spark, statements):
+    rows = [(k, i, v, True, True, 3, date(2024, 1, 1), date(2024, 1, 1)) for k, values in statements.items() for i, v in enumerate(values)]
+    kinds = "statement_id string, seq bigint, value bigint, regular boolean, likely boolean, members bigint, first_date date, last_date date"
+    return spark.createDataFrame(rows, kinds)
+
+
+def orders_of(rng, n):
+    """Distinct amounts in orders that make long chains, short ones and meeting ones."""
+    low = rng.choice([1, 40, 900, 100_000])
+    values = sorted({int(low * (1 + rng.choice([0.0004, 0.003, 0.02])) ** i) + i for i in range(n)})
+    half = len(values) // 2
+    zigzag = [v for pair in zip(values[:half], values[::-1]) for v in pair]
+    shuffled = rng.sample(values, len(values))
+    blocks = [v for a in range(0, len(values), 17) for v in values[a : a + 17][::-1]]
+    return [values, values[::-1], list(dict.fromkeys(zigzag)), shuffled, blocks, values[half:] + values[:half][::-1], values[half::-1] + values[half + 1 :]]
+
+
+@pytest.mark.parametrize("tolerance", [0.1, 0.05, 0.45, 0.9])
+def test_walk_in_rounds_equals_the_walk(spark, tolerance):
+    rng = random.Random(int(tolerance * 100))
+    statements = {f"s{k}-{j}": values for k in range(8) for j, values in enumerate(orders_of(rng, rng.choice([3, 30, 150])))}
+    seeds, found = seeds_of(spark, statements), {}
+    for r in rec.walk_seeds(seeds, rec.Walk(tolerance), fold_limit=0).collect():
+        found.setdefault(r.statement_id, []).append(r.value)
+    for k, values in statements.items():
+        assert sorted(found[k]) == accepted_by_hand(values, tolerance), k
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """20,000 amounts, each blocked or freed by those next to it: rising, falling, and meeting in the middle."""
+    n = 20_000
+    rising = [100_000 + 700 * i for i in range(n)]
+    chains = {"rising": rising, "falling": rising[::-1], "meeting": [v for pair in zip(rising[: n // 2], rising[: n // 2 - 1 : -1]) for v in pair]}
+    rounds, double = [], rec._double
+    monkeypatch.setattr(rec, "_double", lambda *x: rounds.append(1) or double(*x))
+    for name, values in chains.items():
+        rounds.clear()
+        got = rec.walk_seeds(seeds_of(spark, {name: values}), rec.Walk(0.01), fold_limit=1000)
+        assert sorted(r.value for r in got.select("value").collect()) == accepted_by_hand(values, 0.01)
+        assert 0 < len(rounds) <= 2 * n.bit_length()
 
 
 def test_input_order_does_not_matter(ledger):
