@@ -19,15 +19,19 @@ def _ranked(totals: DataFrame, rules: RuleSet) -> DataFrame:
     )
 
 
-def expense_categories(flow: DataFrame, rules: RuleSet = EXPENSE_RULES) -> DataFrame:
-    """Debit total per category, zero totals left out; ``position`` 1 is the largest."""
-    totals = (
+def expense_totals(flow: DataFrame) -> DataFrame:
+    """Debit total per category, zero totals left out."""
+    return (
         flow.where("expense > 0")
         .groupBy(KEY, F.col("expense_category").alias("category"))
         .agg(F.sum("expense").alias("amount"))
         .where("amount > 0")
     )
-    return _ranked(totals, rules).drop("rule_order")
+
+
+def expense_categories(flow: DataFrame, rules: RuleSet = EXPENSE_RULES) -> DataFrame:
+    """Debit total per category, zero totals left out; ``position`` 1 is the largest."""
+    return _ranked(expense_totals(flow), rules).drop("rule_order")
 
 
 def top_expenses(flow: DataFrame, n: int = 5, rules: RuleSet = EXPENSE_RULES) -> DataFrame:
@@ -49,6 +53,10 @@ def report_expense_categories(report: DataFrame, rules: RuleSet = REPORT_EXPENSE
     )
 
 
+#: The largest category, and what stands for it where nothing was spent.
+LARGEST = ["coalesce(category, 'None') AS category", "coalesce(amount, CAST(0 AS decimal(28,2))) AS amount", "percentage"]
+
+
 def largest_category(report: DataFrame, rules: RuleSet = REPORT_EXPENSE_RULES) -> DataFrame:
     """The category with the highest total; 'None', 0 and no percentage without expenses."""
     return largest_of(report, report_expense_categories(report, rules))
@@ -57,17 +65,7 @@ def largest_category(report: DataFrame, rules: RuleSet = REPORT_EXPENSE_RULES) -
 def largest_of(report: DataFrame, shares: DataFrame) -> DataFrame:
     """``largest_category`` from the categories already computed."""
     largest = shares.where("position = 1").select(KEY, "category", "amount", "percentage")
-    return (
-        report.select(KEY)
-        .distinct()
-        .join(largest, KEY, "left")
-        .selectExpr(
-            KEY,
-            "coalesce(category, 'None') AS category",
-            "coalesce(amount, CAST(0 AS decimal(28,2))) AS amount",
-            "percentage",
-        )
-    )
+    return report.select(KEY).distinct().join(largest, KEY, "left").selectExpr(KEY, *LARGEST)
 
 
 def classify_by_table(rows: DataFrame, rules: DataFrame, default: str, text: str = "description") -> DataFrame:
@@ -96,16 +94,16 @@ def monthly_income(flow: DataFrame) -> DataFrame:
     return rollup(flow.where("month IS NOT NULL"), "month").selectExpr(KEY, "month", "credit AS income")
 
 
+#: Income of a statement from its measures by month.
+INCOME = [
+    "sum(credit) AS total_income",
+    "avg(CASE WHEN month IS NOT NULL THEN CAST(credit AS double) END) AS average_monthly_income",
+]
+
+
 def income_summary(flow: DataFrame) -> DataFrame:
     """Total income and its mean over the months of the statement."""
-    return (
-        rollup(flow, "month")
-        .groupBy(KEY)
-        .agg(
-            F.expr("sum(credit) AS total_income"),
-            F.expr("avg(CASE WHEN month IS NOT NULL THEN CAST(credit AS double) END) AS average_monthly_income"),
-        )
-    )
+    return rollup(flow, "month").groupBy(KEY).agg(*map(F.expr, INCOME))
 
 
 def income_sources(flow: DataFrame, rules: RuleSet = INCOME_RULES) -> DataFrame:

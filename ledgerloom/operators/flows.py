@@ -3,7 +3,8 @@
 ``flows`` turns each ledger row into measures; ``rollup`` adds measures up to any
 coarser grain.  Both frames have the same measure columns, so every summary can
 read the rows or a rollup of them: a report that needs many summaries reads the
-ledger once, rolls it up and works on the much smaller rollup.
+ledger once, rolls it up and works on the much smaller rollup.  A frame without the
+other grain columns is the result of ``rollup`` to its grain, and is not added up again.
 """
 
 from __future__ import annotations
@@ -69,4 +70,6 @@ for order in ("row", "day"):
 
 def rollup(flow: DataFrame, *grain: str) -> DataFrame:
     """Measures per statement and ``grain`` columns."""
+    if [c for c in GRAIN if c in flow.columns] == list(grain):
+        return flow
     return flow.groupBy(KEY, *grain).agg(*[F.expr(m) for m in MEASURES])

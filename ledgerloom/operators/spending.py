@@ -14,33 +14,33 @@ def monthly_spending(flow: DataFrame) -> DataFrame:
     return rollup(flow.where("month IS NOT NULL"), "month").selectExpr(KEY, "month", "debit AS amount")
 
 
+#: Figures of a statement from its measures by month; one small list of calendar months, in order, names the months.
+_DATED = "FILTER (WHERE month IS NOT NULL)"
+MONTHS = [
+    f"avg(CAST(debit AS double)) {_DATED} AS average_monthly_spending",
+    f"max(debit) {_DATED} AS highest_amount",
+    f"min(debit) {_DATED} AS lowest_amount",
+    f"array_sort(collect_list(struct(month, debit)) {_DATED}) AS months",
+]
+STATS = [
+    "average_monthly_spending",
+    "get(filter(months, m -> m.debit = highest_amount), 0).month AS highest_month",
+    "highest_amount",
+    "get(filter(months, m -> m.debit = lowest_amount), 0).month AS lowest_month",
+    "lowest_amount",
+]
+
+
 def monthly_spending_stats(flow: DataFrame) -> DataFrame:
     """Mean monthly spending, highest and lowest month (the earliest on ties)."""
-    # one small list of calendar months per statement, in month order
-    monthly = (
-        monthly_spending(flow)
-        .groupBy(KEY)
-        .agg(
-            F.expr("avg(CAST(amount AS double)) AS average_monthly_spending"),
-            F.expr("max(amount) AS highest_amount"),
-            F.expr("min(amount) AS lowest_amount"),
-            F.expr("array_sort(collect_list(struct(month, amount))) AS months"),
-        )
-    )
-    return monthly.selectExpr(
-        KEY,
-        "average_monthly_spending",
-        "get(filter(months, m -> m.amount = highest_amount), 0).month AS highest_month",
-        "highest_amount",
-        "get(filter(months, m -> m.amount = lowest_amount), 0).month AS lowest_month",
-        "lowest_amount",
-    )
+    months = rollup(flow.where("month IS NOT NULL"), "month")
+    return months.groupBy(KEY).agg(*map(F.expr, MONTHS)).selectExpr(KEY, *STATS)
 
 
 def weekday_spending(flow: DataFrame) -> DataFrame:
     """Debit total per weekday that occurs in the statement."""
     return (
-        rollup(flow.where("txn_date IS NOT NULL"), "txn_date")
+        flow.where("txn_date IS NOT NULL")
         .groupBy(KEY, F.expr("date_format(txn_date, 'EEEE') AS day_of_week"))
         .agg(F.sum("debit").alias("amount"))
     )
@@ -139,15 +139,19 @@ def unusual_transactions(ledger: DataFrame, std_multiplier: float = 2.5) -> Data
 
 
 def top_unusual(unusual: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` largest unusual debits per statement, with the count of all of them.
+    """The ``n`` largest unusual debits per statement, with the count of all of them."""
+    unusual = reliable_checkpoint(unusual)  # few rows, ranked and counted
+    return largest_unusual(unusual, n).join(unusual_counts(unusual), KEY)
+
+
+def largest_unusual(unusual: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` largest with their ``position``.
 
     The rank filter is applied before the shuffle too, so a statement sends at
     most ``n`` rows per input partition to the task that ranks it.
     """
     position = f"row_number() OVER (PARTITION BY {KEY} ORDER BY amount DESC, row_no) AS position"
-    unusual = reliable_checkpoint(unusual)  # few rows, ranked and counted
-    top = unusual.selectExpr("*", position).where(f"position <= {n}")
-    return top.join(unusual_counts(unusual), KEY)
+    return unusual.selectExpr("*", position).where(f"position <= {n}")
 
 
 def unusual_counts(unusual: DataFrame) -> DataFrame:

@@ -16,28 +16,28 @@ def percent_of(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} > 0 THEN CAST({part} AS double) / CAST({whole} AS double) * 100 ELSE 0.0D END"
 
 
+#: Totals of a statement from its measures by month.
+TOTALS = [
+    "sum(rows) AS total_transactions",
+    "min(first_date) AS start_date",
+    "max(last_date) AS end_date",
+    "count(month) AS unique_months",
+    "sum(credit_count) AS credit_count",
+    "sum(debit_count) AS debit_count",
+    "sum(credit) AS total_credit",
+    "sum(debit) AS total_debit",
+    "min_by(first_row_balance, first_row) AS opening_balance",
+    "max_by(last_row_balance, last_row) AS closing_balance",
+]
+
+
 def transaction_summary(flow: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """Counts, period, totals and balances of every statement.
 
     Balances come from ``metadata`` if given, else from the ledger in row order;
     a missing balance counts as 0.
     """
-    summary = (
-        rollup(flow, "month")
-        .groupBy(KEY)
-        .agg(
-            F.expr("sum(rows) AS total_transactions"),
-            F.expr("min(first_date) AS start_date"),
-            F.expr("max(last_date) AS end_date"),
-            F.expr("count(month) AS unique_months"),
-            F.expr("sum(credit_count) AS credit_count"),
-            F.expr("sum(debit_count) AS debit_count"),
-            F.expr("sum(credit) AS total_credit"),
-            F.expr("sum(debit) AS total_debit"),
-            F.expr("min_by(first_row_balance, first_row) AS opening_balance"),
-            F.expr("max_by(last_row_balance, last_row) AS closing_balance"),
-        )
-    )
+    summary = rollup(flow, "month").groupBy(KEY).agg(*map(F.expr, TOTALS))
     if metadata is not None:
         balances = metadata.select(KEY, "opening_balance", "closing_balance")
         summary = summary.drop("opening_balance", "closing_balance").join(balances, KEY, "left")
