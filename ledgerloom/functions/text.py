@@ -54,23 +54,46 @@ def parse_date(x: str, formats: Iterable[str] = DAY_FIRST) -> str:
     text = f"regexp_replace(regexp_replace({strip(x)}, {lit(_CLOCK)}, ''), '[/., ]+', '-')"
     tries = []
     for fmt in formats:
-        shape = "^" + "-".join(_SHAPE[part] for part in fmt.split("-")) + "$"
-        tries.append(f"CASE WHEN day_ RLIKE {lit(shape)} THEN CAST(try_to_timestamp(day_, {lit(fmt)}) AS DATE) END")
+        tries.append(f"CASE WHEN day_ RLIKE {lit(shape(fmt))} THEN CAST(try_to_timestamp(day_, {lit(fmt)}) AS DATE) END")
     return bind(text, "day_", f"coalesce({', '.join(tries)})")
 
 
+def shape(fmt: str) -> str:
+    """The pattern of all texts a date format could fit; formats that read the same texts differently share it."""
+    return "^" + "-".join(_SHAPE[part] for part in fmt.split("-")) + "$"
+
+
+def date_flaw(x: str, parsed: str) -> str:
+    """Why a date cell gives no date, NULL if it does or is blank."""
+    return f"CASE WHEN {strip(x)} <> '' AND {parsed} IS NULL THEN 'not a date' END"
+
+
+def _digits(x: str) -> str:
+    return f"regexp_replace({x}, {lit('[^0-9.-]')}, '')"
+
+
 def clean_amount(x: str, money: str = MONEY) -> str:
-    """Money text to a number: keep digits, '.' and '-'; anything unreadable is 0, a number too long is an error."""
-    digits = f"regexp_replace({x}, {lit('[^0-9.-]')}, '')"
-    too_long = f"CASE WHEN {digits} RLIKE {lit(_NUMBER)} THEN CAST(raise_error('an amount exceeds {money}') AS {money}) END"
-    return f"coalesce(try_cast({digits} AS {money}), {too_long}, CAST(0 AS {money}))"
+    """Money text to a number: keep digits, '.' and '-'; anything unreadable or too long is 0 (``amount_flaw`` tells which)."""
+    return f"coalesce(try_cast({_digits(x)} AS {money}), CAST(0 AS {money}))"
+
+
+def amount_flaw(x: str, money: str = MONEY) -> str:
+    """Why ``clean_amount`` gives 0 for a cell with digits, NULL if it reads the cell."""
+    number = f"CASE WHEN d_ RLIKE {lit(_NUMBER)} THEN 'too long' WHEN d_ RLIKE '[0-9]' THEN 'not a number' END"
+    return bind(_digits(x), "d_", f"CASE WHEN try_cast(d_ AS {money}) IS NULL THEN {number} END")
 
 
 def to_number(x: str, money: str = MONEY) -> str:
-    """A plain number or NULL; thousand separators are not accepted."""
+    """A plain number or NULL (``number_flaw`` tells why); thousand separators are not accepted."""
     return f"try_cast({strip(x)} AS {money})"
 
 
+def number_flaw(x: str, money: str = MONEY) -> str:
+    """Why ``to_number`` gives NULL for a cell that is not blank."""
+    why = f"CASE WHEN n_ RLIKE {lit(_NUMBER)} THEN 'too long' ELSE 'not a number' END"
+    return bind(strip(x), "n_", f"CASE WHEN n_ <> '' AND try_cast(n_ AS {money}) IS NULL THEN {why} END")
+
+
 def contains_any(x: str, words: Iterable[str]) -> str:
     """Whether ``x`` holds any of the words, as parts of words too."""
     return "(" + " OR ".join(f"contains({x}, {lit(w)})" for w in words) + ")"

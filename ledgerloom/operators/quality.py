@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lit
+from ..functions.text import bind, lit, parse_date, strip
 from ..schemas import KEY
 from .grid import transaction_rows
 
@@ -39,6 +39,18 @@ def _missing(name: str) -> str:
     return f"{value} IS NULL"
 
 
+_WHOLE = r"(\d+|\d{1,3}(,\d{2,3})+)"
+#: What a cell can be, as bits; a blank one is nothing.
+_KIND = bind(
+    strip("get(cells, pos)"),
+    "c_",
+    f"CASE WHEN coalesce(c_, '') = '' THEN 0 WHEN c_ RLIKE {lit(f'^-?{_WHOLE}$')} THEN 1 WHEN c_ RLIKE {lit(f'^-?{_WHOLE}?[.][0-9]+$')} THEN 2"
+    f" WHEN {parse_date('c_')} IS NOT NULL THEN 4 ELSE 8 END",
+)
+#: The narrowest type that all cells of a column have: whole numbers are decimals, everything is text.
+_TYPE = "CASE kinds WHEN 1 THEN 'bigint' WHEN 2 THEN 'decimal' WHEN 3 THEN 'decimal' WHEN 4 THEN 'date' ELSE 'string' END"
+
+
 def ledger_quality(ledger: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Missing values per typed column, one row per statement and column, in a single pass."""
     columns = list(TYPED) if columns is None else columns
@@ -59,7 +71,8 @@ def column_quality(
 ) -> DataFrame:
     """Missing count and percentage per column present in the statement's layout.
 
-    Without ``raw`` and ``layouts`` every statement counts as having the plain
+    ``data_type`` is the ledger's for columns it has, else the narrowest type of the cells (whole numbers,
+    decimals, dates, text).  Without ``raw`` and ``layouts`` every statement counts as having the plain
     debit/credit layout.
     """
     if layouts is None:
@@ -93,8 +106,9 @@ def column_quality(
             .agg(
                 F.expr("count(1) AS total_rows"),
                 F.expr("count_if(get(cells, pos) IS NULL) AS missing_count"),
+                F.expr(f"bit_or(coalesce({_KIND}, 0)) AS kinds"),
             )
-            .selectExpr(KEY, "total_rows", "column", "'string' AS data_type", "missing_count")
+            .selectExpr(KEY, "total_rows", "column", f"{_TYPE} AS data_type", "missing_count")
         )
         present = typed.unionByName(untyped)
     return present.withColumn("missing_percentage", F.expr("missing_count / total_rows * 100"))

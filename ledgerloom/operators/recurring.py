@@ -382,6 +382,39 @@ def recurring_payments(
     )
 
 
+def recurring_members(payments: DataFrame, recurring: DataFrame, amount: str = "debit", amount_tolerance: float = 0.1) -> DataFrame:
+    """The payments behind each recurring amount, with the days since the one before.
+
+    ``statement_id, seed_row_no, row_no, txn_date, amount, gap_days``: ``payments`` are the rows the search
+    was given, ``recurring`` its result with the same tolerance.  Payments meet the few accepted
+    amounts in logarithmic cells, the exact test follows; a payment may belong to several.  Gaps
+    are taken between days, not rows, so that a group of any size is ordered by its days only:
+    the first payment of a day (by row) has the gap to the day before, later ones 0, the first of all and undated ones NULL.
+    """
+    walk = Walk(amount_tolerance)
+    around = f"sequence({-walk.reach}, {walk.reach})" if amount_tolerance else "array(0)"
+    cell = walk.cell if amount_tolerance else (lambda value: value)
+    seeds = recurring.selectExpr(KEY, "row_no AS seed_row_no", f"{cents('amount')} AS seed")
+    seeds = seeds.selectExpr("*", f"explode(transform({around}, d -> {cell('seed')} + d)) AS cell")
+    rows = payments.selectExpr(KEY, "row_no", "txn_date", f"{cents(amount)} AS value").where("value > 0")
+    members = (
+        rows.withColumn("cell", F.expr(cell("value")))
+        .join(seeds, [KEY, "cell"])
+        .where(walk.blocks("seed", "value"))
+        .selectExpr(KEY, "seed_row_no", "row_no", "txn_date", "CAST(CAST(value AS decimal(28,0)) / 100 AS decimal(28,2)) AS amount")
+    )
+    days = (
+        members.where("txn_date IS NOT NULL")
+        .groupBy(KEY, "seed_row_no", "txn_date")
+        .agg(F.min("row_no").alias("first_row"))
+        .withColumn("gap", F.expr(f"datediff(txn_date, lag(txn_date) OVER (PARTITION BY {KEY}, seed_row_no ORDER BY txn_date))"))
+    )
+    gap = "CASE WHEN row_no = first_row THEN gap WHEN first_row IS NOT NULL THEN 0 END"
+    return members.join(days, [KEY, "seed_row_no", "txn_date"], "left").selectExpr(
+        KEY, "seed_row_no", "row_no", "txn_date", "amount", f"{gap} AS gap_days"
+    )
+
+
 def report_recurring_payments(report: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Recurring debits of the second report: narrower band, and three payments are enough."""
     rows = report.where("dr_cr_indicator = 'DR'")

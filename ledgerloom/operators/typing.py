@@ -7,10 +7,22 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.text import DAY_FIRST, MONTH_FIRST, clean_amount, lit, parse_date, strip, to_number
+from ..functions.text import (
+    DAY_FIRST,
+    MONTH_FIRST,
+    amount_flaw,
+    clean_amount,
+    date_flaw,
+    lit,
+    number_flaw,
+    parse_date,
+    shape,
+    strip,
+    to_number,
+)
 from ..schemas import KEY, MONEY, ZERO
 from .grid import CANONICAL, map_by_name, transaction_rows
 
@@ -63,24 +75,86 @@ def finish_ledger(df: DataFrame) -> DataFrame:
     )
 
 
+def _cell(name: str) -> str:
+    """The cell of a column by its standard name, in a row that carries its layout's ``col_map``."""
+    return f"get(cells, element_at(col_map, '{name}'))"
+
+
+def _date(value: str, layouts: DataFrame, date_formats: Iterable[str]) -> str:
+    """A date cell parsed by the layout's own formats, if it has any, else by those given."""
+    if "date_formats" not in layouts.columns:
+        return parse_date(value, date_formats)
+    known = tuple(dict.fromkeys([*date_formats, *DAY_FIRST, *MONTH_FIRST]))
+    tried = f"transform(date_formats, f_ -> CASE f_ {' '.join(f'WHEN {lit(f)} THEN {parse_date(value, [f])}' for f in known)} END)"
+    first = f"get(filter({tried}, d_ -> d_ IS NOT NULL), 0)"
+    return f"CASE WHEN date_formats IS NULL THEN {parse_date(value, date_formats)} ELSE {first} END"
+
+
+_MONEY_NAMES = ("debit", "credit", "amount", "balance")
+
+
+def infer_date_formats(
+    raw: DataFrame, layouts: DataFrame, candidates: Iterable[str] = tuple(dict.fromkeys([*DAY_FIRST, *MONTH_FIRST]))
+) -> DataFrame:
+    """Layouts with ``date_formats``: how the date column of each statement is to be read.
+
+    Every distinct date text of a statement is tried with every format.  Of formats that
+    fit the same shape of text (day first and month first) only the one that reads most
+    cells stays, the earlier candidate on ties; so a column is read one way throughout,
+    while texts of different shapes may stand in one column.  A column that no
+    format fits has NULL, for the formats ``build_ledger`` is given.
+    """
+    candidates = tuple(candidates)
+    dated = layouts.where("map_contains_key(col_map, 'date')")
+    texts = (
+        transaction_rows(raw, dated, "col_map")
+        .selectExpr(KEY, f"{_cell('date')} AS text")
+        .where("text IS NOT NULL")
+        .groupBy(KEY, "text")
+        .count()
+    )
+    counted = texts.groupBy(KEY).agg(
+        *[F.expr(f"coalesce(sum(count) FILTER (WHERE {parse_date('text', [f])} IS NOT NULL), 0) AS n{i}") for i, f in enumerate(candidates)]
+    )
+    fits = ", ".join(
+        f"named_struct('n', n{i}, 'shape', {lit(shape(f))}, 'place', {i}, 'format', {lit(f)})" for i, f in enumerate(candidates)
+    )
+    better = "y.shape = x.shape AND (y.n > x.n OR (y.n = x.n AND y.place < x.place))"
+    chosen = f"transform(filter(fits_, x -> x.n > 0 AND NOT exists(fits_, y -> {better})), x -> x.format)"
+    found = counted.selectExpr(KEY, f"array({fits}) AS fits_").selectExpr(KEY, f"{chosen} AS found_")
+    own = F.expr("CASE WHEN size(found_) > 0 THEN found_ END")
+    return layouts.drop("date_formats").join(found, KEY, "left").withColumn("date_formats", own).drop("found_")
+
+
+def rejected_cells(raw: DataFrame, layouts: DataFrame, date_formats: Iterable[str] = DAY_FIRST) -> DataFrame:
+    """Cells ``build_ledger`` takes no value from: ``statement_id, row_no, column, cell, reason``.
+
+    An amount that is ``too long`` for the ledger or ``not a number`` counts as 0
+    there, a text that is ``not a date`` as no date.
+    """
+    reasons = {"date": date_flaw(_cell("date"), _date(_cell("date"), layouts, date_formats))}
+    reasons |= {name: amount_flaw(_cell(name)) for name in _MONEY_NAMES}
+    carried = ["col_map", *(["date_formats"] if "date_formats" in layouts.columns else [])]
+    return _flawed(transaction_rows(raw, layouts, *carried), {name: (_cell(name), why) for name, why in reasons.items()})
+
+
+def _flawed(rows: DataFrame, checks: dict[str, tuple[str, str]]) -> DataFrame:
+    found = ", ".join(f"named_struct('column', {lit(n)}, 'cell', {cell}, 'reason', {why})" for n, (cell, why) in checks.items())
+    return rows.selectExpr(KEY, "row_no", f"inline(filter(array({found}), x -> x.reason IS NOT NULL))")
+
+
 def build_ledger(
-    raw: DataFrame, layouts: DataFrame, date_formats: Iterable[str] = DAY_FIRST
+    raw: DataFrame, layouts: DataFrame, date_formats: Iterable[str] = DAY_FIRST, observation: Observation | None = None
 ) -> DataFrame:
     """Project the transaction rows of every layout onto the one typed ledger.
 
-    ``layouts`` may have a column ``date_formats array<string>``: where it is not NULL, its formats
-    (of ``DAY_FIRST``, ``MONTH_FIRST`` or ``date_formats``) are tried in its order, others are not.
+    ``layouts`` may have a column ``date_formats array<string>`` (see ``infer_date_formats``): where it is not
+    NULL, its formats (of ``DAY_FIRST``, ``MONTH_FIRST`` or ``date_formats``) are tried in its order, others are not.
+    An ``observation`` counts ``rows``, ``rejected_amounts`` and ``rejected_dates`` while the ledger is read;
+    ``rejected_cells`` lists them.
     """
-    known = tuple(dict.fromkeys([*date_formats, *DAY_FIRST, *MONTH_FIRST]))
     own_formats = "date_formats" in layouts.columns
 
-    def date(value: str) -> str:
-        if not own_formats:
-            return parse_date(value, date_formats)
-        tried = f"transform(date_formats, f_ -> CASE f_ {' '.join(f'WHEN {lit(f)} THEN {parse_date(value, [f])}' for f in known)} END)"
-        first = f"get(filter({tried}, d_ -> d_ IS NOT NULL), 0)"
-        return f"CASE WHEN date_formats IS NULL THEN {parse_date(value, date_formats)} ELSE {first} END"
-
     # columns without a standard name, and second ones of a name
     unmapped = (
         f"filter(sequence(0, size(names) - 1), i_ -> get(names, i_) NOT IN ({CANONICAL})"
@@ -89,28 +163,32 @@ def build_ledger(
     label = "CASE WHEN array_position(header, get(header, i_)) = i_ + 1 THEN get(header, i_) ELSE concat(get(header, i_), '#', i_) END"
     extra = f"map_from_entries(transform({unmapped}, i_ -> struct({label} AS key, get(cells, i_) AS value)))"
 
-    def position(name: str) -> str:
-        return f"element_at(col_map, '{name}')"
-
-    def cell(name: str) -> str:
-        return f"get(cells, {position(name)})"
-
     def text(name: str) -> str:
-        return f"CASE WHEN {position(name)} IS NOT NULL THEN coalesce({cell(name)}, '') END AS {name}"
+        return f"CASE WHEN map_contains_key(col_map, '{name}') THEN coalesce({_cell(name)}, '') END AS {name}"
 
     def money(name: str) -> str:
-        return f"CASE WHEN {position(name)} IS NOT NULL THEN {clean_amount(cell(name))} END AS {name}"
+        return f"CASE WHEN map_contains_key(col_map, '{name}') THEN {clean_amount(_cell(name))} END AS {name}"
 
     carried = ["col_map", "header", "names", *(["date_formats"] if own_formats else [])]
-    typed = transaction_rows(raw, layouts, *carried).selectExpr(
+    date = _date(_cell("date"), layouts, date_formats)
+    rows = transaction_rows(raw, layouts, *carried)
+    if observation is not None:
+        flaws = " + ".join(f"CAST({amount_flaw(_cell(name))} IS NOT NULL AS int)" for name in _MONEY_NAMES)
+        rows = rows.observe(
+            observation,
+            F.expr("count(1) AS rows"),
+            F.expr(f"coalesce(sum({flaws}), 0) AS rejected_amounts"),
+            F.expr(f"count_if({date_flaw(_cell('date'), date)} IS NOT NULL) AS rejected_dates"),
+        )
+    typed = rows.selectExpr(
         KEY,
         "row_no",
-        f"{date(cell('date'))} AS txn_date",
+        f"{date} AS txn_date",
         f"{extra} AS extra",
         text("description"),
-        *[money(name) for name in ("debit", "credit", "amount", "balance")],
+        *[money(name) for name in _MONEY_NAMES],
         text("dr_cr_indicator"),
-        *[f"{cell(name)} AS {name}" for name in ("cheque_no", "reference_no", "branch")],
+        *[f"{_cell(name)} AS {name}" for name in ("cheque_no", "reference_no", "branch")],
     )
     marked = "amount IS NOT NULL AND dr_cr_indicator IS NOT NULL"
     debit, credit = split_by_indicator("amount", "dr_cr_indicator")
@@ -186,22 +264,24 @@ def _directed(df: DataFrame) -> DataFrame:
     )
 
 
-def report_ledger(ledger: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+def report_ledger(ledger: DataFrame, layouts: DataFrame | None = None, date_formats: Iterable[str] = DAY_FIRST) -> DataFrame:
     """The second report's view of a typed ledger.
 
-    With ``layouts``, statements without a date column keep their rows.
+    With ``layouts``, a date or description column that no name gives is looked for
+    among the columns without a standard name: the first text column that begins with a
+    date, and the first other text column, one whose name does not speak of a date if there is one.
+    Statements without any date column keep their rows.
     """
     if layouts is None:
-        rows = ledger.withColumn("has_date", F.lit(True))
+        rows = ledger.withColumns({"has_date": F.lit(True), "date_": F.col("txn_date"), "text_": F.col("description")})
     else:
-        dated = layouts.selectExpr(KEY, "map_contains_key(col_map, 'date') AS has_date")
-        rows = ledger.join(dated, KEY)
+        rows = _with_guesses(ledger, layouts, date_formats)
     return _directed(
         rows.selectExpr(
             KEY,
             "row_no",
-            "txn_date",
-            "coalesce(description, '') AS description",
+            "date_ AS txn_date",
+            "coalesce(text_, '') AS description",
             "coalesce(amount, transaction_amount) AS single",
             "coalesce(dr_cr_indicator, txn_type) AS mark",
             f"coalesce(debit, {ZERO}) AS own_debit",
@@ -212,6 +292,35 @@ def report_ledger(ledger: DataFrame, layouts: DataFrame | None = None) -> DataFr
     )
 
 
+def _with_guesses(ledger: DataFrame, layouts: DataFrame, date_formats: Iterable[str]) -> DataFrame:
+    """Ledger rows with ``has_date, date_, text_``, found among the ``extra`` columns where the layout has none."""
+    has = layouts.selectExpr(
+        KEY, "map_contains_key(col_map, 'date') AS named_date", "map_contains_key(col_map, 'description') AS named_text"
+    )
+    # only statements whose names leave something open are read twice
+    extras = ledger.join(has.where("NOT named_date OR NOT named_text"), KEY, "left_semi").where("size(extra) > 0")
+    names = extras.groupBy(KEY).agg(F.expr("max(map_keys(extra)) AS names"))
+    profile = profile_table(extras.selectExpr(KEY, "row_no", "map_values(extra) AS cells")).join(names, KEY)
+    parsed = parse_date("p.first_value", date_formats)
+    texts = "filter(profile, p -> NOT p.numeric AND NOT (p.col_pos <=> date_pos))"
+    undated = f"filter({texts}, p -> NOT get(names, p.col_pos) RLIKE '(?i)date')"
+    guessed = (
+        has.join(profile, KEY, "left")
+        .withColumn("date_pos", F.expr(f"CASE WHEN NOT named_date THEN get(filter(profile, p -> NOT p.numeric AND {parsed} IS NOT NULL), 0).col_pos END"))
+        .selectExpr(
+            KEY, "named_date", "named_text", "get(names, date_pos) AS date_name",
+            f"get(names, coalesce(get({undated}, 0).col_pos, get({texts}, 0).col_pos)) AS text_name",
+        )
+    )
+    return ledger.join(guessed, KEY).withColumns(
+        {
+            "has_date": F.expr("named_date OR date_name IS NOT NULL"),
+            "date_": F.expr(f"CASE WHEN named_date THEN txn_date ELSE {parse_date('extra[date_name]', date_formats)} END"),
+            "text_": F.expr("CASE WHEN named_text THEN description ELSE extra[text_name] END"),
+        }
+    )
+
+
 def profile_table(rows: DataFrame) -> DataFrame:
     """Per statement: the columns of a ready-made table and what their values look like.
 
@@ -241,15 +350,8 @@ def profile_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def report_ledger_from_table(
-    rows: DataFrame, tables: DataFrame, date_formats: Iterable[str] = DAY_FIRST
-) -> DataFrame:
-    """The second report's ledger from ready-made tables of any column names.
-
-    ``rows`` is ``(statement_id, row_no, cells)`` without the header line and
-    ``tables`` is ``(statement_id, header)``.  Columns are found by name; a
-    missing date, amount or description column is guessed from the content.
-    """
+def table_layouts(rows: DataFrame, tables: DataFrame, date_formats: Iterable[str] = DAY_FIRST) -> DataFrame:
+    """Where the second report's columns stand in ready-made tables: positions by name, else guessed from the content."""
 
     def first(condition: str) -> str:
         return f"get(filter(profile, p -> {condition}), 0).col_pos"
@@ -262,7 +364,7 @@ def report_ledger_from_table(
         f"date_pos IS NULL OR description_pos IS NULL OR (amount_pos IS NULL AND NOT ({split}))"
     )
     profile = profile_table(rows.join(unclear.select(KEY), KEY, "left_semi"))
-    layouts = (
+    return (
         named.join(profile, KEY, "left")
         .selectExpr(
             KEY,
@@ -277,6 +379,27 @@ def report_ledger_from_table(
         )
     )
 
+
+def rejected_table_cells(rows: DataFrame, layouts: DataFrame, date_formats: Iterable[str] = DAY_FIRST) -> DataFrame:
+    """Cells of ready-made tables that give no value: ``statement_id, row_no, column, cell, reason`` (see ``rejected_cells``)."""
+    checks = {}
+    for name, place in (("date", "date_pos"), ("amount", "amount_pos"), ("debit", "debit_pos"), ("credit", "credit_pos"), ("balance", "balance_pos")):
+        cell = f"get(cells, {place})"
+        checks[name] = (cell, date_flaw(cell, parse_date(cell, date_formats)) if name == "date" else number_flaw(cell))
+    return _flawed(rows.join(layouts, KEY), checks)
+
+
+def report_ledger_from_table(
+    rows: DataFrame, tables: DataFrame, date_formats: Iterable[str] = DAY_FIRST
+) -> DataFrame:
+    """The second report's ledger from ready-made tables of any column names.
+
+    ``rows`` is ``(statement_id, row_no, cells)`` without the header line and
+    ``tables`` is ``(statement_id, header)``.  Columns are found by name; a
+    missing date, amount or description column is guessed from the content.
+    """
+    layouts = table_layouts(rows, tables, date_formats)
+
     def cell(position: str) -> str:
         return f"get(cells, {position})"
 

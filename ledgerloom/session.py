@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,8 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder(context.applicationId)
     jvm = context._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{base}/{context.applicationId}-{uuid.uuid4().hex}")
     system = path.getFileSystem(context._jsc.hadoopConfiguration())
@@ -55,6 +55,12 @@ def shared_folder(spark: SparkSession) -> str:
     return system.makeQualified(path).toString()
 
 
+@cache
+def _own_folder(application: str) -> str:
+    """A folder of a local session's own; the setting itself cannot be changed any more."""
+    return "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` once as columns to shared storage and read it from there.
 

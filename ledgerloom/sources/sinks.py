@@ -25,6 +25,23 @@ def write_grid(raw: DataFrame, path: str, mode: str = "errorifexists") -> None:
     raw.write.mode(mode).parquet(path)
 
 
+def write_grid_csv(raw: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Raw cells as extraction leaves them: one folder with one CSV file per statement, a first line of column numbers."""
+    quoted = "transform(cells, c -> CASE WHEN c RLIKE '[\",\r\n]' THEN concat('\"', replace(c, '\"', '\"\"'), '\"') ELSE coalesce(c, '') END)"
+    lines = raw.selectExpr(KEY, "row_no", f"array_join({quoted}, ',') AS value")
+    widths = raw.groupBy(KEY).agg(F.max(F.size("cells")).alias("width")).where("width > 0")
+    heads = widths.selectExpr(KEY, "-1L AS row_no", "array_join(sequence(0, width - 1), ',') AS value")
+    (
+        heads.unionByName(lines)
+        .repartition(KEY)
+        .sortWithinPartitions(KEY, "row_no")
+        .select(KEY, "value")
+        .write.mode(mode)
+        .partitionBy(KEY)
+        .text(path)
+    )
+
+
 def write_workbook(ledger: DataFrame, summary: DataFrame, monthly: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Three datasets side by side: transactions, summary and monthly summary."""
     for name, frame in (("transactions", ledger), ("summary", summary), ("monthly_summary", monthly)):

@@ -9,6 +9,7 @@ from ..functions.text import lit
 from ..operators.typing import finish_ledger
 from ..schemas import KEY, MONEY
 from ..session import reliable_checkpoint
+from ..sources.grids import from_frame
 
 DESCRIPTIONS = (
     "SALARY ACME CORP, HOME LOAN EMI, UPI SWIGGY ORDER, AMAZON MARKETPLACE, UBER TRIP INVOICE, "
@@ -170,6 +171,50 @@ def odd_grid(spark: SparkSession, folder: str) -> DataFrame:
     return rows.unionByName(heads)
 
 
+# Cells no ledger can hold.
+LONG_AMOUNT, BAD_AMOUNT, BAD_DATE = "123456789012345678901234567890.55", "1.2.3", "31-31-2024"
+
+
+def flawed_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain statements with columns of no standard name, and now and then an amount or a date that cannot be read."""
+    day = f"CASE WHEN row_no % 227 = 0 THEN {lit(BAD_DATE)} ELSE date_format(txn_date, 'dd-MM-yyyy') END"
+    spent = f"CASE WHEN row_no % 211 = 0 THEN {lit(LONG_AMOUNT)} WHEN row_no % 223 = 0 THEN {lit(BAD_AMOUNT)} ELSE CAST(debit AS string) END"
+    shown = order_entries(spark, folder).selectExpr(
+        KEY, "row_no", f"{day} AS `Tran Date`", "description AS `Particulars`", f"{spent} AS `Debit`", "CAST(credit AS string) AS `Credit`",
+        "CASE WHEN row_no % 3 > 0 THEN CAST(row_no % 7 AS string) END AS `Teller`",
+        "CASE WHEN row_no % 2 = 0 THEN format_number(row_no % 5000 + 0.25, 2) ELSE '12' END AS `Rate`",
+        "date_format(date_add(DATE'2024-01-01', CAST(row_no % 90 AS int)), 'dd MMM yyyy') AS `Seen`",
+        "CASE WHEN row_no % 5 = 0 THEN '7' ELSE 'x' END AS `Remark Code`",
+    )
+    return from_frame(shown, KEY, "row_no")
+
+
+def mixed_date_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Statements that write dates day first, month first, year first, and month first among dates in words."""
+    words = "CASE WHEN row_no % 2 = 0 THEN date_format(txn_date, 'dd MMM yyyy') ELSE date_format(txn_date, 'MM/dd/yyyy') END"
+    day = f"CASE CAST({KEY} AS bigint) % 4 WHEN 0 THEN date_format(txn_date, 'dd-MM-yyyy') WHEN 1 THEN date_format(txn_date, 'MM-dd-yyyy') WHEN 2 THEN date_format(txn_date, 'yyyy-MM-dd') ELSE {words} END"
+    shown = order_entries(spark, folder).selectExpr(
+        KEY, "row_no", f"{day} AS `Tran Date`", "description AS `Particulars`", "debit AS `Debit`", "credit AS `Credit`"
+    )
+    return from_frame(shown, KEY, "row_no")
+
+
+def unnamed_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Statements whose text columns have no standard name; every second one has dates, in words, among them."""
+    posted = f"CASE WHEN CAST({KEY} AS bigint) % 2 = 1 THEN date_format(txn_date, 'dd MMM yyyy') ELSE concat('N', row_no) END"
+    shown = order_entries(spark, folder).selectExpr(
+        KEY, "row_no", "CAST(row_no AS string) AS `No`", f"{posted} AS `Posted`", "description AS `Payee`", "debit AS `Debit`", "credit AS `Credit`", "balance AS `Balance`"
+    )
+    return from_frame(shown, KEY, "row_no")
+
+
+def moneyless_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Ready-made tables with a date and a text, and no money at all."""
+    entries = order_entries(spark, folder)
+    rows = entries.selectExpr(KEY, "row_no", "array(date_format(txn_date, 'yyyy-MM-dd'), description) AS cells")
+    return rows, entries.select(KEY).distinct().selectExpr(KEY, "array('date', 'details') AS header")
+
+
 def stored_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The order ledger on shared storage, for analyses that read it more than once."""
     return reliable_checkpoint(finish_ledger(order_entries(spark, folder)))

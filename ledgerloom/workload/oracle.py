@@ -18,7 +18,7 @@ from ..operators.grid import (
 )
 from ..operators.metadata import ACCOUNT, IFSC, NAME, NOT_A_NAME, PERIOD
 from ..rules import EXPENSE_RULES, INCOME_RULES, LOAN_WORDS, REPORT_EXPENSE_RULES, REPORT_LOAN_WORDS, RuleSet
-from .adapters import DESCRIPTIONS, FIRST_ROW, LAST_ROW, STATEMENT_CUSTOMERS, TABLE_HEADERS
+from .adapters import BAD_AMOUNT, BAD_DATE, DESCRIPTIONS, FIRST_ROW, LAST_ROW, LONG_AMOUNT, STATEMENT_CUSTOMERS, TABLE_HEADERS
 
 
 def _text_list(values) -> str:
@@ -577,8 +577,48 @@ _QUERIES: dict[str, str] = {
     "table_ledger": f"""SELECT statement_id, row_no, txn_date, month, description, {_money('amount')} AS amount,
         {_money('debit')} AS debit, {_money('credit_amount')} AS credit_amount, dr_cr_indicator,
         {_money('balance')} AS balance FROM tl""",
+    "inferred_dates": "SELECT statement_id, row_no, txn_date FROM l",
+    "rejected_cells": f"""
+        SELECT statement_id, row_no, 'date' AS "column", '{BAD_DATE}' AS cell, 'not a date' AS reason FROM l WHERE row_no % 227 = 0
+        UNION ALL SELECT statement_id, row_no, 'debit', '{LONG_AMOUNT}', 'too long' FROM l WHERE row_no % 211 = 0
+        UNION ALL SELECT statement_id, row_no, 'debit', '{BAD_AMOUNT}', 'not a number' FROM l WHERE row_no % 223 = 0 AND row_no % 211 <> 0""",
+    "flawed_ledger": f"""SELECT statement_id, row_no, CASE WHEN row_no % 227 <> 0 THEN txn_date END AS txn_date,
+        CASE WHEN row_no % 211 = 0 OR row_no % 223 = 0 THEN 0 ELSE {_money('debit')} END AS debit, {_money('credit')} AS credit FROM l""",
+    "grid_column_types": """
+        SELECT statement_id, total_rows, "column", missing_count, round(missing_count / total_rows * 100, 6) AS missing_percentage,
+            CASE "column" WHEN 'date' THEN 'date' WHEN 'teller' THEN 'bigint' WHEN 'rate' THEN 'decimal' WHEN 'seen' THEN 'date'
+                WHEN 'debit' THEN 'decimal(28,2)' WHEN 'credit' THEN 'decimal(28,2)' WHEN 'transaction_amount' THEN 'decimal(28,2)'
+                ELSE 'string' END AS data_type
+        FROM (SELECT statement_id, count(*) AS total_rows, count(*) FILTER (txn_date IS NULL OR row_no % 227 = 0) AS "date",
+                count(*) FILTER (row_no % 3 = 0) AS teller, count(*) FILTER (txn_date IS NULL OR row_no % 227 = 0) AS month_year,
+                CAST(0 AS BIGINT) AS description, CAST(0 AS BIGINT) AS debit, CAST(0 AS BIGINT) AS credit, CAST(0 AS BIGINT) AS rate,
+                CAST(0 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS "remark code", CAST(0 AS BIGINT) AS "type", CAST(0 AS BIGINT) AS transaction_amount
+            FROM l GROUP BY statement_id)
+        UNPIVOT (missing_count FOR "column" IN ("date", teller, month_year, description, debit, credit, rate, seen, "remark code", "type", transaction_amount))""",
+    "unnamed_report": f"""
+        SELECT statement_id, row_no, CASE WHEN dated THEN txn_date END AS txn_date, CASE WHEN dated THEN month END AS month,
+            CASE WHEN dated THEN description ELSE 'N' || row_no END AS description, {_money('debit + credit')} AS amount,
+            CASE WHEN txn_type = 'debit' THEN {_money('debit')} ELSE 0 END AS debit,
+            CASE WHEN txn_type = 'credit' THEN {_money('credit')} ELSE 0 END AS credit_amount,
+            CASE WHEN txn_type = 'debit' THEN 'DR' ELSE 'CR' END AS dr_cr_indicator, coalesce({_money('balance')}, 0) AS balance
+        FROM (SELECT *, CAST(statement_id AS BIGINT) % 2 = 1 AS dated FROM l) WHERE txn_date IS NOT NULL OR NOT dated""",
+    "table_rejects": """
+        SELECT statement_id, row_no, 'balance' AS "column", CASE row_no % 199 WHEN 0 THEN '1,250.00 Cr' ELSE repeat('9', 30) END AS cell,
+            CASE row_no % 199 WHEN 0 THEN 'not a number' ELSE 'too long' END AS reason
+        FROM l WHERE row_no % 199 < 2 AND CAST(statement_id AS BIGINT) % 4 <> 3""",
+    "moneyless_ledger": """
+        SELECT statement_id, row_no, txn_date, month, description, 0.0 AS amount, 0.0 AS debit, 0.0 AS credit_amount,
+            'DR' AS dr_cr_indicator, CAST(NULL AS DOUBLE) AS balance
+        FROM l WHERE txn_date IS NOT NULL""",
+    "exported_csv": "SELECT statement_id, line FROM glines",
+    "recurring_members": """
+        SELECT statement_id, seed_row_no, row_no, txn_date, round(a, 2) AS amount,
+            CASE WHEN txn_date IS NOT NULL THEN txn_date - lag(txn_date) OVER (PARTITION BY statement_id, seed_row_no ORDER BY txn_date NULLS LAST, row_no) END AS gap_days
+        FROM (SELECT s.statement_id, s.row_no AS seed_row_no, c.row_no, c.txn_date, c.a
+            FROM emi_s s JOIN emi_c c ON c.statement_id = s.statement_id AND abs(c.a - s.a) / s.a <= 0.1)""",
     "column_quality": """
         SELECT statement_id, total_rows, "column", missing_count,
+            CASE WHEN "column" = 'date' THEN 'date' WHEN "column" IN ('debit', 'credit', 'balance', 'transaction_amount') THEN 'decimal(28,2)' ELSE 'string' END AS data_type,
             round(missing_count / total_rows * 100, 6) AS missing_percentage
         FROM (SELECT statement_id, count(*) AS total_rows,
                 count(*) FILTER (txn_date IS NULL) AS "date", CAST(0 AS BIGINT) AS description, CAST(0 AS BIGINT) AS debit,

@@ -18,8 +18,8 @@ from ..operators.flows import flows
 from ..plans import insights, process, report
 from ..rules import EXPENSE_RULES
 from ..schemas import KEY, MONEY
-from ..sources.grids import concat_pages, from_frame, number_page_rows, read_ledger
-from ..sources.sinks import write_grid, write_ledger, write_report, write_workbook
+from ..sources.grids import concat_pages, from_frame, number_page_rows, read_grids, read_ledger
+from ..sources.sinks import write_grid, write_grid_csv, write_ledger, write_report, write_workbook
 from . import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,6 +236,14 @@ def recurring_totals(spark, folder):
     return recurring.recurring_totals(recurring.recurring_payments(adapters.stored_ledger(spark, folder)))
 
 
+@query
+def recurring_members(spark, folder):
+    """Every payment behind the recurring amounts, with the days since the one before."""
+    ledger = adapters.stored_ledger(spark, folder)
+    payments = ledger.where("txn_type = 'debit' AND debit >= 1000 AND description IS NOT NULL")
+    return recurring.recurring_members(payments, recurring.recurring_payments(ledger))
+
+
 @query
 def payment_gaps(spark, folder):
     return recurring.payment_gaps(adapters.event_payments(spark, folder), "ts")
@@ -296,6 +304,40 @@ def grid_ledger(spark, folder):
     )
 
 
+@query
+def inferred_dates(spark, folder):
+    """Day-first, month-first and year-first statements, read without being told which is which."""
+    raw = adapters.mixed_date_grid(spark, folder)
+    layouts = typing.infer_date_formats(raw, grid.detect_layouts(raw))
+    return typing.build_ledger(raw, layouts).select(KEY, "row_no", "txn_date")
+
+
+@query
+def rejected_cells(spark, folder):
+    """The cells of a ledger's typed columns that cannot be read, and why."""
+    return process.process(adapters.flawed_grid(spark, folder)).rejects
+
+
+@query
+def flawed_ledger(spark, folder):
+    """A ledger of the same cells: what cannot be read counts as 0 or as no date, and ends no job."""
+    return process.process(adapters.flawed_grid(spark, folder)).ledger.select(KEY, "row_no", "txn_date", "debit", "credit")
+
+
+@query
+def grid_column_types(spark, folder):
+    """Types of all columns, those without a standard name by their cells."""
+    done = process.process(adapters.flawed_grid(spark, folder))
+    return quality.column_quality(done.ledger, done.raw, done.layouts)
+
+
+@query
+def unnamed_report(spark, folder):
+    """The second report's ledger where date and text stand in columns of no standard name."""
+    done = process.process(adapters.unnamed_grid(spark, folder))
+    return typing.report_ledger(done.ledger, done.layouts).drop("has_date")
+
+
 @query
 def grid_metadata(spark, folder):
     return process.process(adapters.order_grid(spark, folder)).metadata
@@ -396,6 +438,21 @@ def table_ledger(spark, folder):
     return typing.report_ledger_from_table(session.reliable_checkpoint(rows), tables).drop("has_date")
 
 
+@query
+def table_rejects(spark, folder):
+    """Number and date cells of ready-made tables that cannot be read: here amounts with thousand separators and unit."""
+    rows, tables = adapters.order_tables(spark, folder)
+    odd = "transform(cells, (c, i) -> CASE WHEN row_no % 199 = 0 AND i = 4 THEN '1,250.00 Cr' WHEN row_no % 199 = 1 AND i = 4 THEN repeat('9', 30) ELSE c END)"
+    rows = rows.withColumn("cells", F.expr(odd)).where("row_no % 199 < 5")
+    return typing.rejected_table_cells(rows, typing.table_layouts(rows, tables))
+
+
+@query
+def moneyless_ledger(spark, folder):
+    """Tables without any money: every row counts as DR with 0."""
+    return typing.report_ledger_from_table(*adapters.moneyless_tables(spark, folder)).drop("has_date")
+
+
 # ---- written and read back ----
 
 
@@ -423,6 +480,16 @@ def exported_grid(spark, folder):
     return grid.transaction_rows(raw, named).selectExpr(KEY, "row_no", "array_join(cells, '|', '') AS line")
 
 
+@query
+def exported_csv(spark, folder):
+    """Statements as CSV files, one each, read back line by line."""
+    path = session.shared_folder(spark) + "/csv"
+    write_grid_csv(adapters.order_grid(spark, folder), path)
+    raw = read_grids(spark, f"{path}/*/*").withColumn(KEY, F.regexp_extract(KEY, f"{KEY}=([^/]*)/", 1))
+    named = grid.name_columns(grid.detect_headers(raw))
+    return grid.transaction_rows(raw, named).selectExpr(KEY, "array_join(cells, '|', '') AS line")
+
+
 @query
 def exported_workbook(spark, folder):
     ledger, path = adapters.order_ledger(spark, folder), session.shared_folder(spark) + "/book"
@@ -444,7 +511,7 @@ def exported_report(spark, folder):
 
 @query
 def column_quality(spark, folder):
-    return quality.column_quality(adapters.order_ledger(spark, folder)).drop("data_type")
+    return quality.column_quality(adapters.order_ledger(spark, folder))
 
 
 @query
