@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     cluster without it is refused, since executors could not see each other's files.
     """
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    base = _configured(spark)
     if not base:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -55,6 +55,10 @@ def shared_folder(spark: SparkSession) -> str:
     return system.makeQualified(path).toString()
 
 
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 @cache
 def _own_folder(application: str) -> str:
     """A folder of a local session's own; the setting itself cannot be changed any more."""

@@ -134,7 +134,7 @@ def test_reports_gather_sections_in_one_aggregation(spark, golden):
 def test_local_session_without_a_checkpoint_folder(spark, monkeypatch):
     from ledgerloom import session
 
-    assert spark.conf.get("spark.checkpoint.dir", None) is None
+    monkeypatch.setattr(session, "_configured", lambda spark: None)
     one, two = session.shared_folder(spark), session.shared_folder(spark)
     assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
     assert session.reliable_checkpoint(spark.range(3)).count() == 3
