@@ -1,11 +1,11 @@
-"""Benchmark decontamination: exact containment of items in documents by a join of shingles.
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 A test item is found in a document that holds at least ``CONTAINED`` of the item's distinct five-word
 shingles.  Items are partitioned by their number of shingles into classes of doubling size.  An item's
 sketch is its bottom-k MinHash: the ``k`` smallest hashes of its shingles, ``k`` set by the class so that a
-document that lacks all of them lacks more shingles than containment allows.  The sketch does not search, though: all
-shingles of all items, not the sketches alone, are joined with those of the documents, and the item's shingles found
-are counted, word by word.  That a sketch shingle is among them is asked afterwards and removes no row.  A sketch of the document would not do: a short
+document that lacks all of them lacks more shingles than containment allows.  The search joins the shingles of documents
+with those of the sketches alone, which gives candidates and misses none; then the shingles of a candidate document
+are joined with all those of the item and counted, word by word.  A sketch of the document would not do: a short
 item is a thousandth of a long document, and its share of the document's smallest hashes is about as small.
 
 Words are runs of letters and digits, lower-cased; a text with fewer than five words is one shingle.
@@ -50,7 +50,7 @@ def _shingle_at(words: Column, i: Column) -> Column:
 
 
 def item_shingles(items: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """``item_id, items, n, shingle, hash, in_sketch`` for every distinct shingle of every class of equal items."""
+    """``cls, item_id, items, n, shingle, hash, in_sketch`` for every distinct shingle of every class of equal items."""
     listed = items.select("item_id", _word_list(F.col("text")).alias("w")).where("size(w) > 0")
     listed = listed.select("item_id", "w", _word_hashes(F.col("w")).alias("h"))
     one = F.transform(_places(F.col("h")), lambda i: F.struct(_hash_at(F.col("h"), i).alias("hash"), _shingle_at(F.col("w"), i).alias("shingle")))
@@ -63,8 +63,9 @@ def item_shingles(items: DataFrame, contained: float = CONTAINED) -> DataFrame:
     # the largest item of the class may lack this many shingles; one more cannot all be missing
     top = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double"))))
     k = F.least(F.floor(top * (1 - contained) + 1e-9) + 1, F.col("n"))
-    placed = classes.select("item_id", "items", "n", k.alias("k"), F.posexplode("shingles").alias("place", "s"))
-    return placed.select("item_id", "items", "n", "s.shingle", "s.hash", (F.col("place") < F.col("k")).alias("in_sketch"))
+    numbered = classes.select(F.monotonically_increasing_id().alias("cls"), "item_id", "items", "n", k.alias("k"), "shingles")
+    placed = numbered.select("cls", "item_id", "items", "n", "k", F.posexplode("shingles").alias("place", "s"))
+    return placed.select("cls", "item_id", "items", "n", "s.shingle", "s.hash", (F.col("place") < F.col("k")).alias("in_sketch"))
 
 
 def _bit_map(wanted: DataFrame) -> tuple[Column, int]:
@@ -85,23 +86,30 @@ def contained_items(docs: DataFrame, items: DataFrame, *keep: str, contained: fl
     """``doc_id``, the columns ``keep``, ``item_id, items, n_shingles, n_found, containment``: a row for each class of
     equal items that a document holds."""
     wanted = reliable_checkpoint(item_shingles(items, contained))
-    bit_map, bits = _bit_map(wanted)
+    sketch = wanted.where("in_sketch")
+    maps = {"any": _bit_map(wanted), "sketch": _bit_map(sketch)}
 
-    def marked(i: Column) -> Column:
+    def marked(kind: str, i: Column) -> Column:
+        bit_map, bits = maps[kind]
         low = F.pmod(_hash_at(F.col("h"), i), F.lit(bits))
         return F.getbit(bit_map[F.floor(low / 64).cast("int")], (low % 64).cast("int")) == 1
 
     kept = [F.col(f"`{c}`") for c in keep]
     read = docs.select("doc_id", *kept, _word_list(F.col("text")).alias("w")).where("size(w) > 0")
     read = read.select("*", F.monotonically_increasing_id().alias("row"), _word_hashes(F.col("w")).alias("h"))
-    read = read.select("doc_id", *kept, "row", "w", F.filter(_places(F.col("h")), marked).alias("at")).where("size(at) > 0")
-    shingles = F.array_distinct(F.transform("at", lambda i: _shingle_at(F.col("w"), i)))
-    hits = reliable_checkpoint(read.select("doc_id", *kept, "row", F.explode(shingles).alias("shingle")))
-    # exact from here on: shingles meet as text
-    met = hits.join(wanted, "shingle").groupBy("row", "doc_id", *kept, "item_id", "items", "n")
-    found = met.agg(F.count("*").alias("n_found"), F.max("in_sketch").alias("candidate"))
-    enough = F.col("n_found") >= contained * F.col("n") - 1e-9
-    return found.where(F.col("candidate") & enough).select(
+    # the few shingles that may be an item's are kept, so that no text is read again for the verification
+    read = read.select("*", F.filter(_places(F.col("h")), lambda i: marked("any", i)).alias("at"))
+    read = read.where(F.exists("at", lambda i: marked("sketch", i)))
+    held = F.transform("at", lambda i: F.struct(_shingle_at(F.col("w"), i).alias("shingle"), marked("sketch", i).alias("probe")))
+    hits = reliable_checkpoint(read.select("row", "doc_id", *kept, F.array_distinct(held).alias("held")))
+    # the search: shingles meet the sketches, as text
+    probes = hits.select("row", F.explode("held").alias("s")).where("s.probe").select("row", "s.shingle")
+    candidates = probes.join(sketch.select("shingle", "cls"), "shingle").select("row", "cls").distinct()
+    # the verification: all shingles of the candidates' items
+    shown = hits.join(candidates, "row").select("row", "doc_id", *kept, "cls", F.explode("held.shingle").alias("shingle"))
+    met = shown.join(wanted.select("cls", "shingle", "item_id", "items", "n"), ["cls", "shingle"])
+    found = met.groupBy("row", "doc_id", *kept, "cls", "item_id", "items", "n").agg(F.count("*").alias("n_found"))
+    return found.where(F.col("n_found") >= contained * F.col("n") - 1e-9).select(
         "doc_id", *kept, "item_id", "items", F.col("n").cast("long").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n")).alias("containment")
     )
 
