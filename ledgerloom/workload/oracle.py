@@ -708,4 +708,8 @@ _QUERIES["analysis_overview"] = f"""
     JOIN gquality q USING (statement_id)
     LEFT JOIN (SELECT statement_id, count(*) AS n FROM gemi_s GROUP BY statement_id) e USING (statement_id)"""
 
+# the workbook's datasets hold the same rows as the frames written to it
+_QUERIES["workbook_summary"] = _QUERIES["transaction_summary"]
+_QUERIES["workbook_transactions"] = _QUERIES["typed_ledger"]
+
 ORACLE: dict[str, str] = {name: _with_parts(sql) for name, sql in _QUERIES.items()}

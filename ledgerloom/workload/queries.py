@@ -490,12 +490,29 @@ def exported_csv(spark, folder):
     return grid.transaction_rows(raw, named).selectExpr(KEY, "array_join(cells, '|', '') AS line")
 
 
-@query
-def exported_workbook(spark, folder):
+def _workbook(spark, folder, dataset):
+    """One of the workbook's three datasets, as written and read back."""
     ledger, path = adapters.order_ledger(spark, folder), session.shared_folder(spark) + "/book"
     flow = flows(ledger)
     write_workbook(ledger, summary.transaction_summary(flow), summary.monthly_summary(flow), path)
-    return spark.read.parquet(f"{path}/monthly_summary")
+    return spark.read.parquet(f"{path}/{dataset}")
+
+
+@query
+def exported_workbook(spark, folder):
+    return _workbook(spark, folder, "monthly_summary")
+
+
+@query
+def workbook_summary(spark, folder):
+    return _workbook(spark, folder, "summary")
+
+
+@query
+def workbook_transactions(spark, folder):
+    return _workbook(spark, folder, "transactions").select(
+        KEY, "row_no", "txn_date", "month", "description", "debit", "credit", "balance", "txn_type", "transaction_amount"
+    )
 
 
 @query
