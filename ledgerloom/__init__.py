@@ -16,6 +16,7 @@ from .operators.metadata import account_metadata, statement_metadata, text_balan
 from .operators.quality import column_quality, quality_score
 from .operators.recurring import (
     payment_gaps,
+    recurring_members,
     recurring_payments,
     recurring_totals,
     report_recurring_payments,
@@ -38,7 +39,16 @@ from .operators.summary import (
     overall_summary,
     transaction_summary,
 )
-from .operators.typing import build_ledger, finish_ledger, report_ledger, report_ledger_from_table
+from .operators.typing import (
+    build_ledger,
+    finish_ledger,
+    infer_date_formats,
+    rejected_cells,
+    rejected_table_cells,
+    report_ledger,
+    report_ledger_from_table,
+    table_layouts,
+)
 from .plans.insights import (
     analyze,
     analyze_report,
@@ -56,6 +66,6 @@ from .plans.report import (
 )
 from .session import local_session, tune
 from .sources.grids import concat_pages, from_frame, number_page_rows, read_grids, read_ledger, read_tables
-from .sources.sinks import write_grid, write_ledger, write_report, write_workbook
+from .sources.sinks import write_grid, write_grid_csv, write_ledger, write_report, write_workbook
 
 __all__ = [name for name in dir() if not name.startswith("_")]

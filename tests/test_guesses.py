@@ -138,3 +138,15 @@ def test_local_session_without_a_checkpoint_folder(spark, monkeypatch):
     one, two = session.shared_folder(spark), session.shared_folder(spark)
     assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
     assert session.reliable_checkpoint(spark.range(3)).count() == 3
+
+
+def test_the_package_offers_the_whole_way(spark, tmp_path):
+    """From files to both reports by the package's own names."""
+    grid = [["Tran Date", "Particulars", "Debit", "Credit", "Balance"], ["02-13-2024", 'RENT, "home"', "5", None, "9"], ["03-01-2024", "SALARY\nACME", None, "7", "16"]]
+    ll.write_grid_csv(make_grid(spark, {"s": grid}), str(tmp_path / "csv"))
+    done = ll.process(ll.read_grids(spark, f"{tmp_path}/csv/*/*", multiline=True), None)
+    assert [(r.txn_date, r.description) for r in done.ledger.orderBy("row_no").collect()] == [(date(2024, 2, 13), 'RENT, "home"'), (date(2024, 3, 1), "SALARY\nACME")]
+    (found,) = ll.analyze(done).collect()
+    assert found.transaction_summary.total_transactions == 2 and found.data_quality.columns
+    assert ll.report_lines(ll.analyze_report(done)).count() > 8 and done.rejects.isEmpty()
+    assert all(hasattr(ll, name) for name in ll.__all__)
