@@ -71,7 +71,33 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     Cuts the lineage like ``checkpoint()``, but later scans prune columns and push
     filters down.  Lost executors lose nothing.
     """
+    return passing_checkpoint(df)[0]
+
+
+#: Lets Spark remove a job's shuffle files when the job ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def passing_checkpoint(df: DataFrame) -> tuple[DataFrame, str]:
+    """``reliable_checkpoint`` and its folder, for ``remove`` once the last reader is done.
+
+    The shuffle files of the writing job go with its end: nothing but the written table is read later.
+    """
     spark = df.sparkSession
-    path = shared_folder(spark) + "/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_folder(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder + "/table")
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder + "/table"), folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ``shared_folder``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
