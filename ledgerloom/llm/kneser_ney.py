@@ -1,14 +1,19 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
 
 Counting.  Every task hashes its tokens (XXH64) and counts the n-grams of its documents in numpy; they go
-through the shuffle as sorted blocks, one for each part of the hash space of the context.  The task of a part
+through the shuffle as sorted blocks, one for each part of the hash space of the context.  The most frequent
+words (``BOOK`` at most, found by a first count of all words) take two bytes there, the others their hash.  The task of a part
 merges its blocks, writes the part's arrays and passes on the distinct n-grams without their first token, whose
 number is the continuation count of the next lower order - and so on down to single tokens.  Orders lie in
 the same number of parts, which grows with the text, so no task holds more than a part.
 
 Files.  A part of an order is one file: sorted n-gram hashes with their counts, and sorted context hashes
-with their totals and the numbers of their n-grams counted once, twice and more often.  Files lie in the
-shared folder; workers map them, from a local copy that Spark distributes if the folder is no mounted one.
+with their totals and the numbers of their n-grams counted once, twice and more often.  Of a hash the leading
+bits are the place in a table of starts, the next 40 are kept; hashes that agree in all of these count as one, as
+equal hashes of 64 bits do.  The figures take one
+byte, the place in the file's book of its 255 most frequent figures; others stand in full behind it.  Files lie in
+the shared folder; workers map them, from a local copy that Spark distributes if the folder is no mounted one.
+The counts of an order are deleted as soon as the files of the next one are written.
 
 Scoring.  A text is its words and one end token.  The probability of a token is the discounted count of its
 n-gram plus the left-over mass of the context times the probability of one order less; single tokens go over
@@ -21,6 +26,7 @@ import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint, shared_folder
+from ..session import passing_checkpoint, remove, shared_folder
 from .common import bytes_list, ready, text_bytes, write_bytes
 
 ORDER = 3
@@ -36,6 +42,8 @@ ORDER = 3
 PART_BYTES = 12 << 20
 #: Texts hashed at a time.
 TEXTS = 500
+#: Words with a short code in the shuffle; the last code of two bytes stands for all others.
+BOOK = (1 << 16) - 1
 END, START = xxhash.xxh64_intdigest(b"\n end"), xxhash.xxh64_intdigest(b"\n start")  # no word has white space
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -92,29 +100,38 @@ def _merge(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 BLOCK = "level long, part long, n long, grams binary, counts binary, path string, facts array<long>"
 
 
-def _blocks(grams: np.ndarray, counts: np.ndarray, level: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """A row for each part: grams by column (the first as distinct values and repeats) and counts, narrow where they fit."""
+def _blocks(grams: np.ndarray, counts: np.ndarray, level: int, parts: int, book: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each part: its grams in order and their counts, narrow where they fit."""
     part = part_of(grams, parts)
     order = np.argsort(part, kind="stable")
     grams, counts, part = grams[order], counts[order], part[order]
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(part)]):
-        yield _row(level, int(part[a]), b - a, _narrow(grams[a:b]), _counts(counts[a:b]))
+        yield _row(level, int(part[a]), b - a, _narrow(grams[a:b], book), _counts(counts[a:b]))
 
 
-def _narrow(grams: np.ndarray) -> bytes:
+def _narrow(grams: np.ndarray, book: np.ndarray) -> bytes:
+    """The first column as distinct words and repeats, then the others; words as places in the sorted book, those outside it in full behind."""
     first = np.flatnonzero(np.concatenate([[True], grams[1:, 0] != grams[:-1, 0]]))
-    repeats = np.diff(np.append(first, len(grams))).astype("<u4")
-    return b"".join([np.array([len(first)], "<i8").tobytes(), grams[first, 0].tobytes(), repeats.tobytes(), *(grams[:, k].tobytes() for k in range(1, grams.shape[1]))])
-
-
-def _wide(raw: bytes, n: int, order: int) -> np.ndarray:
-    m = int(np.frombuffer(raw, "<i8", 1)[0])
-    found = np.empty((n, order), dtype=np.uint64)
-    found[:, 0] = np.repeat(np.frombuffer(raw, np.uint64, m, 8), np.frombuffer(raw, "<u4", m, 8 + 8 * m))
-    for k in range(1, order):
-        found[:, k] = np.frombuffer(raw, np.uint64, n, 8 + 12 * m + 8 * n * (k - 1))
-    return found
+    repeats = np.diff(np.append(first, len(grams)))
+    words = np.concatenate([grams[first, 0], *grams[:, 1:].T])
+    at = np.minimum(np.searchsorted(book, words), max(len(book) - 1, 0))
+    codes = np.where(book[at] == words, at, BOOK).astype("<u2") if len(book) else np.full(len(words), BOOK, "<u2")
+    more = repeats[repeats >= 255].astype("<u4")
+    head = np.array([len(first), len(more)], "<i8")
+    return b"".join(x.tobytes() for x in (head, np.minimum(repeats, 255).astype("u1"), more, codes, words[codes == BOOK]))
+
+
+def _wide(raw: bytes, n: int, order: int, book: np.ndarray) -> np.ndarray:
+    m, more = map(int, np.frombuffer(raw, "<i8", 2))
+    repeats = np.frombuffer(raw, "u1", m, 16).astype(np.int64)
+    repeats[repeats == 255] = np.frombuffer(raw, "<u4", more, 16 + m)
+    at, size = 16 + m + 4 * more, m + n * (order - 1)
+    codes = np.frombuffer(raw, "<u2", size, at)
+    words = np.empty(size, dtype=np.uint64)
+    words[codes < BOOK] = book[codes[codes < BOOK]]
+    words[codes == BOOK] = np.frombuffer(raw[at + 2 * size :], np.uint64)
+    return np.column_stack([np.repeat(words[:m], repeats), *words[m:].reshape(order - 1, n)])
 
 
 def _counts(counts: np.ndarray) -> bytes:
@@ -129,12 +146,100 @@ def _read_counts(raw: bytes, n: int) -> np.ndarray:
     return found.reshape(n, 2)
 
 
+class Hashes(NamedTuple):
+    """Sorted hashes: where those of equal leading bits start, and the next 32 and 8 bits of each."""
+
+    starts: np.ndarray
+    high: np.ndarray
+    low: np.ndarray
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are there, and their places."""
+        bucket, high, low = _cut(wanted, len(self.starts) - 1)
+        at, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1]
+        place, open_ = np.full(len(wanted), -1, dtype=np.int64), np.arange(len(wanted))
+        while len(open_ := open_[at[open_] < end[open_]]):
+            here = at[open_]
+            same = (self.high[here] == high[open_]) & (self.low[here] == low[open_])
+            place[open_[same]] = here[same]
+            open_ = open_[~same]
+            at[open_] += 1
+        hit = np.flatnonzero(place >= 0)
+        return hit, place[hit]
+
+
+def _cut(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, next 32 and next 8 bits; mixed first, as hashes of a part share their leading bits."""
+    mixed, bits = hashes * MIX, buckets.bit_length() - 1
+    bucket = (mixed >> np.uint64(64 - bits) if bits else np.zeros_like(mixed)).astype(np.int64)
+    rest = (mixed << np.uint64(bits)) >> np.uint64(24)
+    return bucket, (rest >> np.uint64(8)).astype("<u4"), (rest & np.uint64(255)).astype("u1")
+
+
+def sort_hashes(hashes: np.ndarray) -> tuple[np.ndarray, Hashes]:
+    """Order and table of hashes, four to eight in a bucket."""
+    buckets = 1 << max((len(hashes) // 4).bit_length() - 1, 0)
+    by = np.argsort(hashes * MIX, kind="stable")
+    bucket, high, low = _cut(hashes[by], buckets)
+    return by, Hashes(np.searchsorted(bucket, np.arange(buckets + 1)).astype("<u4"), high, low)
+
+
+class Packed(NamedTuple):
+    """Rows of figures in one byte each: places in ``book``; 255 stands for the rows ``rest``, given in ``full``."""
+
+    codes: np.ndarray
+    book: np.ndarray
+    rest: np.ndarray
+    full: np.ndarray
+
+    def at(self, rows: np.ndarray) -> np.ndarray:
+        """The figures of rows, a line for each column."""
+        codes = self.codes[rows]
+        found = np.zeros((len(self.book), len(rows)), dtype=np.int64)
+        short = codes < 255
+        found[:, short] = self.book[:, codes[short]]
+        found[:, ~short] = self.full[:, np.searchsorted(self.rest, rows[~short])]
+        return found
+
+
+def pack(columns: list[np.ndarray]) -> Packed:
+    """At most four columns of figures; those of 65,536 and more are always given in full."""
+    small = np.logical_and.reduce([c < 1 << 16 for c in columns])
+    key = np.zeros(len(small), dtype=np.uint64)
+    for k, c in enumerate(columns):
+        key |= np.where(small, c, 0).astype(np.uint64) << np.uint64(16 * k)
+    values, index, n = np.unique(key[small], return_inverse=True, return_counts=True)
+    top = np.argsort(-n, kind="stable")[:255]
+    place = np.full(len(values), 255, dtype=np.uint8)
+    place[top] = np.arange(len(top))
+    codes = np.full(len(small), 255, dtype=np.uint8)
+    codes[small] = place[index]
+    rest = np.flatnonzero(codes == 255)
+    book = np.stack([(values[top] >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in range(len(columns))])
+    return Packed(codes, book.astype("<u8"), rest.astype("<u8"), np.stack([c[rest] for c in columns]).astype("<u8"))
+
+
 def _row(level, part, n, grams=None, counts=None, path=None, facts=None) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.list_(pa.int64())]
     names = ["level", "part", "n", "grams", "counts", "path", "facts"]
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((level, part, int(n), grams, counts, path, facts), kinds)], names)
 
 
+def frequent_words(raw: DataFrame) -> np.ndarray:
+    """The hashes, in order, of the ``BOOK`` most frequent tokens of the texts in the only column, and of the start token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = bytes_list(batch.column(0))
+            for a in range(0, len(texts), TEXTS):
+                words, n = np.unique(tokens(texts[a : a + TEXTS])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    counted = raw.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "word").limit(BOOK - 1).select("word").collect()
+    return np.unique(np.array([START, *(r.word % (1 << 64) for r in rows)], dtype=np.uint64))
+
+
 @dataclass(frozen=True)
 class Model:
     """Paths of the files by level and part, discounts by level, and the numbers the formulas need."""
@@ -155,6 +260,7 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", part_bytes: i
     raw = docs.select(text_bytes(text).alias("text"))
     size = raw.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(4, -(-size // part_bytes))
+    book = spark.sparkContext.broadcast(frequent_words(raw))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -162,7 +268,7 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", part_bytes: i
         def flush() -> Iterator[pa.RecordBatch]:
             grams = np.concatenate(held)
             merged, counts = _merge(grams, np.ones((len(grams), 1), dtype=np.int64))
-            yield from _blocks(merged, np.repeat(counts, 2, axis=1), order, parts)
+            yield from _blocks(merged, np.repeat(counts, 2, axis=1), order, parts, book.value)
 
         for batch in batches:
             texts = bytes_list(batch.column(0))
@@ -180,35 +286,37 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", part_bytes: i
         """Write a part's file; pass on its grams without their first token."""
         level, part = key[0].as_py(), key[1].as_py()
         rows = zip(table["n"].to_pylist(), table["grams"].to_pylist(), table["counts"].to_pylist())
-        found = [(_wide(g, n, level), _read_counts(c, n)) for n, g, c in rows]
+        found = [(_wide(g, n, level, book.value), _read_counts(c, n)) for n, g, c in rows]
         grams, counts = _merge(np.concatenate([g for g, _ in found]), np.concatenate([c for _, c in found]))
         # column 0: occurrences; column 1: what this level counts (occurrences, or distinct tokens before)
         own = counts[:, 1]
         context = chain(grams[:, :-1])
         keys = chain(grams) if level > 1 else grams[:, 0]
-        by = np.argsort(keys)
+        by, hashes = sort_hashes(keys)
         where, index = np.unique(context, return_inverse=True)
         totals = [np.bincount(index, weights=w, minlength=len(where)).astype("<u8") for w in (own, own == 1, own == 2, own >= 3)]
-        width = 4 if own.max(initial=0) < 1 << 32 else 8
-        arrays = [keys[by].astype("<u8"), own[by].astype(f"<u{width}"), where.astype("<u8"), *totals]
-        if level == 1:
-            arrays.append(counts[by, 0].astype("<u8"))
-        head = np.array([len(keys), len(where), width], "<i8")
-        path = write_bytes(folder, f"level{level}-{part:06d}", [head, *arrays])
+        context_by, contexts = sort_hashes(where)
+        figures = [pack([own[by], counts[by, 0]] if level == 1 else [own[by]]), pack([x[context_by] for x in totals])]
+        head = np.array([len(keys), len(where), len(hashes.starts), len(contexts.starts), *(x for p in figures for x in (*p.book.shape, len(p.rest)))], "<i8")
+        arrays = [*(x for p in figures for x in p[1:]), hashes.starts, contexts.starts, hashes.high, contexts.high, hashes.low, contexts.low, *(p.codes for p in figures)]
+        path = write_bytes(folder, f"level{level}-{part:06d}", [head, *(x for x in arrays if x.size)])
         facts = [*((own == k).sum() for k in (1, 2, 3, 4)), own.sum(), counts[:, 0].sum(), len(own), own[own >= 3].size]
         out = [_row(level, part, len(keys), path=path, facts=[int(x) for x in facts])]
         if level > 1:
             shorter, both = _merge(grams[:, 1:], np.stack([counts[:, 0], np.ones(len(grams), dtype=np.int64)], axis=1))
-            out += _blocks(shorter, both, level - 1, parts)
+            out += _blocks(shorter, both, level - 1, parts, book.value)
         return pa.Table.from_batches(out)
 
-    blocks, written = raw.mapInArrow(count, BLOCK), []
+    blocks, written, used = raw.mapInArrow(count, BLOCK), [], None
     for level in range(order, 0, -1):
         # as many tasks as parts: a task may get none or a few of them
         dealt = blocks.select("level", "part", "n", "grams", "counts")
-        done = reliable_checkpoint(dealt.groupBy("level", "part").applyInArrow(settle, BLOCK))
+        done, place = passing_checkpoint(dealt.groupBy("level", "part").applyInArrow(settle, BLOCK))
+        if used:
+            remove(spark, used)
         written += done.where("path is not null").select("level", "part", "path", "facts").collect()
-        blocks = done.where("path is null")
+        blocks, used = done.where("path is null"), place
+    remove(spark, used)
     paths = {(r.level, r.part): r.path for r in written}
     facts = {k: np.sum([r.facts for r in written if r.level == k], axis=0) for k in range(1, order + 1)}
     if not written:
@@ -228,8 +336,8 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 
 
 @cache
-def _file(path: str, level: int) -> dict[str, np.ndarray]:
-    """A part's arrays, mapped; levels above 1 lack occurrences."""
+def _file(path: str) -> dict[str, tuple[Hashes, Packed]]:
+    """A part's arrays, mapped: n-grams with their counts (single tokens with their occurrences too), contexts with their figures."""
     name = path
     if path.startswith("file:"):
         name = path.replace("file://", "", 1) if path.startswith("file:///") else path[5:]
@@ -239,37 +347,40 @@ def _file(path: str, level: int) -> dict[str, np.ndarray]:
         name = SparkFiles.get(path.rsplit("/", 1)[1])
     with open(name, "rb") as file:
         raw = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-    keys, contexts, width = map(int, np.frombuffer(raw, "<i8", 3))
-    at, out = 24, {}
-    layout = [("keys", "<u8", keys), ("own", f"<u{width}", keys), ("contexts", "<u8", contexts), ("total", "<u8", contexts), ("n1", "<u8", contexts), ("n2", "<u8", contexts), ("n3", "<u8", contexts)]
-    for field, kind, n in [*layout, *([("seen", "<u8", keys)] if level == 1 else [])]:
-        out[field] = np.frombuffer(raw, kind, n, at)
-        at += out[field].nbytes
-    return out
-
-
-def _look_up(model: Model, level: int, part: np.ndarray, wanted: np.ndarray, key: str, fields: tuple[str, ...]) -> list[np.ndarray]:
-    """Values by hash, 0 where it is not known; hashes are looked up once each, part by part in order."""
-    found = [np.zeros(len(wanted), dtype=np.int64) for _ in fields]
+    head = list(map(int, np.frombuffer(raw, "<i8", 10)))
+    at = 80
+
+    def take(kind: str, *shape: int) -> np.ndarray:
+        nonlocal at
+        found = np.frombuffer(raw, kind, int(np.prod(shape)), at).reshape(shape)
+        at += found.nbytes
+        return found
+
+    books = [(take("<u8", k, m), take("<u8", r), take("<u8", k, r)) for k, m, r in (head[4:7], head[7:10])]
+    starts, high, low, codes = ([take(kind, n) for n in sizes] for kind, sizes in (("<u4", head[2:4]), ("<u4", head[:2]), ("u1", head[:2]), ("u1", head[:2])))
+    both = [(Hashes(*h), Packed(c, *b)) for h, c, b in zip(zip(starts, high, low), codes, books)]
+    return dict(zip(("grams", "contexts"), both))
+
+
+def _look_up(model: Model, level: int, part: np.ndarray, wanted: np.ndarray, kind: str, figures: int) -> np.ndarray:
+    """Figures by hash, 0 where it is not known; hashes are looked up once each, part by part in order."""
     order = np.lexsort((wanted, part))
     sorted_part, sorted_wanted = part[order], wanted[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (sorted_wanted[1:] != sorted_wanted[:-1]) | (sorted_part[1:] != sorted_part[:-1])
     distinct, of = sorted_wanted[new], np.cumsum(new) - 1
     parts = sorted_part[new]
-    values = [np.zeros(len(distinct), dtype=np.int64) for _ in fields]
+    values = np.zeros((figures, len(distinct)), dtype=np.int64)
     starts = np.flatnonzero(np.diff(parts, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(parts)]):
         path = model.paths.get((level, int(parts[a])))
         if path is None:
             continue
-        arrays = _file(path, level)
-        at = np.minimum(np.searchsorted(arrays[key], distinct[a:b]), len(arrays[key]) - 1)
-        hit = arrays[key][at] == distinct[a:b]
-        for v, f in zip(values, fields):
-            v[a:b][hit] = arrays[f][at[hit]]
-    for out, v in zip(found, values):
-        out[order] = v[of]
+        hashes, packed = _file(path)[kind]
+        hit, place = hashes.find(distinct[a:b])
+        values[:, a + hit] = packed.at(place)
+    found = np.zeros((figures, len(wanted)), dtype=np.int64)
+    found[:, order] = values[:, of]
     return found
 
 
@@ -287,12 +398,12 @@ def score(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
         context = chain(own[:, :-1])
         part = part_of(own, model.parts)
         if level == 1:
-            count, seen = _look_up(model, 1, part, own[:, 0], "keys", ("own", "seen"))
+            count, seen = _look_up(model, 1, part, own[:, 0], "grams", 2)
             known = seen > 0
             total, n1, n2, n3 = _single_totals(model)
         else:
-            (count,) = _look_up(model, level, part, chain(own), "keys", ("own",))
-            total, n1, n2, n3 = _look_up(model, level, part, context, "contexts", ("total", "n1", "n2", "n3"))
+            (count,) = _look_up(model, level, part, chain(own), "grams", 1)
+            total, n1, n2, n3 = _look_up(model, level, part, context, "contexts", 4)
         d1, d2, d3 = model.discounts[level]
         off = np.where(count >= 3, d3, np.where(count == 2, d2, np.where(count == 1, d1, 0)))
         whole = np.maximum(total, 1)
@@ -306,8 +417,8 @@ def score(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
 
 @cache
 def _totals_of(paths: tuple[str, ...]) -> tuple[int, int, int, int]:
-    files = [_file(p, 1) for p in paths]
-    return tuple(sum(int(f[k].sum()) for f in files) for k in ("total", "n1", "n2", "n3"))
+    files = [_file(p)["contexts"] for p in paths]
+    return tuple(int(x) for x in sum(packed.at(np.arange(len(packed.codes))).sum(axis=1) for _, packed in files))
 
 
 def _single_totals(model: Model) -> tuple[int, int, int, int]:
