@@ -64,7 +64,7 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
+    return paragraphs.repeated_substrings(table(spark, folder, "documents"))
 
 
 def op7_passages(spark: SparkSession, folder: str) -> DataFrame:

@@ -182,10 +182,77 @@ def test_paragraphs_odd(spark):
 
 def test_paragraphs_table(spark):
     docs = [(r.doc_id, r.text) for r in queries.table(spark, FOLDER, "documents").collect()]
-    got, want = set(listed(queries.op7_paragraphs(spark, FOLDER))), set(direct_repeats(docs))
+    got, want = set(listed(paragraphs.repeated_paragraphs(queries.table(spark, FOLDER, "documents")))), set(direct_repeats(docs))
     assert len(got ^ want) <= 0.01 * len(want) and not got - want
 
 
+def word_runs(text, n):
+    """Every ``n`` words in a row, with start and end (code points)."""
+    words = [(m.group().encode().lower(), *m.span()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    return [(tuple(w for w, *_ in words[k : k + n]), words[k][1], words[k + n - 1][2]) for k in range(len(words) - n + 1)]
+
+
+def check_substrings(rows, found):
+    """Every run of 50 words that a document with a smaller id holds meets a removal; removals stand where they are said to."""
+    texts, first = dict(rows), {}
+    spans = defaultdict(list)
+    for r in found:
+        assert r.n_words >= paragraphs.LEAST
+        spans[r.doc_id].append((r.start, r.stop))
+        if not r.whole_line:
+            words = [w for w, *_ in word_runs(texts[r.doc_id][r.start : r.stop], paragraphs.LEAST)]
+            kept = {w for w, *_ in word_runs(texts[r.kept_doc_id], paragraphs.LEAST)}
+            assert len(words) == r.n_words - paragraphs.LEAST + 1 and words[0] in kept and words[-1] in kept
+            assert texts[r.doc_id][: r.start].count("\n") == r.paragraph
+            assert not r.exact or set(words) <= kept
+    met = 0
+    for doc_id in sorted(texts):
+        for run, start, stop in word_runs(texts[doc_id], 50):
+            if first.setdefault(run, doc_id) != doc_id:
+                met += 1
+                assert any(a < stop and b > start for a, b in spans[doc_id]), (doc_id, start)
+    return met
+
+
+def test_substrings_table(spark):
+    rows = [(r.doc_id, r.text) for r in queries.table(spark, FOLDER, "documents").collect()]
+    found = queries.op7_paragraphs(spark, FOLDER).collect()
+    assert check_substrings(rows, found) > 1000
+    # lines of 40 words are those of the direct comparison
+    lines = {(r.doc_id, r.paragraph) for r in found if r.whole_line}
+    long = [(d, "\n".join(x if len(x.encode().split()) >= 40 else "" for x in (t or "").split("\n"))) for d, t in rows]
+    want = {(d, k) for d, k, *_ in direct_repeats(long)}
+    assert len(lines ^ want) <= 0.01 * len(want) and not lines - want
+
+
+def test_substrings_odd(spark):
+    rng = random.Random(3)
+    fresh = lambda n: " ".join(f"q{rng.randrange(10**7)}" for _ in range(n))
+    passage = fresh(50)
+    rows = [
+        (1, f"{fresh(33)} {passage} {fresh(20)}"), (2, f"{fresh(7)}\n{passage.upper().replace(' ', chr(10))} {fresh(5)}"), (3, fresh(60)), (4, None), (5, ""),
+        (6, " \n "), (7, "a b c"), (8, f"{fresh(3000)} {passage} {fresh(3000)}"), (9, "same " * 400), (10, f"{passage} {fresh(2)} {passage}"),
+        (11, " ".join(passage.split()[:39])), (12, "é€ " * 45), (13, "É€ " * 45),
+    ]
+    found = paragraphs.repeated_substrings(odd_docs(spark, [(*r, "en", "a") for r in rows])).collect()
+    assert check_substrings(rows, found) == 4
+    assert {r.doc_id for r in found} == {2, 8, 9, 10} and {r.kept_doc_id for r in found} == {1, 9}
+    assert all(r.exact for r in found if r.doc_id in (2, 8, 10)) and sum(r.doc_id == 10 for r in found) == 2
+    # equal and null ids are separate documents; nulls come last
+    twice = [(None, passage, "en", "a"), (1, passage, "en", "a"), (1, passage, None, None), (None, None, None, None)]
+    found = paragraphs.repeated_substrings(odd_docs(spark, twice)).collect()
+    assert sorted((str(r.doc_id), r.kept_doc_id, r.whole_line) for r in found) == [("1", 1, False), ("1", 1, True), ("None", 1, False), ("None", 1, True)]
+    assert paragraphs.repeated_substrings(no_docs(spark)).collect() == []
+
+
+def test_run_hashes():
+    words = np.array([random.Random(5).randrange(2**63) for _ in range(90)] * 2, dtype=np.uint64)
+    for n in (1, 2, 3, 26, 40, 90, 180):
+        found = paragraphs.run_hashes(words, n)
+        want = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+        assert len(found) == len(want) and len(set(found.tolist())) == len(set(want))
+
+
 def test_paragraph_star_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "BLOCK", 16)
     rows = near_copies(80)
