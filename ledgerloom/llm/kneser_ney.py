@@ -8,9 +8,8 @@ number is the continuation count of the next lower order - and so on down to sin
 the same number of parts, which grows with the text, so no task holds more than a part.
 
 Files.  A part of an order is one file: sorted n-gram hashes with their counts, and sorted context hashes
-with their totals and the numbers of their n-grams counted once, twice and more often.  Of a hash the leading
-bits are the place in a table of starts, the next 40 are kept; hashes that agree in all of these count as one, as
-equal hashes of 64 bits do.  The figures take one
+with their totals and the numbers of their n-grams counted once, twice and more often.  Of a hash 48 bits are kept: an
+unknown n-gram passes for a known one about once in 2^48 / (n-grams of a part, a million) look-ups.  The figures take one
 byte, the place in the file's book of its 255 most frequent figures; others stand in full behind it.  Files lie in
 the shared folder; workers map them, from a local copy that Spark distributes if the folder is no mounted one.
 The counts of an order are deleted as soon as the files of the next one are written.
@@ -88,8 +87,8 @@ def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _merge(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal rows of grams as one with the sum of their counts (columns), in the order of the rows."""
-    order = np.lexsort(grams.T[::-1])
+    """Equal rows of grams as one with the sum of their counts (columns), in the order of their hashes."""
+    order = np.argsort(chain(grams))
     grams = grams[order]
     new = np.ones(len(grams), dtype=bool)
     new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
@@ -97,91 +96,116 @@ def _merge(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grams[at], np.add.reduceat(counts[order], at, axis=0) if len(at) else counts[:0]
 
 
+def _drain(held: list[np.ndarray]) -> np.ndarray:
+    """The arrays as one; the list lets go of them."""
+    whole = np.concatenate(held)
+    held.clear()
+    return whole
+
+
 BLOCK = "level long, part long, n long, grams binary, counts binary, path string, facts array<long>"
 
 
-def _blocks(grams: np.ndarray, counts: np.ndarray, level: int, parts: int, book: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each part: its grams in order and their counts, narrow where they fit."""
+class Book(NamedTuple):
+    """Hashes of frequent words, the most frequent first; the same in order, and the places of these among the first."""
+
+    words: np.ndarray
+    ordered: np.ndarray
+    ranks: np.ndarray
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.ordered, words), len(self.ordered) - 1)
+        return np.where(self.ordered[at] == words, self.ranks[at], BOOK).astype("<u2")
+
+
+def _blocks(grams: np.ndarray, counts: np.ndarray, level: int, parts: int, book: Book) -> Iterator[pa.RecordBatch]:
+    """A row for each part: its grams, those with the same first word together, and their counts, narrow where they fit."""
     part = part_of(grams, parts)
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((grams[:, 0], part)) if parts >= 1 << 24 else np.argsort((part.astype(np.uint64) << np.uint64(40)) | (grams[:, 0] >> np.uint64(24)))
     grams, counts, part = grams[order], counts[order], part[order]
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(part)]):
         yield _row(level, int(part[a]), b - a, _narrow(grams[a:b], book), _counts(counts[a:b]))
 
 
-def _narrow(grams: np.ndarray, book: np.ndarray) -> bytes:
-    """The first column as distinct words and repeats, then the others; words as places in the sorted book, those outside it in full behind."""
+def _narrow(grams: np.ndarray, book: Book) -> bytes:
+    """The first column as words and repeats, then the others; words as places in the book, those outside it in full behind."""
     first = np.flatnonzero(np.concatenate([[True], grams[1:, 0] != grams[:-1, 0]]))
     repeats = np.diff(np.append(first, len(grams)))
     words = np.concatenate([grams[first, 0], *grams[:, 1:].T])
-    at = np.minimum(np.searchsorted(book, words), max(len(book) - 1, 0))
-    codes = np.where(book[at] == words, at, BOOK).astype("<u2") if len(book) else np.full(len(words), BOOK, "<u2")
+    codes = book.codes(words)
     more = repeats[repeats >= 255].astype("<u4")
-    head = np.array([len(first), len(more)], "<i8")
-    return b"".join(x.tobytes() for x in (head, np.minimum(repeats, 255).astype("u1"), more, codes, words[codes == BOOK]))
-
-
-def _wide(raw: bytes, n: int, order: int, book: np.ndarray) -> np.ndarray:
-    m, more = map(int, np.frombuffer(raw, "<i8", 2))
-    repeats = np.frombuffer(raw, "u1", m, 16).astype(np.int64)
-    repeats[repeats == 255] = np.frombuffer(raw, "<u4", more, 16 + m)
-    at, size = 16 + m + 4 * more, m + n * (order - 1)
-    codes = np.frombuffer(raw, "<u2", size, at)
-    words = np.empty(size, dtype=np.uint64)
-    words[codes < BOOK] = book[codes[codes < BOOK]]
-    words[codes == BOOK] = np.frombuffer(raw[at + 2 * size :], np.uint64)
+    # low and high bytes apart: the high ones are mostly small
+    found = [np.minimum(repeats, 255).astype("u1"), more, (codes & 255).astype("u1"), (codes >> 8).astype("u1"), words[codes == BOOK]]
+    raw = b"".join(x.tobytes() for x in found)
+    return np.array([len(first), len(more), len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _wide(packed: bytes, n: int, order: int, book: Book) -> np.ndarray:
+    m, more, length = map(int, np.frombuffer(packed, "<i8", 3))
+    raw = pa.decompress(packed[24:], length, "zstd", asbytes=True)
+    repeats = np.frombuffer(raw, "u1", m).astype(np.int64)
+    repeats[repeats == 255] = np.frombuffer(raw, "<u4", more, m)
+    at, size = m + 4 * more, m + n * (order - 1)
+    codes = np.frombuffer(raw, "u1", size, at) | (np.frombuffer(raw, "u1", size, at + size).astype("<u2") << 8)
+    words, short = np.empty(size, dtype=np.uint64), codes < BOOK
+    words[short] = book.words[codes[short]]
+    words[~short] = np.frombuffer(raw[at + 2 * size :], np.uint64)
     return np.column_stack([np.repeat(words[:m], repeats), *words[m:].reshape(order - 1, n)])
 
 
 def _counts(counts: np.ndarray) -> bytes:
     """Two counts to a row; one byte each, 255 standing for those that follow in full."""
     flat = counts.ravel()
-    return np.minimum(flat, 255).astype(np.uint8).tobytes() + flat[flat >= 255].astype("<i8").tobytes()
+    raw = np.minimum(flat, 255).astype(np.uint8).tobytes() + flat[flat >= 255].astype("<i8").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _read_counts(raw: bytes, n: int) -> np.ndarray:
+def _read_counts(packed: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
     found = np.frombuffer(raw, np.uint8, 2 * n).astype(np.int64)
     found[found == 255] = np.frombuffer(raw[2 * n :], "<i8")
     return found.reshape(n, 2)
 
 
 class Hashes(NamedTuple):
-    """Sorted hashes: where those of equal leading bits start, and the next 32 and 8 bits of each."""
+    """Mixed hashes in order: the leading 32 bits and the next 16 of each."""
 
-    starts: np.ndarray
     high: np.ndarray
     low: np.ndarray
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are there, and their places."""
-        bucket, high, low = _cut(wanted, len(self.starts) - 1)
-        at, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1]
-        place, open_ = np.full(len(wanted), -1, dtype=np.int64), np.arange(len(wanted))
-        while len(open_ := open_[at[open_] < end[open_]]):
-            here = at[open_]
-            same = (self.high[here] == high[open_]) & (self.low[here] == low[open_])
-            place[open_[same]] = here[same]
-            open_ = open_[~same]
-            at[open_] += 1
-        hit = np.flatnonzero(place >= 0)
+        """Which mixed hashes are there, and their places."""
+        high, low = _cut(wanted)
+        at, last = np.searchsorted(self.high, high), len(self.high) - 1
+        place = np.minimum(at, last)
+        hit = (at <= last) & (self.high[place] == high) & (self.low[place] == low)
+        # few hashes share the leading bits with one before them
+        more = np.flatnonzero(~hit & (at < last))
+        more = more[self.high[at[more] + 1] == high[more]]
+        for k in more:
+            a, b = at[k], np.searchsorted(self.high, high[k], "right")
+            same = np.flatnonzero(self.low[a:b] == low[k])
+            if len(same):
+                place[k], hit[k] = a + same[0], True
+        hit = np.flatnonzero(hit)
         return hit, place[hit]
 
 
-def _cut(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, next 32 and next 8 bits; mixed first, as hashes of a part share their leading bits."""
-    mixed, bits = hashes * MIX, buckets.bit_length() - 1
-    bucket = (mixed >> np.uint64(64 - bits) if bits else np.zeros_like(mixed)).astype(np.int64)
-    rest = (mixed << np.uint64(bits)) >> np.uint64(24)
-    return bucket, (rest >> np.uint64(8)).astype("<u4"), (rest & np.uint64(255)).astype("u1")
+def mix(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of a part share their leading bits, mixed ones do not."""
+    return hashes * MIX
+
+
+def _cut(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (mixed >> np.uint64(32)).astype("<u4"), (mixed >> np.uint64(16)).astype("<u2")
 
 
 def sort_hashes(hashes: np.ndarray) -> tuple[np.ndarray, Hashes]:
-    """Order and table of hashes, four to eight in a bucket."""
-    buckets = 1 << max((len(hashes) // 4).bit_length() - 1, 0)
-    by = np.argsort(hashes * MIX, kind="stable")
-    bucket, high, low = _cut(hashes[by], buckets)
-    return by, Hashes(np.searchsorted(bucket, np.arange(buckets + 1)).astype("<u4"), high, low)
+    """Order and table of hashes."""
+    mixed = mix(hashes)
+    by = np.argsort(mixed)
+    return by, Hashes(*_cut(mixed[by]))
 
 
 class Packed(NamedTuple):
@@ -225,8 +249,8 @@ def _row(level, part, n, grams=None, counts=None, path=None, facts=None) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((level, part, int(n), grams, counts, path, facts), kinds)], names)
 
 
-def frequent_words(raw: DataFrame) -> np.ndarray:
-    """The hashes, in order, of the ``BOOK`` most frequent tokens of the texts in the only column, and of the start token."""
+def frequent_words(raw: DataFrame) -> Book:
+    """The ``BOOK`` most frequent tokens of the texts in the only column, the start token among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,8 +260,12 @@ def frequent_words(raw: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     counted = raw.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(BOOK - 1).select("word").collect()
-    return np.unique(np.array([START, *(r.word % (1 << 64) for r in rows)], dtype=np.uint64))
+    top, folder = passing_checkpoint(counted.orderBy(F.desc("n"), "word").limit(BOOK - 1).select("n", "word"))
+    rows = top.orderBy(F.desc("n"), "word").collect()
+    remove(raw.sparkSession, folder)
+    words = np.array([START, *(r.word % (1 << 64) for r in rows)], dtype=np.uint64)
+    ranks = np.argsort(words)
+    return Book(words, words[ranks], ranks)
 
 
 @dataclass(frozen=True)
@@ -266,8 +294,7 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", part_bytes: i
         held, n = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            grams = np.concatenate(held)
-            merged, counts = _merge(grams, np.ones((len(grams), 1), dtype=np.int64))
+            merged, counts = _merge(_drain(held), np.ones((n, 1), dtype=np.int64))
             yield from _blocks(merged, np.repeat(counts, 2, axis=1), order, parts, book.value)
 
         for batch in batches:
@@ -278,7 +305,7 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", part_bytes: i
                 n += len(flat)
                 if n > 2_000_000:
                     yield from flush()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from flush()
 
@@ -286,8 +313,11 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", part_bytes: i
         """Write a part's file; pass on its grams without their first token."""
         level, part = key[0].as_py(), key[1].as_py()
         rows = zip(table["n"].to_pylist(), table["grams"].to_pylist(), table["counts"].to_pylist())
-        found = [(_wide(g, n, level, book.value), _read_counts(c, n)) for n, g, c in rows]
-        grams, counts = _merge(np.concatenate([g for g, _ in found]), np.concatenate([c for _, c in found]))
+        found = [[], []]
+        for n, g, c in rows:
+            found[0].append(_wide(g, n, level, book.value))
+            found[1].append(_read_counts(c, n))
+        grams, counts = _merge(*map(_drain, found))
         # column 0: occurrences; column 1: what this level counts (occurrences, or distinct tokens before)
         own = counts[:, 1]
         context = chain(grams[:, :-1])
@@ -297,8 +327,8 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", part_bytes: i
         totals = [np.bincount(index, weights=w, minlength=len(where)).astype("<u8") for w in (own, own == 1, own == 2, own >= 3)]
         context_by, contexts = sort_hashes(where)
         figures = [pack([own[by], counts[by, 0]] if level == 1 else [own[by]]), pack([x[context_by] for x in totals])]
-        head = np.array([len(keys), len(where), len(hashes.starts), len(contexts.starts), *(x for p in figures for x in (*p.book.shape, len(p.rest)))], "<i8")
-        arrays = [*(x for p in figures for x in p[1:]), hashes.starts, contexts.starts, hashes.high, contexts.high, hashes.low, contexts.low, *(p.codes for p in figures)]
+        head = np.array([len(keys), len(where), *(x for p in figures for x in (*p.book.shape, len(p.rest)))], "<i8")
+        arrays = [*(x for p in figures for x in p[1:]), hashes.high, contexts.high, hashes.low, contexts.low, *(p.codes for p in figures)]
         path = write_bytes(folder, f"level{level}-{part:06d}", [head, *(x for x in arrays if x.size)])
         facts = [*((own == k).sum() for k in (1, 2, 3, 4)), own.sum(), counts[:, 0].sum(), len(own), own[own >= 3].size]
         out = [_row(level, part, len(keys), path=path, facts=[int(x) for x in facts])]
@@ -347,8 +377,8 @@ def _file(path: str) -> dict[str, tuple[Hashes, Packed]]:
         name = SparkFiles.get(path.rsplit("/", 1)[1])
     with open(name, "rb") as file:
         raw = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-    head = list(map(int, np.frombuffer(raw, "<i8", 10)))
-    at = 80
+    head = list(map(int, np.frombuffer(raw, "<i8", 8)))
+    at = 64
 
     def take(kind: str, *shape: int) -> np.ndarray:
         nonlocal at
@@ -356,20 +386,25 @@ def _file(path: str) -> dict[str, tuple[Hashes, Packed]]:
         at += found.nbytes
         return found
 
-    books = [(take("<u8", k, m), take("<u8", r), take("<u8", k, r)) for k, m, r in (head[4:7], head[7:10])]
-    starts, high, low, codes = ([take(kind, n) for n in sizes] for kind, sizes in (("<u4", head[2:4]), ("<u4", head[:2]), ("u1", head[:2]), ("u1", head[:2])))
-    both = [(Hashes(*h), Packed(c, *b)) for h, c, b in zip(zip(starts, high, low), codes, books)]
+    books = [(take("<u8", k, m), take("<u8", r), take("<u8", k, r)) for k, m, r in (head[2:5], head[5:8])]
+    high, low, codes = ([take(kind, n) for n in head[:2]] for kind in ("<u4", "<u2", "u1"))
+    both = [(Hashes(*h), Packed(c, *b)) for h, c, b in zip(zip(high, low), codes, books)]
     return dict(zip(("grams", "contexts"), both))
 
 
 def _look_up(model: Model, level: int, part: np.ndarray, wanted: np.ndarray, kind: str, figures: int) -> np.ndarray:
     """Figures by hash, 0 where it is not known; hashes are looked up once each, part by part in order."""
-    order = np.lexsort((wanted, part))
-    sorted_part, sorted_wanted = part[order], wanted[order]
+    mixed = mix(wanted)
+    order = np.argsort(mixed)
+    ordered = mixed[order]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (sorted_wanted[1:] != sorted_wanted[:-1]) | (sorted_part[1:] != sorted_part[:-1])
-    distinct, of = sorted_wanted[new], np.cumsum(new) - 1
-    parts = sorted_part[new]
+    new[1:] = ordered[1:] != ordered[:-1]
+    distinct, of = ordered[new], np.empty(len(order), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    parts = part[order[new]]
+    # in the order of the files within a part
+    by = np.argsort(parts.astype(np.uint16) if parts.max(initial=0) < 1 << 16 else parts, kind="stable")
+    distinct, parts = distinct[by], parts[by]
     values = np.zeros((figures, len(distinct)), dtype=np.int64)
     starts = np.flatnonzero(np.diff(parts, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(parts)]):
@@ -378,10 +413,8 @@ def _look_up(model: Model, level: int, part: np.ndarray, wanted: np.ndarray, kin
             continue
         hashes, packed = _file(path)[kind]
         hit, place = hashes.find(distinct[a:b])
-        values[:, a + hit] = packed.at(place)
-    found = np.zeros((figures, len(wanted)), dtype=np.int64)
-    found[:, order] = values[:, of]
-    return found
+        values[:, by[a + hit]] = packed.at(place)
+    return values[:, of]
 
 
 def score(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
