@@ -39,8 +39,8 @@ from .common import bytes_list, ready, text_bytes, write_bytes
 ORDER = 3
 #: Bytes of training text to a part.
 PART_BYTES = 12 << 20
-#: Texts hashed at a time.
-TEXTS = 500
+#: Texts hashed at a time, and scored at a time.
+TEXTS, SCORED = 500, 1000
 #: Words with a short code in the shuffle; the last code of two bytes stands for all others.
 BOOK = (1 << 16) - 1
 END, START = xxhash.xxh64_intdigest(b"\n end"), xxhash.xxh64_intdigest(b"\n start")  # no word has white space
@@ -91,7 +91,9 @@ def _merge(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(chain(grams))
     grams = grams[order]
     new = np.ones(len(grams), dtype=bool)
-    new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
+    new[1:] = grams[1:, 0] != grams[:-1, 0]
+    for k in range(1, grams.shape[1]):
+        new[1:] |= grams[1:, k] != grams[:-1, k]
     at = np.flatnonzero(new)
     return grams[at], np.add.reduceat(counts[order], at, axis=0) if len(at) else counts[:0]
 
@@ -219,10 +221,11 @@ class Packed(NamedTuple):
     def at(self, rows: np.ndarray) -> np.ndarray:
         """The figures of rows, a line for each column."""
         codes = self.codes[rows]
-        found = np.zeros((len(self.book), len(rows)), dtype=np.int64)
-        short = codes < 255
-        found[:, short] = self.book[:, codes[short]]
-        found[:, ~short] = self.full[:, np.searchsorted(self.rest, rows[~short])]
+        padded = np.zeros((len(self.book), 256), dtype=np.int64)
+        padded[:, : self.book.shape[1]] = self.book
+        found = padded[:, codes]
+        long = np.flatnonzero(codes == 255)
+        found[:, long] = self.full[:, np.searchsorted(self.rest, rows[long])]
         return found
 
 
@@ -392,8 +395,8 @@ def _file(path: str) -> dict[str, tuple[Hashes, Packed]]:
     return dict(zip(("grams", "contexts"), both))
 
 
-def _look_up(model: Model, level: int, part: np.ndarray, wanted: np.ndarray, kind: str, figures: int) -> np.ndarray:
-    """Figures by hash, 0 where it is not known; hashes are looked up once each, part by part in order."""
+def _look_up(model: Model, level: int, part: np.ndarray, wanted: np.ndarray, kind: str, figures: int) -> tuple[np.ndarray, np.ndarray]:
+    """Figures of every distinct hash, 0 where it is not known, and the place of each hash among them; looked up part by part in order."""
     mixed = mix(wanted)
     order = np.argsort(mixed)
     ordered = mixed[order]
@@ -414,7 +417,7 @@ def _look_up(model: Model, level: int, part: np.ndarray, wanted: np.ndarray, kin
         hashes, packed = _file(path)[kind]
         hit, place = hashes.find(distinct[a:b])
         values[:, by[a + hit]] = packed.at(place)
-    return values[:, of]
+    return values, of
 
 
 def score(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -431,17 +434,20 @@ def score(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
         context = chain(own[:, :-1])
         part = part_of(own, model.parts)
         if level == 1:
-            count, seen = _look_up(model, 1, part, own[:, 0], "grams", 2)
+            figures, of = _look_up(model, 1, part, own[:, 0], "grams", 2)
+            count, seen = figures[:, of]
             known = seen > 0
-            total, n1, n2, n3 = _single_totals(model)
+            figures, of = np.array(_single_totals(model)).reshape(4, 1), np.zeros(len(flat), dtype=np.int64)
         else:
-            (count,) = _look_up(model, level, part, chain(own), "grams", 1)
-            total, n1, n2, n3 = _look_up(model, level, part, context, "contexts", 4)
+            (count,), of = _look_up(model, level, part, chain(own), "grams", 1)
+            count = count[of]
+            figures, of = _look_up(model, level, part, context, "contexts", 4)
+        total, n1, n2, n3 = figures
         d1, d2, d3 = model.discounts[level]
-        off = np.where(count >= 3, d3, np.where(count == 2, d2, np.where(count == 1, d1, 0)))
-        whole = np.maximum(total, 1)
-        left = (d1 * n1 + d2 * n2 + d3 * n3) / whole
-        probability = np.where(total > 0, (count - off) / whole + left * probability, probability)
+        # a context never seen passes all mass on
+        left = np.where(total > 0, (d1 * n1 + d2 * n2 + d3 * n3) / np.maximum(total, 1), 1.0)[of]
+        off = np.array([0.0, d1, d2, d3])[np.minimum(count, 3)]
+        probability = (count - off) / np.maximum(total, 1)[of] + left * probability
     starts = np.cumsum(sizes) - sizes
     base = np.log10((seen + 0.5) / (model.train_tokens + 0.5 * (model.vocabulary + 1)))
     add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
@@ -470,8 +476,8 @@ def score_texts(docs: DataFrame, model: Model, *keep: str, text: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = bytes_list(batch.column(len(keep)))
-            for a in range(0, len(texts), TEXTS):
-                sizes, known, base, own = score(shared.value, texts[a : a + TEXTS])
+            for a in range(0, len(texts), SCORED):
+                sizes, known, base, own = score(shared.value, texts[a : a + SCORED])
                 columns = [pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), shared.value.train_tokens)), pa.array(base), pa.array(own)]
                 kept = [c.slice(a, len(sizes)) for c in batch.columns[: len(keep)]]
                 yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*batch.schema.names[: len(keep)], "n_tokens", "n_known", "train_tokens", "base_score", "score"])

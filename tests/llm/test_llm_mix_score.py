@@ -112,6 +112,7 @@ def direct_model(train, order):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores(spark, order, monkeypatch):
     monkeypatch.setattr(kneser_ney, "TEXTS", 7)
+    monkeypatch.setattr(kneser_ney, "SCORED", 7)
     docs = odd_docs(spark).select("doc_id", "text").union(queries.table(spark, FOLDER, "documents").select("doc_id", "text").where("doc_id < 60"))
     rows = docs.collect()
     model = kneser_ney.train(docs.where(common.id_remainder() != 1), order, part_bytes=20_000)
@@ -132,6 +133,24 @@ def test_scores(spark, order, monkeypatch):
     assert sum(probability((*start, x)) for x in single) + probability((*start, "never seen")) == pytest.approx(1)
 
 
+def test_packed_figures():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 1000, 5000), np.where(rng.random(5000) < 0.01, 1 << 40, 3)]
+    for some in (columns, [columns[0]], [columns[1] + (1 << 20)], [x[:0] for x in columns]):
+        packed, rows = kneser_ney.pack([x.astype(np.uint64) for x in some]), rng.permutation(len(some[0]))
+        assert (packed.at(rows) == np.stack(some)[:, rows]).all()
+
+
+def test_found_hashes():
+    # leading bits shared by several hashes: all are found, and nothing else
+    mixed = np.sort(np.array([(h << 32) | (l << 16) for h in (0, 5, 5 << 20) for l in (0, 7, 9, 65535)], dtype=np.uint64))
+    held = kneser_ney.Hashes(*kneser_ney._cut(mixed))
+    hit, place = held.find(mixed)
+    assert hit.tolist() == place.tolist() == list(range(len(mixed)))
+    hit, _ = held.find(np.sort(np.concatenate([mixed + np.uint64(1 << 16), np.array([1 << 63], dtype=np.uint64)])))
+    assert len(hit) == 0 and len(kneser_ney.Hashes(*kneser_ney._cut(mixed[:0])).find(mixed[:0])[0]) == 0
+
+
 def test_model_of_nothing(spark):
     model = kneser_ney.train(no_docs(spark))
     rows = kneser_ney.score_texts(odd_docs(spark), model, "doc_id").collect()
