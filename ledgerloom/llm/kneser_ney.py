@@ -49,13 +49,13 @@ MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of every text, A-Z lower-cased, an end token behind each; and the tokens of each text."""
-    digest, found, sizes = xxhash.xxh64_intdigest, [], []
+    digest, end, found, sizes = xxhash.xxh64_digest, END.to_bytes(8, "big"), [], []
     for t in texts:
         words = t.lower().split()
         found += map(digest, words)
-        found.append(END)
+        found.append(end)
         sizes.append(len(words) + 1)
-    return np.array(found, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+    return np.frombuffer(b"".join(found), ">u8").astype(np.uint64), np.array(sizes, dtype=np.int64)
 
 
 def windows(flat: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
@@ -69,33 +69,46 @@ def windows(flat: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
     return found
 
 
+def _step(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    h = (h ^ words) * MIX
+    h ^= h >> np.uint64(29)
+    h *= TURN
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def chain(columns: np.ndarray) -> np.ndarray:
     """A hash of each row of tokens; 0 columns hash to 0."""
     h = np.zeros(len(columns), dtype=np.uint64)
     for k in range(columns.shape[1]):
-        h = (h ^ columns[:, k]) * MIX
-        h ^= h >> np.uint64(29)
-        h *= TURN
-        h ^= h >> np.uint64(32)
+        h = _step(h, columns[:, k])
     return h
 
 
-def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
-    """n-grams of a context share a part; single tokens are dealt by themselves."""
-    h = chain(grams[:, :-1]) if grams.shape[1] > 1 else chain(grams)
-    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+def hashes_of(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the contexts and of the n-grams, and the parts: one for all n-grams of a context, single tokens by themselves."""
+    context = chain(grams[:, :-1])
+    whole = _step(context, grams[:, -1])
+    h = context if grams.shape[1] > 1 else whole
+    return context, whole, ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
 
+def _above(part: np.ndarray, parts: int, rest: np.ndarray) -> np.ndarray:
+    """Keys that order by part, then by the leading bits of ``rest``."""
+    bits = np.uint64(int(parts).bit_length())
+    return (part << (np.uint64(64) - bits)) | (rest >> bits)
 
-def _merge(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal rows of grams as one with the sum of their counts (columns), in the order of their hashes."""
-    order = np.argsort(chain(grams))
+
+def _merge(grams: np.ndarray, counts: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal neighbours in the order of ``key`` as one gram with the sum of their counts (columns), and a place of each."""
+    order = np.argsort(key)
     grams = grams[order]
     new = np.ones(len(grams), dtype=bool)
     new[1:] = grams[1:, 0] != grams[:-1, 0]
     for k in range(1, grams.shape[1]):
         new[1:] |= grams[1:, k] != grams[:-1, k]
     at = np.flatnonzero(new)
-    return grams[at], np.add.reduceat(counts[order], at, axis=0) if len(at) else counts[:0]
+    return grams[at], np.add.reduceat(counts[order], at, axis=0) if len(at) else counts[:0], order[at]
 
 
 def _drain(held: list[np.ndarray]) -> np.ndarray:
@@ -121,10 +134,16 @@ class Book(NamedTuple):
 
 
 def _blocks(grams: np.ndarray, counts: np.ndarray, level: int, parts: int, book: Book) -> Iterator[pa.RecordBatch]:
-    """A row for each part: its grams, those with the same first word together, and their counts, narrow where they fit."""
-    part = part_of(grams, parts)
-    order = np.lexsort((grams[:, 0], part)) if parts >= 1 << 24 else np.argsort((part.astype(np.uint64) << np.uint64(40)) | (grams[:, 0] >> np.uint64(24)))
-    grams, counts, part = grams[order], counts[order], part[order]
+    """A row for each part: its grams, those with the same first word together, and their counts, narrow where they fit.
+
+    Equal grams are added up, but for the rare ones that another gram of the same key parts; the part's task does the rest.
+    """
+    _, whole, part = hashes_of(grams, parts)
+    word = np.uint64(0xFFFFFF << 40)
+    key = _above(part, parts, (grams[:, 0] & word) | (whole >> np.uint64(24)))
+    del whole
+    grams, counts, place = _merge(grams, counts, key)
+    part = part[place].astype(np.int64)
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(part)]):
         yield _row(level, int(part[a]), b - a, _narrow(grams[a:b], book), _counts(counts[a:b]))
@@ -203,13 +222,6 @@ def _cut(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mixed >> np.uint64(32)).astype("<u4"), (mixed >> np.uint64(16)).astype("<u2")
 
 
-def sort_hashes(hashes: np.ndarray) -> tuple[np.ndarray, Hashes]:
-    """Order and table of hashes."""
-    mixed = mix(hashes)
-    by = np.argsort(mixed)
-    return by, Hashes(*_cut(mixed[by]))
-
-
 class Packed(NamedTuple):
     """Rows of figures in one byte each: places in ``book``; 255 stands for the rows ``rest``, given in ``full``."""
 
@@ -235,8 +247,14 @@ def pack(columns: list[np.ndarray]) -> Packed:
     key = np.zeros(len(small), dtype=np.uint64)
     for k, c in enumerate(columns):
         key |= np.where(small, c, 0).astype(np.uint64) << np.uint64(16 * k)
-    values, index, n = np.unique(key[small], return_inverse=True, return_counts=True)
+    if len(columns) == 1:
+        index = key[small].astype(np.int64)
+        n = np.bincount(index)
+        values = np.arange(len(n), dtype=np.uint64)
+    else:
+        values, index, n = np.unique(key[small], return_inverse=True, return_counts=True)
     top = np.argsort(-n, kind="stable")[:255]
+    top = top[n[top] > 0]
     place = np.full(len(values), 255, dtype=np.uint8)
     place[top] = np.arange(len(top))
     codes = np.full(len(small), 255, dtype=np.uint8)
@@ -297,8 +315,7 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", part_bytes: i
         held, n = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            merged, counts = _merge(_drain(held), np.ones((n, 1), dtype=np.int64))
-            yield from _blocks(merged, np.repeat(counts, 2, axis=1), order, parts, book.value)
+            yield from _blocks(_drain(held), np.ones((n, 2), dtype=np.int64), order, parts, book.value)
 
         for batch in batches:
             texts = bytes_list(batch.column(0))
@@ -320,24 +337,25 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", part_bytes: i
         for n, g, c in rows:
             found[0].append(_wide(g, n, level, book.value))
             found[1].append(_read_counts(c, n))
-        grams, counts = _merge(*map(_drain, found))
+        grams, counts = map(_drain, found)
+        keys = mix(chain(grams) if level > 1 else grams[:, 0])
+        grams, counts, place = _merge(grams, counts, keys)
+        keys = keys[place]
         # column 0: occurrences; column 1: what this level counts (occurrences, or distinct tokens before)
         own = counts[:, 1]
-        context = chain(grams[:, :-1])
-        keys = chain(grams) if level > 1 else grams[:, 0]
-        by, hashes = sort_hashes(keys)
-        where, index = np.unique(context, return_inverse=True)
+        hashes = Hashes(*_cut(keys))
+        where, index = np.unique(mix(chain(grams[:, :-1])), return_inverse=True)
         totals = [np.bincount(index, weights=w, minlength=len(where)).astype("<u8") for w in (own, own == 1, own == 2, own >= 3)]
-        context_by, contexts = sort_hashes(where)
-        figures = [pack([own[by], counts[by, 0]] if level == 1 else [own[by]]), pack([x[context_by] for x in totals])]
-        head = np.array([len(keys), len(where), *(x for p in figures for x in (*p.book.shape, len(p.rest)))], "<i8")
+        contexts = Hashes(*_cut(where))
+        figures = [pack([own, counts[:, 0]] if level == 1 else [own]), pack(totals)]
+        head = np.array([len(grams), len(where), *(x for p in figures for x in (*p.book.shape, len(p.rest)))], "<i8")
         arrays = [*(x for p in figures for x in p[1:]), hashes.high, contexts.high, hashes.low, contexts.low, *(p.codes for p in figures)]
         path = write_bytes(folder, f"level{level}-{part:06d}", [head, *(x for x in arrays if x.size)])
         facts = [*((own == k).sum() for k in (1, 2, 3, 4)), own.sum(), counts[:, 0].sum(), len(own), own[own >= 3].size]
-        out = [_row(level, part, len(keys), path=path, facts=[int(x) for x in facts])]
+        out = [_row(level, part, len(grams), path=path, facts=[int(x) for x in facts])]
         if level > 1:
-            shorter, both = _merge(grams[:, 1:], np.stack([counts[:, 0], np.ones(len(grams), dtype=np.int64)], axis=1))
-            out += _blocks(shorter, both, level - 1, parts, book.value)
+            both = np.stack([counts[:, 0], np.ones(len(grams), dtype=np.int64)], axis=1)
+            out += _blocks(grams[:, 1:], both, level - 1, parts, book.value)
         return pa.Table.from_batches(out)
 
     blocks, written, used = raw.mapInArrow(count, BLOCK), [], None
@@ -398,16 +416,14 @@ def _file(path: str) -> dict[str, tuple[Hashes, Packed]]:
 def _look_up(model: Model, level: int, part: np.ndarray, wanted: np.ndarray, kind: str, figures: int) -> tuple[np.ndarray, np.ndarray]:
     """Figures of every distinct hash, 0 where it is not known, and the place of each hash among them; looked up part by part in order."""
     mixed = mix(wanted)
-    order = np.argsort(mixed)
+    # by part, and in the order of the files within a part
+    order = np.argsort(_above(part, model.parts, mixed))
     ordered = mixed[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = ordered[1:] != ordered[:-1]
     distinct, of = ordered[new], np.empty(len(order), dtype=np.int64)
     of[order] = np.cumsum(new) - 1
-    parts = part[order[new]]
-    # in the order of the files within a part
-    by = np.argsort(parts.astype(np.uint16) if parts.max(initial=0) < 1 << 16 else parts, kind="stable")
-    distinct, parts = distinct[by], parts[by]
+    parts = part[order[new]].astype(np.int64)
     values = np.zeros((figures, len(distinct)), dtype=np.int64)
     starts = np.flatnonzero(np.diff(parts, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(parts)]):
@@ -416,7 +432,7 @@ def _look_up(model: Model, level: int, part: np.ndarray, wanted: np.ndarray, kin
             continue
         hashes, packed = _file(path)[kind]
         hit, place = hashes.find(distinct[a:b])
-        values[:, by[a + hit]] = packed.at(place)
+        values[:, a + hit] = packed.at(place)
     return values, of
 
 
@@ -431,15 +447,14 @@ def score(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
         if not model.paths:
             break
         own = grams[:, model.order - level :]
-        context = chain(own[:, :-1])
-        part = part_of(own, model.parts)
+        context, whole, part = hashes_of(own, model.parts)
         if level == 1:
             figures, of = _look_up(model, 1, part, own[:, 0], "grams", 2)
             count, seen = figures[:, of]
             known = seen > 0
             figures, of = np.array(_single_totals(model)).reshape(4, 1), np.zeros(len(flat), dtype=np.int64)
         else:
-            (count,), of = _look_up(model, level, part, chain(own), "grams", 1)
+            (count,), of = _look_up(model, level, part, whole, "grams", 1)
             count = count[of]
             figures, of = _look_up(model, level, part, context, "contexts", 4)
         total, n1, n2, n3 = figures
