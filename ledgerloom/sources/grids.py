@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lit, missing_to_null
 from ..schemas import KEY, LEDGER
+from ..session import reliable_checkpoint
 
 PAGE_GROUP = 4096
 
@@ -46,39 +47,82 @@ def _scan(spark: SparkSession, path: str | list[str], header: bool) -> DataFrame
     )
 
 
-def _scan_whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files whose quoted cells may contain line breaks: every second piece between quotes is quoted."""
-    inner = f"replace(replace(p, '\r\n', {lit(INNER_BREAK)}), '\n', {lit(INNER_BREAK)})"
-    kept = f"transform(split(value, '\"'), (p, i) -> CASE WHEN i % 2 = 1 THEN {inner} ELSE p END)"
-    lines = f"split(array_join({kept}, '\"'), '\\r?\\n')"
-    return (
-        spark.read.text(path, wholetext=True)
-        .selectExpr(f"_metadata.file_path AS {KEY}", f"posexplode({lines}) AS (row_no, line)")
-        .where("trim(line) <> ''")
+def _scan_quoted(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files whose quoted cells may contain line breaks, cut into splits like others; ``row_no`` 0 is a file's first line.
+
+    A line with an odd number of quotes before it in its file starts inside a quoted cell.  Quotes are counted per
+    split, and a running sum over the splits of a file says which of them start inside a cell.  Only splits with an
+    odd line, or that start inside, are gone through line by line; lines of others are whole.  The lines are
+    written once, so that every step sees the same splits.
+    """
+    # a byte offset and a number within the task, as in _scan
+    lines = reliable_checkpoint(
+        spark.read.option("lineSep", "\n")
+        .text(path)
         .selectExpr(
-            KEY,
-            "CAST(row_no AS bigint) AS row_no",
-            f"transform({_cells('line')}, c -> replace(c, {lit(INNER_BREAK)}, '\n')) AS cells",
+            f"_metadata.file_path AS {KEY}",
+            "_metadata.file_block_start AS block_start",
+            f"_metadata.file_block_start + (monotonically_increasing_id() & {(1 << 33) - 1}L) AS row_no",
+            "regexp_replace(value, '\r$', '') AS value",
+            "(length(value) - length(replace(value, '\"', ''))) % 2 AS odd",
         )
     )
+    splits = lines.groupBy(KEY, "block_start").agg(
+        F.expr("sum(odd) % 2 AS odd"), F.expr("max(odd) AS broken"), F.min("row_no").alias("first")
+    )
+    before = f"OVER (PARTITION BY {KEY} ORDER BY block_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    splits = splits.selectExpr(
+        KEY,
+        "block_start",
+        "broken",
+        f"coalesce(sum(odd) {before}, 0) % 2 AS inside",
+        f"min(first) OVER (PARTITION BY {KEY}) AS file_first",
+    )
+    tagged = lines.join(splits, [KEY, "block_start"])
+    whole = tagged.where("broken = 0 AND inside = 0").selectExpr(KEY, "row_no - file_first AS row_no", "value AS line")
+
+    # within a split: the last line that starts outside, at or before each line
+    split = f"PARTITION BY {KEY}, block_start ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    torn = (
+        tagged.where("broken = 1 OR inside = 1")
+        .selectExpr("*", f"(inside + coalesce(sum(odd) OVER ({split} 1 PRECEDING), 0)) % 2 AS within")
+        .selectExpr("*", f"max(CASE WHEN within = 0 THEN row_no END) OVER ({split} CURRENT ROW) AS start")
+    )
+    # an open line may have begun in a split before; that split is torn too, as its quotes do not close
+    carried = (
+        torn.groupBy(KEY, "block_start")
+        .agg(F.max("start").alias("last"))
+        .selectExpr(KEY, "block_start", f"last_value(last, true) {before} AS earlier")
+    )
+    joined = (
+        torn.join(carried, [KEY, "block_start"])
+        .groupBy(KEY, F.expr("coalesce(start, earlier) - file_first AS row_no"))
+        .agg(F.expr("array_sort(collect_list(struct(row_no, value))).value AS parts"))
+        .selectExpr(KEY, "row_no", f"array_join(parts, {lit(INNER_BREAK)}) AS line")
+    )
+    return (
+        whole.unionByName(joined)
+        .where("trim(line) <> ''")
+        .selectExpr(KEY, "row_no", f"transform({_cells('line')}, c -> replace(c, {lit(INNER_BREAK)}, '\n')) AS cells")
+    )
 
 
 def read_grids(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
     """Extracted statements as raw cells, one CSV file per statement; lines may have any number of cells.
 
     The first line of a file (``0,1,2,...``) carries no data.  ``multiline`` is
-    for files whose quoted cells contain line breaks; such a file is read by one
-    task, others are split.
+    for files whose quoted cells contain line breaks; their lines are written to the checkpoint folder first.
+    Files of both kinds are split among tasks.
     """
     if multiline:
-        return _scan_whole(spark, path).where("row_no > 0")
+        return _scan_quoted(spark, path).where("row_no > 0")
     return _scan(spark, path, True).drop("block_start")
 
 
 def read_tables(spark: SparkSession, path: str | list[str], multiline: bool = False) -> tuple[DataFrame, DataFrame]:
     """Ready-made tables of any columns: their rows and ``(statement_id, header)``."""
     if multiline:
-        lines = _scan_whole(spark, path)
+        lines = _scan_quoted(spark, path)
         return lines.where("row_no > 0"), lines.where("row_no = 0").selectExpr(KEY, "cells AS header")
     # the reader itself leaves out first lines; they stand in the first split of a file
     first = _scan(spark, path, False).where("block_start = 0")

@@ -241,6 +241,13 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def document_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as rows of one grid per source: id and whole text."""
+    return table(spark, folder, "documents").selectExpr(
+        f"coalesce(source, 'none') AS {KEY}", "CAST(doc_id AS bigint) AS row_no", "array(CAST(doc_id AS string), text) AS cells"
+    )
+
+
 # ---- ready-made tables for the second report, four layouts ----
 
 TABLE_HEADERS = [

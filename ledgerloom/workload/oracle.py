@@ -537,6 +537,9 @@ _QUERIES: dict[str, str] = {
         FROM g, (SELECT unnest([1, 2, 3, 4]) AS pos) WHERE layout = 2 AND filled >= 2 GROUP BY statement_id, pos""",
     "transaction_rows": "SELECT statement_id, row_no, line FROM glines",
     "exported_grid": "SELECT statement_id, row_no, line FROM glines",
+    "quoted_line_breaks": """SELECT coalesce(source, 'none') AS statement_id, doc_id,
+        length(t) AS n_chars, md5(t) AS text_md5
+        FROM (SELECT *, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS t FROM documents)""",
     "exported_ledger": f"""SELECT statement_id, row_no, txn_date, description, {_money('debit')} AS debit,
         {_money('credit')} AS credit, 'T' || (row_no % 7) AS teller, 1 AS n_extra FROM l""",
     "grid_ledger": f"""SELECT statement_id, row_no, txn_date, month, description, {_money('debit')} AS debit,

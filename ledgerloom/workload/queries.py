@@ -490,6 +490,20 @@ def exported_csv(spark, folder):
     return grid.transaction_rows(raw, named).selectExpr(KEY, "array_join(cells, '|', '') AS line")
 
 
+@query
+def quoted_line_breaks(spark, folder):
+    """Whole texts as cells of CSV files, one file per source, written and read back: most cells hold line breaks."""
+    path = session.shared_folder(spark) + "/csv"
+    write_grid_csv(adapters.document_cells(spark, folder), path)
+    raw = read_grids(spark, f"{path}/*/*", multiline=True)
+    return raw.selectExpr(
+        f"regexp_extract({KEY}, '{KEY}=([^/]*)/', 1) AS {KEY}",
+        "CAST(cells[0] AS bigint) AS doc_id",
+        "CAST(length(coalesce(cells[1], '')) AS bigint) AS n_chars",
+        "md5(coalesce(cells[1], '')) AS text_md5",
+    )
+
+
 def _workbook(spark, folder, dataset):
     """One of the workbook's three datasets, as written and read back."""
     ledger, path = adapters.order_ledger(spark, folder), session.shared_folder(spark) + "/book"

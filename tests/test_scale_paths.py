@@ -198,6 +198,35 @@ def test_line_breaks_in_cells(spark, tmp_path):
     assert row["cells"] == ["Tran\nDate", "Amount"]
 
 
+def _written(rng, rows):
+    """CSV text of rows, cells quoted where they need it and sometimes where they do not."""
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if rng.random() < 0.2 or set(c) & set('",\n') else c
+    return "0,1,2\n" + "".join(",".join(map(quoted, r)) + "\n" for r in rows)
+
+
+def test_line_breaks_in_cells_across_splits(spark, tmp_path):
+    """Quoted cells over any number of lines and splits, against the rows written."""
+    rng, want = random.Random(5), {}
+    for name, n, share in (("a", 400, 0.3), ("b", 900, 0.02), ("c", 500, 0.0), ("d", 3, 1.0), ("e", 0, 0.0)):
+        cell = lambda: "".join(rng.choice(['x', 'y z', '"', ',', "\n", "\n\n", "é"]) for _ in range(rng.randint(1, 9)))  # noqa: E731,B023
+        want[name] = [[f"r{i}", *(cell() if rng.random() < share else f"p{rng.randint(0, 99)}" for _ in range(2))] for i in range(n)]
+    want["d"][1][2] = "long\n" * 3000 + "end"  # one cell over several splits
+    for name, rows in want.items():
+        (tmp_path / f"{name}.csv").write_text(_written(rng, rows))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 100)
+    try:
+        got = ll.read_grids(spark, str(tmp_path), multiline=True).orderBy("row_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, rows in want.items():
+        found = [r["cells"] for r in got if r["statement_id"].endswith(f"/{name}.csv")]
+        blank = [[c if c.strip() else None for c in r] for r in rows]
+        assert [[c if c and c.strip() else None for c in r] for r in found] == blank, name
+
+
 def test_ledger_round_trip(spark, golden, tmp_path):
     want = sorted(map(str, golden.collect()))
     for fmt in ("csv", "parquet"):
