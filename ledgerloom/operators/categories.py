@@ -68,22 +68,48 @@ def largest_of(report: DataFrame, shares: DataFrame) -> DataFrame:
     return report.select(KEY).distinct().join(largest, KEY, "left").selectExpr(KEY, *LARGEST)
 
 
+def _grams(text: str, n: int) -> str:
+    """All runs of ``n`` characters of a text, overlaps included."""
+    return f"regexp_extract_all({text}, '(?s)(?=(.{{{n}}}))', 1)"
+
+
+def rarest_grams(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(word, gram)``: of the trigrams of each word the one that the fewest texts hold.
+
+    A word with a trigram that no text holds is in none and left out; words of fewer than three
+    characters are their own gram.  Trigrams of the texts are added up before they are shuffled.
+    """
+    held = texts.selectExpr(f"explode(array_distinct({_grams('text_', 3)})) AS gram").groupBy("gram").agg(F.expr("count(*) AS n"))
+    wanted = words.where("length(word) >= 3").select("word").distinct()
+    pairs = wanted.selectExpr("word", f"explode(array_distinct({_grams('word', 3)})) AS gram")
+    best = (
+        pairs.join(held, "gram", "left")
+        .groupBy("word")
+        .agg(F.expr("min(struct(coalesce(n, 0) AS n, gram)) AS best"))
+        .where("best.n > 0")
+        .selectExpr("word", "best.gram AS gram")
+    )
+    return best.unionByName(words.where("length(word) < 3").select("word").distinct().selectExpr("word", "word AS gram"))
+
+
 def classify_by_table(rows: DataFrame, rules: DataFrame, default: str, text: str = "description") -> DataFrame:
     """Add ``category`` by a rule table ``(priority, category, keywords)`` of any size.
 
     The rule of lowest priority with a keyword inside the lower-case text wins, ``default`` where none has.
-    Texts and keywords meet on the keyword's first letters, so neither side is collected or paired in full;
-    each distinct text is classified once.
+    Texts and keywords meet on the keyword's rarest trigram, so neither side is collected or paired in full, and
+    keywords with a common beginning meet in different keys; each distinct text is classified once.
     """
-    words = rules.selectExpr("priority", "category", "explode(keywords) AS word").selectExpr("*", "substring(word, 1, 3) AS gram")
+    words = rules.selectExpr("priority", "category", "explode(keywords) AS word").where("word IS NOT NULL")
+    # of the rules with a word the first one counts
+    words = words.groupBy("word").agg(F.min(F.struct("priority", "category")).alias("rule_"))
     texts = rows.select(F.lower(text).alias("text_")).where("text_ IS NOT NULL").distinct()
-    grams = ", ".join(f"regexp_extract_all(text_, '(?s)(?=(.{{{n}}}))', 1)" for n in (1, 2, 3))
+    held = f"array_distinct(flatten(array(array(''), {', '.join(_grams('text_', n) for n in (1, 2, 3))})))"
     found = (
-        texts.selectExpr("text_", f"explode(array_distinct(flatten(array(array(''), {grams})))) AS gram")
-        .join(words, "gram")
+        texts.selectExpr("text_", f"explode({held}) AS gram")
+        .join(words.join(rarest_grams(words, texts), "word"), "gram")
         .where("contains(text_, word)")
         .groupBy("text_")
-        .agg(F.min(F.struct("priority", "category")).alias("rule_"))
+        .agg(F.min("rule_").alias("rule_"))
         .selectExpr("text_", "rule_.category AS category")
     )
     named = rows.join(found, F.lower(rows[text]) == found["text_"], "left").drop("text_")

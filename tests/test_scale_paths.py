@@ -113,6 +113,26 @@ def test_rule_table_by_joins(spark):
     assert got == {0: "c11995", 1: "Rest", 2: "c11991", 3: "Rest", 4: "Rest", 5: "all caps", 6: "all caps", 7: "c7"}
 
 
+def test_many_keywords_with_one_beginning(spark):
+    """No trigram brings together more than a small share of what meets, and the rules are those of a direct search."""
+    from ledgerloom.operators import categories
+
+    rng = random.Random(3)
+    numbers = rng.sample(range(100_000), 50_000)
+    rules = spark.createDataFrame([(i, f"c{n}", [f"transfer to {n:05d}"]) for i, n in enumerate(numbers)], "priority int, category string, keywords array<string>")
+    texts = [f"Transfer to {rng.randrange(100_000):05d} ref {rng.randrange(1000)}" for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, description string")
+    got = {r.i: r.category for r in ll.classify_by_table(rows, rules, "Rest").collect()}
+    known = set(numbers)
+    assert got == {i: f"c{n}" if (n := int(t.split()[2])) in known else "Rest" for i, t in enumerate(texts)}
+
+    lower = rows.select(F.lower("description").alias("text_"))
+    keys = categories.rarest_grams(rules.selectExpr("explode(keywords) AS word"), lower).groupBy("gram").agg(F.count("*").alias("words"))
+    meet = lower.join(keys, F.expr("contains(text_, gram)")).groupBy("gram").agg(F.sum("words").alias("n"))
+    most, whole = meet.agg(F.max("n"), F.sum("n")).first()
+    assert most <= 0.01 * whole and whole < 0.01 * len(numbers) * len(texts)
+
+
 def test_page_numbers(spark, monkeypatch):
     from ledgerloom.sources import grids
 
