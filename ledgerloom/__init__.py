@@ -22,9 +22,11 @@ from .operators.recurring import (
     report_recurring_payments,
 )
 from .operators.spending import (
+    debit_sketch,
     large_transactions,
     monthly_spending,
     monthly_spending_stats,
+    sketched_large_transactions,
     top_unusual,
     unusual_transactions,
     weekday_spending,

@@ -46,12 +46,13 @@ def weekday_spending(flow: DataFrame) -> DataFrame:
     )
 
 
-# Order-preserving bucket of an amount in cents: sign, number of digits, leading 4 digits.
-# There are at most 9,000 buckets per number of digits, whatever the statement holds.
-_BUCKET = (
-    "CAST(signum(value) AS int) * (length(CAST(abs(value) AS string)) * 10000"
-    " + CAST(rpad(substring(CAST(abs(value) AS string), 1, 4), 4, '0') AS int))"
-)
+def _bucket(digits: int) -> str:
+    """Order-preserving bucket of an amount in cents: sign, number of digits, leading ``digits`` digits.
+
+    With four there are at most 9,000 buckets per number of digits, whatever the statement holds.
+    """
+    lead = f"CAST(rpad(substring(CAST(abs(value) AS string), 1, {digits}), {digits}, '0') AS int)"
+    return f"CAST(signum(value) AS int) * (length(CAST(abs(value) AS string)) * {10**digits} + {lead})"
 
 
 def large_transactions(ledger: DataFrame, share: float = 0.9) -> DataFrame:
@@ -65,7 +66,7 @@ def large_transactions(ledger: DataFrame, share: float = 0.9) -> DataFrame:
         ledger.where("debit IS NOT NULL")
         .groupBy(KEY, F.expr(f"{cents('debit')} AS value"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .selectExpr(KEY, "value", "n", f"{_BUCKET} AS bucket", "CAST(value AS decimal(38,0)) * n AS total")
+        .selectExpr(KEY, "value", "n", f"{_bucket(4)} AS bucket", "CAST(value AS decimal(38,0)) * n AS total")
     )
     earlier = f"OVER (PARTITION BY {KEY} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     histogram = (
@@ -113,6 +114,69 @@ def large_transactions(ledger: DataFrame, share: float = 0.9) -> DataFrame:
     )
 
 
+def debit_sketch(ledger: DataFrame, *grain: str, digits: int = 3) -> DataFrame:
+    """Number and total of the debits per statement, ``grain`` columns and bucket of ``digits`` leading digits (1 to 8).
+
+    A sketch of the amounts' distribution that merges by addition: the rows of days, months or files are added up
+    to any coarser grain.  Amounts of a bucket differ by less than one part in ``10 ** (digits - 1)``.
+    """
+    if not 1 <= digits <= 8:
+        raise ValueError("digits must be 1 to 8")
+    return (
+        ledger.where("debit IS NOT NULL")
+        .selectExpr(KEY, *grain, f"{cents('debit')} AS value")
+        .groupBy(KEY, *grain, F.expr(f"{_bucket(digits)} AS bucket"))
+        .agg(F.count(F.lit(1)).alias("n"), F.expr("sum(CAST(value AS decimal(38,0))) AS total"))
+    )
+
+
+def sketched_large_transactions(sketch: DataFrame, share: float = 0.9) -> DataFrame:
+    """``large_transactions`` from a ``debit_sketch`` of any grain, without reading the ledger again.
+
+    The mean of a bucket stands for its amounts, so ``threshold`` is off by less than a bucket's width; ``count`` and
+    ``total_amount`` are those of the threshold's bucket and all above it, ``all_n`` counts all debits.  A statement
+    has at most as many rows in its window as there are buckets.
+    """
+    merged = sketch.groupBy(KEY, "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    earlier = f"OVER (PARTITION BY {KEY} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    placed = (
+        merged.selectExpr(
+            KEY,
+            "n",
+            "CAST(total AS double) / n / 100.0D AS mean",
+            f"sum(n) OVER (PARTITION BY {KEY}) AS all_n",
+            f"sum(total) OVER (PARTITION BY {KEY}) AS all_total",
+            f"coalesce(sum(n) {earlier}, 0) AS n_before",
+            f"coalesce(sum(total) {earlier}, 0) AS total_before",
+        )
+        .selectExpr("*", f"{float(share)}D * (all_n - 1) AS place")
+        .selectExpr("*", "CAST(floor(place) AS bigint) AS low_rank", "place - floor(place) AS fraction")
+        .selectExpr("*", "least(low_rank + 1, all_n - 1) AS high_rank")
+    )
+
+    def at(side: str, column: str):
+        here = f"n_before <= {side}_rank AND {side}_rank < n_before + n"
+        return F.expr(f"max(CASE WHEN {here} THEN {column} END) AS {side}_{column}")
+
+    return (
+        placed.groupBy(KEY)
+        .agg(
+            *[F.max(c).alias(c) for c in ("all_n", "all_total", "fraction")],
+            *[at(side, column) for side in ("low", "high") for column in ("mean", "n_before", "total_before")],
+        )
+        .selectExpr("*", "low_mean + (high_mean - low_mean) * fraction AS threshold")
+        .selectExpr("*", "threshold <= low_mean AS from_low")
+        .selectExpr(
+            KEY,
+            "threshold",
+            "all_n - CASE WHEN from_low THEN low_n_before ELSE high_n_before END AS count",
+            "CAST((all_total - CASE WHEN from_low THEN low_total_before ELSE high_total_before END) / 100 AS decimal(38,2))"
+            " AS total_amount",
+            "all_n",
+        )
+    )
+
+
 def unusual_transactions(ledger: DataFrame, std_multiplier: float = 2.5) -> DataFrame:
     """Debits above mean + ``std_multiplier`` sample deviations; zero debits count too."""
     stats = (

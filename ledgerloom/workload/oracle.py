@@ -494,6 +494,25 @@ _QUERIES: dict[str, str] = {
         FROM l WHERE txn_date IS NOT NULL GROUP BY ALL""",
     "large_transactions": f"""SELECT statement_id, round(threshold, 6) AS threshold, "count",
         {_money('total_amount')} AS total_amount FROM large""",
+    "sketched_large_transactions": """SELECT * FROM (
+        WITH c AS (SELECT statement_id, CAST(round(debit * 100) AS BIGINT) AS v FROM l WHERE debit IS NOT NULL),
+        b AS (SELECT statement_id, sign(v) * (length(CAST(abs(v) AS VARCHAR)) * 1000
+                + CAST(rpad(left(CAST(abs(v) AS VARCHAR), 3), 3, '0') AS BIGINT)) AS bucket, v FROM c),
+        r AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY v) - 1 AS place,
+                avg(CAST(v AS DOUBLE)) OVER (PARTITION BY statement_id, bucket) / 100 AS mean,
+                0.9::DOUBLE * (count(*) OVER (PARTITION BY statement_id) - 1) AS wanted FROM b),
+        p AS (SELECT statement_id, max(mean) FILTER (place = floor(wanted)) AS low_mean,
+                max(bucket) FILTER (place = floor(wanted)) AS low_bucket,
+                max(mean) FILTER (place = ceil(wanted)) AS high_mean,
+                max(bucket) FILTER (place = ceil(wanted)) AS high_bucket,
+                max(wanted - floor(wanted)) AS fraction, count(*) AS all_n FROM r GROUP BY ALL),
+        t AS (SELECT *, low_mean + (high_mean - low_mean) * fraction AS threshold FROM p)
+        SELECT statement_id, round(t.threshold, 6) AS threshold, count(*) AS "count",
+            round(CAST(sum(v) AS DOUBLE) / 100, 2) AS total_amount,
+            round(abs(count(*) - any_value(large."count")) / any_value(all_n), 9) AS rank_error
+        FROM b JOIN t USING (statement_id) JOIN large USING (statement_id)
+        WHERE bucket >= CASE WHEN t.threshold <= low_mean THEN low_bucket ELSE high_bucket END
+        GROUP BY statement_id, t.threshold)""",
     "unusual_transactions": f"""SELECT statement_id, row_no, {_money('amount')} AS amount,
         round(deviation_factor, 6) AS deviation_factor, description, "date" FROM unusual""",
     "top_unusual_transactions": f"""SELECT statement_id, row_no, {_money('amount')} AS amount,

@@ -201,6 +201,25 @@ def large_transactions(spark, folder):
     return spending.large_transactions(adapters.stored_ledger(spark, folder))
 
 
+@query
+def sketched_large_transactions(spark, folder):
+    """The large debits from sketches kept by day, and how far their rank is from the exact one."""
+    ledger = adapters.stored_ledger(spark, folder)
+    days = session.reliable_checkpoint(spending.debit_sketch(ledger, "txn_date"))
+    exact = spending.large_transactions(ledger).select(KEY, F.col("count").alias("exact_count"))
+    return (
+        spending.sketched_large_transactions(days)
+        .join(exact, KEY)
+        .selectExpr(
+            KEY,
+            "round(threshold, 6) AS threshold",
+            "count",
+            "CAST(round(total_amount, 2) AS double) AS total_amount",
+            "round(abs(count - exact_count) / all_n, 9) AS rank_error",
+        )
+    )
+
+
 @query
 def unusual_transactions(spark, folder):
     return spending.unusual_transactions(adapters.event_ledger(spark, folder))

@@ -41,6 +41,28 @@ def test_quantile(spark, share):
         assert float(got[k]["total_amount"]) == pytest.approx(sum(large))
 
 
+def test_sketched_quantile(spark):
+    """Sketches of days add up to that of all rows; the threshold is within a bucket's width, the rank within a bucket."""
+    rng = random.Random(2)
+    amounts = {"s": [round(rng.lognormvariate(4, 2), 2) for _ in range(2000)], "t": [0.0] * 50, "u": [7.31], "v": [0.0, 0.05, 12.0, 120.0]}
+    rows = [(k, i, date(2024, 1, 1 + i % 9), f"{v:.2f}") for k, values in amounts.items() for i, v in enumerate(values)]
+    ledger = spark.createDataFrame([*rows, ("w", 0, None, None)], "statement_id string, row_no int, txn_date date, d string").selectExpr(
+        "statement_id", "row_no", "txn_date", "CAST(d AS decimal(28,2)) AS debit"
+    )
+    days = ll.debit_sketch(ledger, "txn_date")
+    got = {r["statement_id"]: r for r in ll.sketched_large_transactions(days).collect()}
+    assert sorted(map(str, got.values())) == sorted(map(str, ll.sketched_large_transactions(ll.debit_sketch(ledger)).collect()))
+    assert set(got) == set(amounts)  # a statement without debits has none, as in the exact query
+    for k, values in amounts.items():
+        want = quantile(values, 0.9)
+        assert abs(got[k]["threshold"] - want) <= 0.01 * want, k
+        assert got[k]["all_n"] == len(values)
+        assert abs(got[k]["count"] - sum(v >= want for v in values)) <= max(1, 0.01 * len(values)), k
+    assert float(got["t"]["total_amount"]) == 0 and got["t"]["count"] == 50
+    with pytest.raises(ValueError):
+        ll.debit_sketch(ledger, digits=9)
+
+
 def test_unusual_edges(spark):
     single = make_ledger(spark, [(1, "2024-01-01", "A", 5, 0, None)], "one")
     same = make_ledger(spark, [(i, None, "A", 5, 0, None) for i in range(4)], "same")
