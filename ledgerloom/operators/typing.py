@@ -24,6 +24,7 @@ from ..functions.text import (
     to_number,
 )
 from ..schemas import KEY, MONEY, ZERO
+from ..session import reliable_checkpoint
 from .grid import CANONICAL, map_by_name, transaction_rows
 
 
@@ -161,7 +162,9 @@ def build_ledger(
         " OR array_position(names, get(names, i_)) <> i_ + 1)"
     )
     label = "CASE WHEN array_position(header, get(header, i_)) = i_ + 1 THEN get(header, i_) ELSE concat(get(header, i_), '#', i_) END"
-    extra = f"map_from_entries(transform({unmapped}, i_ -> struct({label} AS key, get(cells, i_) AS value)))"
+    # found once per layout, not once per row
+    layouts = layouts.withColumn("extra_", F.expr(f"transform({unmapped}, i_ -> struct({label} AS key, i_ AS place))"))
+    extra = "map_from_entries(transform(extra_, e_ -> struct(e_.key AS key, get(cells, e_.place) AS value)))"
 
     def text(name: str) -> str:
         return f"CASE WHEN map_contains_key(col_map, '{name}') THEN coalesce({_cell(name)}, '') END AS {name}"
@@ -169,7 +172,7 @@ def build_ledger(
     def money(name: str) -> str:
         return f"CASE WHEN map_contains_key(col_map, '{name}') THEN {clean_amount(_cell(name))} END AS {name}"
 
-    carried = ["col_map", "header", "names", *(["date_formats"] if own_formats else [])]
+    carried = ["col_map", "extra_", *(["date_formats"] if own_formats else [])]
     date = _date(_cell("date"), layouts, date_formats)
     rows = transaction_rows(raw, layouts, *carried)
     if observation is not None:
@@ -269,7 +272,8 @@ def report_ledger(ledger: DataFrame, layouts: DataFrame | None = None, date_form
 
     With ``layouts``, a date or description column that no name gives is looked for
     among the columns without a standard name: the first text column that begins with a
-    date, and the first other text column, one whose name does not speak of a date if there is one.
+    date, and the first other text column, one whose name does not speak of a date if there is one;
+    the ledger is written to the checkpoint folder for that, so that its cells are parsed once.
     Statements without any date column keep their rows.
     """
     if layouts is None:
@@ -294,6 +298,9 @@ def report_ledger(ledger: DataFrame, layouts: DataFrame | None = None, date_form
 
 def _with_guesses(ledger: DataFrame, layouts: DataFrame, date_formats: Iterable[str]) -> DataFrame:
     """Ledger rows with ``has_date, date_, text_``, found among the ``extra`` columns where the layout has none."""
+    ledger = reliable_checkpoint(
+        ledger.select(KEY, "row_no", "txn_date", "description", "amount", "transaction_amount", "dr_cr_indicator", "txn_type", "debit", "credit", "balance", "extra")
+    )
     has = layouts.selectExpr(
         KEY, "map_contains_key(col_map, 'date') AS named_date", "map_contains_key(col_map, 'description') AS named_text"
     )
@@ -312,7 +319,7 @@ def _with_guesses(ledger: DataFrame, layouts: DataFrame, date_formats: Iterable[
             f"get(names, coalesce(get({undated}, 0).col_pos, get({texts}, 0).col_pos)) AS text_name",
         )
     )
-    return ledger.join(guessed, KEY).withColumns(
+    return ledger.join(reliable_checkpoint(guessed), KEY).withColumns(
         {
             "has_date": F.expr("named_date OR date_name IS NOT NULL"),
             "date_": F.expr(f"CASE WHEN named_date THEN txn_date ELSE {parse_date('extra[date_name]', date_formats)} END"),
@@ -341,6 +348,7 @@ def profile_table(rows: DataFrame) -> DataFrame:
     )
     # the first filled cell is read from its row afterwards, so no text is aggregated
     firsts = figures.groupBy(KEY, "row_no").agg(F.expr("collect_list(struct(col_pos, max_abs, numeric)) AS columns"))
+    firsts = reliable_checkpoint(firsts)  # a few rows per statement
     return (
         rows.join(firsts, [KEY, "row_no"])
         .selectExpr(KEY, "cells", "inline(columns)")
@@ -358,7 +366,8 @@ def table_layouts(rows: DataFrame, tables: DataFrame, date_formats: Iterable[str
 
     split = "debit_pos IS NOT NULL AND credit_pos IS NOT NULL"
     plain = "get(header, p.col_pos) RLIKE '(?i)date|^(amount|debit)$'"
-    named = map_by_name(tables)
+    # written first: filters on these columns would be worked out anew for every row the tables are derived from and joined to
+    named = reliable_checkpoint(map_by_name(tables))
     # only tables whose column names leave something open are read twice
     unclear = named.where(
         f"date_pos IS NULL OR description_pos IS NULL OR (amount_pos IS NULL AND NOT ({split}))"
@@ -398,7 +407,7 @@ def report_ledger_from_table(
     ``tables`` is ``(statement_id, header)``.  Columns are found by name; a
     missing date, amount or description column is guessed from the content.
     """
-    layouts = table_layouts(rows, tables, date_formats)
+    layouts = reliable_checkpoint(table_layouts(rows, tables, date_formats))
 
     def cell(position: str) -> str:
         return f"get(cells, {position})"
