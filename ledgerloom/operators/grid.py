@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bind, lit, strip
 from ..schemas import KEY, ROW_BITS
+from ..session import reliable_checkpoint
 
 # Phrases that score a header row.
 HEADER_PHRASES = [
@@ -231,8 +232,11 @@ def positions_by_name(names: str) -> str:
 
 
 def detect_layouts(raw: DataFrame) -> DataFrame:
-    """Header search, naming and content mapping: one layout row per statement."""
-    named = name_columns(detect_headers(raw))
+    """Header search, naming and content mapping: one layout row per statement.
+
+    The names are written once, being needed for the content and the result.
+    """
+    named = reliable_checkpoint(name_columns(detect_headers(raw)))
     return map_by_content(named, profile_columns(raw, named))
 
 
