@@ -14,7 +14,7 @@ Lines are compared as wholes.  ``repeated_substrings`` also cuts paragraphs by c
 whatever its line breaks, every run of ``LEAST`` words whose hash is the least of ``RUN - LEAST + 1`` neighbours is a
 paragraph.  The cuts depend on nothing but the words around them, so that two texts that share ``RUN`` words in a row
 share such a paragraph for certain.  These paragraphs may overlap, have one length and are met by equal words only;
-near copies are found among the lines, of ``LEAST`` words too: shorter ones are phrases, not copied passages.
+near copies are found among the lines, of ``WORDS`` words and more as everywhere.
 
 ``repeated_passages`` adds to the lines what they cannot show: in the words of the lines that stay,
 whatever the line breaks, every run of ``RUN`` words that stands earlier (same order of places) as well.  Words are
@@ -42,6 +42,7 @@ from ..session import reliable_checkpoint
 from .common import WORD, ready, stream_runs
 from .components import components
 from .kneser_ney import chain
+from .token_files import by_bytes
 
 WORDS, SIMILAR, RECALL = 5, 0.8, 0.999
 #: Share of pairs of similarity ``FAR`` that bands may bring together at most.
@@ -54,6 +55,8 @@ MAP_BITS = 1 << 22
 RUN, GRAM = 50, 26
 #: Words of a paragraph at least, where those cut by content count as well.
 LEAST = 40
+#: Bytes of text cut at a time, and words whose hashes a task remembers.
+CUT_BYTES, REMEMBERED = 2 << 20, 400_000
 
 
 def tune(similar: float = SIMILAR, recall: float = RECALL, far: float = FAR, waste: float = WASTE) -> tuple[int, int]:
@@ -65,12 +68,12 @@ def tune(similar: float = SIMILAR, recall: float = RECALL, far: float = FAR, was
     raise ValueError("no bands reach this recall")
 
 
-def split(text: str | None, least: int = WORDS) -> list[tuple[int, int, int, list[bytes]]]:
-    """Number, start and end (code points) and words of every line with ``least`` words."""
+def split(text: str | None) -> list[tuple[int, int, int, list[bytes]]]:
+    """Number, start and end (code points) and words of every line with ``WORDS`` words."""
     found, at = [], 0
     for k, line in enumerate((text or "").split("\n")):
         words = line.encode("utf-8", "surrogatepass").lower().split()
-        if len(words) >= max(least, WORDS):
+        if len(words) >= WORDS:
             found.append((k, at, at + len(line), words))
         at += len(line) + 1
     return found
@@ -103,7 +106,7 @@ def band_values(word_lists: list[list[bytes]], bands: int, rows: int) -> np.ndar
     return found
 
 
-def list_paragraphs(docs: DataFrame, bands: int, rows: int, least: int = WORDS) -> DataFrame:
+def list_paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``pid`` (unique), ``doc_id, paragraph, start, stop, n_words, key``, the document's ``did`` and a column for each band."""
     ready(docs.sparkSession)
 
@@ -114,7 +117,7 @@ def list_paragraphs(docs: DataFrame, bands: int, rows: int, least: int = WORDS)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                found = [(d, *x, i) for d, t, i in zip(*(c.to_pylist() for c in part.columns)) for x in split(t, least)]
+                found = [(d, *x, i) for d, t, i in zip(*(c.to_pylist() for c in part.columns)) for x in split(t)]
                 if not found:
                     continue
                 values = band_values([x[4] for x in found], bands, rows).view(np.int64)
@@ -220,7 +223,7 @@ def bit_map(keys: DataFrame) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(packed)
 
 
-def words_of(docs: DataFrame, needed: DataFrame, least: int = WORDS) -> DataFrame:
+def words_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """``id, words`` of the classes ``(id, key)``, read from the documents again.
 
     A bit map of the keys, of fixed size, goes to every task and leaves out most other paragraphs there.
@@ -233,7 +236,7 @@ def words_of(docs: DataFrame, needed: DataFrame, least: int = WORDS) -> DataFram
         for batch in batches:
             found = {}
             for text in batch.column(0).to_pylist():
-                for *_, words in split(text, least):
+                for *_, words in split(text):
                     found.setdefault(key_of(words), words)
             keys = list(found)
             chosen = [k for k, ok in zip(keys, mask[_bits_of(keys)] if keys else []) if ok]
@@ -246,7 +249,7 @@ def words_of(docs: DataFrame, needed: DataFrame, least: int = WORDS) -> DataFram
     return read.join(needed, "key").groupBy("id").agg(F.max("words").alias("words"))
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, bands: int, similar: float, least: int = WORDS) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, bands: int, similar: float) -> DataFrame:
     """Edges ``(a, b)`` that connect all classes linked by their shingles' similarity."""
     probes = classes.select("id", F.explode(F.array(*[f"band{b}" for b in range(bands)])).alias("bucket"))
     met = probes.select("bucket", "id").repartition("bucket").sortWithinPartitions("bucket")
@@ -258,7 +261,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, bands: int, similar: flo
     once = named.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members = reliable_checkpoint(met.join(once, "bucket"))
     needed = reliable_checkpoint(classes.select("id", "key").join(members.select("id").distinct(), "id"))
-    words = words_of(docs, needed, least)
+    words = words_of(docs, needed)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -274,17 +277,17 @@ def repeated_paragraphs(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return _removed_lines(docs.select("doc_id", "text", F.lit(0).cast("long").alias("did")), similar).drop("did")
 
 
-def _removed_lines(docs: DataFrame, similar: float, least: int = WORDS) -> DataFrame:
+def _removed_lines(docs: DataFrame, similar: float) -> DataFrame:
     """``repeated_paragraphs`` of ``doc_id, text, did``, with ``did``."""
     bands, rows = tune(similar)
-    listed = reliable_checkpoint(list_paragraphs(docs, bands, rows, least))
+    listed = reliable_checkpoint(list_paragraphs(docs, bands, rows))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pid", "paragraph")
     classes = reliable_checkpoint(
         listed.groupBy("key").agg(
             F.min("pid").alias("id"), F.count("*").alias("n"), F.min(place).alias("first"), *[F.max(f"band{b}").alias(f"band{b}") for b in range(bands)]
         )
     )
-    found = components(linked_classes(docs, classes, bands, similar, least)).withColumnRenamed("node", "id")
+    found = components(linked_classes(docs, classes, bands, similar)).withColumnRenamed("node", "id")
     placed = classes.select("id", "key", "n", "first").join(found, "id", "left").where("n > 1 or root is not null")
     placed = reliable_checkpoint(placed.withColumn("root", F.coalesce("root", "id")))
     stay = placed.groupBy("root").agg(F.min("first").alias("stays"))
@@ -315,6 +318,51 @@ def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return found
 
 
+class WordHashes(dict):
+    """Hashes of words, remembered up to ``REMEMBERED`` of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def cut_texts(texts: pa.Array, word_hash: WordHashes) -> list[np.ndarray]:
+    """The paragraphs cut by content of many texts: row, hash, number of the first word, line of it, start and stop.
+
+    The texts lie one behind the other in one array of bytes, with a line break behind each.
+    """
+    if len(word_hash) > REMEMBERED:
+        word_hash.clear()
+    parts = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+    joined = b"\n".join([*parts, b""])
+    flat = np.frombuffer(joined, dtype=np.uint8)
+    text_end = np.cumsum([len(x) + 1 for x in parts])
+    hashes = np.fromiter(map(word_hash.__getitem__, joined.lower().split()), dtype=np.uint64)
+    inside = ~((flat == 32) | ((flat >= 9) & (flat <= 13)))
+    edges = np.flatnonzero(np.diff(inside, prepend=False))  # words start and end in turn; a line break ends the last
+    first, last = edges[::2], edges[1::2]
+    to = np.searchsorted(first, text_end)  # words up to the end of each text
+    begin = np.append(0, to[:-1])
+    n_runs = np.maximum(to - begin - LEAST + 1, 0)
+    if not n_runs.any():
+        return [np.zeros(0, dtype=np.int64)] * 6
+    width = RUN - LEAST + 1
+    # runs that reach into the next text count as greatest: the window of a short text sees no other text
+    runs = np.full(len(hashes) + width, np.iinfo(np.uint64).max)
+    own = np.arange(int(n_runs.sum())) + np.repeat(begin - (np.cumsum(n_runs) - n_runs), n_runs)
+    runs[own] = run_hashes(hashes, LEAST)[own]
+    n_windows = np.where(n_runs > 0, np.maximum(n_runs - width + 1, 1), 0)
+    opens = np.arange(int(n_windows.sum())) + np.repeat(begin - (np.cumsum(n_windows) - n_windows), n_windows)
+    at = np.unique(opens + sliding_window_view(runs, width)[opens].argmin(axis=1))
+    row = np.searchsorted(to, at, side="right")
+    text_start = np.append(0, text_end[:-1])[row]
+    points = np.append(0, np.cumsum((flat & 0xC0) != 0x80))  # code points before each byte
+    lines = np.append(0, np.cumsum(flat == 10))
+    start, stop = first[at], last[at + LEAST - 1]
+    place = [lines[start] - lines[text_start], points[start] - points[text_start], points[stop] - points[text_start]]
+    return [row, runs[at].view(np.int64), at - begin[row], *place]
+
+
 def list_cut_paragraphs(docs: DataFrame) -> DataFrame:
     """``hash, did`` (unique), ``doc_id``, number of the first word, line of it, start and stop of the paragraphs cut by content."""
     ready(docs.sparkSession)
@@ -323,34 +371,26 @@ def list_cut_paragraphs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        did = TaskContext.get().partitionId() << 40
+        did, word_hash = TaskContext.get().partitionId() << 40, WordHashes()
         for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                did += 1
-                hashes = np.array([xxhash.xxh64_intdigest(w) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], dtype=np.uint64)
-                if len(hashes) < LEAST:
-                    continue
-                runs = run_hashes(hashes, LEAST)
-                near = sliding_window_view(runs, min(RUN - LEAST + 1, len(runs)))
-                at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
-                spans = np.array([m.span() for m in re.finditer(WORD, text)], dtype=np.int64)
-                start, stop = spans[at, 0], spans[at + LEAST - 1, 1]
-                line = np.searchsorted(np.array([m.start() for m in re.finditer("\n", text)], dtype=np.int64), start)
-                columns = [runs[at].view(np.int64), np.full(len(at), did), pa.array([doc_id] * len(at), pa.int64()), at, line, start, stop]
+            for part in by_bytes(batch, most=CUT_BYTES):
+                row, *found = cut_texts(part.column(1), word_hash)
+                columns = [found[0], did + 1 + row, part.column(0).take(pa.array(row)), *found[1:]]
+                did += part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def repeated_substrings(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``repeated_paragraphs`` of lines with ``LEAST`` words (``whole_line`` true), and the passages of paragraphs cut by content that
+    """``repeated_paragraphs`` (``whole_line`` true, all lines of ``WORDS`` words), and the passages of paragraphs cut by content that
     stand earlier as well, by document id (null ids last), row and place.
 
     Such a passage may reach over line ends (``paragraph`` is the line it starts in) and joins the repeated paragraphs of a document
     that overlap or touch and stand in the same earlier document; ``kept_paragraph`` is the line where the first of them stands there.
     Passages and lines may overlap: the union is removed.  Null, empty and shorter texts have none.
     """
-    lines = _removed_lines(docs.select("doc_id", "text", F.lit(0).cast("long").alias("did")), similar, LEAST).drop("did")
+    lines = _removed_lines(docs.select("doc_id", "text", F.lit(0).cast("long").alias("did")), similar).drop("did")
     listed = reliable_checkpoint(list_cut_paragraphs(docs))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "did", "at", "paragraph")
     first = reliable_checkpoint(listed.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))

@@ -34,6 +34,8 @@ MAGIC = 0x31304C5242454C54
 FILE_IDS = 4_000_000
 #: Texts encoded at once, by bytes.
 BATCH_BYTES = 12 << 20
+#: Ids packed at once; the temporary arrays of a whole file would take some hundred bytes for each id.
+PACKED = 1 << 18
 
 # lengths of the four ranks that a control byte describes, and their sum
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -53,12 +55,16 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             less_one[: len(ids)] += ranks > limit
     quads = less_one.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    lengths = less_one[: len(ids)].astype(np.int64) + 1
-    begin = np.cumsum(lengths) - lengths
-    data = np.empty(int(lengths.sum()), dtype=np.uint8)
-    for k in range(int(lengths.max(initial=0))):
-        has = lengths > k
-        data[begin[has] + k] = (ranks[has] >> (8 * k)).astype(np.uint8)
+    data = np.empty(len(ids) + int(less_one.sum()), dtype=np.uint8)
+    end = 0
+    for a in range(0, len(ids), PACKED):
+        some = ranks[a : a + PACKED]
+        lengths = less_one[a : a + len(some)].astype(np.int64) + 1
+        begin = end + np.cumsum(lengths) - lengths
+        for k in range(int(lengths.max(initial=0))):
+            has = lengths > k
+            data[begin[has] + k] = (some[has] >> (8 * k)).astype(np.uint8)
+        end += int(lengths.sum())
     return ranked, control, data
 
 
@@ -139,10 +145,10 @@ def write_token_files(
 MANIFEST = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
-def by_bytes(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``BATCH_BYTES`` of text each, a longer text alone."""
+def by_bytes(batch: pa.RecordBatch, column: int = 1, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes (``BATCH_BYTES``) of text each, a longer text alone."""
     sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_BYTES, prepend=0))
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (most or BATCH_BYTES), prepend=0))
     for a, b in zip([0, *cuts], [*cuts, len(sizes)]):
         if b > a:
             yield batch.slice(a, b - a)

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import check, connect
@@ -197,7 +198,7 @@ def check_substrings(rows, found):
     texts, first = dict(rows), {}
     spans = defaultdict(list)
     for r in found:
-        assert r.n_words >= paragraphs.LEAST
+        assert r.n_words >= (paragraphs.WORDS if r.whole_line else paragraphs.LEAST)
         spans[r.doc_id].append((r.start, r.stop))
         if not r.whole_line:
             words = [w for w, *_ in word_runs(texts[r.doc_id][r.start : r.stop], paragraphs.LEAST)]
@@ -218,10 +219,9 @@ def test_substrings_table(spark):
     rows = [(r.doc_id, r.text) for r in queries.table(spark, FOLDER, "documents").collect()]
     found = queries.op7_paragraphs(spark, FOLDER).collect()
     assert check_substrings(rows, found) > 1000
-    # lines of 40 words are those of the direct comparison
+    # lines are those of the direct comparison, short ones too
     lines = {(r.doc_id, r.paragraph) for r in found if r.whole_line}
-    long = [(d, "\n".join(x if len(x.encode().split()) >= 40 else "" for x in (t or "").split("\n"))) for d, t in rows]
-    want = {(d, k) for d, k, *_ in direct_repeats(long)}
+    want = {(d, k) for d, k, *_ in direct_repeats(rows)}
     assert len(lines ^ want) <= 0.01 * len(want) and not lines - want
 
 
@@ -245,6 +245,37 @@ def test_substrings_odd(spark):
     assert paragraphs.repeated_substrings(no_docs(spark)).collect() == []
 
 
+def test_substrings_short_lines(spark):
+    rng = random.Random(4)
+    line = [f"s{rng.randrange(10**7)}" for _ in range(39)]
+    near = " ".join(line[:-1] + ["other"])
+    rows = [(1, " ".join(line)), (2, f"x y\n{near}"), (3, "one two three four five"), (4, "q\nOne two  three four five\n"), (5, "one two three four")]
+    found = paragraphs.repeated_substrings(odd_docs(spark, [(*r, "en", "a") for r in rows])).collect()
+    assert {(r.doc_id, r.paragraph, r.kept_doc_id, r.n_words, r.exact, r.whole_line) for r in found} == {(2, 1, 1, 39, False, True), (4, 1, 3, 5, True, True)}
+
+
+def direct_cuts(text):
+    """Hash, first word, line, start and stop of the paragraphs cut by content, from one text alone."""
+    runs = word_runs(text, 40)
+    if not runs:
+        return []
+    words = [xxhash.xxh64_intdigest(w) for w, *_ in [(m.group().encode().lower(),) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]]
+    hashes = paragraphs.run_hashes(np.array(words, dtype=np.uint64), 40).tolist()
+    width = min(11, len(runs))
+    at = sorted({min(range(k, k + width), key=lambda i: (hashes[i], i)) for k in range(len(runs) - width + 1)})
+    return [(hashes[i], i, text[: runs[i][1]].count("\n"), runs[i][1], runs[i][2]) for i in at]
+
+
+def test_cut_many_texts():
+    rng = random.Random(6)
+    long = ["\n".join(" ".join(rng.choice("abé€X") for _ in range(rng.randrange(9))) for _ in range(90)) for _ in range(5)]
+    texts = [None, "", " \n ", "a b", "é " * 39, "w " * 40, " \n" + "x é€\t" * 22, *long, "y " * 300, None]
+    row, hashes, *rest = paragraphs.cut_texts(pa.array(texts, pa.string()), paragraphs.WordHashes())
+    got = list(zip(row.tolist(), hashes.view(np.uint64).tolist(), *(x.tolist() for x in rest)))
+    assert got == [(i, *r) for i, t in enumerate(texts) for r in direct_cuts(t or "")] and len(got) > 20
+    assert len(paragraphs.cut_texts(pa.array([None, "a"], pa.string()), paragraphs.WordHashes())[0]) == 0
+
+
 def test_run_hashes():
     words = np.array([random.Random(5).randrange(2**63) for _ in range(90)] * 2, dtype=np.uint64)
     for n in (1, 2, 3, 26, 40, 90, 180):
