@@ -36,6 +36,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 LONG = 2048
 #: Distinct pieces a worker remembers before it starts afresh.
 REMEMBERED = 400_000
+#: Bytes of text encoded at once: the arrays for them take some fifty times as much.
+ENCODED_BYTES = 2 << 20
 #: Rank of pairs that no merge knows.
 NONE = np.iinfo(np.int64).max
 
@@ -268,7 +270,7 @@ def encode_texts(docs: DataFrame, bpe: Callable[[], WordBpe], doc_id: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch):
+            for part in by_bytes(batch, most=ENCODED_BYTES):
                 ids, counts = bpe().encode(part.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
